@@ -5,12 +5,19 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, token_files
+from . import bpe, packing, quality, sharding, token_files, warc
 from .common import documents
 
 WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+SHARDS = [f"shard-{k:02d}" for k in range(32)]
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(documents(spark, sf_dir), SHARDS, "doc_id").select("doc_id", "slot", "shard")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), WORDS).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
@@ -19,13 +26,44 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), BYTES, public_tokenizers.PATTERN)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "base_failed", "kept")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_read(documents(spark, sf_dir), WORDS)
 
 
+def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return warc.derivatives(warc.responses(pages)).drop("metadata", "conversion")
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+def sharding_sql() -> str:
+    """The table filled turn by turn: a step claims the next free slot in the order of the shard whose turn it is."""
+    size = sharding.next_prime(sharding.SLOTS_PER_SHARD * len(SHARDS))
+    number = "CAST('0x' || substr(md5({}), 1, 15) AS BIGINT)"
+    return f"""
+WITH RECURSIVE shards AS (
+  SELECT s, {number.format("'offset:' || n")} % {size} AS o, {number.format("'skip:' || n")} % {size - 1} + 1 AS k
+  FROM (SELECT s, 'shard-' || lpad(s::VARCHAR, 2, '0') AS n FROM range({len(SHARDS)}) r(s))
+), fill(step, slot, taken, nexts) AS (
+  SELECT 0, -1, list_transform(range({size}), lambda x: false), list_transform(range({len(SHARDS)}), lambda x: 0::BIGINT)
+  UNION ALL
+  SELECT step + 1, (o + k * j) % {size}, taken[:((o + k * j) % {size})] || [true] || taken[((o + k * j) % {size}) + 2:], nexts[:s] || [j + 1] || nexts[s + 2:]
+  FROM (
+    SELECT f.*, h.*, list_filter(range(f.nexts[h.s + 1], {size}), lambda j: NOT f.taken[((h.o + h.k * j) % {size}) + 1])[1] AS j
+    FROM fill f JOIN shards h ON h.s = f.step % {len(SHARDS)} WHERE f.step < {size}
+  )
+)
+SELECT d.doc_id, f.slot::INTEGER AS slot, 'shard-' || lpad(((f.step - 1) % {len(SHARDS)})::VARCHAR, 2, '0') AS shard
+FROM documents d JOIN fill f ON f.step > 0 AND f.slot = {number.format("'=' || d.doc_id")} % {size}
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_sharding": sharding_sql(), "op5_quality_rules": quality.ORACLE}
