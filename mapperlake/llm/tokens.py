@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 
 #: Distinct chunks kept per worker; a full store is emptied and filled again, which costs time only.
 STORE = 1_200_000
@@ -17,53 +18,46 @@ _WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)").fullmatch
 _encoders: dict[str, "ChunkEncoder"] = {}
 
 
-class ChunkEncoder:
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in the vocabulary: itself if it is printed in Latin-1, else the next one from 256 on."""
+    printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printed]
+    return {b: chr(b) for b in printed} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class ChunkEncoder(dict):
+    """Little-endian unsigned 32-bit ids by chunk; a chunk that is missing is encoded once."""
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.store: dict[str, bytes] = {}
-        self.points = dict(zip(("", ".", ","), self._plain(["", ".", ","]), strict=True))
-
-    def _plain(self, chunks: list[str]) -> list[bytes]:
-        import numpy as np
-
-        out = []
-        for k in range(0, len(chunks), 20_000):
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(chunks[k : k + 20_000], add_special_tokens=False)]
-            flat, p = np.fromiter((i for ids in got for i in ids), "<u4").tobytes(), 0
-            for q in np.cumsum([4 * len(ids) for ids in got]).tolist():
-                out.append(flat[p:q])
-                p = q
-        return out
-
-    def _learn(self, chunks: set[str]) -> None:
-        """Ids of chunks that aren't in store. A word before one point or comma is encoded as the word and the sign, since the vocabulary splits there, and letters are lowered first."""
-        store = self.store
-        found = [(c, m) for c in chunks if (m := _WORD(c))]
-        stems = {m[1].lower() for _, m in found}
-        stems.update(chunks.difference(c for c, _ in found))
-        new = list(stems.difference(store))
-        store.update(zip(new, self._plain(new), strict=True))
-        points = self.points
-        store.update([(c, store[m[1].lower()] + points[m[2]]) for c, m in found])
+        self.merge = self.tokenizer.model.tokenize
+        self.letters = _byte_letters()
+        self.points = {c: self[c] for c in ("", ".", ",")}
+
+    def __missing__(self, chunk: str) -> bytes:
+        """A word of letters is lowered and goes to the vocabulary's merges at once, without the sign after it: the vocabulary splits there, and such letters have one form. Other chunks take the library's whole way."""
+        if m := _WORD(chunk):
+            word = m[1].lower()
+            if word != chunk:
+                found = self[chunk] = self[word] + self.points[m[2]]
+                return found
+            ids = [x.id for x in self.merge(word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))]
+        else:
+            ids = self.tokenizer.encode_batch_fast([chunk], add_special_tokens=False)[0].ids
+        found = self[chunk] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") if t else [] for t in texts]
-        seen: set[str] = set()
-        for chunks in split:
-            seen.update(chunks)
-        seen.discard("")
-        self.store[""] = b""
-        if len(self.store) + len(seen) > STORE:
-            self.store.clear()
-            self.store[""] = b""
-        self._learn(seen.difference(self.store))
-        get = self.store.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in split]
+        """The ids of each text."""
+        if len(self) > STORE:
+            self.clear()
+        get = self.__getitem__
+        return [b"".join(map(get, t.replace("\n", " ").replace("\t", " ").split(" "))) for t in texts]
 
 
 def encoder(path: str) -> ChunkEncoder:
