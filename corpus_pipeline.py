@@ -1,13 +1,56 @@
-"""Placeholder stages, filled in below."""
+"""From documents to packed sequences: quality rules, line dedup, near-duplicate removal, packing.
 
-from mapperlake.llm import queries as _q
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept, written as Parquet and read
+again in between; all but the last return the columns of documents.
+"""
 
-STAGES = []
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mapperlake.llm import jaccard, line_dedup, packing, quality
+from mapperlake.llm.common import documents, stage
+from mapperlake.session import ship
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    ship(spark)
+    return quality.keep(docs)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Duplicate lines go, n_chars follows; a document of whose lines none is left goes."""
+    ship(spark)
+    names = docs.columns
+    cut = line_dedup.dedup(docs).where(~((F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")))
+    return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(names)
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of the smallest doc_id stays."""
+    ship(spark)
+    return jaccard.keep_one(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of each document, with its sequence of at most 4096 tokens and its offset there."""
+    ship(spark)
+    packed = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [("quality_rules", quality_rules), ("line_dedup", dedup_lines), ("ngram_jaccard", dedup_near), ("packing", pack)]
+
+#: The tokenizer, the edit join and the genetic algorithm aren't SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, f in STAGES:
-        docs = f(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed sequences of what the stages keep of documents."""
+    docs = documents(spark, sf_dir)
+    for name, f in STAGES[:-1]:
+        docs = stage(f(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, partitions, stage, texts_of
+from .common import BROADCAST_ROWS, partitions, small, stage, texts_of
 from .components import components
 from .shingles import shingle_sets
 from .tokens import slices
@@ -281,5 +281,5 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without those that link, over any number of links, with a document of a smaller doc_id."""
     found, _ = join(docs)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("__doc")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__doc"], "left_anti")
+    gone = stage(found.where("component_id <> doc_id").select(F.col("doc_id").alias("__doc")).distinct(), "gone")
+    return docs.join(small(gone), docs["doc_id"].cast("long") == F.col("__doc"), "left_anti")

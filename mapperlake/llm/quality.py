@@ -95,9 +95,9 @@ def judge(docs: DataFrame, host: str = "source", limit: int = LIMIT, depleted: i
 
 
 def keep(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The rows of docs that aren't rejected, with docs' columns. Rows of a doc_id are judged by the same rules, and stay if any of them is kept."""
-    good = judge(docs, host).where("kept").select(F.col("doc_id").alias("__doc")).distinct()
-    return docs.join(good, docs["doc_id"] == good["__doc"], "left_semi")
+    """The rows of docs that aren't rejected, with docs' columns. Rows that share a doc_id (or have none) stay if any of them is kept."""
+    bad = stage(judge(docs, host).groupBy("doc_id").agg(F.max("kept").alias("any")).where(~F.col("any")).select(F.col("doc_id").alias("__doc")), "rejected")
+    return docs.join(small(bad), docs["doc_id"].cast("long").eqNullSafe(F.col("__doc")), "left_anti")
 
 
 ORACLE = rf"""
