@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,35 +21,39 @@ from .common import texts_of
 from .tokens import slices
 
 #: Distinct matches kept per worker; a full store is emptied and filled again.
-STORE = 1_000_000
+STORE = 1_500_000
 #: Bytes that one recursive query starts from.
 START_BYTES = 1_500_000
 
-#: A hit is taken if an even number of hits stands between it and the last neighbour pair that isn't one (s).
+#: Each round contracts a word's least pair (l, r). Where l and r differ, hits can't overlap. Where they are twins, every other one of a run of hits is taken.
 ENCODE = """
 WITH RECURSIVE t AS (
   SELECT 0 AS round, word, pos, id FROM start
   UNION ALL (
     WITH pairs AS (
-      SELECT round, word, pos, id, row_number() OVER w AS i, lead(id) OVER w AS following FROM t WINDOW w AS (PARTITION BY word ORDER BY pos)
+      SELECT round, word, pos, id, lead(id) OVER w AS following, lag(id) OVER w AS previous FROM t WINDOW w AS (PARTITION BY word ORDER BY pos)
     ), ranked AS (
       SELECT p.*, m.merged FROM pairs p LEFT JOIN merges m ON m.left_id = p.id AND m.right_id = p.following
     ), best AS (
-      SELECT word, min(merged) AS least FROM ranked GROUP BY word HAVING least IS NOT NULL
+      SELECT word, min(merged) AS least, arg_min(id, merged) AS l, arg_min(following, merged) AS r FROM ranked WHERE merged IS NOT NULL GROUP BY word
     ), hits AS (
-      SELECT r.*, r.merged IS NOT DISTINCT FROM b.least AS hit FROM ranked r JOIN best b ON r.word = b.word
-    ), streak AS (
-      SELECT *, coalesce(max(CASE WHEN NOT hit THEN i END) OVER (PARTITION BY word ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM hits
+      SELECT r.round, r.word, r.pos, r.id, b.least, b.l = b.r AS twin, r.id = b.l AND coalesce(r.following = b.r, false) AS hit, r.id = b.r AND coalesce(r.previous = b.l, false) AS after FROM ranked r JOIN best b ON r.word = b.word
+    ), twins AS (
+      SELECT *, row_number() OVER w - coalesce(max(CASE WHEN NOT hit THEN n END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k
+      FROM (SELECT *, row_number() OVER w AS n FROM hits WHERE twin WINDOW w AS (PARTITION BY word ORDER BY pos)) WINDOW w AS (PARTITION BY word ORDER BY pos)
     )
-    SELECT round + 1, word, pos, CASE WHEN hit AND (i - s) % 2 = 1 THEN merged ELSE id END
-    FROM streak WHERE NOT (i - 1 > s AND (i - 1 - s) % 2 = 1)
+    SELECT round + 1, word, pos, CASE WHEN hit THEN least ELSE id END FROM hits WHERE NOT twin AND NOT after
+    UNION ALL
+    SELECT round + 1, word, pos, CASE WHEN hit AND k % 2 = 1 THEN least ELSE id END FROM twins WHERE k = 1 OR k % 2 = 1
   )
 ), last AS (SELECT word, max(round) AS round FROM t GROUP BY word)
 SELECT t.word, list(t.id ORDER BY t.pos) AS ids FROM t JOIN last ON t.word = last.word AND t.round = last.round GROUP BY t.word
 """
+#: One thread adds the sorted rows of a text in their order.
 DECODE = """
-SELECT r.doc, string_agg(v.bytes, '' ORDER BY r.pos) AS bytes
-FROM (SELECT doc, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM coded) r JOIN vocabulary v ON v.id = r.id GROUP BY r.doc
+SELECT doc, string_agg(bytes, '') AS bytes FROM (
+  SELECT r.doc, v.bytes FROM (SELECT doc, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM coded) r JOIN vocabulary v ON v.id = r.id ORDER BY r.doc, r.pos
+) GROUP BY doc
 """
 
 _coders: dict[tuple[str, str], "ByteBpe"] = {}
@@ -75,7 +80,10 @@ class ByteBpe:
             self.db.register("incoming", table)
             self.db.execute(f"CREATE TABLE {name} AS SELECT {', '.join(f'CAST(incoming.{c} AS {"VARCHAR" if c == "bytes" else "INTEGER"}) AS {c}' for c in columns)} FROM incoming")
             self.db.unregister("incoming")
-        self.store: dict[str, tuple[bytes, bytes]] = {}
+        self.store: dict[str, bytes] = {}
+        said = [b"%d " % i for i in range(max(ranks.values()) + 1)]
+        self.said_n = np.array([len(x) for x in said])
+        self.said = np.frombuffer(b"".join(x.ljust(self.said_n.max()) for x in said), np.uint8).reshape(len(said), -1)
 
     def _contract(self, words: list[bytes]) -> list[list[int]]:
         """Ids of byte strings that aren't tokens."""
@@ -122,13 +130,19 @@ class ByteBpe:
             ids[k] = x
         for w, x in zip(new, ids, strict=True):
             x = [x] if isinstance(x, int) else x
-            self.store[w] = np.array(x, "<i4").tobytes(), b" ".join(b"%d" % i for i in x)
+            self.store[w] = struct.pack(f"<{len(x)}i", *x)
         return matches
 
+    def numerals(self, ids) -> bytes:
+        """Decimal ids joined by one blank."""
+        import numpy as np
+
+        return self.said[ids][np.arange(self.said.shape[1]) < self.said_n[ids][:, None]].tobytes()[:-1]
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         import numpy as np
 
-        return [np.frombuffer(b"".join(self.store[w][0] for w in m), "<i4").tolist() for m in self.split(texts)]
+        return [np.frombuffer(b"".join(map(self.store.__getitem__, m)), "<i4").tolist() for m in self.split(texts)]
 
     def decode(self, coded) -> list[bytes]:
         """Bytes of each list of ids (an Arrow list array)."""
@@ -159,7 +173,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
         bpe = coder(ranks, pattern)
         for batch in batches:
             texts = texts_of(batch)
-            for a, b in slices(texts, 1_000_000):
+            for a, b in slices(texts, 2_000_000):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(bpe.encode(texts[a:b]), pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
@@ -190,11 +204,10 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
         bpe, sha = coder(ranks, pattern), lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
             texts = texts_of(batch)
-            for a, b in slices(texts, 1_000_000):
-                store_of = bpe.split(texts[a:b])
-                coded = [[bpe.store[w] for w in m] for m in store_of]
-                ids = [b"".join([x[0] for x in c]) for c in coded]
-                said = [b" ".join([x[1] for x in c]) for c in coded]
+            for a, b in slices(texts, 2_000_000):
+                matches = bpe.split(texts[a:b])
+                ids = [b"".join(map(bpe.store.__getitem__, m)) for m in matches]
+                said = [bpe.numerals(np.frombuffer(x, "<i4")) for x in ids]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(n), pa.array([sha(s) for s in said]), pa.array([sha(s) for s in bpe.decode(lists)])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
