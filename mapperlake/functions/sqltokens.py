@@ -12,7 +12,7 @@ _TOKEN = re.compile(
     r"(?P<space>\s+)|(?P<hint>/\*\+.*?(?:\*/|\Z)|--\+[^\n]*)|(?P<comment>/\*.*?(?:\*/|\Z)|--[^\n]*)|(?P<string>[nN]?'(?:[^']|'')*(?:'|\Z))"
     r"|(?P<parameter>#\{[^}]*\}|\$\{[^}]*\}|#[^#\s{}]+#|\$[^$\s{}]+\$|\?|:[A-Za-z_]\w*)"
     r"|(?P<quoted>\"(?:[^\"]|\"\")*(?:\"|\Z)|`[^`]*(?:`|\Z)|\[[A-Za-z_][^\]\n]*\])|(?P<number>\d+(?:\.\d*)?(?:[eE][-+]?\d+)?|\.\d+)"
-    r"|(?P<word>[^\W\d]\w*(?:\$(?!\{)\w*|#(?!\{)(?=\w*(?:[\s,.()=]|$))\w*)*)|(?P<sign>\(\+\)|<=>|<>|!=|<=|>=|\|\||:=|::|->>|->|\*\*|.)",
+    r"|(?P<word>[^\W\d]\w*(?:\$(?!\{|[\w.\[\]]+\$)\w*|#(?!\{)(?=\w*(?:[\s,.()=]|$))\w*)*)|(?P<sign>\(\+\)|<=>|<>|!=|<=|>=|\|\||:=|::|->>|->|\*\*|.)",
     re.S,
 )
 

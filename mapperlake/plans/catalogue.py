@@ -81,7 +81,7 @@ RENDERED: dict[str, tuple[str, Any, str]] = {
     "x_include_chain": ("orders.lineAmounts", {"from": datetime.datetime(1996, 1, 1), "flag": "R"}, "SELECT l_orderkey, l_linenumber, ROUND(l_extendedprice * (1 - l_discount), 4) AS amount FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_returnflag = 'R'"),
     "x_choose_trim": ("reports.orders", {"floor": 200000.0, "statuses": ["F", "P"]}, "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_totalprice > 200000 AND o_orderstatus IN ('F', 'P')"),
     "x_choose_otherwise": ("reports.orders", {}, "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'"),
-    "x_foreach_bind": ("reports.partsLike", {"word": "1", "sizes": [1, 5, 9, 14, 23, 36, 45]}, "SELECT p_partkey, p_size FROM part WHERE contains(p_name, '1') AND p_size IN (1, 5, 9, 14, 23, 36, 45)"),
+    "x_foreach_bind": ("reports.partsLike", {"word": "red", "sizes": [1, 5, 9, 14, 23, 36, 45]}, "SELECT p_partkey, p_size FROM part WHERE contains(p_name, 'red') AND p_size IN (1, 5, 9, 14, 23, 36, 45)"),
     "x_join_inner": ("orders.supplierNations", {"balance": 1000}, "SELECT s_suppkey, n_name FROM supplier, nation WHERE s_nationkey = n_nationkey AND s_acctbal > 1000"),
     "x_join_left": ("orders.customerOrderCounts", {"floor": 250000.0}, "SELECT c_custkey, (SELECT COUNT(*) FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000) AS n_orders FROM customer"),
     "x_join_right": ("orders.regionNations", {"limit": 4}, "SELECT r_name, n_name FROM region LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 4) ON n_regionkey = r_regionkey"),

@@ -10,7 +10,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mapperlake.operators import assemble, catalog, resolve
+from mapperlake.functions.sqltokens import tokenize
+from mapperlake.operators import assemble, catalog, facts, resolve
 from mapperlake.operators.runtime import render
 from mapperlake.sources import projects
 
@@ -84,6 +85,14 @@ class Project:
     def rendered(self) -> DataFrame:
         return assemble.rendered(self.owners, self.include_tree).persist()
 
+    @cached_property
+    def analysed(self) -> DataFrame:
+        """Facts of every statement; see facts.SHAPES."""
+        return facts.analysed(self.rendered).persist()
+
+    def facts(self, name: str) -> DataFrame:
+        return facts.table(self.analysed, name)
+
     @cached_property
     def dependency_edges(self) -> DataFrame:
         """src, dst, kind: includes, missing includes, result maps, parameter maps, extends."""
@@ -102,6 +111,7 @@ class Project:
             resolve.include_problems(tree, names).select(shape),
             resolve.map_problems(self.map_references, resolve.extends_chains(self.map_references)).select(shape),
             assemble.raw_substitutions(self.rendered).select(shape),
+            facts.parse_problems(self.analysed).join(self.rendered.select("statement", "source_file", "line"), "statement").select(shape),
         ]
         out = parts[0]
         for p in parts[1:]:
@@ -128,7 +138,16 @@ class Project:
 def run_sql(spark: SparkSession, sql: str, args: list, tables: dict[str, DataFrame] | None = None) -> DataFrame:
     """A rendered statement on Spark's tables, after the rewrites that Spark's grammar needs."""
     sql, args = for_spark(sql, args)
-    return spark.sql(sql, args=args, **(tables or {}))
+    return spark.sql(named(sql), args={f"p{k}": v for k, v in enumerate(args)}, **(tables or {}))
+
+
+def named(sql: str) -> str:
+    """? as :p0, :p1, ... in order, so that no operator binds its arguments before another's."""
+    out, n = [], 0
+    for t in tokenize(sql):
+        out.append(f":p{n}" if t.text == "?" else t.text)
+        n += t.text == "?"
+    return "".join(out)
 
 
 def for_spark(sql: str, args: list) -> tuple[str, list]:
