@@ -16,8 +16,6 @@ within EDITS edits of it. Lines of fewer than SHORT characters are left alone.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,20 +24,22 @@ from .common import BROADCAST_ROWS, partitions, stage, texts_of
 from .tokens import slices
 
 EDITS, LEAST, SHORT = 2, 24, 10
-HOT, LOCAL, BLOCK, ROWS, PAIRS = 1 << 16, 8, 4096, 100_000, 1_000_000
-_DIGITS = str.maketrans("123456789", "000000000")
+HOT, LOCAL, BLOCK, ROWS, PAIRS = 1 << 16, 8, 4096, 100_000, 200_000
+#: A-Z lowered and digits as 0, byte by byte.
+_PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", b"abcdefghijklmnopqrstuvwxyz000000000")
 _BASE = 0x9E3779B97F4A7C15
-_BLANKS = " \t\n\v\f\r"
 _powers: dict[int, np.ndarray] = {}
 
 
-def normalise(line: str) -> str:
-    raw = line.encode("utf-8", "surrogatepass")
-    return b" ".join(raw.split()).lower().decode("utf-8", "surrogatepass").translate(_DIGITS) if line.isascii() or raw.strip() else ""
+def normalise(line: str) -> bytes:
+    return b" ".join(line.encode("utf-8", "surrogatepass").translate(_PLAIN).split())
+
 
+def line_hash(line: bytes) -> int:
+    import xxhash
 
-def line_hash(line: str) -> int:
-    return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    h = xxhash.xxh3_64_intdigest(line)
+    return h - (h >> 63 << 64)
 
 
 def probes() -> list[tuple[int, int, int]]:
@@ -70,16 +70,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def keys(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(a row of EDITS + 1 segment keys and len(PROBES) probe keys for each line, 0 where there is none; parity bits)."""
-    n = np.array([len(x) for x in lines], np.int64)
-    code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    code = np.frombuffer(b"\n".join(lines).decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    breaks = np.flatnonzero(code == 10)
+    n = np.diff(np.r_[-1, breaks, len(code)]) - 1 if lines else np.empty(0, np.int64)
     value = _mix(code + np.uint64(1))
     sums = np.zeros(len(code) + 1, np.uint64)
     np.cumsum(value * _power(len(code), _BASE)[: len(code)], out=sums[1:])
     down = _power(len(code), pow(_BASE, -1, 1 << 64))
-    start = np.cumsum(n) - n
-    parity = np.bitwise_xor.reduceat(np.uint64(1) << (value >> np.uint64(58)), start) if len(lines) else np.empty(0, np.uint64)
+    start = np.r_[0, breaks + 1]
+    flag = np.where(code == 10, np.uint64(0), np.uint64(1) << (value >> np.uint64(58)))
+    parity = np.bitwise_xor.reduceat(flag, start) if lines else np.empty(0, np.uint64)
 
     def key(length: np.ndarray, segment: int, shift: int) -> np.ndarray:
         size = (length + segment) // (EDITS + 1)
@@ -134,9 +136,10 @@ def _docs(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
-def _lines(text: str) -> list[tuple[int, str]]:
+def _lines(text: str) -> list[tuple[int, bytes]]:
     """Place and normalised text of the lines that can be duplicates."""
-    return [(k, x) for k, raw in enumerate(text.split("\n")) if len(raw) >= SHORT and len(x := normalise(raw)) >= SHORT]
+    raw = text.encode("utf-8", "surrogatepass").translate(_PLAIN).split(b"\n")
+    return [(k, x) for k, line in enumerate(raw) if len(line) >= SHORT and len(x := b" ".join(line.split())) >= SHORT]
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -145,31 +148,47 @@ def lines_of(docs: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        names = ["kind", "doc_id", "places", "lines", "line", "keys", "parity", "hot", "hot_n"]
+
+        def lists(values, n, kind):
+            return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(values, kind))
+
         for batch in batches:
             texts, ids = texts_of(batch), batch.column("doc_id").to_pylist()
-            for a, b in slices(texts, 1_000_000):
-                first: dict[str, tuple] = {}
-                hashes: dict[str, int] = {}
-                rows = []
+            for a, b in slices(texts, 2_000_000):
+                first: dict[bytes, tuple] = {}
+                number: dict[bytes, int] = {}
+                n_lines, places, which = [], [], []
                 for doc, t in zip(ids[a:b], texts[a:b], strict=True):
                     found = _lines(t)
+                    n_lines.append(len(found))
                     for k, x in found:
-                        if x not in hashes:
-                            hashes[x] = line_hash(x)
-                        at = (doc is not None, doc if doc is not None else 0, k)
-                        if x not in first or at < first[x]:
+                        i = number.get(x)
+                        if i is None:
+                            i = number[x] = len(number)
+                            first[x] = (doc is not None, doc if doc is not None else 0, k)
+                        elif (at := (doc is not None, doc if doc is not None else 0, k)) < first[x]:
                             first[x] = at
-                    rows.append(("doc", doc, [k for k, _ in found], [hashes[x] for _, x in found], None, None, None, None, None))
-                lines = list(first)
+                        places.append(k)
+                        which.append(i)
+                lines = list(number)
+                hashes = np.array([line_hash(x) for x in lines], np.int64)
+                none = lambda n, kind: pa.nulls(n, kind)
+                ints, shorts = pa.list_(pa.int64()), pa.list_(pa.int32())
+                columns = [pa.array(["doc"] * (b - a)), pa.array(ids[a:b], pa.int64()), lists(places, n_lines, pa.int32()), lists(hashes[which] if which else [], n_lines, pa.int64()), none(b - a, pa.int64()), none(b - a, ints), none(b - a, pa.int64()), none(b - a, ints), none(b - a, ints)]
+                yield pa.RecordBatch.from_arrays(columns, names)
+                if not lines:
+                    continue
                 signed, parity = keys(lines)
                 held, n = np.unique(signed[signed != 0], return_counts=True)
-                many = n >= LOCAL
-                signed, parity = signed.view(np.int64), parity.view(np.int64)
-                for i, x in enumerate(lines):
-                    hot = ([], []) if i else (held[many].view(np.int64).tolist(), n[many].tolist())
-                    rows.append(("line", first[x][1] if first[x][0] else None, [first[x][2]], None, hashes[x], signed[i].tolist() if len(x) >= LEAST else [], int(parity[i]), *hot))
-                types = [pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["kind", "doc_id", "places", "lines", "line", "keys", "parity", "hot", "hot_n"])
+                many, m = n >= LOCAL, len(lines)
+                counts = np.r_[int(many.sum()), np.zeros(m - 1, np.int64)]
+                at = [first[x] for x in lines]
+                columns = [
+                    pa.array(["line"] * m), pa.array([d if there else None for there, d, _ in at], pa.int64()), lists([k for _, _, k in at], np.ones(m, np.int64), pa.int32()), none(m, ints), pa.array(hashes),
+                    lists(signed.view(np.int64).ravel(), np.full(m, signed.shape[1]), pa.int64()), pa.array(parity.view(np.int64)), lists(held[many].view(np.int64), counts, pa.int64()), lists(n[many], counts, pa.int64()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return _docs(docs).mapInArrow(run, "kind string, doc_id long, places array<int>, lines array<long>, line long, keys array<long>, parity long, hot array<long>, hot_n array<long>")
 
@@ -266,10 +285,12 @@ def candidates(met: DataFrame, done: DataFrame | None = None) -> DataFrame:
     return dealt.mapInArrow(run, "earlier long, later long").distinct()
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The staged pairs within EDITS edits, on whole lines read again from the texts."""
-    wanted = stage(pairs.select(F.explode(F.array("earlier", "later")).alias("wanted")).distinct(), "wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+def verified(docs: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The staged pairs within EDITS edits, on whole lines read again from the documents that have them first."""
+    wanted = stage(pairs.select(F.explode(F.array("earlier", "later")).alias("line")).distinct().join(distinct.select("line", F.col("first.doc").alias("doc")), "line"), "wanted")
+    small = wanted.count() <= BROADCAST_ROWS
+    homes = wanted.select("doc").distinct()
+    lines = wanted.select(F.col("line").alias("wanted"))
 
     def read(batches):
         import pyarrow as pa
@@ -277,8 +298,8 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
         for batch in batches:
             texts = texts_of(batch)
             for a, b in slices(texts, 1_000_000):
-                own = list({x for t in texts[a:b] for _, x in _lines(t) if len(x) >= LEAST})
-                yield pa.RecordBatch.from_arrays([pa.array([line_hash(x) for x in own], pa.int64()), pa.array([x.encode("utf-8", "surrogatepass") for x in own], pa.binary())], ["line", "body"])
+                own = list({x for t in texts[a:b] for _, x in _lines(t)})
+                yield pa.RecordBatch.from_arrays([pa.array([line_hash(x) for x in own], pa.int64()), pa.array(own, pa.binary())], ["line", "body"])
 
     def compare(batches):
         import pyarrow as pa
@@ -287,8 +308,10 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             near = [within(x.decode("utf-8", "surrogatepass"), y.decode("utf-8", "surrogatepass")) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("earlier"), batch.column("later")], ["earlier", "later"]).filter(pa.array(near, pa.bool_()))
 
-    bodies = _docs(docs).mapInArrow(read, "line long, body binary")
-    bodies = stage(bodies.join(wanted, bodies["line"] == wanted["wanted"], "left_semi").dropDuplicates(["line"]), "bodies")
+    rows = _docs(docs)
+    there = rows.join(F.broadcast(homes) if small else homes, rows["doc_id"].eqNullSafe(homes["doc"]), "left_semi")
+    bodies = there.mapInArrow(read, "line long, body binary")
+    bodies = stage(bodies.join(F.broadcast(lines) if small else lines, F.col("line") == F.col("wanted"), "left_semi").dropDuplicates(["line"]), "bodies")
     x = bodies.select(F.col("line").alias("earlier"), F.col("body").alias("x"))
     y = bodies.select(F.col("line").alias("later"), F.col("body").alias("y"))
     return pairs.join(x, "earlier").join(y, "later").select("earlier", "later", "x", "y").mapInArrow(compare, "earlier long, later long")
@@ -303,9 +326,9 @@ def removals(docs: DataFrame) -> DataFrame:
     distinct = stage(lines.groupBy("line").agg(first, F.first("keys").alias("keys"), F.first("parity").alias("parity")), "distinct")
     met = stage(meetings(distinct, stage(hot, "hot")), "met")
     pairs = stage(candidates(met), "pairs")
-    near = stage(verified(docs, pairs).select(F.col("later").alias("line")).distinct(), "near")
+    near = stage(verified(docs, distinct, pairs).select(F.col("later").alias("line")).distinct(), "near")
     rest = stage(candidates(met, near).join(pairs, ["earlier", "later"], "left_anti"), "pairs")
-    near = near.unionByName(verified(docs, rest).select(F.col("later").alias("line"))).distinct()
+    near = near.unionByName(verified(docs, distinct, rest).select(F.col("later").alias("line"))).distinct()
 
     held = found.where("kind = 'doc'").select("doc_id", F.explode(F.arrays_zip("places", "lines")).alias("x")).select("doc_id", F.col("x.places").alias("place"), F.col("x.lines").alias("line"))
     often = found.where("kind = 'doc'").select(F.explode("lines").alias("line")).groupBy("line").agg(F.count("*").alias("n")).where("n > 1").select("line")
