@@ -55,20 +55,51 @@ def rendered(owned: DataFrame, tree: DataFrame) -> DataFrame:
     parts = reached.join(first, "qid").select("root", F.lit("fragment").alias("part"), F.col("qid").alias("owner"), F.col("nodes").alias("payload"))
     links = tree.select("root", F.lit("target").alias("part"), F.col("src").alias("owner"), F.to_json(F.struct("refid", F.when(F.col("status") != "MISSING", F.col("dst")).alias("target"))).alias("payload")).distinct()
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        fragments = {o: from_rows(_rows(json.loads(p))) for o, p in pdf.loc[pdf["part"] == "fragment", ["owner", "payload"]].itertuples(index=False)}
+    parsed: dict[str, list[dict]] = {}
+
+    def tree_of(payload: str) -> list[dict]:
+        """A fragment's tree; statements of a task share it, and splicing copies what it changes."""
+        if payload not in parsed:
+            if len(parsed) > 2_000:
+                parsed.clear()
+            parsed[payload] = from_rows(_rows(json.loads(payload)))
+        return parsed[payload]
+
+    def build(root: str, rows: list[tuple]) -> dict | None:
+        mine = min(((o, p) for part, o, p in rows if part == "own"), default=None)  # the first registration counts
+        if mine is None:
+            return None
+        fragments = {o: tree_of(p) for part, o, p in rows if part == "fragment"}
         targets = {}
-        for o, p in pdf.loc[pdf["part"] == "target", ["owner", "payload"]].itertuples(index=False):
-            p = json.loads(p)
-            targets[o, p["refid"]] = p.get("target")
-        out = []
-        for _, p in sorted(pdf.loc[pdf["part"] == "own", ["owner", "payload"]].itertuples(index=False))[:1]:  # the first registration counts
-            s, root = json.loads(p), pdf["root"].iloc[0]
-            whole = splice(root, from_rows(_rows(s.get("nodes") or [])), fragments, targets)
-            out.append({"statement": root, **{k: s.get(k) for k in ("source_file", "namespace", "dialect", "type", "line")}, "attrs": s.get("attrs") or {}, "tree": json.dumps(whole), "variants": flatten.variants(whole), "parameters": flatten.parameter_usages(whole), "conditions": flatten.conditions(whole)})
-        return pd.DataFrame(out, columns=["statement", "source_file", "namespace", "dialect", "type", "line", "attrs", "tree", "variants", "parameters", "conditions"])
-
-    return own.unionByName(parts).unionByName(links).groupBy("root").applyInPandas(build, RENDERED)
+        for part, o, p in rows:
+            if part == "target":
+                p = json.loads(p)
+                targets[o, p["refid"]] = p.get("target")
+        s = json.loads(mine[1])
+        whole = splice(root, from_rows(_rows(s.get("nodes") or [])), fragments, targets)
+        return {"statement": root, **{k: s.get(k) for k in ("source_file", "namespace", "dialect", "type", "line")}, "attrs": s.get("attrs") or {}, "tree": json.dumps(whole), "variants": flatten.variants(whole), "parameters": flatten.parameter_usages(whole), "conditions": flatten.conditions(whole)}
+
+    def run(batches):
+        """Rows come sorted by statement; one statement's rows are held at a time."""
+        names = ["statement", "source_file", "namespace", "dialect", "type", "line", "attrs", "tree", "variants", "parameters", "conditions"]
+        done: list[dict] = []
+        at, rows = None, []
+        for pdf in batches:
+            for root, *row in zip(pdf["root"], pdf["part"], pdf["owner"], pdf["payload"], strict=True):
+                if root != at and rows:
+                    done.append(build(at, rows))
+                    rows = []
+                at = root
+                rows.append(tuple(row))
+            if len(done) >= 500:
+                yield pd.DataFrame([d for d in done if d], columns=names)
+                done = []
+        if rows:
+            done.append(build(at, rows))
+        yield pd.DataFrame([d for d in done if d], columns=names)
+
+    whole = own.unionByName(parts).unionByName(links)
+    return whole.repartition("root").sortWithinPartitions("root").mapInPandas(run, RENDERED)
 
 
 def _rows(nodes: list[dict]) -> list[dict]:

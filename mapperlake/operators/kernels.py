@@ -50,20 +50,28 @@ def closure(edges: DataFrame, sources: DataFrame, max_depth: int = 64) -> DataFr
     A frontier join a round: only what the last round found is joined on, and what is known is dropped
     before it travels. Rounds end with the longest path. Each round cuts its lineage by checkpoint().
     """
-    spark = edges.sparkSession
-    _checkpoint_dir(spark)
     step = edges.select("src", "dst").distinct()
     frontier = sources.select(F.col("node").alias("source")).distinct().join(step, F.col("source") == F.col("src")).select("source", F.col("dst").alias("target"), F.lit(1).alias("depth")).distinct()
-    known = frontier = frontier.checkpoint()
+    known = frontier = cut(frontier)
     for depth in range(2, max_depth + 1):
         if frontier.isEmpty():
             break
         more = frontier.join(step, frontier["target"] == step["src"]).select("source", F.col("dst").alias("target")).distinct()
-        frontier = more.join(known, ["source", "target"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        frontier = more.join(known, ["source", "target"], "left_anti").withColumn("depth", F.lit(depth))
+        frontier = cut(frontier)
         known = known.unionByName(frontier)
     return known
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df checkpointed in the shared folder; it is kept while that is written, so that it is computed once."""
+    _checkpoint_dir(df.sparkSession)
+    held = df.persist()
+    out = held.checkpoint()
+    held.unpersist()
+    return out
+
+
 def _checkpoint_dir(spark) -> None:
     """The cluster's shared folder holds checkpoints; a folder of this machine only where none is set."""
     sc = spark.sparkContext

@@ -437,9 +437,10 @@ class Renamer:
         """What a query's outputs are called now, where that changed."""
         out: dict[str, str] = {}
         for item in scope.items:
-            last = self.s.p[item[-1]] if item else None
-            if last is None:
+            item = [i for i in item if i < len(self.s.p)]  # a bracket that never closes ends behind the last token
+            if not item:
                 continue
+            last = self.s.p[item[-1]]
             if last.token.text == "*":
                 star = [r for r in scope.refs if len(item) == 1 or (r.alias or r.name).upper() == bare(self.s.p[item[0]].token.text).upper()]
                 for r in star:

@@ -21,6 +21,10 @@ def lookup(refs: DataFrame, all_symbols: DataFrame, registered: DataFrame, kind:
     whole = refs.join(known, F.col("refid") == F.col("__qid"), "left").withColumn("t1", F.col("__qid")).drop("__qid")
     scoped = F.when(F.col("namespace") != "", F.concat_ws(".", "namespace", "refid"))
     spaced = whole.join(known, scoped == F.col("__qid"), "left").withColumn("t2", F.col("__qid")).drop("__qid")
+    how = F.when(F.col("t1").isNotNull(), "QUALIFIED").when(F.col("t2").isNotNull(), "NAMESPACE")
+    spaced = spaced.persist()
+    if spaced.where("t1 IS NULL AND t2 IS NULL").isEmpty():
+        return spaced.select(*refs.columns, F.coalesce("t1", "t2").alias("target"), how.alias("how"), F.lit(0).cast("long").alias("candidates"))
     wanted = kernels.first_wins(all_symbols.where(F.col("kind") == kind), ["qid"], ["source_file", "ord"]).select(F.col("qid").alias("cand"), F.col("local_id").alias("__id"), F.col("source_file").alias("cand_file"), "signature")
     open_refs = spaced.where("t1 IS NULL AND t2 IS NULL").select("key", "refid", "from_file")
     hits = open_refs.join(wanted, F.col("refid") == F.col("__id"))
@@ -33,59 +37,53 @@ def lookup(refs: DataFrame, all_symbols: DataFrame, registered: DataFrame, kind:
         F.when(F.col("n") == 1, "GLOBAL_UNIQUE").when(F.col("n_contents") == 1, "DUPLICATE_SAME").when(F.col("near").isNotNull(), "NEAREST_DUPLICATE").alias("rule3"),
     )
     out = spaced.join(chosen, "key", "left")
-    how = F.when(F.col("t1").isNotNull(), "QUALIFIED").when(F.col("t2").isNotNull(), "NAMESPACE").otherwise(F.col("rule3"))
-    return out.withColumn("target", F.coalesce("t1", "t2", "t3")).withColumn("how", how).withColumn("candidates", F.coalesce("n", F.lit(0))).drop("t1", "t2", "t3", "rule3", "n")
+    return out.withColumn("target", F.coalesce("t1", "t2", "t3")).withColumn("how", how.otherwise(F.col("rule3"))).withColumn("candidates", F.coalesce("n", F.lit(0).cast("long"))).drop("t1", "t2", "t3", "rule3", "n")
 
 
-def include_targets(sites: DataFrame, roots: DataFrame, all_symbols: DataFrame, registered: DataFrame) -> DataFrame:
-    """Where include sites point for each root namespace that can reach them.
+def include_targets(asked: DataFrame, all_symbols: DataFrame, registered: DataFrame) -> DataFrame:
+    """asked (refid, namespace where it is written, source_file, root_ns of the statement), distinct, with target, rule, written, runtime, candidates.
 
-    sites: refid, namespace (where it is written), source_file. roots: root_ns. A bare refid in a fragment is
-    looked up in the statement's namespace by the runtime and in the fragment's own by its author; the result
-    names the target, the rule (also RUNTIME_SHADOWED, AUTHOR_NAMESPACE, MISSING) and both lookups.
+    A bare refid in a fragment is looked up in the statement's namespace by the runtime and in the fragment's own by
+    its author; rules are those of `lookup` and RUNTIME_SHADOWED, AUTHOR_NAMESPACE, MISSING.
     """
-    pairs = sites.select("refid", "namespace", "source_file").distinct()
-    written = lookup(pairs.select(F.sha2(F.concat_ws("\x1f", "refid", "namespace", "source_file"), 256).alias("key"), "refid", "namespace", F.col("source_file").alias("from_file")), all_symbols, registered, FRAGMENT)
+    key = lambda *c: F.sha2(F.concat_ws("\x1f", *c), 256)
+    pairs = asked.select("refid", "namespace", "source_file").distinct()
+    written = lookup(pairs.select(key("refid", "namespace", "source_file").alias("key"), "refid", "namespace", F.col("source_file").alias("from_file")), all_symbols, registered, FRAGMENT)
     written = written.select("refid", "namespace", F.col("from_file").alias("source_file"), F.col("target").alias("written"), F.col("how").alias("written_how"), "candidates")
-    foreign = pairs.where(~F.col("refid").contains(".")).join(roots, F.col("namespace") != F.col("root_ns"))
-    run = lookup(foreign.select(F.sha2(F.concat_ws("\x1f", "refid", "root_ns", "source_file", "namespace"), 256).alias("key"), "refid", F.col("root_ns").alias("namespace"), F.col("source_file").alias("from_file"), F.col("namespace").alias("written_ns")), all_symbols, registered, FRAGMENT)
+    foreign = asked.where(~F.col("refid").contains(".") & (F.col("namespace") != F.col("root_ns")))
+    run = lookup(foreign.select(key("refid", "root_ns", "source_file", "namespace").alias("key"), "refid", F.col("root_ns").alias("namespace"), F.col("source_file").alias("from_file"), F.col("namespace").alias("written_ns")), all_symbols, registered, FRAGMENT)
     run = run.select("refid", F.col("written_ns").alias("namespace"), F.col("from_file").alias("source_file"), F.col("namespace").alias("root_ns"), F.col("target").alias("runtime"), F.col("how").alias("runtime_how"))
-    own = written.select("refid", "namespace", "source_file", F.col("namespace").alias("root_ns"), F.lit(None).cast("string").alias("runtime"), F.lit(None).cast("string").alias("runtime_how"), F.lit(True).alias("own"))
-    dotted = pairs.where(F.col("refid").contains(".")).join(roots, F.col("namespace") != F.col("root_ns")).select("refid", "namespace", "source_file", "root_ns", F.lit(None).cast("string").alias("runtime"), F.lit(None).cast("string").alias("runtime_how"), F.lit(True).alias("own"))
-    every = own.unionByName(dotted).unionByName(run.withColumn("own", F.lit(False)))
-    both = every.join(written, ["refid", "namespace", "source_file"])
+    both = asked.join(written, ["refid", "namespace", "source_file"]).join(run, ["refid", "namespace", "source_file", "root_ns"], "left")
+    own = F.col("refid").contains(".") | (F.col("namespace") == F.col("root_ns"))
     w, r = F.col("written"), F.col("runtime")
     author = w == F.concat_ws(".", "namespace", "refid")
     rule = (
-        F.when(F.col("own"), F.coalesce("written_how", F.lit("MISSING")))
+        F.when(own, F.coalesce("written_how", F.lit("MISSING")))
         .when(r.isNotNull() & w.isNotNull() & (r != w), "RUNTIME_SHADOWED")
         .when(r.isNull() & w.isNotNull(), F.when(author, "AUTHOR_NAMESPACE").otherwise(F.col("written_how")))
         .when(r.isNotNull() & w.isNull(), F.col("runtime_how"))
         .otherwise(F.coalesce("written_how", F.lit("MISSING")))
     )
-    target = F.when(F.col("own"), w).otherwise(F.coalesce(r, w))
-    return both.select("refid", "namespace", "source_file", "root_ns", target.alias("target"), rule.alias("rule"), "written", "runtime", "candidates")
+    return both.select("refid", "namespace", "source_file", "root_ns", F.when(own, w).otherwise(F.coalesce(r, w)).alias("target"), rule.alias("rule"), "written", "runtime", "candidates")
 
 
-def include_edges(sites: DataFrame, targets: DataFrame, owners: DataFrame) -> DataFrame:
-    """root_ns, src, dst, kind (INCLUDE or INCLUDE_MISSING), refid, rule: what each owner includes, by the root namespace that resolves it."""
-    hit = sites.join(targets, ["refid", "namespace", "source_file"])
-    return hit.select("root_ns", F.col("owner_id").alias("src"), F.coalesce("target", "refid").alias("dst"), F.when(F.col("target").isNull(), "INCLUDE_MISSING").otherwise("INCLUDE").alias("kind"), "refid", "rule", "node_id", F.col("source_file").alias("from_file"), "source_line", "owner_kind", "namespace")
+def expand(roots: DataFrame, sites: DataFrame, all_symbols: DataFrame, registered: DataFrame, max_depth: int = 64) -> DataFrame:
+    """The include tree of every root: root, root_ns, path (ids from the root), src, dst, refid, rule, status RESOLVED, MISSING or CIRCULAR.
 
-
-def expand(roots: DataFrame, edges: DataFrame, max_depth: int = 64) -> DataFrame:
-    """The include tree of every root: root, root_ns, path (ids from the root), dst, refid, rule, status RESOLVED, MISSING or CIRCULAR.
-
-    roots: root, root_ns. One join a round; a branch ends where its target is missing or on its own path.
+    roots: root, root_ns. A round joins the frontier to the sites below it and resolves what is asked there for the
+    first time, each (refid, place, root namespace) once; a branch ends where its target is missing or on its
+    own path. Nothing is resolved for namespaces that don't reach it.
     """
-    kernels._checkpoint_dir(roots.sparkSession)
-    step = edges.select(F.col("root_ns").alias("__ns"), "src", "dst", "refid", "rule", "kind", "node_id", "source_line", "from_file", F.col("namespace").alias("written_ns"))
+    below = sites.select("owner_id", "refid", "namespace", "source_file", "node_id", "source_line")
     frontier = roots.select("root", "root_ns", F.array("root").alias("path"), F.col("root").alias("at"))
     out = None
     for _ in range(max_depth):
-        more = frontier.join(step, (frontier["root_ns"] == step["__ns"]) & (frontier["at"] == step["src"]))
-        status = F.when(F.col("kind") == "INCLUDE_MISSING", "MISSING").when(F.array_contains("path", F.col("dst")), "CIRCULAR").otherwise("RESOLVED")
-        more = more.select("root", "root_ns", "path", "src", "dst", "node_id", "refid", "rule", "source_line", "from_file", "written_ns", status.alias("status")).checkpoint()
+        hits = frontier.join(below, F.col("at") == F.col("owner_id")).drop("owner_id")
+        asked = hits.select("refid", "namespace", "source_file", "root_ns").distinct()
+        more = hits.join(include_targets(asked, all_symbols, registered), ["refid", "namespace", "source_file", "root_ns"])
+        status = F.when(F.col("target").isNull(), "MISSING").when(F.array_contains("path", F.col("target")), "CIRCULAR").otherwise("RESOLVED")
+        more = more.select("root", "root_ns", "path", F.col("at").alias("src"), F.coalesce("target", "refid").alias("dst"), "node_id", "refid", "rule", "source_line", F.col("source_file").alias("from_file"), F.col("namespace").alias("written_ns"), status.alias("status"))
+        more = kernels.cut(more)
         out = more if out is None else out.unionByName(more)
         frontier = more.where("status = 'RESOLVED'").select("root", "root_ns", F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("at"))
         if frontier.isEmpty():
@@ -93,6 +91,15 @@ def expand(roots: DataFrame, edges: DataFrame, max_depth: int = 64) -> DataFrame
     return out
 
 
+def include_edges(tree: DataFrame, sites: DataFrame, all_symbols: DataFrame, registered: DataFrame) -> DataFrame:
+    """src, dst, kind (INCLUDE or INCLUDE_MISSING), refid, rule, root_ns, from_file, source_line: what each owner includes, as the statements that reach it resolve it; in fragments that none reaches, as their own namespace does."""
+    reached = tree.select("root_ns", "src", "dst", F.when(F.col("status") == "MISSING", "INCLUDE_MISSING").otherwise("INCLUDE").alias("kind"), "refid", "rule", "node_id", "from_file", "source_line").distinct()
+    alone = sites.join(tree.select(F.col("src").alias("owner_id")).distinct(), "owner_id", "left_anti").withColumn("root_ns", F.col("namespace"))
+    found = include_targets(alone.select("refid", "namespace", "source_file", "root_ns").distinct(), all_symbols, registered)
+    rest = alone.join(found, ["refid", "namespace", "source_file", "root_ns"]).select("root_ns", F.col("owner_id").alias("src"), F.coalesce("target", "refid").alias("dst"), F.when(F.col("target").isNull(), "INCLUDE_MISSING").otherwise("INCLUDE").alias("kind"), "refid", "rule", "node_id", F.col("source_file").alias("from_file"), "source_line")
+    return reached.unionByName(rest)
+
+
 def include_problems(tree: DataFrame, misses: DataFrame) -> DataFrame:
     """Problems of includes, each told once: MISSING_REFERENCE (with hints), CIRCULAR_REFERENCE, REFID_DUPLICATE_SAME, REFID_NEAREST_DUPLICATE, MYBATIS_BARE_REFID, NESTED_REFID_SHADOWED, NESTED_REFID_NAMESPACE."""
     hints = kernels.near_misses(tree.where("status = 'MISSING'").select(F.col("refid").alias("ref")).distinct(), misses)

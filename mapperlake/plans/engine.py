@@ -66,16 +66,17 @@ class Project:
         return catalog.registered(self.symbols)
 
     @cached_property
-    def edges(self) -> DataFrame:
-        sites = catalog.includes(self.owners)
-        roots = self.owners.where("kind = 'STATEMENT'").select(F.col("namespace").alias("root_ns")).distinct()
-        targets = resolve.include_targets(sites, roots, self.symbols, self.registered)
-        return resolve.include_edges(sites, targets, self.owners).persist()
+    def _sites(self) -> DataFrame:
+        return catalog.includes(self.owners)
 
     @cached_property
     def include_tree(self) -> DataFrame:
         roots = self.owners.where("kind = 'STATEMENT'").select(F.col("qid").alias("root"), F.col("namespace").alias("root_ns")).distinct()
-        return resolve.expand(roots, self.edges)
+        return resolve.expand(roots, self._sites, self.symbols, self.registered)
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return resolve.include_edges(self.include_tree, self._sites, self.symbols, self.registered).persist()
 
     @cached_property
     def map_references(self) -> DataFrame:

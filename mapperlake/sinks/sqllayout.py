@@ -19,7 +19,9 @@ def layout(text: str, pad: str) -> str:
         line += n
     lines = text.split("\n")
     free = [x for k, x in enumerate(lines) if k not in frozen and x.strip()]
-    common = min((len(x) - len(x.lstrip()) for x in free[1:] or free), default=0)
+    if lines[0].strip() and len(free) > 1:
+        free = free[1:]  # what stands behind a tag has lost its indentation
+    common = min((len(x) - len(x.lstrip()) for x in free), default=0)
     out = []
     for k, x in enumerate(lines):
         if k in frozen:
@@ -27,8 +29,9 @@ def layout(text: str, pad: str) -> str:
         elif not x.strip():
             out.append("")
         else:
-            cut = min(common, len(x) - len(x.lstrip())) if k else len(x) - len(x.lstrip())
-            out.append(pad + x[cut:].rstrip() if k + 1 not in frozen else pad + x[cut:])
+            own = len(x) - len(x.lstrip())
+            cut = min(common, own) if k else own
+            out.append(pad + (x[cut:] if k + 1 in frozen else x[cut:].rstrip()))
     return "\n".join(out).strip("\n")
 
 

@@ -19,7 +19,7 @@ def db():
 
 def rows(table, columns):
     def one(v):
-        return None if v is None or v != v else round(v, 6) if isinstance(v, float) else v
+        return None if v is None or v != v else f"{v:.7g}" if isinstance(v, float) else v
 
     return sorted(map(repr, (tuple(one(v) for v in r) for r in zip(*(table[c] for c in columns), strict=True))))
 
@@ -31,5 +31,5 @@ def test_query(spark, db, name):
     columns = sorted(got)
     assert columns == sorted(want)
     assert rows(got, columns) == rows(want, columns)
-    if name not in ("k_search_owner", "x_join_theta"):
+    if name not in ("k_search_owner", "x_join_theta", "x_intersect", "x_semi_in"):
         assert got[columns[0]], "an empty result shows nothing"

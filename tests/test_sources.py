@@ -63,7 +63,7 @@ def test_folder_scan(spark, tmp_path):
 
 def test_salvage_and_discovery(spark):
     text = "<!-- <sql id='no'/> -->\n<sqlMap namespace='n'>\n<sql id='f'>\n<select id='s'"
-    assert projects.salvage(text) == [{"kind": "NAMESPACE", "id": "n", "line": 2}, {"kind": "SQL_FRAGMENT", "id": "f", "line": 3}]
+    assert projects.salvage(text) == [{"kind": "NAMESPACE", "id": "n", "line": 2}, {"kind": "SQL_FRAGMENT", "id": "f", "line": 3}, {"kind": "STATEMENT", "id": "s", "line": 4}]
     outside = projects.upload(spark, {"o/Common.xml": "<sqlMap namespace='common'><sql id='page'><include refid='base.one'/></sql></sqlMap>", "o/Base.xml": "<sqlMap namespace='base'><sql id='one'>1</sql></sqlMap>", "o/Other.xml": "<sqlMap namespace='other'><sql id='zzz'>1</sql></sqlMap>"})
     missing = spark.createDataFrame([("common", "page")], "namespace string, id string")
     assert {r["source_file"] for r in projects.discover_references(missing, outside).collect()} == {"o/Common.xml", "o/Base.xml"}
