@@ -6,10 +6,11 @@
    results: two sets with Jaccard of 0.8 or more share one of the first n - ceil(0.8 n) + 1 shingles of each.
 3. Documents that share such a shingle form its tile. A tile is ordered by set size, and a document meets only
    those of its size band (up to 1.25 times its size). Tiles of hot shingles with many documents are dealt out
-   by size band and pairs of blocks. Within a tile, 1024-bit signatures bound the overlap: of A's n elements,
-   those that set a bit that B lacks can't be shared.
-4. Pairs within the bound are intersected exactly, as sorted arrays. First each document is checked against a few
-   neighbours of its tiles; the links give components; then every remaining pair of a tile whose components
+   by size band and pairs of blocks. Within a tile, signatures of hashed bits bound the overlap: of A's n
+   elements, those that set a bit that B lacks can't be shared.
+4. Pairs within the bound face it again with signatures as wide as their sets need, and those left are
+   intersected exactly, as sorted arrays. First each document is checked against a few
+   neighbours of its tiles and the document in the middle of each; the links give components; then every remaining pair of a tile whose components
    differ is checked. Pairs inside a component need no check, so a large group of near copies costs what its links
    cost, not its pairs; and no link between components is lost.
 """
@@ -22,18 +23,25 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, partitions, small, stage, texts_of
+from .common import BROADCAST_ROWS, drop_stage, partitions, release, small, stage, texts_of, trim
 from .components import components
 from .shingles import shingle_sets
 from .tokens import slices
 
+#: Characters of texts that are hashed at once: a step holds some forty bytes for each.
+STEP = 500_000
 #: Shingles ordered last and dealt out on their own, and how often one occurs in a step of a task to be counted.
-HOT, LOCAL = 1 << 16, 8
+HOT, LOCAL = 1 << 16, 3
 #: Documents of a hot shingle's block, and rows of tiles handled at once.
-BLOCK, ROWS = 4096, 100_000
-WORDS64 = 16
+BLOCK, ROWS = 4096, 50_000
+#: A posting's low bits hold the shingle's place (or the last one they can), in lieu of the hash's: documents may meet needlessly, never miss each other.
+_LOW, _PLACES = np.uint64(12), np.uint64(4095)
+#: Bits of the smallest signature; a signature has half as many bits as its set has elements, if that is more.
+BITS = 1024
+#: Documents from which on a tile's middle one is checked against all of its others.
+MIDDLE = 8
 #: Pairs whose bound is computed at once.
-PAIRS = 1_000_000
+PAIRS = 100_000
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -52,7 +60,7 @@ def set_table(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             texts = texts_of(batch)
-            for a, b in slices(texts, 2_000_000):
+            for a, b in slices(texts, STEP):
                 sets = shingle_sets(texts[a:b])
                 keys = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets]
                 own = {k: x for k, x in zip(keys, sets, strict=True) if k}
@@ -67,6 +75,15 @@ def set_table(docs: DataFrame) -> DataFrame:
     return _rows(docs).mapInArrow(run, "doc_id long, n long, set binary, shared array<long>, shared_n array<long>")
 
 
+def signature(x: np.ndarray) -> bytes:
+    """A set's signature. If the set has more elements than the signature bits, only every second hash sets one: fewer bits set tell more apart."""
+    size = max(BITS, 1 << (max(1, len(x) - 1) // 2).bit_length())
+    x = x if len(x) <= size else x[(x >> np.uint64(40)) & np.uint64(1) == 0]
+    bits = np.zeros(size, bool)
+    bits[(x & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
 def signatures(docs: DataFrame, hot: np.ndarray, hot_n: np.ndarray) -> DataFrame:
     """doc_id, n, bits, rare, hot, blocks: a document's signature and its first shingles, hot ones (with the number of their blocks) apart."""
     order = np.argsort(hot)
@@ -77,18 +94,17 @@ def signatures(docs: DataFrame, hot: np.ndarray, hot_n: np.ndarray) -> DataFrame
 
         for batch in batches:
             texts = texts_of(batch)
-            for a, b in slices(texts, 2_000_000):
+            for a, b in slices(texts, STEP):
                 out = []
                 for x in shingle_sets(texts[a:b]):
                     n = len(x)
-                    bits = np.zeros(WORDS64 * 64, bool)
-                    bits[(x % np.uint64(WORDS64 * 64)).astype(np.int64)] = True
                     first = n + 1 - -(-4 * n // 5) if n else 0
                     at = np.minimum(np.searchsorted(hot, x), max(0, len(hot) - 1))
                     is_hot = hot[at] == x if len(hot) else np.zeros(n, bool)
                     rare = x[~is_hot][:first]
+                    rare = rare >> _LOW << _LOW | np.minimum(np.arange(len(rare), dtype=np.uint64), _PLACES)
                     late = np.flatnonzero(is_hot)[: first - len(rare)]
-                    out.append((n, np.packbits(bits, bitorder="little").tobytes(), _signed(rare), _signed(x[late]), blocks_of[at[late]] if len(late) else []))
+                    out.append((n, signature(x), _signed(rare), _signed(x[late]), blocks_of[at[late]] if len(late) else []))
                 types = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *(pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True))], ["doc_id", "n", "bits", "rare", "hot", "blocks"])
 
@@ -96,43 +112,88 @@ def signatures(docs: DataFrame, hot: np.ndarray, hot_n: np.ndarray) -> DataFrame
 
 
 def _shared_only(batches):
-    """Rows of shingles that more than one document of the partition has (each shingle is in one partition)."""
+    """shingle, doc_id, pos of shingles that more than one document of the partition has (each shingle is in one partition)."""
     import pyarrow as pa
 
-    held = [(b.column("shingle").to_numpy(), b.column("doc_id").to_numpy()) for b in batches]
+    held = [(b.column("posting").to_numpy(), b.column("doc_id").to_numpy()) for b in batches]
     if held:
-        s, d = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.argsort(s, kind="stable")
-        s, d = s[order], d[order]
+        v, d = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(v.view(np.uint64), kind="stable")
+        v, d = v[order].view(np.uint64), d[order]
+        s, p = (v >> _LOW).astype(np.int64), (v & _PLACES).astype(np.int32)
         same = s[1:] == s[:-1]
         many = np.r_[False, same] | np.r_[same, False]
-        yield pa.RecordBatch.from_arrays([pa.array(s[many]), pa.array(d[many])], ["shingle", "doc_id"])
+        yield pa.RecordBatch.from_arrays([pa.array(s[many]), pa.array(d[many]), pa.array(p[many])], ["shingle", "doc_id", "pos"])
 
 
 def tiles(signed: DataFrame) -> DataFrame:
-    """shingle, part, doc_id, n, bits: the documents of each tile. Only tiles of several documents, but for hot shingles."""
-    lone = signed.select("doc_id", F.explode("rare").alias("shingle"))
-    shared = lone.repartition(partitions(signed.sparkSession), "shingle").select("shingle", "doc_id").mapInArrow(_shared_only, "shingle long, doc_id long")
-    rare = shared.join(signed.select("doc_id", "n", "bits"), "doc_id").select("shingle", F.lit(0).cast("long").alias("part"), "doc_id", "n", "bits")
-    hot = signed.where(F.size("hot") > 0).select("doc_id", "n", "bits", F.explode(F.arrays_zip("hot", "blocks")).alias("x")).select("doc_id", "n", "bits", F.col("x.hot").alias("shingle"), F.col("x.blocks").alias("blocks"))
+    """shingle, part, doc_id, pos (the shingle's place in the document's order), n, bits: the documents of each tile. Only tiles of several documents, but for hot shingles."""
+    lone = signed.select("doc_id", F.explode("rare").alias("posting"))
+    shared = lone.repartition(partitions(signed.sparkSession), F.shiftrightunsigned("posting", 12)).select("posting", "doc_id").mapInArrow(_shared_only, "shingle long, doc_id long, pos int")
+    rare = shared.join(signed.select("doc_id", "n", "bits"), "doc_id").select("shingle", F.lit(0).cast("long").alias("part"), "doc_id", "pos", "n", "bits")
+    hot = signed.where(F.size("hot") > 0).select("doc_id", "n", "bits", F.size("rare").alias("before"), F.posexplode(F.arrays_zip("hot", "blocks")).alias("at", "x")).select("doc_id", "n", "bits", (F.col("before") + F.col("at")).alias("pos"), F.col("x.hot").alias("shingle"), F.col("x.blocks").alias("blocks"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("long")
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
     pair = lambda x: F.least(x, own) * F.col("blocks") + F.greatest(x, own)
     split = F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.array(pair(x) * 1024 + band + 1, pair(x) * 1024 + band + 2)))
     hot = hot.withColumn("part", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(split)))
-    return rare.unionByName(hot.select("shingle", "part", "doc_id", "n", "bits"))
-
-
-def _bound(n: np.ndarray, bits: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether the signatures let the sets of i and j reach a Jaccard of 0.8: 9 * overlap >= 4 * (n + m)."""
-    a, b = bits[i], bits[j]
-    left = n[i] - np.bitwise_count(a & ~b).sum(1, dtype=np.int64)
-    right = n[j] - np.bitwise_count(b & ~a).sum(1, dtype=np.int64)
-    return 9 * np.minimum(left, right) >= 4 * (n[i] + n[j])
-
-
-def tile_pairs(tile: np.ndarray, doc: np.ndarray, n: np.ndarray, bits: np.ndarray, label: np.ndarray | None, near: int) -> np.ndarray:
-    """Pairs (a, b), a < b, of rows sorted by tile and n that the bounds allow: with labels all of different labels, without each row's with the `near` next ones."""
+    return rare.unionByName(hot.select("shingle", "part", "doc_id", "pos", "n", "bits"))
+
+
+class Signatures:
+    """Signatures of different lengths, and bounds on pairs of them. A longer one is folded to a shorter one's length."""
+
+    def __init__(self, n: np.ndarray, bits: list[bytes]):
+        self.n, self.words = n, np.array([len(b) // 8 for b in bits], np.int64)
+        self.half = n > 64 * self.words
+        self.place, self.table = np.empty(len(n), np.int64), {}
+        for w in np.unique(self.words).tolist():
+            rows = np.flatnonzero(self.words == w)
+            self.place[rows] = np.arange(len(rows))
+            self.table[w] = np.frombuffer(b"".join([bits[k] for k in rows.tolist()]), "<u8").reshape(-1, w)
+
+    def _of(self, rows: np.ndarray, words: int, to: int) -> np.ndarray:
+        x = self.table[words][self.place[rows]]
+        return x if words == to else np.bitwise_or.reduce(x.reshape(len(rows), words // to, to), axis=1)
+
+    def may_link(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the sets of i and j can have a Jaccard of 0.8: 9 * overlap >= 4 * (n + m). An element that sets a bit in one signature isn't shared if the other lacks the bit and would have it."""
+        out = np.empty(len(i), bool)
+        kinds = self.words[i] * 65536 + self.words[j]
+        for kind in np.unique(kinds).tolist():
+            a, b = divmod(kind, 65536)
+            chosen, to = np.flatnonzero(kinds == kind), min(a, b)
+            step = max(1, 1_600_000 // max(a, b))
+            for k in range(0, len(chosen), step):
+                at = chosen[k : k + step]
+                p, q = i[at], j[at]
+                x, y = self._of(p, a, to), self._of(q, b, to)
+                most = np.minimum(self.n[p], self.n[q])
+                left = self.n[p] - np.bitwise_count(x & ~y).sum(1, dtype=np.int64)
+                right = self.n[q] - np.bitwise_count(y & ~x).sum(1, dtype=np.int64)
+                most = np.where(self.half[p] | ~self.half[q], np.minimum(most, left), most)
+                most = np.where(self.half[q] | ~self.half[p], np.minimum(most, right), most)
+                out[at] = 9 * most >= 4 * (self.n[p] + self.n[q])
+        return out
+
+    def middle(self, rows: np.ndarray) -> int:
+        """The row whose signature, folded to the shortest length, is nearest to the majority of all."""
+        to = int(self.words[rows].min())
+        folded = np.concatenate([self._of(rows[self.words[rows] == w], int(w), to) for w in np.unique(self.words[rows])])
+        order = np.concatenate([rows[self.words[rows] == w] for w in np.unique(self.words[rows])])
+        set_bits = np.zeros(to * 64, np.int64)
+        for k in range(0, len(folded), 4096):
+            set_bits += np.unpackbits(folded[k : k + 4096].view(np.uint8).reshape(-1, to * 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        majority = np.packbits(2 * set_bits > len(folded), bitorder="little").view("<u8")
+        return int(order[np.argmin(np.bitwise_count(folded ^ majority).sum(1, dtype=np.int64))])
+
+
+def tile_pairs(tile: np.ndarray, doc: np.ndarray, n: np.ndarray, bits: list[bytes], label: np.ndarray | None, near: int, pos: np.ndarray | None = None) -> np.ndarray:
+    """Pairs (a, b), a < b, of rows sorted by tile and n that the bounds allow: with labels all of different labels; without, each row's with the `near` next ones and with the middle of a large tile.
+
+    With pos, a pair is left to the tile of its first common shingle: what it can share from here on must be enough.
+    """
+    held = Signatures(n, bits)
     edge = np.r_[True, tile[1:] != tile[:-1]]
     number = np.cumsum(edge) - 1
     key = (number << 32) + n
@@ -156,20 +217,32 @@ def tile_pairs(tile: np.ndarray, doc: np.ndarray, n: np.ndarray, bits: np.ndarra
     count = np.maximum(high - low, 0)
     ends = np.cumsum(count)
     out = [np.empty((0, 2), np.int64)]
-    k = 0
-    while k < len(mine):
-        stop = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + PAIRS, "right")))
-        c = count[k:stop]
-        i = np.repeat(mine[k:stop], c)
-        j = np.repeat(low[k:stop], c) + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
+
+    def add(i: np.ndarray, j: np.ndarray) -> None:
         ok = doc[i] != doc[j]
         if label is not None:
             ok &= label[i] != label[j]
+        if pos is not None:
+            ok &= 9 * np.minimum(n[i] - pos[i], n[j] - pos[j]) >= 4 * (n[i] + n[j])
         i, j = i[ok], j[ok]
-        ok = _bound(n, bits, i, j)
+        ok = held.may_link(i, j)
         a, b = doc[i[ok]], doc[j[ok]]
         if len(a):
             out.append(np.unique(np.c_[np.minimum(a, b), np.maximum(a, b)], axis=0))
+
+    if label is None:
+        starts = np.flatnonzero(edge)
+        for start, length in zip(starts.tolist(), np.diff(np.r_[starts, len(tile)]).tolist(), strict=True):
+            if length >= MIDDLE:
+                rows = np.arange(start, start + length)
+                add(rows, np.full(length, held.middle(rows)))
+    k = 0
+    while k < len(mine):
+        stop = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + PAIRS, "right")))
+        c = count[k:stop]
+        i = np.repeat(mine[k:stop], c)
+        j = np.repeat(low[k:stop], c) + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
+        add(i, j)
         k = stop
     found = np.concatenate(out)
     return np.unique(found, axis=0) if len(out) > 2 else found
@@ -184,9 +257,10 @@ def candidates(tiled: DataFrame, labels: DataFrame | None = None, near: int = 2)
 
         def step(part: pa.Table):
             doc, n = part.column("doc_id").to_numpy(), part.column("n").to_numpy()
-            bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), "<u8").reshape(-1, WORDS64)
+            bits = part.column("bits").to_pylist()
             label = part.column("label").to_numpy() if labelled else None
-            found = tile_pairs(number(part), doc, n, bits, label, near)
+            pos = part.column("pos").to_numpy().astype(np.int64) if labelled else None
+            found = tile_pairs(number(part), doc, n, bits, label, near, pos)
             return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
         def number(part: pa.Table) -> np.ndarray:
@@ -204,14 +278,34 @@ def candidates(tiled: DataFrame, labels: DataFrame | None = None, near: int = 2)
                     held = held.slice(cut)
         if held is not None and held.num_rows:
             yield step(held)
+        trim()
 
     rows = tiled.join(labels, tiled["doc_id"] == labels["doc"], "left").withColumn("label", F.coalesce("label", "doc_id")).drop("doc") if labelled else tiled
     dealt = rows.repartition(partitions(tiled.sparkSession), "shingle", "part").sortWithinPartitions("shingle", "part", "n", "doc_id")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _wide(x: np.ndarray) -> bytes:
+    """A signature of at least four bits for each element, so that the bound of large sets is as tight as that of small ones."""
+    size = np.uint64(max(64, 1 << (4 * len(x) - 1).bit_length()))
+    bits = np.zeros(int(size), bool)
+    bits[(x & (size - np.uint64(1))).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _may_link(n: int, a: bytes, m: int, b: bytes) -> bool:
+    """The bound of two wide signatures; the longer one is folded to the length of the other."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    shared = min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+    return 9 * shared >= 4 * (n + m)
+
+
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The staged pairs whose exact Jaccard is 0.8 or more, by intersection of sorted arrays made from the whole texts again."""
+    """The staged pairs whose exact Jaccard is 0.8 or more, staged: what wide signatures leave, by intersection of sorted arrays. Both are made from the whole texts again."""
     involved = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "involved")
     ids = F.broadcast(involved) if involved.count() <= BROADCAST_ROWS else involved
 
@@ -220,8 +314,19 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
         for batch in batches:
             texts = texts_of(batch)
-            for a, b in slices(texts, 2_000_000):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([x.tobytes() for x in shingle_sets(texts[a:b])], pa.binary())], ["doc", "shingles"])
+            for a, b in slices(texts, STEP):
+                found = shingle_sets(texts[a:b])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(a, b - a), pa.array([len(x) for x in found], pa.int64()), pa.array([_wide(x) for x in found], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())],
+                    ["doc", "n", "wide", "shingles"],
+                )
+
+    def bound(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            keep = [_may_link(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("n", "x", "m", "y")), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def intersect(batches):
         import pyarrow as pa
@@ -237,10 +342,14 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     rows = _rows(docs)
-    sets = stage(rows.join(ids, rows["doc_id"] == ids["doc"], "left_semi").dropDuplicates(["doc_id"]).mapInArrow(arrays, "doc long, shingles binary"), "arrays")
-    left = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(intersect, "a long, b long")
+    sets = stage(rows.join(ids, rows["doc_id"] == ids["doc"], "left_semi").dropDuplicates(["doc_id"]).mapInArrow(arrays, "doc long, n long, wide binary, shingles binary"), "arrays")
+    left, right = sets.select(F.col("doc").alias("a"), "n", F.col("wide").alias("x")), sets.select(F.col("doc").alias("b"), F.col("n").alias("m"), F.col("wide").alias("y"))
+    near = stage(pairs.join(left, "a").join(right, "b").select("a", "b", "n", "x", "m", "y").mapInArrow(bound, "a long, b long"), "near")
+    left, right = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y"))
+    found = stage(near.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(intersect, "a long, b long"), "found")
+    drop_stage(sets)
+    release(docs.sparkSession)
+    return found
 
 
 def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -261,16 +370,18 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = _rows(docs).where("doc_id IS NOT NULL AND text IS NOT NULL")
     signed = stage(signatures(rows.join(skip, rows["doc_id"] == skip["doc"], "left_anti"), hot_s, hot_n).where("n > 0"), "signed")
     tiled = stage(tiles(signed), "tiles")
+    drop_stage(signed)
+    release(docs.sparkSession)
 
     first = stage(candidates(tiled), "pairs")
-    links = stage(verified(rows, first), "found")
+    links = verified(rows, first)
     # a doc_id with several sets links their classes
     several = member.groupBy("doc_id").agg(F.min("class").alias("a")).join(member, "doc_id").where("a <> class").select("a", F.col("class").alias("b"))
     several = several.unionByName(member.groupBy("doc_id").agg(F.min("class").alias("b")).where("doc_id <> b").join(copies, F.col("doc_id") == F.col("doc"), "left_anti").select(F.col("doc_id").alias("a"), "b"))
     links = stage(links.unionByName(several), "found")
     label = components(links)
     second = stage(candidates(tiled, label).join(first, ["a", "b"], "left_anti"), "pairs")
-    more = stage(verified(rows, second), "found")
+    more = verified(rows, second)
     all_links = links.unionByName(more)
     final = components(all_links)
     of_class = classes.join(final, classes["class"] == final["doc"], "left").select("set", F.coalesce("label", "class").alias("component_id"))
