@@ -11,19 +11,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mapperlake.llm import jaccard, line_dedup, packing, quality
-from mapperlake.llm.common import documents, stage
+from mapperlake.llm.common import documents, lean, stage
 from mapperlake.session import ship
 
 
+def _ready(spark: SparkSession) -> None:
+    ship(spark)
+    lean(spark)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    ship(spark)
+    _ready(spark)
     return quality.keep(docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Duplicate lines go, n_chars follows; a document of whose lines none is left goes."""
-    ship(spark)
+    _ready(spark)
     names = docs.columns
     cut = line_dedup.dedup(docs).where(~((F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")))
     return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(names)
@@ -31,13 +36,13 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of the smallest doc_id stays."""
-    ship(spark)
+    _ready(spark)
     return jaccard.keep_one(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of each document, with its sequence of at most 4096 tokens and its offset there."""
-    ship(spark)
+    _ready(spark)
     packed = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 

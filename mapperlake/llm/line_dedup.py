@@ -20,11 +20,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, partitions, stage, texts_of
+from .common import BROADCAST_ROWS, partitions, stage, texts_of, trim
 from .tokens import slices
 
+#: Characters of texts that are hashed at once: a step holds some forty bytes for each.
+STEP = 500_000
 EDITS, LEAST, SHORT = 2, 24, 10
-HOT, LOCAL, BLOCK, ROWS, PAIRS = 1 << 16, 8, 4096, 100_000, 200_000
+HOT, LOCAL, BLOCK, ROWS, PAIRS = 1 << 16, 3, 4096, 50_000, 200_000
 #: A-Z lowered and digits as 0, byte by byte.
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", b"abcdefghijklmnopqrstuvwxyz000000000")
 _BASE = 0x9E3779B97F4A7C15
@@ -155,7 +157,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             texts, ids = texts_of(batch), batch.column("doc_id").to_pylist()
-            for a, b in slices(texts, 2_000_000):
+            for a, b in slices(texts, STEP):
                 first: dict[bytes, tuple] = {}
                 number: dict[bytes, int] = {}
                 n_lines, places, which = [], [], []
@@ -279,6 +281,7 @@ def candidates(met: DataFrame, done: DataFrame | None = None) -> DataFrame:
                     held = held.slice(cut)
         if held is not None and held.num_rows:
             yield step(held)
+        trim()
 
     rows = met.join(done.withColumn("done", F.lit(True)), "line", "left").withColumn("done", F.coalesce("done", F.lit(False))) if second else met
     dealt = rows.repartition(partitions(met.sparkSession), "key", "part").sortWithinPartitions("key", "part")
@@ -297,7 +300,7 @@ def verified(docs: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFram
 
         for batch in batches:
             texts = texts_of(batch)
-            for a, b in slices(texts, 1_000_000):
+            for a, b in slices(texts, STEP):
                 own = list({x for t in texts[a:b] for _, x in _lines(t)})
                 yield pa.RecordBatch.from_arrays([pa.array([line_hash(x) for x in own], pa.int64()), pa.array(own, pa.binary())], ["line", "body"])
 
@@ -345,6 +348,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     A null text stays null. Rows that share a doc_id are one document: equal lines at the same place of them aren't
     duplicates of each other. An empty table gives no rows.
     """
+    docs = docs.drop("n_lines", "n_removed")  # columns of these names are replaced
     gone = stage(removals(docs), "removals")
     few = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS // 4 else gone
     key = F.col("doc_id").cast("long")

@@ -11,8 +11,10 @@ import os
 import re
 import struct
 
+from .common import trim
+
 #: Distinct chunks kept per worker; a full store is emptied and filled again, which costs time only.
-STORE = 1_200_000
+STORE = 900_000
 #: One letters-only piece of the vocabulary's own split, before at most one point or comma.
 _WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)").fullmatch
 _encoders: dict[str, "ChunkEncoder"] = {}
@@ -33,6 +35,7 @@ class ChunkEncoder(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        trim()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.merge = self.tokenizer.model.tokenize
@@ -67,7 +70,7 @@ def encoder(path: str) -> ChunkEncoder:
     return _encoders[path]
 
 
-def slices(texts: list[str], most: int = 4_000_000):
+def slices(texts: list[str], most: int = 1_000_000):
     """Index ranges of about `most` characters, at least one text each, to bound a step's memory."""
     start = total = 0
     for k, t in enumerate(texts):
