@@ -454,6 +454,45 @@ def test_lm_probabilities_sum_to_one_and_learn():
     assert all((packed.w[k] == model.w[k]).all() for k in model.w)
 
 
+def test_lm_tree_grows_with_words():
+    assert [lm.n_leaves(x) for x in (0, 1, 4, 5, 1_000, 100_000)] == [1, 1, 1, 2, 256, 32768]
+    share = np.array([40.0, 5, 4])
+    tree = lm.Tree(np.array([3, 1, 7, 2, 2, 9, 1, 5]))
+    model = lm.Model(share / share.sum(), tree=tree)
+    u = np.random.default_rng(2).normal(size=(8, lm.TAIL)).astype("f4")
+    p = np.exp(tree.log_probability(u, np.arange(8)))
+    assert np.allclose(p, tree.mass / tree.mass.sum(), atol=1e-5)  # before training: the share by counts
+    # words of class 0 alone: leaf 1 follows 6, 2 follows 5
+    leaf = np.tile([6, 1, 5, 2], 4000)
+    classes = np.zeros(len(leaf), int)
+    w1, w2 = lm.contexts(classes, np.array([len(leaf)]), len(share))
+    l1, l2 = lm.contexts(leaf, np.array([len(leaf)]), 0)
+    rng, grown, tree_grown = np.random.default_rng(0), {k: np.zeros_like(x) for k, x in model.w.items()}, tree.grown()
+    order = rng.permutation(len(leaf))
+    before = model.log_probability(w1[8:200], w2[8:200], classes[8:200], (l1[8:200], l2[8:200], leaf[8:200])).mean()
+    for _ in range(8):
+        model.train(w1[order], w2[order], classes[order], rng, grown, (l1[order], l2[order], leaf[order]), tree_grown)
+    model.norm = None
+    assert model.log_probability(w1[8:200], w2[8:200], classes[8:200], (l1[8:200], l2[8:200], leaf[8:200])).mean() > before + 1
+    # classes of their own and all leaves sum to one in contexts of rare and of frequent words
+    for x1, x2, a, b in ((0, 0, 6, 2), (0, 1, 5, 0), (2, 0, 0, 3), (1, 2, 0, 0), (3, 3, 0, 0)):
+        full = lambda x, n: np.full(n, x)
+        own = np.exp(model.log_probability(full(x1, 2), full(x2, 2), np.array([1, 2]), (full(a, 2), full(b, 2), full(0, 2))))
+        rest = np.exp(model.log_probability(full(x1, 8), full(x2, 8), full(0, 8), (full(a, 8), full(b, 8), np.arange(8))))
+        assert abs(own.sum() + rest.sum() - 1) < 1e-4
+
+
+def test_lm_rare_words_have_contexts(spark, monkeypatch):
+    monkeypatch.setattr(lm, "CLASSES", 8)
+    r = random.Random(9)
+    pairs = [(f"left{k}", f"right{k}") for k in range(40)]
+    rows = [" ".join(x for _ in range(300) for x in r.choice(pairs)) for _ in range(60)]
+    swapped = " ".join(x for k in range(200) for x in (pairs[k % 40][0], pairs[(k + 7) % 40][1]))
+    in_order = " ".join(x for k in range(200) for x in pairs[k % 40])
+    got = {x["doc_id"]: x for x in lm.score(make(spark, [*rows, in_order, swapped])).collect()}
+    assert abs(got[60]["base_score"] - got[61]["base_score"]) < 10 and got[60]["score"] > got[61]["score"] + 20
+
+
 # 10 -----------------------------------------------------------------------------------------------
 
 
