@@ -1,7 +1,7 @@
 """Merkle fingerprints of documents, by DataFrame functions alone.
 
 Leaves are paragraphs' sentences (a sentence ends with its points and line ends; one of more than LEAF characters
-goes on in further leaves, finer ones in short texts), so an edit changes the leaves that it touches and, at most, the rest of
+goes on in further leaves, by one rule for texts of any length), so an edit changes the leaves that it touches and, at most, the rest of
 its sentence. Leaves form sections: a section ends with a blank line or where a leaf's digest starts with 0
 (about every 16 leaves, wherever they stand), so sections line up again behind an edit. A section's digest is
 the SHA-256 of its leaves' digests, the root's that of its sections' digests. The fingerprint is
@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import partitions
 
-LEAF = 64
-#: Texts of up to SHORT_TEXT characters have leaves of up to SHORT_LEAF characters.
-SHORT_TEXT, SHORT_LEAF = 512, 8
+LEAF = 8
+#: Texts of up to SHORT_TEXT characters have leaves of up to SHORT_LEAF characters: the same, or texts on both sides of it could not be compared.
+SHORT_TEXT, SHORT_LEAF = 512, LEAF
 #: Digits kept of a section's and of a leaf's digest.
 SHORT = 8
 _LEAVES = r"[^\n.!?]{{1,{0}}}[\n.!?]*|[\n.!?]+"
@@ -54,9 +54,7 @@ def fingerprint(text: Column) -> Column:
         return let(sections, lambda s: F.concat_ws(":", F.sha2(F.concat_ws("", s), 256), short(s), F.concat_ws(",", F.transform(sizes, lambda x: x.cast("string"))), short(digest)))
 
     empty = F.concat(F.sha2(F.lit(""), 256), F.lit(":::"))
-    cut = lambda t, most: F.regexp_extract_all(t, F.lit(_LEAVES.format(most)), F.lit(0))
-    leaves = let(F.coalesce(text, F.lit("")), lambda t: F.when(F.char_length(t) <= SHORT_TEXT, cut(t, SHORT_LEAF)).otherwise(cut(t, LEAF)))
-    return let(leaves, of_leaves)
+    return let(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_LEAVES.format(LEAF)), F.lit(0)), of_leaves)
 
 
 def _parts(fingerprint: Column, field: int) -> Column:

@@ -228,6 +228,14 @@ def test_fingerprints(spark, texts):
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
+def test_fingerprints_across_lengths(spark):
+    r = random.Random(12)
+    long = prose(r, 200)[:520]
+    rows = fingerprint.compare_edits(make(spark, [long, prose(r, 40)[:50], long[:511], long[:513]])).orderBy("doc_id").collect()
+    assert rows[0]["near_edited"] > 0.7  # 520 characters, 440 when edited
+    assert rows[2]["near_next"] > 0.9  # 511 and 513
+
+
 def test_differing_leaves(spark):
     a, b = "One. Two. Three. Four." * 40, "One. Two. Three. Four." * 40 + "Five is new. "
     df = spark.createDataFrame([(a, b)], "a string, b string").select(fingerprint.fingerprint(F.col("a")).alias("a"), fingerprint.fingerprint(F.col("b")).alias("b"))
