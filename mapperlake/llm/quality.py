@@ -18,9 +18,30 @@ LIMIT, DEPLETED = 100, 50
 SYMBOLS = "#*$%&|<>"
 _DIGITS = bytes.maketrans(b"123456789", b"000000000")
 
+#: A column of docs with this name has the row's number.
+ROW = "__row"
+
 COUNTED = "row_id long, doc_id long, host string, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>"
 
 
+def normal(line_words: list[bytes]) -> bytes:
+    return b" ".join(line_words).lower().translate(_DIGITS)
+
+
+def signed(b: bytes) -> int:
+    import xxhash
+
+    h = xxhash.xxh3_64_intdigest(b)
+    return h - (h >> 63 << 64)
+
+
+def without(text: str, lines: list[int]) -> str:
+    """The text without the lines whose normalised hashes are given."""
+    gone = set(lines)
+    parts = text.encode("utf-8", "surrogatepass").split(b"\n")
+    return b"\n".join(x for x in parts if not (w := x.split()) or signed(normal(w)) not in gone).decode("utf-8", "surrogatepass")
+
+
 def repeated(words: list[bytes]) -> int:
     """Words in 3-word windows that occur twice or more in the text."""
     windows = list(zip(words, words[1:], words[2:], strict=False))
@@ -45,10 +66,7 @@ def count(docs: DataFrame, host: str = "source") -> DataFrame:
 
     def run(batches):
         import pyarrow as pa
-        import xxhash
 
-        hashed = xxhash.xxh3_64_intdigest
-        signed = lambda b: (h := hashed(b)) - (h >> 63 << 64)
         for batch in batches:
             texts = texts_of(batch)
             for a, b in slices(texts):
@@ -60,7 +78,7 @@ def count(docs: DataFrame, host: str = "source") -> DataFrame:
                     own: dict[bytes, int] = {}
                     for x in lines:
                         w = x.split()
-                        x = b" ".join(w).lower().translate(_DIGITS)
+                        x = normal(w)
                         own[x] = own.get(x, 0) + len(w)
                     blanks = sum(map(t.count, " \t\n\v\f\r"))
                     out.append((signed(raw), len(words), len(t) - blanks, sum(map(t.count, SYMBOLS)), len(lines) - len(set(lines)), repeated(words), [signed(x) for x in own], list(own.values())))
@@ -68,7 +86,8 @@ def count(docs: DataFrame, host: str = "source") -> DataFrame:
                 types = [pa.int64()] * 6 + [pa.list_(pa.int64()), pa.list_(pa.int32())]
                 yield pa.RecordBatch.from_arrays([batch.column(k).slice(a, b - a) for k in ("row_id", "doc_id", "host")] + [pa.array(c, t) for c, t in zip(columns, types, strict=True)], [c.split()[0] for c in COUNTED.split(", ")])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), "text")
+    number = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
+    rows = docs.select(number.alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), "text")
     return rows.mapInArrow(run, COUNTED)
 
 
@@ -79,16 +98,25 @@ def frequent_lines(counted: DataFrame, limit: int = LIMIT) -> DataFrame:
     return once.groupBy("host", "line").agg(F.count("*").alias("n_docs"), F.min("first").alias("first")).where(F.col("n_docs") >= limit)
 
 
+def lines_to_remove(docs: DataFrame, host: str, limit: int) -> tuple[DataFrame, DataFrame]:
+    """The counted rows, and row_id, line, n (its words) of frequent lines in all rows but their first."""
+    counted = stage(count(docs, host), "quality")
+    frequent = stage(frequent_lines(counted, limit), "lines")
+    held = counted.select("row_id", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("row_id", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("n"))
+    return counted, held.join(small(frequent), ["host", "line"]).where(F.col("row_id") != F.col("first.row_id"))
+
+
 def judge(docs: DataFrame, host: str = "source", limit: int = LIMIT, depleted: int = DEPLETED) -> DataFrame:
     """A row per row of docs: doc_id, the counts, removed_words, base_failed, kept.
 
     Null or empty texts fail the base rule; a null host is a host of its own; repeated rows are judged apart
     but count as one text. An empty table gives no rows.
     """
-    counted = stage(count(docs, host), "quality")
-    frequent = stage(frequent_lines(counted, limit), "lines")
-    held = counted.select("row_id", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("row_id", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("n"))
-    removed = held.join(small(frequent), ["host", "line"]).where(F.col("row_id") != F.col("first.row_id")).groupBy("row_id").agg(F.sum("n").alias("removed_words"))
+    return judged_rows(*lines_to_remove(docs, host, limit), depleted)
+
+
+def judged_rows(counted: DataFrame, lines: DataFrame, depleted: int) -> DataFrame:
+    removed = lines.groupBy("row_id").agg(F.sum("n").alias("removed_words"))
     judged = counted.drop("lines", "line_words").join(removed, "row_id", "left").fillna(0, ["removed_words"])
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return judged.withColumn("base_failed", failed).withColumn("kept", ~failed & ~(100 * F.col("removed_words") > depleted * F.col("n_words")))
@@ -100,6 +128,27 @@ def keep(docs: DataFrame, host: str = "source") -> DataFrame:
     return docs.join(small(bad), docs["doc_id"].cast("long").eqNullSafe(F.col("__doc")), "left_anti")
 
 
+def clean(docs: DataFrame, host: str = "source", limit: int = LIMIT, depleted: int = DEPLETED) -> DataFrame:
+    """keep(docs) with texts without their host's frequent lines; only a line's first row (the smallest doc_id, rejected or not) has it still."""
+    rows = stage(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    counted, lines = lines_to_remove(rows, host, limit)
+    gone = stage(lines.groupBy("row_id").agg(F.collect_set("line").alias("__gone")), "gone")
+    bad = stage(judged_rows(counted, lines, depleted).groupBy("doc_id").agg(F.max("kept").alias("any")).where(~F.col("any")).select(F.col("doc_id").alias("__doc")), "rejected")
+    kept = rows.join(small(bad), rows["doc_id"].cast("long").eqNullSafe(F.col("__doc")), "left_anti")
+    kept = kept.join(gone, kept[ROW] == gone["row_id"], "left").select(*docs.columns, "__gone")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts, lines = batch.column("text").to_pylist(), batch.column("__gone").to_pylist()
+            texts = [without(t, x) if t and x else t for t, x in zip(texts, lines, strict=True)]
+            k = batch.schema.get_field_index("text")
+            yield batch.set_column(k, batch.schema.field(k), pa.array(texts, batch.schema.field(k).type)).drop_columns(["__gone"])
+
+    return kept.mapInArrow(run, docs.schema)
+
+
 ORACLE = rf"""
 WITH d AS (
   SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents

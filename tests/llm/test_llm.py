@@ -280,6 +280,19 @@ def test_quality_lines(spark):
     assert quality.judge(empty(spark)).count() == 0
 
 
+def test_quality_removes_lines(spark):
+    import corpus_pipeline as cp
+
+    r = random.Random(3)
+    every = [prose(r, 80) + "\n\nShare  this page 201" + str(k % 10) + "\n" + prose(r, 5) for k in range(104)] + [prose(r, 60) + "\nShare this page 2000", "Share this page 2000\nno", None]
+    hosts = ["a"] * 104 + ["b", "a", "a"]
+    want = {0: every[0], 104: every[104]} | {k: "\n".join(x for x in every[k].split("\n") if not x.startswith("Share")) for k in range(1, 104)}
+    docs = make(spark, every, hosts=hosts)
+    assert {x["doc_id"]: x["text"] for x in quality.clean(docs).collect()} == want
+    got = cp.quality_rules(spark, docs, SF)
+    assert got.columns == docs.columns and {x["doc_id"]: (x["text"], x["n_chars"]) for x in got.collect()} == {k: (t, len(t)) for k, t in want.items()}
+
+
 # 6 ------------------------------------------------------------------------------------------------
 
 
