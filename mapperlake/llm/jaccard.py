@@ -52,6 +52,10 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def _digest(x: np.ndarray) -> bytes:
+    return hashlib.blake2b(x.tobytes(), digest_size=16).digest()
+
+
 def set_table(docs: DataFrame) -> DataFrame:
     """doc_id, n, set (16-byte digest of the shingle set; null if empty), and shingles that several sets of a step share, with their number."""
 
@@ -62,7 +66,7 @@ def set_table(docs: DataFrame) -> DataFrame:
             texts = texts_of(batch)
             for a, b in slices(texts, STEP):
                 sets = shingle_sets(texts[a:b])
-                keys = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets]
+                keys = [_digest(x) if len(x) else None for x in sets]
                 own = {k: x for k, x in zip(keys, sets, strict=True) if k}
                 found, n = np.unique(np.concatenate([*own.values(), np.empty(0, np.uint64)]), return_counts=True)
                 many = n >= LOCAL
@@ -85,7 +89,7 @@ def signature(x: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, hot: np.ndarray, hot_n: np.ndarray) -> DataFrame:
-    """doc_id, n, bits, rare, hot, blocks: a document's signature and its first shingles, hot ones (with the number of their blocks) apart."""
+    """doc_id, n, bits, postings, hot: a document's signature and its first shingles, those whose tile is dealt out in blocks apart, with their place and the number of blocks."""
     order = np.argsort(hot)
     hot, blocks_of = hot[order], np.maximum(1, -(-hot_n[order] // BLOCK))
 
@@ -101,43 +105,102 @@ def signatures(docs: DataFrame, hot: np.ndarray, hot_n: np.ndarray) -> DataFrame
                     first = n + 1 - -(-4 * n // 5) if n else 0
                     at = np.minimum(np.searchsorted(hot, x), max(0, len(hot) - 1))
                     is_hot = hot[at] == x if len(hot) else np.zeros(n, bool)
-                    rare = x[~is_hot][:first]
-                    rare = rare >> _LOW << _LOW | np.minimum(np.arange(len(rare), dtype=np.uint64), _PLACES)
-                    late = np.flatnonzero(is_hot)[: first - len(rare)]
-                    out.append((n, signature(x), _signed(rare), _signed(x[late]), blocks_of[at[late]] if len(late) else []))
+                    chosen = np.r_[np.flatnonzero(~is_hot)[:first], np.flatnonzero(is_hot)][:first]
+                    pos = np.minimum(np.arange(first, dtype=np.uint64), _PLACES)
+                    blocks = np.where(is_hot[chosen], blocks_of[at[chosen]], 1) if len(hot) else np.ones(first, np.int64)
+                    posting = x[chosen] >> _LOW << _LOW | pos
+                    out.append((n, signature(x), _signed(posting[blocks == 1]), _signed(posting[blocks > 1]), blocks[blocks > 1]))
                 types = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *(pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True))], ["doc_id", "n", "bits", "rare", "hot", "blocks"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *(pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True))], ["doc_id", "n", "bits", "postings", "hot", "blocks"])
+
+    return _rows(docs).mapInArrow(run, "doc_id long, n long, bits binary, postings array<long>, hot array<long>, blocks array<long>")
 
-    return _rows(docs).mapInArrow(run, "doc_id long, n long, bits binary, rare array<long>, hot array<long>, blocks array<long>")
 
+def tile_collector(block: int, rows_held: int):
+    """For mapInArrow: shingle, chunk, members, docs, pos: the tiles of postings in order, if they have several documents; each in chunks of `block` documents. members: a digest of the documents of a tile of one chunk."""
+
+    def step(v: np.ndarray, d: np.ndarray, before: int, more: bool):
+        """The tiles of postings v of documents d; the first one has `before` chunks already, the last one goes on if there is `more`."""
+        import pyarrow as pa
+
+        s = v >> _LOW
+        edge = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+        n = np.diff(np.r_[edge, len(s)])
+        tile = np.repeat(np.arange(len(edge)), n)
+        order = np.lexsort((d, tile))
+        d, p = d[order], (v[order] & _PLACES).astype(np.int32)
+        # the starts of chunks: where a tile starts, and every `block` rows from there on
+        within = np.arange(len(s)) - np.repeat(edge, n)
+        start = np.flatnonzero(within % block == 0)
+        length = np.diff(np.r_[start, len(s)])
+        chunk = within[start] // block + np.where(tile[start] == 0, before, 0)
+        lone = (n[tile[start]] <= block) & (chunk == 0)
+        if more:
+            lone[tile[start] == len(edge) - 1] = False
+        keep = np.flatnonzero((length > 1) | (chunk > 0) | ~lone)
+        x = d.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        y = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+        digest = np.stack([np.add.reduceat(x, start), np.add.reduceat(y ^ (y >> np.uint64(31)), start)], 1)
+        row = np.zeros(len(start), bool)
+        row[keep] = True
+        rows = np.repeat(row, length)
+        offsets = pa.array(np.r_[0, np.cumsum(length[keep])].astype(np.int32))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(s[start[keep]].astype(np.int64)), pa.array(chunk[keep].astype(np.int32)),
+                pa.array([digest[k].tobytes() if lone[k] else None for k in keep.tolist()], pa.binary()),
+                pa.ListArray.from_arrays(offsets, pa.array(d[rows])), pa.ListArray.from_arrays(offsets, pa.array(p[rows])),
+            ],
+            ["shingle", "chunk", "members", "docs", "pos"],
+        )
 
-def _shared_only(batches):
-    """shingle, doc_id, pos of shingles that more than one document of the partition has (each shingle is in one partition)."""
-    import pyarrow as pa
+    def run(batches):
+        v, d, before = np.empty(0, np.uint64), np.empty(0, np.int64), 0
+        for batch in batches:
+            v, d = np.r_[v, batch.column("posting").to_numpy().view(np.uint64)], np.r_[d, batch.column("doc_id").to_numpy()]
+            while len(v) >= rows_held:
+                last = int(np.searchsorted(v, v[-1] >> _LOW << _LOW))  # unsigned order: the last tile may go on
+                cut = last or len(v) // block * block
+                yield step(v[:cut], d[:cut], before, not last)
+                before = 0 if last else before + cut // block
+                v, d = v[cut:], d[cut:]
+        if len(v):
+            yield step(v, d, before, False)
+        trim()
 
-    held = [(b.column("posting").to_numpy(), b.column("doc_id").to_numpy()) for b in batches]
-    if held:
-        v, d = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.argsort(v.view(np.uint64), kind="stable")
-        v, d = v[order].view(np.uint64), d[order]
-        s, p = (v >> _LOW).astype(np.int64), (v & _PLACES).astype(np.int32)
-        same = s[1:] == s[:-1]
-        many = np.r_[False, same] | np.r_[same, False]
-        yield pa.RecordBatch.from_arrays([pa.array(s[many]), pa.array(d[many]), pa.array(p[many])], ["shingle", "doc_id", "pos"])
+    return run
 
 
 def tiles(signed: DataFrame) -> DataFrame:
-    """shingle, part, doc_id, pos (the shingle's place in the document's order), n, bits: the documents of each tile. Only tiles of several documents, but for hot shingles."""
-    lone = signed.select("doc_id", F.explode("rare").alias("posting"))
-    shared = lone.repartition(partitions(signed.sparkSession), F.shiftrightunsigned("posting", 12)).select("posting", "doc_id").mapInArrow(_shared_only, "shingle long, doc_id long, pos int")
-    rare = shared.join(signed.select("doc_id", "n", "bits"), "doc_id").select("shingle", F.lit(0).cast("long").alias("part"), "doc_id", "pos", "n", "bits")
-    hot = signed.where(F.size("hot") > 0).select("doc_id", "n", "bits", F.size("rare").alias("before"), F.posexplode(F.arrays_zip("hot", "blocks")).alias("at", "x")).select("doc_id", "n", "bits", (F.col("before") + F.col("at")).alias("pos"), F.col("x.hot").alias("shingle"), F.col("x.blocks").alias("blocks"))
+    """shingle, part, doc_id, pos (the shingle's place in the document's order), n, bits: the documents of each tile.
+
+    Of tiles with the same documents only the first in the order of shingles stays: it is where each pair of them
+    first meets, and near copies share hundreds. Tiles of more than BLOCK documents (those that tasks found frequent
+    before, and any other by its true count) are dealt out by size band and pairs of blocks.
+    """
+    spark = signed.sparkSession
+    # flipped, signed order is the unsigned one
+    flip = F.lit(-(1 << 63)).cast("long")
+    postings = signed.select("doc_id", F.explode("postings").alias("posting"))
+    ordered = postings.repartition(partitions(spark), F.shiftrightunsigned("posting", 12)).sortWithinPartitions(F.col("posting").bitwiseXOR(flip)).select("posting", "doc_id")
+    found = stage(ordered.mapInArrow(tile_collector(BLOCK, ROWS), "shingle long, chunk int, members binary, docs array<long>, pos array<int>"), "found")
+    rep = found.where("members IS NOT NULL").groupBy("members").agg(F.min(F.struct("pos", "docs", "shingle")).alias("x"))
+    pairs_of = lambda c: F.explode(F.arrays_zip(F.col(f"{c}docs").alias("docs"), F.col(f"{c}pos").alias("pos"))).alias("y")
+    about = signed.select("doc_id", "n", "bits")
+    alone = rep.select(F.col("x.shingle").alias("shingle"), pairs_of("x.")).select("shingle", F.lit(0).cast("long").alias("part"), F.col("y.docs").alias("doc_id"), F.col("y.pos").alias("pos")).join(about, "doc_id")
+
+    large = found.where("members IS NULL")
+    blocks = stage(large.groupBy("shingle").agg((F.max("chunk") + 1).cast("long").alias("blocks")), "large")
+    large = large.join(small(blocks), "shingle").select("shingle", F.col("chunk").cast("long").alias("own"), "blocks", pairs_of("")).select("shingle", "own", "blocks", F.col("y.docs").alias("doc_id"), F.col("y.pos").alias("pos")).join(about, "doc_id")
+    hot = signed.where(F.size("hot") > 0).select("doc_id", "n", "bits", F.explode(F.arrays_zip("hot", "blocks")).alias("x"))
+    hot = hot.select(F.shiftrightunsigned("x.hot", 12).alias("shingle"), F.pmod(F.xxhash64("doc_id"), F.col("x.blocks")).alias("own"), F.col("x.blocks").alias("blocks"), "doc_id", F.col("x.hot").bitwiseAND(4095).cast("int").alias("pos"), "n", "bits")
+    dealt = large.select(*hot.columns).unionByName(hot)
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("long")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
-    pair = lambda x: F.least(x, own) * F.col("blocks") + F.greatest(x, own)
+    pair = lambda x: F.least(x, F.col("own")) * F.col("blocks") + F.greatest(x, F.col("own"))
     split = F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.array(pair(x) * 1024 + band + 1, pair(x) * 1024 + band + 2)))
-    hot = hot.withColumn("part", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(split)))
-    return rare.unionByName(hot.select("shingle", "part", "doc_id", "pos", "n", "bits"))
+    dealt = dealt.withColumn("part", F.explode(split))
+    return alone.select("shingle", "part", "doc_id", "pos", "n", "bits").unionByName(dealt.select("shingle", "part", "doc_id", "pos", "n", "bits"))
 
 
 class Signatures:
@@ -317,8 +380,8 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             for a, b in slices(texts, STEP):
                 found = shingle_sets(texts[a:b])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.array([len(x) for x in found], pa.int64()), pa.array([_wide(x) for x in found], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())],
-                    ["doc", "n", "wide", "shingles"],
+                    [batch.column("doc_id").slice(a, b - a), pa.array([len(x) for x in found], pa.int64()), pa.array([_wide(x) for x in found], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary()), pa.array([_digest(x) for x in found], pa.binary())],
+                    ["doc", "n", "wide", "shingles", "set"],
                 )
 
     def bound(batches):
@@ -342,19 +405,23 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     rows = _rows(docs)
-    sets = stage(rows.join(ids, rows["doc_id"] == ids["doc"], "left_semi").dropDuplicates(["doc_id"]).mapInArrow(arrays, "doc long, n long, wide binary, shingles binary"), "arrays")
+    sets = stage(rows.join(ids, rows["doc_id"] == ids["doc"], "left_semi").mapInArrow(arrays, "doc long, n long, wide binary, shingles binary, set binary"), "arrays")
+    if sets.groupBy("doc").agg(F.count("*").alias("k")).where("k > 1").limit(1).count():  # rows share a doc_id: each of its sets may link
+        sets = stage(sets.dropDuplicates(["doc", "set"]), "arrays")
     left, right = sets.select(F.col("doc").alias("a"), "n", F.col("wide").alias("x")), sets.select(F.col("doc").alias("b"), F.col("n").alias("m"), F.col("wide").alias("y"))
-    near = stage(pairs.join(left, "a").join(right, "b").select("a", "b", "n", "x", "m", "y").mapInArrow(bound, "a long, b long"), "near")
+    near = stage(pairs.join(left, "a").join(right, "b").select("a", "b", "n", "x", "m", "y").mapInArrow(bound, "a long, b long").distinct(), "near")
     left, right = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y"))
-    found = stage(near.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(intersect, "a long, b long"), "found")
+    found = stage(near.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(intersect, "a long, b long").distinct(), "found")
     drop_stage(sets)
     release(docs.sparkSession)
     return found
 
 
-def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(a table of doc_id, n_shingles, component_id for every row of docs; the links a, b between class representatives that were needed).
+def join(docs: DataFrame, every_link: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(a table of doc_id, n_shingles, component_id for every row of docs; links a, b between class representatives).
 
+    Links are those that the components needed: a pair whose ends are joined already isn't looked at. With every_link
+    they are all pairs of classes whose Jaccard is 0.8 or more, at the cost of verifying each of a group's pairs.
     Documents without words have no links. Rows that share a doc_id are one document with several sets. Null ids
     stand alone: their component_id is null. Ties go to the smaller doc_id; an empty table gives no rows.
     """
@@ -379,7 +446,10 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     several = member.groupBy("doc_id").agg(F.min("class").alias("a")).join(member, "doc_id").where("a <> class").select("a", F.col("class").alias("b"))
     several = several.unionByName(member.groupBy("doc_id").agg(F.min("class").alias("b")).where("doc_id <> b").join(copies, F.col("doc_id") == F.col("doc"), "left_anti").select(F.col("doc_id").alias("a"), "b"))
     links = stage(links.unionByName(several), "found")
-    label = components(links)
+    if every_link:
+        label = docs.sparkSession.createDataFrame([], "doc long, label long")
+    else:
+        label = components(links)
     second = stage(candidates(tiled, label).join(first, ["a", "b"], "left_anti"), "pairs")
     more = verified(rows, second)
     all_links = links.unionByName(more)

@@ -344,11 +344,39 @@ def test_jaccard(spark, texts, monkeypatch):
     rows = {x["doc_id"]: x for x in jaccard.join(make(spark, every, ids=ids))[0].collect()}
     for k, i in enumerate(ids):
         assert (rows[i]["n_shingles"], rows[i]["component_id"]) == (len(sets[k]), want[k])
+    _, links = jaccard.join(make(spark, every, ids=ids), every_link=True)
+    got = {(min(a, b), max(a, b)) for a, b in ((x["a"], x["b"]) for x in links.collect())}
+    first = {s: i for i, s in reversed(list(zip(ids, sets, strict=True)))}
+    assert got == {(i, j) for s, i in first.items() for t, j in first.items() if i < j and s and t and 100 * len(s & t) >= 80 * len(s | t)}
     kept = jaccard.keep_one(make(spark, every, ids=ids))
     assert sorted(x["doc_id"] for x in kept.collect()) == sorted({w for w in want}) and kept.columns[0] == "doc_id"
     assert jaccard.join(empty(spark))[0].count() == 0
 
 
+def test_jaccard_rows_that_share_an_id(spark):
+    """Each set of a doc_id links; a tile of many documents is dealt out by its own count, and no tile loses a pair."""
+    r = random.Random(18)
+    one, two = prose(r, 200), prose(r, 200)
+    near = lambda t: t + " tail" + str(r.randint(0, 99))
+    got, _ = jaccard.join(make(spark, [one, two, near(one), near(two), prose(r, 50)], ids=[7, 7, 9, 11, 3]))
+    assert sorted((x["doc_id"], x["component_id"]) for x in got.collect()) == [(3, 3), (7, 7), (7, 7), (9, 7), (11, 7)]
+
+
+def test_tiles_in_chunks():
+    import pyarrow as pa
+
+    r = np.random.default_rng(4)
+    sizes = [1, 2, 9, 4, 5, 1, 30, 3]
+    posting = np.concatenate([np.full(n, (k + 1 << 60) + 5, np.uint64) for k, n in enumerate(sizes)])
+    doc = np.concatenate([r.permutation(n) for n in sizes]).astype(np.int64)
+    batches = [pa.RecordBatch.from_arrays([pa.array(posting[k : k + 7].view(np.int64)), pa.array(doc[k : k + 7])], ["posting", "doc_id"]) for k in range(0, len(posting), 7)]
+    got = pa.Table.from_batches(list(jaccard.tile_collector(4, 11)(iter(batches)))).to_pylist()
+    for k, n in enumerate(sizes):
+        own = [x for x in got if x["shingle"] == (k + 1 << 60) >> 12]
+        assert sorted(d for x in own for d in x["docs"]) == (list(range(n)) if n > 1 else [])
+        assert sorted(x["chunk"] for x in own) == list(range(-(-n // 4) if n > 1 else 0)) and all((x["members"] is None) == (n > 4) for x in own)
+
+
 def test_bounds_never_lose():
     r = np.random.default_rng(2)
     for _ in range(200):
