@@ -1,26 +1,24 @@
 """LM scoring with a log-bilinear neural model, trained in numpy by noise-contrastive estimation.
 
-Counts of every training token come first: partial counts by task, then a shuffle by word. The model predicts
-a token's class from the two tokens before it: the CLASSES - 1 most frequent tokens are classes of their own,
-the rest share class 0. Words of class 0 are the leaves of a binary tree that grows with the distinct training
-tokens (a leaf for every PER of them or fewer, found by the word's CRC-32); each inner node has a vector of TAIL numbers
-and a bias, and the context decides at each node of a word's path. Within a leaf, a token's probability is
-(count + 1) / (tokens + distinct + 1 of the leaf). A context's vector is C1 r(w1) + C2 r(w2); a word of class 0 adds
-its leaf's own vector to r(0). A class scores its dot product with the class's vector, plus a
-bias that starts at the log of the class's share. Every partition trains on all its training tokens
-(minibatches, Adagrad, shared noise samples from the unigram distribution; nodes by logistic loss); weights are averaged
-by tokens, those of the tree by the examples that each partition had for a row.
+Counts of every training token come first: partial counts by task, then a shuffle by word. Every word, known or
+not, has a class: the most frequent words are classes of their own, any other word's class is its longest ending
+among the endings (of up to ENDING bytes) that hold most of the remaining tokens, and class 0 without one. The
+number of classes grows with the distinct training tokens (see class_count). The model predicts a token's class
+from the two tokens before it: a context's vector is C1 r(c1) + C2 r(c2), a class scores its dot product with
+the class's vector, plus a bias that starts at the log of the class's share. Within a class a token's probability
+is (count + 1) / (tokens + distinct + 1 of the class), so all words are told apart by their counts.
+Every partition trains on all its training tokens (minibatches, Adagrad, shared noise samples from the unigram
+distribution of classes); the weights are averaged by tokens, block by block.
 In scoring, batched matrix products over all classes give each context's normaliser, so probabilities sum
-to one (over the known tokens and an unseen one for each leaf). The HEAD most frequent tokens' counts are broadcast (a fixed bound); all other tokens of documents
-join the count table by a shuffle.
+to one (over the known tokens and an unseen one for each class). The HEAD most frequent tokens' counts are broadcast
+(a fixed bound); all other tokens of documents join the count table by a shuffle.
 """
 
 from __future__ import annotations
 
 import uuid
-import zlib
 from collections import Counter
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -29,12 +27,14 @@ from pyspark.sql import functions as F
 from .common import stage, texts_of
 from .tokens import slices
 
-CLASSES, DIM, NOISE, BATCH, RATE = 1024, 32, 64, 4096, 0.1
+DIM, NOISE, BATCH, RATE = 32, 64, 4096, 0.1
+#: Classes at least and at most, and bytes of an ending at most.
+FEWEST, MOST, ENDING = 256, 4096, 3
 HEAD = 1 << 19
-#: Words of class 0 for each leaf at most, on average; numbers of a leaf's and of a node's vector; leaves whose rows are averaged together.
-PER, TAIL, BLOCK = 4, 16, 1024
-#: Bytes of the other weights that are averaged together.
-PIECE = 8192
+#: Words whose class a task keeps at hand, and contexts whose normaliser it does (powers of two); both are computed again when they are missing.
+WORDS_HELD, NORMS_HELD = 1 << 18, 1 << 21
+#: Bytes of weights that are averaged together, and partitions whose weights are.
+PIECE, FAN_IN = 8192, 256
 #: Distinct tokens that a task counts before it passes its partial counts on.
 FLUSH = 1_000_000
 #: The end token; no word is empty.
@@ -77,72 +77,49 @@ def token_counts(folded: DataFrame) -> DataFrame:
     return folded.where(~F.col("held_out")).select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def n_leaves(distinct: int) -> int:
-    """Leaves for so many distinct words: a power of two, at least one for each PER words."""
-    return 1 << max(0, -(-distinct // PER) - 1).bit_length()
+def class_count(distinct: int) -> int:
+    """Classes for so many distinct training tokens: about a quarter of their square root, as a power of two within FEWEST and MOST."""
+    return min(MOST, max(FEWEST, 1 << (distinct // 16).bit_length() // 2))
 
 
-def grouped(index: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct numbers of index, the sum of g's rows for each, and how many there are."""
+def grouped(index: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers of index and the sum of g's rows for each."""
     index = index.astype(np.int32)
     order = np.argsort(index, kind="stable")
     index = index[order]
     first = np.flatnonzero(np.r_[True, index[1:] != index[:-1]])
-    return index[first], np.add.reduceat(g[order], first, axis=0), np.diff(np.r_[first, len(index)])
-
-
-class Tree:
-    """The binary tree of class 0: leaf vectors r, node vectors with a bias n (node k has the children 2k and 2k + 1; leaf k is G + k), and the log odds `lean` of the right child by counts."""
-
-    def __init__(self, mass: np.ndarray):
-        self.mass, g = mass, len(mass)
-        self.depth = g.bit_length() - 1
-        sums = np.r_[np.zeros(g), mass.astype("f8")]
-        for level in range(self.depth - 1, -1, -1):
-            k = np.arange(1 << level, 2 << level)
-            sums[k] = sums[2 * k] + sums[2 * k + 1]
-        k = np.arange(1, g)
-        self.lean = np.r_[0.0, np.log(sums[2 * k + 1]) - np.log(sums[2 * k])].astype("f4")
-        self.w = {"r": np.random.default_rng(7).normal(0, 0.25, (g, TAIL)).astype("f4"), "n": np.zeros((g, TAIL + 1), "f4")}
-
-    def path(self, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Nodes from the root to each leaf, and at each of them whether the path goes right."""
-        at = (leaf.astype(np.int64) + len(self.mass))[:, None] >> np.arange(self.depth, -1, -1)
-        return at[:, :-1], (at[:, 1:] & 1).astype(bool)
-
-    def odds(self, u: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        own = self.w["n"][nodes]
-        return own, np.matmul(own[:, :, :TAIL], u[:, :, None])[:, :, 0] + own[:, :, TAIL] + self.lean[nodes]
-
-    def log_probability(self, u: np.ndarray, leaf: np.ndarray) -> np.ndarray:
-        """Natural log of each leaf's probability in its context."""
-        nodes, right = self.path(leaf)
-        s = self.odds(u, nodes)[1]
-        return -np.logaddexp(0, np.where(right, -s, s)).sum(1)
-
-    def step(self, name: str, index: np.ndarray, g: np.ndarray, grown: dict) -> None:
-        """Adagrad with one step size a row; g has sums, not means."""
-        own, total, times = grouped(index, g)
-        sizes, seen = grown[name]
-        sizes[own] += (total * total).mean(1)
-        seen[own] += times
-        self.w[name][own] += RATE * total / np.sqrt(sizes[own] + 0.01)[:, None]
-
-    def grown(self) -> dict:
-        return {k: (np.zeros(len(x), "f4"), np.zeros(len(x), np.int64)) for k, x in self.w.items()}
+    return index[first], np.add.reduceat(g[order], first, axis=0)
+
+
+class ClassOf(dict):
+    """The class of every word: 1 to len(names) of these, the next ones of endings, 0 of the rest."""
+
+    def __init__(self, names: list[bytes], endings: list[bytes]):
+        super().__init__((w, k) for k, w in enumerate(names, 1))
+        self.fixed = len(self)
+        self.endings = {e: k for k, e in enumerate(endings, 1 + len(names))}
+
+    def __missing__(self, word: bytes) -> int:
+        found = 0
+        for n in range(min(ENDING, len(word)), 0, -1):
+            if found := self.endings.get(word[-n:], 0):
+                break
+        if len(self) < self.fixed + WORDS_HELD:
+            self[word] = found
+        return found
 
 
 class Model:
-    """Weights of the log-bilinear model: r (token vectors, the last for what stands before a text), C1, C2, class vectors q, biases b; and the tree of class 0."""
+    """Weights of the log-bilinear model: r (vectors of context classes, the last for what stands before a text), C1, C2, class vectors q, biases b."""
 
-    def __init__(self, share: np.ndarray, seed: int = 5, tree: Tree | None = None):
+    def __init__(self, share: np.ndarray, seed: int = 5):
         rng, n = np.random.default_rng(seed), len(share)
-        self.share, self.tree = share, tree
+        self.share = share
         self.w = {
             "r": rng.normal(0, 0.1, (n + 1, DIM)).astype("f4"), "C1": (np.eye(DIM) / 2).astype("f4"), "C2": (np.eye(DIM) / 2).astype("f4"),
             "q": rng.normal(0, 0.1, (n, DIM)).astype("f4"), "b": np.log(np.maximum(share, 1e-12)).astype("f4"),
         }
-        self.norm: np.ndarray | None = None
+        self.held: tuple[np.ndarray, np.ndarray] | None = None
 
     def pack(self) -> bytes:
         return b"".join(self.w[k].tobytes() for k in sorted(self.w))
@@ -157,16 +134,8 @@ class Model:
     def context(self, w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
         return self.w["r"][w1] @ self.w["C1"] + self.w["r"][w2] @ self.w["C2"]
 
-    def vectors(self, classes: np.ndarray, leaf: np.ndarray | None) -> np.ndarray:
-        """Token vectors; `leaf` has the leaves of words of class 0."""
-        out = self.w["r"][classes]
-        if self.tree and leaf is not None:
-            at = np.flatnonzero(classes == 0)
-            out[at, :TAIL] += self.tree.w["r"][leaf[at]]
-        return out
-
-    def train(self, w1: np.ndarray, w2: np.ndarray, target: np.ndarray, rng, grown: dict, leaves: tuple | None = None, tree_grown: dict | None = None) -> None:
-        """One pass of noise-contrastive estimation over the examples. `leaves` has the leaves of both context tokens and of targets."""
+    def train(self, w1: np.ndarray, w2: np.ndarray, target: np.ndarray, rng, grown: dict) -> None:
+        """One pass of noise-contrastive estimation over the examples."""
         w, cdf = self.w, np.cumsum(self.share)
         log_noise = np.log(NOISE * np.maximum(self.share, 1e-12)).astype("f4")
 
@@ -174,85 +143,68 @@ class Model:
             grown[name] += g * g
             w[name] += RATE * g / np.sqrt(grown[name] + 1e-6)
 
-        def rows(index: np.ndarray, g: np.ndarray, n: int) -> np.ndarray:
-            out = np.zeros((n, g.shape[1]), "f4")
-            own, out_own, _ = grouped(index, g)
-            out[own] = out_own
-            return out
+        def step_rows(name: str, index: np.ndarray, g: np.ndarray) -> None:
+            own, total = grouped(index, g)
+            grown[name][own] += total * total
+            w[name][own] += RATE * total / np.sqrt(grown[name][own] + 1e-6)
 
         for a in range(0, len(target), BATCH):
             x1, x2, t = w1[a : a + BATCH], w2[a : a + BATCH], target[a : a + BATCH]
             noise = np.minimum(np.searchsorted(cdf, rng.random(NOISE) * cdf[-1]), len(cdf) - 1)
-            l1, l2, lt = (x[a : a + BATCH] for x in leaves) if leaves else (None, None, None)
-            r1, r2 = self.vectors(x1, l1), self.vectors(x2, l2)
+            r1, r2 = w["r"][x1], w["r"][x2]
             v = r1 @ w["C1"] + r2 @ w["C2"]
-            s = np.einsum("ij,ij->i", v, w["q"][t]) + w["b"][t] - log_noise[t]
-            sn = v @ w["q"][noise].T + w["b"][noise] - log_noise[noise]
+            qt, qn = w["q"][t], w["q"][noise]
+            s = np.einsum("ij,ij->i", v, qt) + (w["b"] - log_noise)[t]
+            sn = v @ qn.T
+            sn += w["b"][noise] - log_noise[noise]
             up = (1 / (1 + np.exp(np.clip(s, -30, 30)))).astype("f4") / len(t)
-            down = -(1 / (1 + np.exp(-np.clip(sn, -30, 30)))).astype("f4") / len(t)
-            dv = up[:, None] * w["q"][t] + down @ w["q"][noise]
-            dq = rows(t, up[:, None] * v, len(w["q"]))
-            np.add.at(dq, noise, down.T @ v)
+            np.clip(sn, -30, 30, out=sn)
+            np.negative(sn, out=sn)
+            np.exp(sn, out=sn)
+            sn += 1
+            down = np.divide(np.float32(-1 / len(t)), sn, out=sn)
+            dv = up[:, None] * qt + down @ qn
             db = np.bincount(t, up, len(w["b"])).astype("f4")
             np.add.at(db, noise, down.sum(0))
-            if self.tree and leaves and len(rest := np.flatnonzero(t == 0)):
-                u, n = v[rest, :TAIL], len(t)
-                nodes, right = self.tree.path(lt[rest])
-                own, odds = self.tree.odds(u, nodes)
-                err = (right - 1 / (1 + np.exp(-np.clip(odds, -30, 30)))).astype("f4")
-                dv[rest, :TAIL] += np.matmul(err[:, None, :], own[:, :, :TAIL])[:, 0] / n
-                if nodes.size:
-                    u = np.c_[u, np.ones(len(u), "f4")]
-                    self.tree.step("n", nodes.ravel(), (err[:, :, None] * u[:, None, :]).reshape(-1, TAIL + 1), tree_grown)
-            back = np.r_[dv @ w["C1"].T, dv @ w["C2"].T]
-            dr = rows(np.r_[x1, x2], back, len(w["r"]))
-            if self.tree and leaves and len(rest := np.flatnonzero(np.r_[x1, x2] == 0)):
-                self.tree.step("r", np.r_[l1, l2][rest], back[rest, :TAIL] * len(t), tree_grown)
+            back1, back2 = dv @ w["C1"].T, dv @ w["C2"].T
             step("C1", r1.T @ dv)
             step("C2", r2.T @ dv)
-            step("q", dq)
+            step_rows("q", np.r_[t, noise], np.r_[up[:, None] * v, down.T @ v])
             step("b", db)
-            step("r", dr)
+            step_rows("r", np.r_[x1, x2], np.r_[back1, back2])
 
     def normaliser(self, v: np.ndarray) -> np.ndarray:
         out = np.empty(len(v), "f4")
         for a in range(0, len(v), 1024):
-            s = v[a : a + 1024] @ self.w["q"].T + self.w["b"]
+            s = v[a : a + 1024] @ self.w["q"].T
+            s += self.w["b"]
             top = s.max(1, keepdims=True)
             s -= top
             out[a : a + 1024] = np.log(np.exp(s, out=s).sum(1)) + top[:, 0]
         return out
 
-    def log_probability(self, w1: np.ndarray, w2: np.ndarray, target: np.ndarray, leaves: tuple | None = None) -> np.ndarray:
-        """Natural log of each target's probability, normalised over all classes; with `leaves` (of both context tokens and of targets) that of its leaf in class 0, if it is there."""
+    def log_probability(self, w1: np.ndarray, w2: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Natural log of each target's probability, normalised over all classes. Normalisers of contexts are kept in a table of NORMS_HELD places."""
         n = len(self.w["r"])
-        if self.norm is None:
-            self.norm = np.full(n * n, np.nan, "f4")
-        at = w1.astype(np.int64) * n + w2
-        if not (self.tree and leaves):
-            leaves, plain = (None, None, None), np.ones(len(at), bool)
-        else:
-            plain = (w1 != 0) & (w2 != 0)
-        held = at[plain]
-        new = np.unique(held[np.isnan(self.norm[held])])
-        self.norm[new] = self.normaliser(self.context(new // n, new % n))
+        if self.held is None:
+            self.held = np.full(NORMS_HELD, -1, np.int64), np.zeros(NORMS_HELD, "f4")
+        keys, norms = self.held
         out = np.empty(len(target), "f4")
         for a in range(0, len(target), 1 << 16):
             cut = slice(a, a + (1 << 16))
-            l1, l2, lt = (x if x is None else x[cut] for x in leaves)
-            v = self.vectors(w1[cut], l1) @ self.w["C1"] + self.vectors(w2[cut], l2) @ self.w["C2"]
-            x = np.einsum("ij,ij->i", v, self.w["q"][target[cut]]) + self.w["b"][target[cut]]
-            norm, other = self.norm[at[cut]], np.flatnonzero(~plain[cut])
-            if len(other):
-                one, two = (np.where(w[cut] == 0, n + leaf.astype(np.int64), w[cut])[other] for w, leaf in ((w1, l1), (w2, l2)))
-                _, first, turn = np.unique(one * (n + len(self.tree.mass)) + two, return_index=True, return_inverse=True)
-                norm[other] = self.normaliser(v[other[first]])[turn]
-            x -= norm
-            if lt is not None and len(rest := np.flatnonzero(target[cut] == 0)):
-                for b in range(0, len(rest), 8192):
-                    part = rest[b : b + 8192]
-                    x[part] += self.tree.log_probability(v[part, :TAIL], lt[part])
-            out[cut] = x
+            own, turn = np.unique(w1[cut].astype(np.int64) * n + w2[cut], return_inverse=True)
+            at = (own * 0x9E3779B1 >> 7) & NORMS_HELD - 1
+            norm = norms[at]
+            new = np.flatnonzero(keys[at] != own)
+            norm[new] = self.normaliser(self.context(own[new] // n, own[new] % n))
+            keys[at[new]] = -1  # of contexts that share a place, one is kept, with its own value
+            norms[at[new]] = norm[new]
+            keys[at[new]] = own[new]
+            last = norms[at[new]] != norm[new]
+            keys[at[new[last]]] = -1
+            t = target[cut]
+            v = self.context(w1[cut], w2[cut])
+            out[cut] = np.einsum("ij,ij->i", v, self.w["q"][t]) + self.w["b"][t] - norm[turn]
         return out
 
 
@@ -267,87 +219,79 @@ def contexts(classes: np.ndarray, lengths: np.ndarray, before: int) -> tuple[np.
     return one, two
 
 
-def leaves_of(found: list[list[bytes]], n: int, n_leaf: int) -> np.ndarray:
-    """The leaf of each word of texts laid end to end."""
-    return np.fromiter(map(zlib.crc32, chain.from_iterable(found)), np.uint32, n).astype(np.int64) & (n_leaf - 1)
-
-
-def train(folded: DataFrame, names: list[bytes], share: np.ndarray, mass: np.ndarray) -> Model:
+def train(folded: DataFrame, names: list[bytes], endings: list[bytes], share: np.ndarray) -> Model:
     """The average of what all partitions learn, weighted by their tokens; without training tokens the starting weights."""
-    blank = Model(share, tree=Tree(mass))
-    sent, n_leaf = folded.sparkSession.sparkContext.broadcast(mass), len(mass)
-
-    columns = ["block", "n", "ids", "times", "weights"]
+    blank = Model(share)
 
     def learn(batches):
-        import pandas as pd
+        import pyarrow as pa
+        from pyspark import TaskContext
 
-        index, model, rng, n = {w: k + 1 for k, w in enumerate(names)}, Model(share, tree=Tree(sent.value)), np.random.default_rng(11), 0
+        index, model, rng, n = ClassOf(names, endings), Model(share), np.random.default_rng(11), 0
         grown = {k: np.zeros_like(v) for k, v in model.w.items()}
-        tree_grown = model.tree.grown()
         for batch in batches:
             texts = texts_of(batch)
             for a, b in slices(texts):
                 found = [words_of(t) for t in texts[a:b]]
                 lengths = np.array([len(x) for x in found])
-                classes = np.concatenate([np.fromiter(map(index.get, x, repeat(0)), np.int32, len(x)) for x in found])
+                classes = np.concatenate([np.fromiter(map(index.__getitem__, x), np.int32, len(x)) for x in found])
                 w1, w2 = contexts(classes, lengths, len(share))
-                leaf = leaves_of(found, len(classes), n_leaf)
-                l1, l2 = contexts(leaf, lengths, 0)
                 order = rng.permutation(len(classes))
-                model.train(w1[order], w2[order], classes[order], rng, grown, (l1[order], l2[order], leaf[order]), tree_grown)
+                model.train(w1[order], w2[order], classes[order], rng, grown)
                 n += len(classes)
         if n:
             data = model.pack()
-            pieces = [(-1 - k, n, b"", b"", data[a : a + PIECE]) for k, a in enumerate(range(0, len(data), PIECE))]
-            yield pd.DataFrame(pieces, columns=columns)
-        for kind, name in enumerate(("r", "n")):
-            seen, n_blocks = tree_grown[name][1], -(-n_leaf // BLOCK)
-            ids = np.flatnonzero(seen)
-            edges = np.searchsorted(ids, np.arange(n_blocks + 1) * BLOCK)
-            for k in range(0, n_blocks, 64):
-                parts = [(kind * n_blocks + b, ids[edges[b] : edges[b + 1]]) for b in range(k, min(k + 64, n_blocks)) if edges[b] < edges[b + 1]]
-                if parts:
-                    yield pd.DataFrame([(b, 0, (x % BLOCK).astype("u2").tobytes(), seen[x].astype("u4").tobytes(), model.tree.w[name][x].astype("f2").tobytes()) for b, x in parts], columns=columns)
-
-    def as_arrow(batches):
+            pieces = [data[a : a + PIECE] for a in range(0, len(data), PIECE)]
+            k = len(pieces)
+            yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array([TaskContext.get().partitionId() // FAN_IN] * k, pa.int32()), pa.array([n] * k, pa.int64()), pa.array(pieces, pa.binary())], ["block", "part", "n", "weights"])
+
+    def average(pdf):
+        x = np.stack([np.frombuffer(x, "f4") for x in pdf["weights"]])
+        return pdf[:1].assign(n=pdf["n"].sum(), weights=[np.average(x.astype("f8"), axis=0, weights=pdf["n"]).astype("f4").tobytes()])
+
+    shape = "block int, part int, n long, weights binary"
+    learned = folded.where(~F.col("held_out")).select("text").mapInArrow(learn, shape)
+    halfway = learned.groupBy("block", "part").applyInPandas(average, shape)
+    rows = halfway.groupBy("block").applyInPandas(average, shape).select("block", "weights").toArrow().sort_by("block")  # the model's size
+    return blank.unpack(b"".join(rows.column("weights").to_pylist())) if rows.num_rows else blank
+
+
+def class_masses(counts: DataFrame, names: list[bytes], endings: list[bytes]) -> np.ndarray:
+    """Sum of count + 1 over each class's words, and 1 for an unseen one."""
+
+    def run(batches):
         import pyarrow as pa
 
-        for pdf in learn(batches):
-            yield pa.RecordBatch.from_pandas(pdf, preserve_index=False)
-
-    def add_rows(key, pdf):
-        import pandas as pd
-
-        if key[0] < 0:
-            x = np.stack([np.frombuffer(x, "f4") for x in pdf["weights"]])
-            return pd.DataFrame({"block": [key[0]], "weights": [np.average(x.astype("f8"), axis=0, weights=pdf["n"]).astype("f4").tobytes()]})
-        width = TAIL + int(key[0] >= -(-n_leaf // BLOCK))
-        total, times = np.zeros((BLOCK, width)), np.zeros(BLOCK)
-        for ids, n, x in zip(pdf["ids"], pdf["times"], pdf["weights"], strict=True):
-            ids, n = np.frombuffer(ids, "u2"), np.frombuffer(n, "u4")
-            total[ids] += np.frombuffer(x, "f2").reshape(-1, width) * n[:, None]
-            times[ids] += n
-        return pd.DataFrame({"block": [key[0]], "weights": [np.where(times[:, None] > 0, total / np.maximum(times, 1)[:, None], np.nan).astype("f4").tobytes()]})
-
-    learned = folded.where(~F.col("held_out")).select("text").mapInArrow(as_arrow, "block long, n long, ids binary, times binary, weights binary")
-    averaged = learned.groupBy("block").applyInPandas(add_rows, "block long, weights binary").toArrow()
-    n_blocks, dense = -(-n_leaf // BLOCK), {}
-    for block, x in zip(averaged.column("block").to_pylist(), averaged.column("weights"), strict=True):
-        if block < 0:
-            dense[-1 - block] = x.as_py()
-            continue
-        held, b = blank.tree.w["r" if block < n_blocks else "n"], block % n_blocks * BLOCK
-        x = np.frombuffer(x.as_buffer(), "f4").reshape(BLOCK, -1)[: n_leaf - b]
-        held[b : b + BLOCK] = np.where(np.isnan(x), held[b : b + BLOCK], x)  # rows that no example touches stay
-    return blank.unpack(b"".join(dense[k] for k in sorted(dense))) if dense else blank
+        index, sums = ClassOf(names, endings), np.zeros(1 + len(names) + len(endings), np.int64)
+        for batch in batches:
+            at = np.fromiter(map(index.__getitem__, batch.column("word").to_pylist()), np.int64, batch.num_rows)
+            np.add.at(sums, at, batch.column("c").to_numpy() + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(sums)], ["class", "mass"])
+
+    out = np.ones(1 + len(names) + len(endings), np.int64)
+    rows = counts.select("word", "c").mapInArrow(run, "class long, mass long").groupBy("class").agg(F.sum("mass").alias("mass")).toArrow()  # a row for each class
+    out[rows.column("class").to_numpy()] += rows.column("mass").to_numpy()
+    return out
+
+
+def choose_classes(counts: DataFrame, head_words: list[bytes], distinct: int) -> tuple[list[bytes], list[bytes]]:
+    """Words that are classes of their own, and the endings that hold most of the other tokens."""
+    n = class_count(distinct)
+    names = head_words[: n // 2]
+    own = F.array(*[F.substring("word", -k, k) for k in range(1, ENDING + 1)])
+    known = counts.sparkSession.createDataFrame([(w,) for w in names], "word binary")
+    ends = counts.join(F.broadcast(known), "word", "left_anti").select(F.explode(F.array_distinct(own)).alias("ending"), "c").where(F.length("ending") > 0)
+    ends = ends.groupBy("ending").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "ending").limit(n - 1 - len(names))
+    return names, [bytes(x["ending"]) for x in ends.collect()]
 
 
 def score(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
-    A null or empty text is its end token alone. Repeated rows are scored apart, and each counts in training.
-    Without training tokens base_score is that of unseen tokens.
+    A null or empty text is its end token alone; a text of any length is scored whole. Repeated rows and rows with
+    null or equal doc_ids are scored apart, and each counts in training. Words that tie in frequency are ordered by
+    their bytes. Other columns of docs are left alone. Without training tokens base_score is that of unseen tokens;
+    an empty table gives no rows.
     """
     spark = docs.sparkSession
     folded = with_fold(docs)
@@ -355,30 +299,25 @@ def score(docs: DataFrame) -> DataFrame:
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     head = counts.orderBy(F.desc("c"), "word").limit(HEAD).toArrow()
     head_words, head_counts = head.column("word").to_pylist(), np.array(head.column("c").to_pylist(), np.int64)
-    names = head_words[: CLASSES - 1]
-    own = int(head_counts[: CLASSES - 1].sum())
-    other, other_distinct = total - own, distinct - len(names)
-    share = np.r_[other + 1, head_counts[: CLASSES - 1]].astype("f8")
-    n_leaf = n_leaves(other_distinct)
-    by_leaf = counts.groupBy(F.crc32("word").bitwiseAND(n_leaf - 1).alias("leaf")).agg(F.sum(F.col("c") + 1).alias("mass")).toArrow()  # a row for each leaf
-    mass = np.ones(n_leaf, np.int64)  # the unseen word
-    mass[by_leaf.column("leaf").to_numpy()] += by_leaf.column("mass").to_numpy()
-    np.subtract.at(mass, np.array([zlib.crc32(w) & (n_leaf - 1) for w in names], np.int64), head_counts[: len(names)] + 1)
-    model = train(folded, names, share / share.sum(), mass)
-
-    sent = spark.sparkContext.broadcast((b"\n".join(head_words), np.log10(head_counts + 1.0), model.pack(), share / share.sum(), len(head_words), mass, model.tree.w))
-    key, k, n_names = uuid.uuid4().hex, np.log10(total + distinct + 1.0), len(names)
+    names, endings = choose_classes(counts, head_words, distinct)
+    mass = class_masses(counts, names, endings)
+    share = mass / mass.sum()
+    model = train(folded, names, endings, share)
+
+    sent = spark.sparkContext.broadcast((b"\n".join(head_words), np.log10(head_counts + 1.0), model.pack(), share, np.log10(mass), names, endings))
+    key, k = uuid.uuid4().hex, np.log10(total + distinct + 1.0)
 
     def run(batches):
         import pyarrow as pa
 
         if key not in _tables:
-            joined, logs, weights, shares, n, masses, tree_w = sent.value
-            tree = Tree(masses)
-            tree.w = tree_w
+            joined, logs, weights, shares, masses, own_names, own_endings = sent.value
+            index = {w: i for i, w in enumerate(joined.split(b"\n"))} if len(logs) else {}
+            class_of = ClassOf(own_names, own_endings)
+            classes = np.fromiter(map(class_of.__getitem__, index), np.int32, len(index))
             _tables.clear()
-            _tables[key] = {w: i for i, w in enumerate(joined.split(b"\n")) if n}, np.r_[logs, 0.0], Model(shares, tree=tree).unpack(weights)
-        index, logs, lbl = _tables[key]
+            _tables[key] = index, np.r_[logs, 0.0], np.r_[classes, 0], class_of, masses, len(own_names), Model(shares).unpack(weights)
+        index, logs, head_class, class_of, masses, n_names, lbl = _tables[key]
         for batch in batches:
             texts = texts_of(batch)
             for a, b in slices(texts):
@@ -386,16 +325,18 @@ def score(docs: DataFrame) -> DataFrame:
                 lengths = np.array([len(x) for x in found])
                 at = np.concatenate([np.fromiter(map(index.get, x, repeat(-1)), np.int32, len(x)) for x in found])
                 start = np.cumsum(lengths) - lengths
-                classes = np.where((at >= 0) & (at < n_names), at + 1, 0)
+                rare = [[x[i] for i in np.flatnonzero(at[s : s + len(x)] < 0).tolist()] for x, s in zip(found, start.tolist(), strict=True)]
+                classes = head_class[at]
+                other = np.flatnonzero(at < 0)
+                classes[other] = np.fromiter((class_of[w] for x in rare for w in x), np.int32, len(other))
                 w1, w2 = contexts(classes, lengths, len(lbl.share))
                 log_c = logs[at]
-                leaf = leaves_of(found, len(at), len(lbl.tree.mass))
-                l1, l2 = contexts(leaf, lengths, 0)
-                lm = lbl.log_probability(w1, w2, classes, (l1, l2, leaf)) / np.log(10) + np.where(classes == 0, log_c - np.log10(lbl.tree.mass[leaf]), 0.0)
-                rare = [Counter([x[i] for i in np.flatnonzero(at[s : s + len(x)] < 0).tolist()]) for x, s in zip(found, start.tolist(), strict=True)]
+                lm = lbl.log_probability(w1, w2, classes) / np.log(10)
+                lm += np.where((classes > 0) & (classes <= n_names), 0, log_c - masses[classes])
+                counted = [Counter(x) for x in rare]
                 add = lambda x: pa.array(np.add.reduceat(x, start))  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("row_id").slice(a, b - a), batch.column("doc_id").slice(a, b - a), batch.column("held_out").slice(a, b - a), pa.array(lengths, pa.int64()), add((at >= 0).astype(np.int64)), add(log_c), add(lm.astype("f8")), pa.array([list(r) for r in rare], pa.list_(pa.binary())), pa.array([list(r.values()) for r in rare], pa.list_(pa.int64()))],
+                    [batch.column("row_id").slice(a, b - a), batch.column("doc_id").slice(a, b - a), batch.column("held_out").slice(a, b - a), pa.array(lengths, pa.int64()), add((at >= 0).astype(np.int64)), add(log_c), add(lm.astype("f8")), pa.array([list(r) for r in counted], pa.list_(pa.binary())), pa.array([list(r.values()) for r in counted], pa.list_(pa.int64()))],
                     ["row_id", "doc_id", "held_out", "n_tokens", "n_head", "log_head", "lm", "rare", "rare_n"],
                 )
 

@@ -467,7 +467,7 @@ def test_line_dedup(spark, monkeypatch):
 
 def test_lm(spark, texts, monkeypatch):
     monkeypatch.setattr(lm, "HEAD", 60)
-    monkeypatch.setattr(lm, "CLASSES", 16)
+    monkeypatch.setattr(lm, "FEWEST", 16)
     rows = {r["doc_id"]: r for r in lm.score(make(spark, texts)).collect()}
     held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
     c = Counter(w for t, h in zip(texts, held, strict=True) if not h for w in [*words(t), ""])
@@ -495,7 +495,7 @@ def test_lm_probabilities_sum_to_one_and_learn():
     order = rng.permutation(len(seq))
     for _ in range(6):
         model.train(w1[order], w2[order], seq[order], rng, grown)
-    model.norm = None
+    model.held = None
     assert model.log_probability(w1[5:100], w2[5:100], seq[5:100]).mean() > before + 0.5
     a, b = lm.contexts(np.array([1, 2, 3, 9, 4]), np.array([3, 1, 1]), 99)
     assert a.tolist() == [99, 1, 2, 99, 99] and b.tolist() == [99, 99, 1, 99, 99]
@@ -503,43 +503,60 @@ def test_lm_probabilities_sum_to_one_and_learn():
     assert all((packed.w[k] == model.w[k]).all() for k in model.w)
 
 
-def test_lm_tree_grows_with_words():
-    assert [lm.n_leaves(x) for x in (0, 1, 4, 5, 1_000, 100_000)] == [1, 1, 1, 2, 256, 32768]
-    share = np.array([40.0, 5, 4])
-    tree = lm.Tree(np.array([3, 1, 7, 2, 2, 9, 1, 5]))
-    model = lm.Model(share / share.sum(), tree=tree)
-    u = np.random.default_rng(2).normal(size=(8, lm.TAIL)).astype("f4")
-    p = np.exp(tree.log_probability(u, np.arange(8)))
-    assert np.allclose(p, tree.mass / tree.mass.sum(), atol=1e-5)  # before training: the share by counts
-    # words of class 0 alone: leaf 1 follows 6, 2 follows 5
-    leaf = np.tile([6, 1, 5, 2], 4000)
-    classes = np.zeros(len(leaf), int)
-    w1, w2 = lm.contexts(classes, np.array([len(leaf)]), len(share))
-    l1, l2 = lm.contexts(leaf, np.array([len(leaf)]), 0)
-    rng, grown, tree_grown = np.random.default_rng(0), {k: np.zeros_like(x) for k, x in model.w.items()}, tree.grown()
-    order = rng.permutation(len(leaf))
-    before = model.log_probability(w1[8:200], w2[8:200], classes[8:200], (l1[8:200], l2[8:200], leaf[8:200])).mean()
-    for _ in range(8):
-        model.train(w1[order], w2[order], classes[order], rng, grown, (l1[order], l2[order], leaf[order]), tree_grown)
-    model.norm = None
-    assert model.log_probability(w1[8:200], w2[8:200], classes[8:200], (l1[8:200], l2[8:200], leaf[8:200])).mean() > before + 1
-    # classes of their own and all leaves sum to one in contexts of rare and of frequent words
-    for x1, x2, a, b in ((0, 0, 6, 2), (0, 1, 5, 0), (2, 0, 0, 3), (1, 2, 0, 0), (3, 3, 0, 0)):
-        full = lambda x, n: np.full(n, x)
-        own = np.exp(model.log_probability(full(x1, 2), full(x2, 2), np.array([1, 2]), (full(a, 2), full(b, 2), full(0, 2))))
-        rest = np.exp(model.log_probability(full(x1, 8), full(x2, 8), full(0, 8), (full(a, 8), full(b, 8), np.arange(8))))
-        assert abs(own.sum() + rest.sum() - 1) < 1e-4
-
-
-def test_lm_rare_words_have_contexts(spark, monkeypatch):
-    monkeypatch.setattr(lm, "CLASSES", 8)
-    r = random.Random(9)
-    pairs = [(f"left{k}", f"right{k}") for k in range(40)]
-    rows = [" ".join(x for _ in range(300) for x in r.choice(pairs)) for _ in range(60)]
-    swapped = " ".join(x for k in range(200) for x in (pairs[k % 40][0], pairs[(k + 7) % 40][1]))
-    in_order = " ".join(x for k in range(200) for x in pairs[k % 40])
-    got = {x["doc_id"]: x for x in lm.score(make(spark, [*rows, in_order, swapped])).collect()}
-    assert abs(got[60]["base_score"] - got[61]["base_score"]) < 10 and got[60]["score"] > got[61]["score"] + 20
+def test_lm_classes():
+    assert [lm.class_count(n) for n in (0, 10**4, 10**6, 5 * 10**6, 10**8, 10**12)] == [256, 256, 256, 512, 2048, 4096]
+    index = lm.ClassOf([b"the", b""], [b"ing", b"g", b"le"])
+    assert [index[w] for w in (b"the", b"", b"sing", b"ing", b"dog", b"able", b"g", b"zz")] == [1, 2, 3, 3, 4, 5, 4, 0]
+
+
+def test_lm_score_against_plain_softmax(spark, texts, monkeypatch):
+    """score from the weights of a fixed model, by loops: the class's softmax probability times the word's share of its class."""
+    monkeypatch.setattr(lm, "FEWEST", 16)
+    monkeypatch.setattr(lm, "HEAD", 40)
+    made = []
+
+    def fixed(folded, names, endings, share):
+        model = lm.Model(share)
+        rng = np.random.default_rng(3)
+        model.w["r"] = rng.normal(0, 1, model.w["r"].shape).astype("f4")
+        model.w["q"] = rng.normal(0, 1, model.w["q"].shape).astype("f4")
+        made.append((names, endings, model.w))
+        return model
+
+    monkeypatch.setattr(lm, "train", fixed)
+    ids = [i if i % 9 else None for i in range(len(texts))]
+    rows = [r["score"] for r in lm.score(make(spark, texts, ids=ids).coalesce(1)).collect()]
+    names, endings, w = made[0]
+    held = [zlib.crc32((str(i) if i is not None else "").encode()) % 7 == 2 for i in ids]
+    c = Counter(x.encode() for t, h in zip(texts, held, strict=True) if not h for x in [*words(t), ""])
+    ranked = sorted(c, key=lambda x: (-c[x], x))
+    assert names == ranked[:8] and len(endings) == 7
+
+    def class_of(x):
+        if x in names:
+            return 1 + names.index(x)
+        return next((9 + endings.index(x[-k:]) for k in (3, 2, 1) if len(x) >= k and x[-k:] in endings), 0)
+
+    mass = Counter({k: 1 for k in range(16)})
+    for x, n in c.items():
+        mass[class_of(x)] += n + 1
+    want = []
+    for t in texts:
+        total, before = 0.0, [16, 16]
+        for x in [*(y.encode() for y in words(t)), b""]:
+            k = class_of(x)
+            v = w["r"][before[-1]] @ w["C1"] + w["r"][before[-2]] @ w["C2"]
+            s = w["q"] @ v + w["b"]
+            p = math.exp(s[k]) / sum(math.exp(y) for y in s)
+            total += math.log10(p) + (0 if 1 <= k <= 8 else math.log10((c[x] + 1) / mass[k]))
+            before.append(k)
+        want.append(total)
+    assert sorted(rows) == pytest.approx(sorted(want), rel=1e-4)
+
+
+def test_lm_beats_counts_on_held_out_text(spark):
+    got = lm.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert (got[0] - got[1]) / got[2] > 0.2
 
 
 # 10 -----------------------------------------------------------------------------------------------
