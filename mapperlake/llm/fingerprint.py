@@ -1,32 +1,33 @@
 """Merkle fingerprints of documents, by DataFrame functions alone.
 
-Leaves are paragraphs' sentences (a sentence ends with its points and line ends; one of more than LEAF characters
-goes on in further leaves, by one rule for texts of any length), so an edit changes the leaves that it touches and, at most, the rest of
-its sentence. Leaves form sections: a section ends with a blank line or where a leaf's digest starts with 0
-(about every 16 leaves, wherever they stand), so sections line up again behind an edit. A section's digest is
-the SHA-256 of its leaves' digests, the root's that of its sections' digests. The fingerprint is
-
-    root, 64 hex digits : 8 digits for each section : 8 digits and the number of its section's leaves ... 
-
-in full: root ':' section digests ':' leaf counts by section, comma-separated ':' leaf digests. Equal texts have
-equal fingerprints; roots test equality; sections and leaves that differ tell where an edit is.
+A tree of four levels, built by one rule for texts of any length: pieces, paragraphs, sections, root.
+
+* A piece ends with the line, or after 8 characters at the next one of STOPS (blanks, signs, some letters and parts
+  of scripts without blanks), or after 24: it is cut by its content, so pieces line up again behind an edit.
+* A paragraph ends with the line, or where a piece's digest starts with 0 (about every 16 pieces of a long line).
+* A section ends with a blank line, or where a paragraph's digest starts with 0.
+
+A piece's digest is the SHA-256 of its text, any other's that of its children's digests. The fingerprint has six
+fields, joined by colons: the root (64 hex digits), 8 digits of each section, the number of paragraphs up to each
+section's end (joined by commas), 8 digits of each paragraph, the number of pieces up to each paragraph's end, and 5 digits
+of each piece. Equal texts have equal fingerprints; roots test equality; from sections down to pieces, branches that
+differ tell where an edit is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .common import partitions
 
-LEAF = 8
-#: Texts of up to SHORT_TEXT characters have leaves of up to SHORT_LEAF characters: the same, or texts on both sides of it could not be compared.
-SHORT_TEXT, SHORT_LEAF = 512, LEAF
-#: Digits kept of a section's and of a leaf's digest.
-SHORT = 8
-_LEAVES = r"[^\n.!?]{{1,{0}}}[\n.!?]*|[\n.!?]+"
+#: Hex digits kept of a section's or paragraph's digest, and of a piece's.
+SHORT, PIECE = 8, 5
+#: Characters that can end a piece: in scripts without blanks, 512 code points of each 4,096.
+STOPS = r" \t\r.,;:!?\u2026eE5\u043e\u041e\u0627" + "".join(rf"\u{k:04x}-\u{k + 0x1FF:04x}" for k in range(0x3000, 0xE000, 0x1000))
+PIECES = rf"[^\n]{{0,6}}\n+|[^\n]{{7,23}}?(?:[{STOPS}]|\n+)|[^\n]{{1,24}}"
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -34,50 +35,102 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
+def _start(ends: Column, k: Column) -> Column:
+    """How many children stand before group k (from 0)."""
+    return F.when(k == 0, F.lit(0)).otherwise(F.element_at(ends, F.greatest(k, F.lit(1))))
+
+
+def _ends(n: Column, closes: Callable[[Column], Column]) -> Column:
+    return F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | closes(i))
+
+
+def _digests(children: Column, ends: Column) -> Column:
+    return F.transform(ends, lambda e, k: F.sha2(F.concat_ws("", F.slice(children, _start(ends, k) + 1, e - _start(ends, k))), 256))
+
+
 def fingerprint(text: Column) -> Column:
-    """The fingerprint of a text; null counts as empty (a root over no sections)."""
+    """The fingerprint of a whole text of any length; null counts as empty (a root over no sections)."""
+    zero = F.lit("0")
+    short = lambda a, n: F.concat_ws("", F.transform(a, lambda x: F.substring(x, 1, n)))
+    said = lambda ends: F.concat_ws(",", F.transform(ends, lambda x: x.cast("string")))
 
-    def of_leaves(leaf: Column) -> Column:
-        return let(F.transform(leaf, lambda x: F.sha2(x, 256)), lambda digest: of_digests(leaf, digest))
+    def of_pieces(piece: Column) -> Column:
+        return let(F.transform(piece, lambda x: F.sha2(x, 256)), lambda digest: F.when(F.size(digest) == 0, empty).otherwise(of_digests(piece, digest)))
 
-    def of_digests(leaf: Column, digest: Column) -> Column:
-        n = F.size(digest)
-        closes = lambda i: (i == n) | F.startswith(F.element_at(digest, i), F.lit("0")) | F.endswith(F.element_at(leaf, i), F.lit("\n\n"))
-        ends = F.filter(F.sequence(F.lit(0), n), lambda i: (i == 0) | F.when(i > 0, closes(F.greatest(i, F.lit(1)))).otherwise(F.lit(False)))
-        return F.when(n == 0, empty).otherwise(let(ends, lambda e: of_ends(digest, e)))
+    def of_digests(piece: Column, digest: Column) -> Column:
+        ends = _ends(F.size(digest), lambda i: F.startswith(F.element_at(digest, i), zero) | F.endswith(F.element_at(piece, i), F.lit("\n")))
+        return let(ends, lambda e: let(_digests(digest, e), lambda p: of_paragraphs(piece, digest, e, p)))
 
-    def of_ends(digest: Column, ends: Column) -> Column:
-        turns = F.sequence(F.lit(2), F.size(ends))
-        sizes = F.transform(turns, lambda k: F.element_at(ends, k) - F.element_at(ends, k - 1))
-        sections = F.transform(turns, lambda k: F.sha2(F.concat_ws("", F.slice(digest, F.element_at(ends, k - 1) + 1, F.element_at(ends, k) - F.element_at(ends, k - 1))), 256))
-        short = lambda a: F.concat_ws("", F.transform(a, lambda x: F.substring(x, 1, SHORT)))
-        return let(sections, lambda s: F.concat_ws(":", F.sha2(F.concat_ws("", s), 256), short(s), F.concat_ws(",", F.transform(sizes, lambda x: x.cast("string"))), short(digest)))
+    def of_paragraphs(piece: Column, digest: Column, ends: Column, paragraph: Column) -> Column:
+        closed = _ends(F.size(paragraph), lambda i: F.startswith(F.element_at(paragraph, i), zero) | F.endswith(F.element_at(piece, F.element_at(ends, i)), F.lit("\n\n")))
+        return let(closed, lambda c: let(_digests(paragraph, c), lambda s: F.concat_ws(":", F.sha2(F.concat_ws("", s), 256), short(s, SHORT), said(c), short(paragraph, SHORT), said(ends), short(digest, PIECE))))
 
-    empty = F.concat(F.sha2(F.lit(""), 256), F.lit(":::"))
-    return let(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_LEAVES.format(LEAF)), F.lit(0)), of_leaves)
+    empty = F.concat(F.sha2(F.lit(""), 256), F.lit(":::::"))
+    return let(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PIECES), F.lit(0)), of_pieces)
 
 
-def _parts(fingerprint: Column, field: int) -> Column:
-    """Digests of the sections (1) or leaves (3) of a fingerprint."""
-    return let(F.element_at(F.split(fingerprint, ":"), field + 1), lambda s: F.filter(F.regexp_extract_all(s, F.lit(f".{{{SHORT}}}"), F.lit(0)), lambda x: x != ""))
+def _parts(field: Column, digits: int) -> Column:
+    return F.regexp_extract_all(field, F.lit(f".{{{digits}}}"), F.lit(0))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1: twice the leaves that both have, by the leaves of both; equal fingerprints 1. Repeated leaves count once."""
-    both = F.struct(F.array_distinct(_parts(a, 3)).alias("a"), F.array_distinct(_parts(b, 3)).alias("b"))
+    """0 to 1: twice the pieces that both have, by the pieces of both; equal fingerprints 1, and 0 if one is null or of an empty text. Repeated pieces count once."""
+    pieces = lambda x: F.array_distinct(_parts(F.element_at(F.split(x, ":"), 6), PIECE))
+    both = F.struct(pieces(a).alias("a"), pieces(b).alias("b"))
     dice = let(both, lambda p: F.when(F.size(p["a"]) + F.size(p["b"]) == 0, F.lit(0.0)).otherwise(2.0 * F.size(F.array_intersect(p["a"], p["b"])) / (F.size(p["a"]) + F.size(p["b"]))))
     return F.when(a.isNull() | b.isNull(), F.lit(0.0)).when(a == b, F.lit(1.0)).otherwise(dice)
 
 
+def tree(fingerprint: Column) -> Column:
+    """A fingerprint's levels: struct of sections, section_ends, paragraphs, paragraph_ends, pieces."""
+    numbers = lambda x: F.when(x == "", F.array().cast("array<int>")).otherwise(F.split(x, ",").cast("array<int>"))
+    return let(F.split(fingerprint, ":"), lambda x: F.struct(_parts(x[1], SHORT).alias("sections"), numbers(x[2]).alias("section_ends"), _parts(x[3], SHORT).alias("paragraphs"), numbers(x[4]).alias("paragraph_ends"), _parts(x[5], PIECE).alias("pieces")))
+
+
 def differing(a: Column, b: Column) -> Column:
-    """Where b was edited against a: the numbers (from 0) of b's leaves whose digests a lacks. Empty if the roots agree."""
-    leaves = F.struct(_parts(a, 3).alias("a"), _parts(b, 3).alias("b"))
-    found = let(leaves, lambda p: F.filter(F.transform(p["b"], lambda x, i: F.when(F.array_contains(p["a"], x), F.lit(-1)).otherwise(i)), lambda i: i >= 0))
-    return F.when(a == b, F.array().cast("array<int>")).otherwise(found)
+    """Where b was edited against a, from the top of the trees down: only children of branches that differ are looked at.
 
+    A struct of numbers from 0: paragraphs_gone, pieces_gone (of a: what b's differing branches lack), paragraphs_new,
+    pieces_new (of b), and sections_moved (of b: sections of both texts that stand in another order). All empty if the
+    roots agree; null if a or b is.
+    """
+    at = lambda digests, i: F.element_at(digests, i + 1)
+    numbers = lambda x: F.filter(F.sequence(F.lit(-1), F.size(x) - 1), lambda i: i >= 0)
+    lacks = lambda held, x: ~F.array_contains(held, x)
+    below = lambda groups, ends: F.flatten(F.transform(groups, lambda k: F.sequence(_start(ends, k), F.element_at(ends, k + 1) - 1)))
+    none = F.array().cast("array<int>")
 
-def with_next(docs: DataFrame, column: str = "text") -> DataFrame:
-    """doc_id, text (null: empty) and next_text, the text of the document with the next larger doc_id, after the last the first.
+    def of_trees(t: Column) -> Column:
+        a, b = t["a"], t["b"]
+        s = F.struct(F.filter(numbers(a["sections"]), lambda i: lacks(b["sections"], at(a["sections"], i))).alias("a"), F.filter(numbers(b["sections"]), lambda i: lacks(a["sections"], at(b["sections"], i))).alias("b"))
+        return let(s, lambda s: of_level(t, s, "paragraphs", "section_ends", lambda p: of_level(t, p, "pieces", "paragraph_ends", lambda q: said(t, p, q))))
+
+    def of_level(t: Column, parents: Column, level: str, ends: str, then: Callable[[Column], Column]) -> Column:
+        """The children of the differing parents of both sides that the other side's ones lack."""
+        own = F.struct(*[below(parents[k], t[k][ends]).alias(k) for k in "ab"])
+        of = lambda k: lambda i: at(t[k][level], i)
+        digests = lambda c: F.struct(*[F.transform(c[k], of(k)).alias(k) for k in "ab"])
+        unlike = lambda k, h: lambda i: lacks(h[k], at(t["b" if k == "a" else "a"][level], i))
+        left = lambda c, h: F.struct(F.filter(c["a"], unlike("b", h)).alias("a"), F.filter(c["b"], unlike("a", h)).alias("b"))
+        return let(own, lambda c: let(digests(c), lambda h: let(left(c, h), then)))
+
+    def said(t: Column, paragraphs: Column, pieces: Column) -> Column:
+        a, b = t["a"]["sections"], t["b"]["sections"]
+        common = F.struct(F.filter(a, lambda x: F.array_contains(b, x)).alias("a"), F.filter(numbers(b), lambda i: F.array_contains(a, at(b, i))).alias("b"))
+        moved = let(common, lambda c: F.filter(c["b"], lambda i, k: ~at(b, i).eqNullSafe(F.get(c["a"], k))))
+        return F.struct(paragraphs["a"].alias("paragraphs_gone"), paragraphs["b"].alias("paragraphs_new"), pieces["a"].alias("pieces_gone"), pieces["b"].alias("pieces_new"), moved.alias("sections_moved"))
+
+    same = F.struct(*[none.alias(k) for k in ("paragraphs_gone", "paragraphs_new", "pieces_gone", "pieces_new", "sections_moved")])
+    return F.when(a.isNull() | b.isNull(), F.lit(None)).when(a == b, same).otherwise(let(F.struct(tree(a).alias("a"), tree(b).alias("b")), of_trees))
+
+
+#: How documents follow each other within a range.
+def _order() -> WindowSpec:
+    return Window.partitionBy("range").orderBy("halo", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+
+
+def in_ranges(docs: DataFrame, column: str = "text") -> DataFrame:
+    """doc_id, text (null: empty), range, halo: each range's documents, and (halo) the first one of the next range, the last range's being that of the first.
 
     doc_id ranges of about equal counts (from approximate quantiles; a bound for each task, never more) are
     windows of their own; each range also gets the first document of the following one. Rows that share a
@@ -98,16 +151,20 @@ def with_next(docs: DataFrame, column: str = "text") -> DataFrame:
     ranged = rows.withColumn("range", halve)
     firsts = ranged.groupBy("range").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.xxhash64("text").alias("h"))).alias("first")).orderBy("range").collect()  # a row for each range
     if not firsts:
-        return rows.withColumn("next_text", F.lit("")).limit(0)
+        return rows.select("doc_id", "text", F.lit(0).alias("range"), F.lit(False).alias("halo"))
     order = [r["range"] for r in firsts]
     target = dict(zip(order[1:] + order[:1], order, strict=True))  # the range that the first row of a range also goes to
     where = docs.sparkSession.createDataFrame([(target[r["range"]], r["range"], r["first"]["d"], r["first"]["h"]) for r in firsts], "`to` int, `of` int, `d` long, `h` long")
     key = F.coalesce(ranged["doc_id"], F.lit(-(1 << 63)))
     halo = ranged.join(F.broadcast(where), (F.col("range") == F.col("of")) & (key == F.col("d")) & (F.xxhash64("text") == F.col("h")))
     halo = halo.select("doc_id", "text", F.col("to").alias("range"), F.lit(True).alias("halo"))
-    window = Window.partitionBy("range").orderBy("halo", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    both = ranged.select("doc_id", "text", F.col("range").cast("int").alias("range"), F.lit(False).alias("halo")).unionByName(halo)
-    return both.withColumn("next_text", F.lead("text").over(window)).where(~F.col("halo")).select("doc_id", "text", F.coalesce("next_text", "text").alias("next_text"))
+    return ranged.select("doc_id", "text", F.col("range").cast("int").alias("range"), F.lit(False).alias("halo")).unionByName(halo)
+
+
+def with_next(docs: DataFrame, column: str = "text") -> DataFrame:
+    """doc_id, text (null: empty) and next_text, the text of the document with the next larger doc_id, after the last the first."""
+    following = in_ranges(docs, column).withColumn("next_text", F.lead("text").over(_order())).where(~F.col("halo"))
+    return following.select("doc_id", "text", F.coalesce("next_text", "text").alias("next_text"))
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -117,11 +174,18 @@ def edited(text: Column, following: Column) -> Column:
 
 
 def compare_edits(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    rows = with_next(docs).withColumn("edited", edited(F.col("text"), F.col("next_text")))
+    """Per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and n_edited (paragraphs of the edited text that the text lacks).
+
+    Null texts count as empty; rows that share a doc_id (or have none) each give a row, in the order of their texts' hashes;
+    a single document is its own next; an empty table gives no rows. Other columns of docs don't matter.
+    """
+    rows = in_ranges(docs).withColumn("next_text", F.lead("text").over(_order())).withColumn("fingerprint", fingerprint(F.col("text")))
+    rows = rows.withColumn("next_fingerprint", F.lead("fingerprint").over(_order())).where(~F.col("halo"))
+    rows = rows.withColumn("edited", edited(F.col("text"), F.coalesce("next_text", "text")))
     printed = rows.select(
-        "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), fingerprint(F.col("next_text")).alias("next_fingerprint"),
+        "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint",
+        fingerprint(F.col("edited")).alias("edited_fingerprint"), F.coalesce("next_fingerprint", "fingerprint").alias("next_fingerprint"),
     )
     near = lambda other: likeness(F.col("fingerprint"), F.col(other))
-    return printed.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edited_fingerprint").alias("near_edited"), near("next_fingerprint").alias("near_next"))
+    n_edited = F.size(differing(F.col("fingerprint"), F.col("edited_fingerprint"))["paragraphs_new"]).cast("long")
+    return printed.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edited_fingerprint").alias("near_edited"), near("next_fingerprint").alias("near_next"), n_edited.alias("n_edited"))

@@ -189,22 +189,48 @@ def test_byte_bpe(spark, texts, reference):
 # 4 ------------------------------------------------------------------------------------------------
 
 
-def leaves(text):
-    most = fingerprint.SHORT_LEAF if len(text) <= fingerprint.SHORT_TEXT else fingerprint.LEAF
-    return re.findall(rf"[^\n.!?]{{1,{most}}}[\n.!?]*|[\n.!?]+", text)
+def pieces_of(text):
+    """By steps: the line's end; after eight characters the next one that can end a piece; 24 characters."""
+    can_end = lambda c: c in " \t\r.,;:!?\u2026eE5\u043e\u041e\u0627" or 0x3000 <= ord(c) < 0xE000 and (ord(c) - 0x3000) % 0x1000 < 0x200
+    out, own = [], ""
+    for k, c in enumerate(text):
+        own += c
+        following = text[k + 1 : k + 2]
+        if c == "\n":
+            if following != "\n":
+                out.append(own)
+                own = ""
+        elif len(own) >= 24 and following != "\n" or len(own) >= 8 and can_end(c):
+            out.append(own)
+            own = ""
+        elif len(own) >= 24:  # the line's end still belongs to it, if the piece began less than 24 characters before
+            out.append(own)
+            own = ""
+    return out + [own] * bool(own)
 
 
 def merkle(text):
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
-    ls = leaves(text)
-    ds, sections, own = [sha(x) for x in ls], [], []
-    for k, (x, d) in enumerate(zip(ls, ds, strict=True)):
-        own.append(d)
-        if k == len(ls) - 1 or d[0] == "0" or x.endswith("\n\n"):
-            sections.append(own)
-            own = []
-    tops = [sha("".join(s)) for s in sections]
-    return ":".join([sha("".join(tops)), "".join(t[:8] for t in tops), ",".join(str(len(s)) for s in sections), "".join(d[:8] for d in ds)])
+    short = lambda found, n: "".join(x[:n] for x in found)
+
+    def groups(digests, last):
+        ends = [k + 1 for k, d in enumerate(digests) if k == len(digests) - 1 or d[0] == "0" or last(k)]
+        return ends, [sha("".join(digests[a:b])) for a, b in zip([0, *ends], ends, strict=False)]
+
+    pieces = re.findall(fingerprint.PIECES, text)
+    digests = [sha(x) for x in pieces]
+    ends, paragraphs = groups(digests, lambda k: pieces[k].endswith("\n"))
+    closed, sections = groups(paragraphs, lambda k: pieces[ends[k] - 1].endswith("\n\n"))
+    return ":".join([sha("".join(sections)), short(sections, 8), ",".join(map(str, closed)), short(paragraphs, 8), ",".join(map(str, ends)), short(digests, 5)])
+
+
+def test_pieces(texts):
+    r = random.Random(1)
+    strange = ["".join(r.choice("abcdxyz \n.e中文字ㄱ") for _ in range(r.randint(0, 300))) for _ in range(300)]
+    for t in strange + [t or "" for t in texts]:
+        found = re.findall(fingerprint.PIECES, t)
+        assert "".join(found) == t and all(len(x.rstrip("\n")) <= 24 for x in found)
+    assert sum(re.findall(fingerprint.PIECES, t) == pieces_of(t) for t in strange) > 250  # but where a line ends right behind 24 characters
 
 
 def test_fingerprints(spark, texts):
@@ -219,7 +245,7 @@ def test_fingerprints(spark, texts):
         assert r["n_chars"] == len(x) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         assert r["fingerprint"] == merkle(x) and r["edited_fingerprint"] == merkle(edited)
         for column, other in (("near_edited", edited), ("near_next", nx)):
-            a, b = set(re.findall("." * 8, merkle(x).split(":")[3])), set(re.findall("." * 8, merkle(other).split(":")[3]))
+            a, b = set(re.findall("." * 5, merkle(x).split(":")[5])), set(re.findall("." * 5, merkle(other).split(":")[5]))
             assert abs(r[column] - (1 if x == other else 2 * len(a & b) / (len(a) + len(b)) if a or b else 0)) < 1e-12
     assert fingerprint.compare_edits(empty(spark)).count() == 0
     one = fingerprint.compare_edits(make(spark, ["only one."])).first()
@@ -228,21 +254,40 @@ def test_fingerprints(spark, texts):
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
-def test_fingerprints_across_lengths(spark):
+def test_likeness_of_near_texts(spark):
+    """13 characters more at the end, or one more in front, at any length and for texts without blanks or points."""
     r = random.Random(12)
-    long = prose(r, 200)[:520]
-    rows = fingerprint.compare_edits(make(spark, [long, prose(r, 40)[:50], long[:511], long[:513]])).orderBy("doc_id").collect()
-    assert rows[0]["near_edited"] > 0.7  # 520 characters, 440 when edited
-    assert rows[2]["near_next"] > 0.9  # 511 and 513
-
-
-def test_differing_leaves(spark):
-    a, b = "One. Two. Three. Four." * 40, "One. Two. Three. Four." * 40 + "Five is new. "
-    df = spark.createDataFrame([(a, b)], "a string, b string").select(fingerprint.fingerprint(F.col("a")).alias("a"), fingerprint.fingerprint(F.col("b")).alias("b"))
-
-
-    got = df.select(fingerprint.differing(F.col("a"), F.col("b")).alias("d"), fingerprint.differing(F.col("a"), F.col("a")).alias("same")).first()
-    assert got["same"] == [] and [leaves(b)[k] for k in got["d"]] == ["Five is new.", " "] or [leaves(b)[k] for k in got["d"]][0].startswith("Five")
+    long = prose(r, 4000)
+    solid = "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(14000))
+    chinese = "".join(chr(r.randint(0x4E00, 0x9FFF)) for _ in range(14000))
+    rows = [(long[:n], long[: n + 13]) for n in (200, 400, 503, 511, 513, 700, 1500, 9000)] + [(x, "Z" + x) for x in (solid, chinese, long[:14000].replace(" ", ""), long[:14000])]
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = [x[0] for x in df.select(fingerprint.likeness(fingerprint.fingerprint(F.col("a")), fingerprint.fingerprint(F.col("b")))).collect()]
+    assert min(got) >= 0.8 and min(got[-4:]) > 0.97
+    kept = fingerprint.compare_edits(make(spark, [long[:520], "short one", long[:641], long[2000:2700]])).orderBy("doc_id").collect()
+    assert kept[0]["near_edited"] > 0.7 and kept[2]["near_edited"] > 0.6
+
+
+def test_differing_branches(spark):
+    r = random.Random(3)
+    lines = [prose(r, r.randint(8, 30), 5000) + "." for _ in range(120)]
+    paragraphs = ["\n".join(lines[k : k + 3]) + "\n" for k in range(0, 120, 3)]
+    text = "\n".join(paragraphs)
+    gone = "\n".join(paragraphs[:20] + paragraphs[21:])
+    swapped = "\n".join(paragraphs[20:] + paragraphs[:20])
+    changed = text.replace(lines[50], lines[50].replace(" ", " ... ", 1))
+    rows = [(text, gone), (gone, text), (text, swapped), (text, changed), (text, text), (text, ""), ("", text), (text, None)]
+    df = spark.createDataFrame(rows, "a string, b string").select(fingerprint.fingerprint(F.col("a")).alias("a"), F.when(F.col("b").isNotNull(), fingerprint.fingerprint(F.col("b"))).alias("b"))
+    got = [x[0] for x in df.select(fingerprint.differing(F.col("a"), F.col("b"))).collect()]
+    pieces = re.findall(fingerprint.PIECES, text)
+    said = "".join(pieces[k] for k in got[0]["pieces_gone"])
+    assert len(said) > 0.9 * len(paragraphs[20]) and not got[0]["pieces_new"]  # a deleted paragraph is found on the side that has it
+    assert got[1]["pieces_new"] == got[0]["pieces_gone"] and not got[1]["pieces_gone"]
+    assert got[2]["sections_moved"] and len(got[2]["pieces_new"]) < 40
+    new = re.findall(fingerprint.PIECES, changed)
+    assert 0 < len(got[3]["pieces_new"]) <= 4 and all(x in lines[50].replace(" ", " ... ", 1) + "\n" for x in (new[k].rstrip("\n") for k in got[3]["pieces_new"]))
+    assert not any(got[4]) and len(got[5]["pieces_gone"]) == len(pieces) and len(got[6]["pieces_new"]) == len(pieces) and got[7] is None
+    assert [x[0] for x in df.select(fingerprint.likeness(F.col("a"), F.col("b"))).collect()][4:] == [1.0, 0.0, 0.0, 0.0]
 
 
 # 5 ------------------------------------------------------------------------------------------------
