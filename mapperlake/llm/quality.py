@@ -2,8 +2,8 @@
 
 Lines are normalised (words joined by one blank, A-Z lowered, digits as 0) and hashed. For every host the
 distinct documents (distinct texts, so that exact copies count once) that hold a line are counted. A line in
-LIMIT or more of a host's documents is boilerplate there and is removed from all of them but the first; a
-document that loses more than DEPLETED percent of its words is rejected.
+LEAST or more of a host's documents and in PERCENT percent of them or more is boilerplate there and is removed from all
+of them but the first; a document that loses more than DEPLETED percent of its words is rejected.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import small, stage, texts_of
 from .tokens import slices
 
-LIMIT, DEPLETED = 100, 50
+LEAST, PERCENT, DEPLETED = 10, 2, 50
 SYMBOLS = "#*$%&|<>"
 _DIGITS = bytes.maketrans(b"123456789", b"000000000")
 
@@ -91,28 +91,31 @@ def count(docs: DataFrame, host: str = "source") -> DataFrame:
     return rows.mapInArrow(run, COUNTED)
 
 
-def frequent_lines(counted: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """host, line, n_docs, first_doc, first_row of lines in `limit` or more distinct texts of a host."""
+def frequent_lines(counted: DataFrame, least: int = LEAST, percent: float = PERCENT) -> DataFrame:
+    """host, line, n_docs, first (its doc_id and row_id) of lines in `least` or more and in `percent` percent or more of a host's distinct texts."""
     lines = counted.select("host", "text_hash", "doc_id", "row_id", F.explode("lines").alias("line"))
     once = lines.groupBy("host", "line", "text_hash").agg(F.min(F.struct("doc_id", "row_id")).alias("first"))
-    return once.groupBy("host", "line").agg(F.count("*").alias("n_docs"), F.min("first").alias("first")).where(F.col("n_docs") >= limit)
+    often = once.groupBy("host", "line").agg(F.count("*").alias("n_docs"), F.min("first").alias("first")).where(F.col("n_docs") >= least)
+    hosts = counted.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("n_texts"))
+    return often.join(hosts, "host").where(100 * F.col("n_docs") >= percent * F.col("n_texts")).drop("n_texts")
 
 
-def lines_to_remove(docs: DataFrame, host: str, limit: int) -> tuple[DataFrame, DataFrame]:
+def lines_to_remove(docs: DataFrame, host: str, least: int, percent: float) -> tuple[DataFrame, DataFrame]:
     """The counted rows, and row_id, line, n (its words) of frequent lines in all rows but their first."""
     counted = stage(count(docs, host), "quality")
-    frequent = stage(frequent_lines(counted, limit), "lines")
+    frequent = stage(frequent_lines(counted, least, percent), "lines")
     held = counted.select("row_id", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("row_id", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("n"))
     return counted, held.join(small(frequent), ["host", "line"]).where(F.col("row_id") != F.col("first.row_id"))
 
 
-def judge(docs: DataFrame, host: str = "source", limit: int = LIMIT, depleted: int = DEPLETED) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", least: int = LEAST, percent: float = PERCENT, depleted: int = DEPLETED) -> DataFrame:
     """A row per row of docs: doc_id, the counts, removed_words, base_failed, kept.
 
     Null or empty texts fail the base rule; a null host is a host of its own; repeated rows are judged apart
-    but count as one text. An empty table gives no rows.
+    but count as one text. A text of any length is one row and is read whole; an empty table gives no rows. Other columns
+    of docs don't matter, but for ROW.
     """
-    return judged_rows(*lines_to_remove(docs, host, limit), depleted)
+    return judged_rows(*lines_to_remove(docs, host, least, percent), depleted)
 
 
 def judged_rows(counted: DataFrame, lines: DataFrame, depleted: int) -> DataFrame:
@@ -128,10 +131,10 @@ def keep(docs: DataFrame, host: str = "source") -> DataFrame:
     return docs.join(small(bad), docs["doc_id"].cast("long").eqNullSafe(F.col("__doc")), "left_anti")
 
 
-def clean(docs: DataFrame, host: str = "source", limit: int = LIMIT, depleted: int = DEPLETED) -> DataFrame:
+def clean(docs: DataFrame, host: str = "source", least: int = LEAST, percent: float = PERCENT, depleted: int = DEPLETED) -> DataFrame:
     """keep(docs) with texts without their host's frequent lines; only a line's first row (the smallest doc_id, rejected or not) has it still."""
     rows = stage(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
-    counted, lines = lines_to_remove(rows, host, limit)
+    counted, lines = lines_to_remove(rows, host, least, percent)
     gone = stage(lines.groupBy("row_id").agg(F.collect_set("line").alias("__gone")), "gone")
     bad = stage(judged_rows(counted, lines, depleted).groupBy("doc_id").agg(F.max("kept").alias("any")).where(~F.col("any")).select(F.col("doc_id").alias("__doc")), "rejected")
     kept = rows.join(small(bad), rows["doc_id"].cast("long").eqNullSafe(F.col("__doc")), "left_anti")
@@ -165,7 +168,8 @@ tri AS (
 norm AS (
   SELECT doc_id, host, text, translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000') AS line, len(lw) AS n FROM lw
 ), freq AS (
-  SELECT host, line, min(doc_id) AS first_doc FROM norm GROUP BY host, line HAVING count(DISTINCT text) >= {LIMIT}
+  SELECT host, line, min(doc_id) AS first_doc FROM norm JOIN (SELECT host, count(DISTINCT text) AS n_texts FROM d GROUP BY host) USING (host)
+  GROUP BY host, line, n_texts HAVING count(DISTINCT text) >= {LEAST} AND 100 * count(DISTINCT text) >= {PERCENT} * n_texts
 ), rem AS (
   SELECT n.doc_id, sum(n.n) AS n FROM norm n JOIN freq f ON n.host = f.host AND n.line = f.line WHERE n.doc_id <> f.first_doc GROUP BY n.doc_id
 ), base AS (

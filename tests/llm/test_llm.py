@@ -315,7 +315,7 @@ def test_quality_lines(spark):
         hosts += ["a", "a"]
     every += [None, "", prose(r, 60), prose(r, 60)]
     hosts += [None, "a", "b", "b"]
-    rows = quality.judge(make(spark, every, hosts=hosts), limit=10).collect()
+    rows = quality.judge(make(spark, every, hosts=hosts)).collect()
     by = {x["doc_id"]: x for x in rows}
     assert len(rows) == len(every)
     assert all(by[2 * k]["kept"] for k in range(12)) and by[26]["kept"] and not by[24]["kept"] and not by[25]["kept"]
@@ -325,11 +325,23 @@ def test_quality_lines(spark):
     assert quality.judge(empty(spark)).count() == 0
 
 
+def test_quality_lines_of_the_real_table(spark):
+    """At the production limits lines go from the real documents, in the operator and in its SQL."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    lost = docs.select("doc_id", "text").join(quality.clean(docs).select("doc_id", F.col("text").alias("cut")), "doc_id").where("text <> cut").count()
+    removed = {x["doc_id"]: x["removed_words"] for x in quality.judge(docs).where("removed_words > 0").collect()}
+    assert lost > 500 and len(removed) > 500
+    hosts = Counter({("big", k): 1 for k in range(1000)})
+    every = [f"{prose(random.Random(k), 60, 9999)}\nfooter of the site" if k < 15 or k >= 1000 else prose(random.Random(k), 60, 9999) for k in range(1015)]
+    got = quality.judge(make(spark, every, hosts=["big"] * len(hosts) + ["tiny"] * 15)).where("removed_words > 0").collect()
+    assert {x["doc_id"] for x in got} == set(range(1001, 1015))  # 15 of 1,000 documents are under two percent
+
+
 def test_quality_removes_lines(spark):
     import corpus_pipeline as cp
 
     r = random.Random(3)
-    every = [prose(r, 80) + "\n\nShare  this page 201" + str(k % 10) + "\n" + prose(r, 5) for k in range(104)] + [prose(r, 60) + "\nShare this page 2000", "Share this page 2000\nno", None]
+    every = [prose(r, 80) + "\n\nShare  this page 201" + str(k % 10) + "\n" + "".join(r.choice("abcdef ") for _ in range(40)) for k in range(104)] + [prose(r, 60) + "\nShare this page 2000", "Share this page 2000\nno", None]
     hosts = ["a"] * 104 + ["b", "a", "a"]
     want = {0: every[0], 104: every[104]} | {k: "\n".join(x for x in every[k].split("\n") if not x.startswith("Share")) for k in range(1, 104)}
     docs = make(spark, every, hosts=hosts)
