@@ -84,6 +84,12 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def tasks(df: DataFrame, size: int = 128 << 20) -> int:
+    """Partitions for a shuffle of df: those that the session is set to, or more if they would hold over `size` bytes of the files that df reads."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(partitions(df.sparkSession), -(-known // size) if known < 1 << 56 else 1)
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most `limit` rows (counted, so stage it first), else as it is."""
     return F.broadcast(df) if df.count() <= limit else df

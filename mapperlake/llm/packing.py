@@ -1,16 +1,20 @@
 """Best-fit packing by a grouping genetic algorithm on islands.
 
 Pieces are dealt by hash to blocks of about BLOCK pieces. Every block is evolved by several islands, each a
-task of its own: a solution is a grouping of pieces into bins; crossover injects whole well-filled bins of
-one parent into the other, dissolves the bins that hold duplicates, and places displaced pieces by best fit.
-Between epochs each island's elites migrate to the next island of its block; at the end the best solution
-of a block's islands stays. No step holds more than a block, so groups of any size are dealt out evenly.
+task of its own: a solution is a grouping of pieces into bins; the first ones are built by best fit from random
+orders, and one from falling lengths. Crossover injects whole well-filled bins of one parent into the other, dissolves
+the bins that hold duplicates, and places displaced pieces by best fit; fewer bins are fitter, and among as many bins those
+that gather the free room in few bins. Between epochs each island's elites migrate to the next island of its block;
+at the end the best solution of a block's islands stays. Bins that are less than FULL then give their pieces to the
+next level, where the blocks' leftovers are dealt and evolved anew, until one block holds them all: so room left over in
+many blocks is used up together. No step holds more than a block, so groups of any size are dealt out evenly.
 """
 
 from __future__ import annotations
 
 import bisect
 import zlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,7 +24,9 @@ from pyspark.sql import functions as F
 from .common import stage, texts_of
 from .tokens import encoder, slices
 
-BLOCK, ISLANDS, EPOCHS, GENERATIONS, ELITES = 4096, 2, 2, 6, 2
+BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION, ELITES = 4096, 2, 2, 10, 6, 2
+#: A bin that is this full is done.
+FULL = 0.99
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
@@ -92,52 +98,50 @@ def crossover(lengths: np.ndarray, a: np.ndarray, b: np.ndarray, capacity: int,
     return child
 
 
-def evolve(lengths: np.ndarray, start: list[np.ndarray], capacity: int, generations: int, seed) -> list[np.ndarray]:
-    """The island's best solutions, best first. `start` holds migrants; the first is best fit decreasing, others are built from shaken orders."""
+def evolve(lengths: np.ndarray, start: list[np.ndarray], capacity: int, generations: int, seed, population: int = POPULATION) -> tuple[list[np.ndarray], int]:
+    """The island's best solutions, best first, and how many generations it ran. `start` holds migrants; others are built by best fit, one in the order of falling lengths, the rest in random orders. It ends early only if no packing can be fitter: as few bins as the sum allows, all full but one."""
     rng = np.random.default_rng(seed)
-    population = list(start)
-    floor = -(-int(lengths.sum()) // capacity)
-    while len(population) < 4:
-        shaken = lengths * rng.uniform(0.8, 1, len(lengths)) if population else lengths
+    total = int(lengths.sum())
+    floor = -(-total // capacity)
+    perfect = (-floor, (floor - 1 + ((total - (floor - 1) * capacity) / capacity) ** 2) / floor - 1e-12)
+    orders = [np.argsort(-lengths, kind="stable")] if not start else []
+    held = list(start)
+    while len(held) < population:
         bins = np.full(len(lengths), -1, np.int64)
-        best_fit(lengths, np.argsort(-shaken, kind="stable"), bins, [], capacity, 0)
-        population.append(bins)
-        if -fitness(lengths, bins, capacity)[0] == floor:
-            break
-    ranked = sorted(population, key=lambda s: fitness(lengths, s, capacity), reverse=True)
-    for _ in range(generations):
-        if -fitness(lengths, ranked[0], capacity)[0] <= floor or len(ranked) < 2:
-            break
-        i, j = rng.permutation(min(4, len(ranked)))[:2]
-        children = [crossover(lengths, ranked[i], ranked[j], capacity, rng), crossover(lengths, ranked[j], ranked[i], capacity, rng)]
-        ranked = sorted(ranked + children, key=lambda s: fitness(lengths, s, capacity), reverse=True)[:4]
-    return ranked
-
-
-def pack(items: DataFrame, capacity: int = 4096, seed: int = 7) -> DataFrame:
-    """Adds sequence_id long and offset long to staged `items` (row_id, piece, length, ...).
-
-    Every length must be 1 to `capacity`. Sequences are filled without gaps from offset 0. Ties and repeated
-    rows are separate pieces; an empty table gives an empty result.
-    """
-    n_blocks = max(1, -(-items.count() // BLOCK))
-    dealt = items.withColumn("block", F.pmod(F.xxhash64("row_id", "piece"), F.lit(n_blocks)))
-    lean = dealt.select("block", "row_id", "piece", "length", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"))
-    shape = "block long, island int, source int, place int, bins binary, n_bins long, fill double"
+        best_fit(lengths, orders.pop() if orders else rng.permutation(len(lengths)), bins, [], capacity, 0)
+        held.append(bins)
+    ranked = sorted(((fitness(lengths, s, capacity), k, s) for k, s in enumerate(held)), reverse=True, key=lambda x: x[:2])
+    ran = 0
+    while ran < generations and ranked[0][0] < perfect:
+        i, j = rng.permutation(len(ranked))[:2]
+        children = [crossover(lengths, ranked[x][2], ranked[y][2], capacity, rng) for x, y in ((i, j), (j, i))]
+        ran += 1
+        ranked += [(fitness(lengths, s, capacity), -2 * ran - k, s) for k, s in enumerate(children)]
+        ranked = sorted(ranked, reverse=True, key=lambda x: x[:2])[:population]
+    return [s for _, _, s in ranked], ran
+
+
+def evolved(lean: DataFrame, capacity: int, seed: int) -> DataFrame:
+    """The elites of all islands after the last epoch: block, island, source, place, bins, n_bins, fill, generations. `lean` has block, row_id, piece, length; it is staged."""
+    lean = lean.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))))
+    shape = "block long, island int, source int, place int, bins binary, n_bins long, fill double, generations int"
+    names = [c.split()[0] for c in shape.split(", ")]
 
     def epoch(key, pdf: pd.DataFrame, migrants: pd.DataFrame, turn: int) -> pd.DataFrame:
         pdf = pdf.sort_values(["row_id", "piece"])
         lengths = pdf["length"].to_numpy(np.int64)
         if not len(lengths):
-            return pd.DataFrame([], columns=[c.split()[0] for c in shape.split(", ")])
+            return pd.DataFrame([], columns=names)
         block, island = int(key[0]), int(key[1])
         start = [np.frombuffer(b, "<i4").astype(np.int64) for b in migrants.sort_values(["source", "place"])["bins"]] if len(migrants) else []
+        before = int(migrants["generations"].max()) if len(migrants) else 0
         out = []
-        for place, s in enumerate(evolve(lengths, start, capacity, GENERATIONS, [seed, turn, block, island])[:ELITES]):
+        found, ran = evolve(lengths, start, capacity, GENERATIONS, [seed, turn, block, island])
+        for place, s in enumerate(found[:ELITES]):
             n, fill = fitness(lengths, s, capacity)
             for to in {island, (island + 1) % ISLANDS}:
-                out.append((block, to, island, place, s.astype("<i4").tobytes(), -n, fill))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in shape.split(", ")])
+                out.append((block, to, island, place, s.astype("<i4").tobytes(), -n, fill, before + ran))
+        return pd.DataFrame(out, columns=names)
 
     def resumed(turn: int):
         return lambda key, pdf, migrants: epoch(key, pdf, migrants, turn)
@@ -145,9 +149,15 @@ def pack(items: DataFrame, capacity: int = 4096, seed: int = 7) -> DataFrame:
     elites = stage(lean.groupBy("block", "island").applyInPandas(lambda key, pdf: epoch(key, pdf, pdf[:0], 0), shape), "elites")
     for turn in range(1, EPOCHS):
         elites = stage(lean.groupBy("block", "island").cogroup(elites.groupBy("block", "island")).applyInPandas(resumed(turn), shape), "elites")
-    best = elites.groupBy("block").agg(F.max_by("bins", F.struct(-F.col("n_bins"), "fill", "source", "place", "bins")).alias("bins"))
+    return elites
+
 
-    names = [*items.columns, "sequence_id", "offset"]
+def pack_level(items: DataFrame, capacity: int, seed: int, level: int, n_blocks: int) -> DataFrame:
+    """items with sequence_id, offset and filled (the sum of the sequence's lengths)."""
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("row_id", "piece", F.lit(level)), F.lit(n_blocks)))
+    elites = evolved(dealt.select("block", "row_id", "piece", "length"), capacity, seed)
+    best = elites.groupBy("block").agg(F.max_by("bins", F.struct(-F.col("n_bins"), "fill", "source", "place", "bins")).alias("bins"))
+    names = [*items.columns, "sequence_id", "offset", "filled"]
 
     def place(pdf: pd.DataFrame, won: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["row_id", "piece"]).reset_index(drop=True)
@@ -155,19 +165,46 @@ def pack(items: DataFrame, capacity: int = 4096, seed: int = 7) -> DataFrame:
             return pd.DataFrame([], columns=names)
         bins = np.frombuffer(won["bins"].iloc[0], "<i4")
         order = np.argsort(bins, kind="stable")
-        lengths = pdf["length"].to_numpy(np.int64)[order]
-        before = np.cumsum(lengths) - lengths
+        lengths = pdf["length"].to_numpy(np.int64)
+        before = np.cumsum(lengths[order]) - lengths[order]
         first = np.r_[True, np.diff(bins[order]) != 0]
         offset = np.empty(len(pdf), np.int64)
         offset[order] = before - np.maximum.accumulate(np.where(first, before, 0))
-        pdf["sequence_id"] = (pdf["block"].to_numpy(np.int64) << 20) + bins
+        pdf["sequence_id"] = (level << 54) + (pdf["block"].to_numpy(np.int64) << 14) + bins
         pdf["offset"] = offset
+        pdf["filled"] = np.bincount(bins, lengths).astype(np.int64)[bins]
         return pdf[names]
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema) + ", sequence_id long, offset long"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema) + ", sequence_id long, offset long, filled long"
     return dealt.groupBy("block").cogroup(best.groupBy("block")).applyInPandas(place, schema)
 
 
+def pack(items: DataFrame, capacity: int = 4096, seed: int = 7) -> DataFrame:
+    """Adds sequence_id long and offset long to staged `items` (row_id, piece, length, ...).
+
+    Every length must be 1 to `capacity`. Sequences are filled without gaps from offset 0. Ties and repeated
+    rows are separate pieces; an empty table gives an empty result.
+    """
+    done, left, n, level = [], items, items.count(), 0
+    while True:
+        n_blocks = max(1, -(-n // BLOCK))
+        placed = pack_level(left, capacity, seed, level, n_blocks)
+        if n_blocks == 1:
+            done.append(placed)
+            break
+        placed = stage(placed, "packed")
+        full = F.col("filled") >= FULL * capacity
+        done.append(placed.where(full))
+        left = placed.where(~full).select(items.columns)
+        before, n, level = n, left.count(), level + 1
+        if not n:
+            break
+        if 2 * n > before:  # pieces that can't fill bins: no level would
+            done.append(placed.where(~full))
+            break
+    return reduce(DataFrame.unionByName, done).drop("filled")
+
+
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """Pieces of all documents with the sequence and offset of each."""
     return pack(stage(pieces(docs, vocabulary, capacity, end_id), "pieces"), capacity)

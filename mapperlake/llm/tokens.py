@@ -1,8 +1,8 @@
 """Ids by the `tokenizers` library for whole texts, one encoding per distinct blank-separated chunk.
 
 The vocabulary drops white space before its merges, so no merge and no normalisation crosses a blank: a
-text's ids are the ids of its chunks in order. Strings of special tokens are ordinary text, as they come
-from documents.
+text's ids are the ids of its chunks in order. As in the library, the vocabulary's added tokens are found in
+texts; they hold no blank, so they too are within a chunk, which then takes the library's way.
 """
 
 from __future__ import annotations
@@ -37,7 +37,6 @@ class ChunkEncoder(dict):
         super().__init__()
         trim()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.merge = self.tokenizer.model.tokenize
         self.letters = _byte_letters()
         self.points = {c: self[c] for c in ("", ".", ",")}
