@@ -4,7 +4,8 @@ Encoding: the pattern splits a text; a match that is itself a token gets its id;
 of (word, position, id) rows, from its bytes on. A recursive query joins neighbours with the merge table and
 contracts each word's minimum-rank pair, leftmost first and wherever it recurs without overlap (a pair that
 holds a merged token always has a higher rank than the token, so no later occurrence can be overtaken),
-until no pair is in the table. Each distinct match is encoded once per worker. Decoding: (text, position,
+until no pair is in the table. A query keeps the rows of all its rounds, so after ROUNDS of them the words that aren't
+done go on in another query, from their last rows: very long matches take bounded memory. Each distinct match is encoded once per worker. Decoding: (text, position,
 id) rows join the vocabulary, and an ordered aggregation puts the bytes together.
 """
 
@@ -24,6 +25,8 @@ from .tokens import slices
 STORE = 1_500_000
 #: Bytes that one recursive query starts from.
 START_BYTES = 1_500_000
+#: Rounds of one recursive query.
+ROUNDS = 32
 
 #: Each round contracts a word's least pair (l, r). Where l and r differ, hits can't overlap. Where they are twins, every other one of a run of hits is taken.
 ENCODE = """
@@ -31,7 +34,7 @@ WITH RECURSIVE t AS (
   SELECT 0 AS round, word, pos, id FROM start
   UNION ALL (
     WITH pairs AS (
-      SELECT round, word, pos, id, lead(id) OVER w AS following, lag(id) OVER w AS previous FROM t WINDOW w AS (PARTITION BY word ORDER BY pos)
+      SELECT round, word, pos, id, lead(id) OVER w AS following, lag(id) OVER w AS previous FROM t WHERE round < $rounds WINDOW w AS (PARTITION BY word ORDER BY pos)
     ), ranked AS (
       SELECT p.*, m.merged FROM pairs p LEFT JOIN merges m ON m.left_id = p.id AND m.right_id = p.following
     ), best AS (
@@ -47,12 +50,11 @@ WITH RECURSIVE t AS (
     SELECT round + 1, word, pos, CASE WHEN hit AND k % 2 = 1 THEN least ELSE id END FROM twins WHERE k = 1 OR k % 2 = 1
   )
 ), last AS (SELECT word, max(round) AS round FROM t GROUP BY word)
-SELECT t.word, list(t.id ORDER BY t.pos) AS ids FROM t JOIN last ON t.word = last.word AND t.round = last.round GROUP BY t.word
+SELECT t.word, any_value(t.round) AS round, list(t.id ORDER BY t.pos) AS ids FROM t JOIN last ON t.word = last.word AND t.round = last.round GROUP BY t.word
 """
-#: One thread adds the sorted rows of a text in their order.
 DECODE = """
-SELECT doc, string_agg(bytes, '') AS bytes FROM (
-  SELECT r.doc, v.bytes FROM (SELECT doc, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM coded) r JOIN vocabulary v ON v.id = r.id ORDER BY r.doc, r.pos
+SELECT doc, string_agg(bytes, '' ORDER BY pos) AS bytes FROM (
+  SELECT r.doc, r.pos, v.bytes FROM (SELECT doc, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM coded) r JOIN vocabulary v ON v.id = r.id
 ) GROUP BY doc
 """
 
@@ -98,16 +100,22 @@ class ByteBpe:
                 total += len(words[end])
                 end += 1
             part = words[at:end]
-            n = np.array([len(w) for w in part])
-            ids = self.byte_id[np.frombuffer(b"".join(part), np.uint8)]
-            word = np.repeat(np.arange(len(part), dtype=np.int32), n)
-            pos = (np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
-            self.db.register("start", pa.table({"word": word, "pos": pos, "id": ids}))
-            got = self.db.sql(ENCODE).to_arrow_table()
-            self.db.unregister("start")
             found: list[list[int]] = [[]] * len(part)
-            for w, x in zip(got.column("word").to_pylist(), got.column("ids").to_pylist(), strict=True):
-                found[w] = x
+            which, n = np.arange(len(part), dtype=np.int32), np.array([len(w) for w in part])
+            ids = self.byte_id[np.frombuffer(b"".join(part), np.uint8)]
+            while len(which):
+                pos = (np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+                self.db.register("start", pa.table({"word": np.repeat(which, n), "pos": pos, "id": ids}))
+                got = self.db.sql(ENCODE, params={"rounds": ROUNDS}).to_arrow_table()
+                self.db.unregister("start")
+                again = []
+                for w, r, x in zip(*(got.column(c).to_pylist() for c in ("word", "round", "ids")), strict=True):
+                    if r < ROUNDS:
+                        found[w] = x
+                    else:
+                        again.append((w, x))
+                which, n = np.array([w for w, _ in again], np.int32), np.array([len(x) for _, x in again], np.int64)
+                ids = np.array([i for _, x in again for i in x], np.int32)
             out += found
             at = end
         return out
@@ -195,7 +203,11 @@ def decode(coded: DataFrame, ranks: str, pattern: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: digests of each text's ids and of what they decode to."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: digests of each text's ids and of what they decode to.
+
+    A null text counts as empty; texts and matches of any length are encoded whole; each of repeated rows gives a row;
+    an empty table gives none. Other columns of docs don't matter.
+    """
 
     def run(batches):
         import numpy as np

@@ -233,6 +233,15 @@ def test_byte_bpe(spark, texts, reference):
     assert bpe.round_trip(empty(spark), path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_long_matches_take_several_queries(reference, monkeypatch):
+    monkeypatch.setattr(bpe, "ROUNDS", 7)
+    coder = bpe.ByteBpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    r = random.Random(6)
+    every = ["".join(r.choice("abcdefghij") for _ in range(n)) for n in (1, 30, 2500, 400)] + ["a" * 3000, "short words too", "abab" * 200]
+    got = coder.encode(every)
+    assert got == [reference.encode_ordinary(t) for t in every]
+
+
 # 4 ------------------------------------------------------------------------------------------------
 
 
