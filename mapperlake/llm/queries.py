@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, fingerprint, jaccard, line_dedup, lm, packing, quality, sharding, token_files, warc
-from .common import documents
+from .common import documents, lean
 
 WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -52,8 +52,8 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return warc.derivatives(warc.responses(pages)).drop("metadata", "conversion")
+    lean(spark)
+    return warc.write_and_read(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def queries() -> dict:
