@@ -90,6 +90,18 @@ def tasks(df: DataFrame, size: int = 128 << 20) -> int:
     return max(partitions(df.sparkSession), -(-known // size) if known < 1 << 56 else 1)
 
 
+def largest(df: DataFrame, count: str, key: str, limit: int) -> DataFrame:
+    """About `limit` rows of staged df with the largest counts, if it has so many: those from a count on that a histogram of some thousand rows tells, so that no task orders all rows. Where more rows than fit have that count's size, a hash of `key` decides."""
+    size = F.floor(F.log2(F.col(count).cast("double")) * 64)
+    bins = sorted(((x["size"], x["n"]) for x in df.groupBy(size.alias("size")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    left = limit
+    for b, n in bins:
+        if n > left:
+            return df.where((size > b) | (size == b) & (F.pmod(F.xxhash64(key), F.lit(4096)) < left * 4096 // n - 64))
+        left -= n
+    return df
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most `limit` rows (counted, so stage it first), else as it is."""
     return F.broadcast(df) if df.count() <= limit else df

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, drop_stage, partitions, release, small, stage, texts_of, trim
+from .common import BROADCAST_ROWS, drop_stage, largest, partitions, release, small, stage, texts_of, trim
 from .components import components
 from .shingles import shingle_sets
 from .tokens import slices
@@ -428,7 +428,8 @@ def join(docs: DataFrame, every_link: bool = False) -> tuple[DataFrame, DataFram
     sets = stage(set_table(docs), "sets")
     seen = sets.where("set IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "set")
     classes = stage(seen.groupBy("set").agg(F.min("doc_id").alias("class")), "classes")
-    hot = sets.select(F.explode(F.arrays_zip("shared", "shared_n")).alias("x")).groupBy(F.col("x.shared").alias("s")).agg(F.sum("x.shared_n").alias("n")).orderBy(F.desc("n"), "s").limit(HOT).toArrow()
+    often = stage(sets.select(F.explode(F.arrays_zip("shared", "shared_n")).alias("x")).groupBy(F.col("x.shared").alias("s")).agg(F.sum("x.shared_n").alias("n")), "often")
+    hot = largest(often, "n", "s", HOT).toArrow()
     hot_s, hot_n = hot.column("s").to_numpy().astype(np.int64).view(np.uint64), hot.column("n").to_numpy().astype(np.int64)
 
     member = stage(seen.join(classes, "set").select("doc_id", "class").distinct(), "members")

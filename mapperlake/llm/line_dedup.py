@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, partitions, stage, texts_of, trim
+from .common import BROADCAST_ROWS, largest, partitions, stage, texts_of, trim
 from .tokens import slices
 
 #: Characters of texts that are hashed at once: a step holds some forty bytes for each.
@@ -324,7 +324,8 @@ def removals(docs: DataFrame) -> DataFrame:
     """doc_id, removed: array of (place, line hash) that go, for documents that lose lines; and, as `n_lines`, lines that could be duplicates."""
     found = stage(lines_of(docs), "lines")
     lines = found.where("kind = 'line'")
-    hot = lines.select(F.explode(F.arrays_zip("hot", "hot_n")).alias("x")).groupBy(F.col("x.hot").alias("key")).agg(F.sum("x.hot_n").alias("n")).orderBy(F.desc("n"), "key").limit(HOT)
+    often = stage(lines.select(F.explode(F.arrays_zip("hot", "hot_n")).alias("x")).groupBy(F.col("x.hot").alias("key")).agg(F.sum("x.hot_n").alias("n")), "often")
+    hot = largest(often, "n", "key", HOT)
     first = F.min(F.struct(F.col("doc_id").alias("doc"), F.col("places")[0].alias("place"))).alias("first")
     distinct = stage(lines.groupBy("line").agg(first, F.first("keys").alias("keys"), F.first("parity").alias("parity")), "distinct")
     met = stage(meetings(distinct, stage(hot, "hot")), "met")

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, texts_of
+from .common import largest, stage, texts_of
 from .tokens import slices
 
 DIM, NOISE, BATCH, RATE = 32, 64, 4096, 0.1
@@ -281,8 +281,9 @@ def choose_classes(counts: DataFrame, head_words: list[bytes], distinct: int) ->
     own = F.array(*[F.substring("word", -k, k) for k in range(1, ENDING + 1)])
     known = counts.sparkSession.createDataFrame([(w,) for w in names], "word binary")
     ends = counts.join(F.broadcast(known), "word", "left_anti").select(F.explode(F.array_distinct(own)).alias("ending"), "c").where(F.length("ending") > 0)
-    ends = ends.groupBy("ending").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "ending").limit(n - 1 - len(names))
-    return names, [bytes(x["ending"]) for x in ends.collect()]
+    ends = stage(ends.groupBy("ending").agg(F.sum("c").alias("c")), "endings")
+    found = sorted(((x["c"], bytes(x["ending"])) for x in largest(ends, "c", "ending", 2 * MOST).collect()), key=lambda x: (-x[0], x[1]))
+    return names, [e for _, e in found[: n - 1 - len(names)]]
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -290,15 +291,15 @@ def score(docs: DataFrame) -> DataFrame:
 
     A null or empty text is its end token alone; a text of any length is scored whole. Repeated rows and rows with
     null or equal doc_ids are scored apart, and each counts in training. Words that tie in frequency are ordered by
-    their bytes. Other columns of docs are left alone. Without training tokens base_score is that of unseen tokens;
+    their bytes (at the HEAD's edge, by a hash). Other columns of docs are left alone. Without training tokens base_score is that of unseen tokens;
     an empty table gives no rows.
     """
     spark = docs.sparkSession
     folded = with_fold(docs)
     counts = stage(token_counts(folded), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    head = counts.orderBy(F.desc("c"), "word").limit(HEAD).toArrow()
-    head_words, head_counts = head.column("word").to_pylist(), np.array(head.column("c").to_pylist(), np.int64)
+    head = sorted(((x["word"], x["c"]) for x in largest(counts, "c", "word", HEAD).toArrow().to_pylist()), key=lambda x: (-x[1], x[0]))
+    head_words, head_counts = [w for w, _ in head], np.array([c for _, c in head], np.int64)
     names, endings = choose_classes(counts, head_words, distinct)
     mass = class_masses(counts, names, endings)
     share = mass / mass.sum()

@@ -18,7 +18,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from mapperlake.llm import bpe, components, fingerprint, jaccard, line_dedup, lm, packing, quality, queries, sharding, shingles, token_files, warc
+from mapperlake.llm import bpe, common, components, fingerprint, jaccard, line_dedup, lm, packing, quality, queries, sharding, shingles, token_files, warc
 from mapperlake.llm.tokens import encoder
 
 SF = "/root/testdata/sf0.001"
@@ -499,6 +499,18 @@ def test_bounds_never_lose():
             assert jaccard._may_link(len(a), jaccard._wide(a), len(b), jaccard._wide(b))
 
 
+def test_largest(spark):
+    r = random.Random(2)
+    rows = [(k, 2 ** r.randint(0, 12)) for k in range(5000)]
+    df = spark.createDataFrame(rows, "k long, n long")
+    for limit in (100, 1000, 6000):
+        got = common.largest(df, "n", "k", limit).collect()
+        assert min(5000, limit) * 0.7 <= len(got) <= 1.3 * limit
+        left = set(rows) - {(x["k"], x["n"]) for x in got}
+        assert not left or max(n for _, n in left) <= min(x["n"] for x in got)
+    assert common.largest(df.limit(0), "n", "k", 9).count() == 0
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 140)] + [(7, 7), (200, 201)]
     got = {r["doc"]: r["label"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -699,6 +711,76 @@ def test_warc(spark, tmp_path):
     data = b"".join(gzip.open(f["file"]).read() for f in files if f["records"])
     assert sum(f["records"] for f in files) == 4 and data.count(b"WARC/1.1\r\n") == 4
     assert warc.derivatives(warc.responses(pages.limit(0))).count() == 0
+    columns = [c.split()[0] for c in warc.READ.split(", ")]
+    got = sorted((tuple(x[c] for c in columns) for x in warc.write_and_read(pages).collect()), key=str)
+    assert got == sorted((tuple(x[c] for c in columns) for x in done), key=str) and all(x["digest_matches"] for x in done)
+    assert warc.write_and_read(pages.limit(0)).count() == 0
+    whole = b"".join(gzip.open(f).read() for f in (tmp_path / "g").glob("*.gz")) if warc.write_files(warc.derivatives(sources), str(tmp_path / "g")) is None else b""
+    assert whole.count(b"WARC/1.1\r\n") >= 8 and whole.endswith(b"\r\n\r\n")
+
+
+def test_warc_files_are_read_by_length(spark, tmp_path):
+    """Contents with blank lines and WARC headers in them, cut anywhere, come back whole; a changed content is told."""
+    pairs = []
+    for k, text in enumerate(["a\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nabc", "", "\r\n", "\r\n\r\n", "x" * 100_000, "é\r\n"]):
+        d = warc.derive(warc.response(str(k), f"http://h/{k}", "<p>x</p>", "2020-01-01T00:00:00Z"), k)
+        content = text.encode()
+        base = [("WARC-Type", "conversion"), ("WARC-Record-ID", d["conversion_id"]), ("WARC-Refers-To", d["response_id"]), ("WARC-Source-Payload-Digest", d["source_digest"]), ("WARC-Block-Digest", warc.digest(content if k else b"other"))]
+        pairs.append((bytearray(d["metadata"]), bytearray(warc.record(base, content))))
+    warc.write_files(spark.createDataFrame(pairs, "metadata binary, conversion binary").coalesce(1), str(tmp_path / "files"))
+    got = {x["page_id"]: x for x in warc.read_files(spark, str(tmp_path / "files")).collect()}
+    assert [got[k]["conversion_length"] for k in range(6)] == [len(b"a\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nabc"), 0, 2, 4, 100_000, 4]
+    assert [got[k]["digest_matches"] for k in range(6)] == [False] + [True] * 5
+
+
+def slow_plain(html):
+    """Texts and links by Python's own parser of HTML."""
+    from html.parser import HTMLParser
+
+    class P(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.parts, self.links, self.skip = [], [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.skip += tag in ("script", "style", "template", "noscript")
+            if tag in warc._BLOCKS and not self.skip:
+                self.parts.append("\n")
+            if tag == "a" and not self.skip:
+                self.links += [v or "" for k, v in attrs if k == "href"]
+
+        def handle_endtag(self, tag):
+            self.skip -= tag in ("script", "style", "template", "noscript")
+            if tag in warc._BLOCKS and not self.skip:
+                self.parts.append("\n")
+
+        def handle_data(self, data):
+            if not self.skip:
+                self.parts.append(data.replace("\n", " "))
+
+    p = P()
+    p.feed(html)
+    p.close()
+    lines = (" ".join(x.split()) for x in "".join(p.parts).split("\n"))
+    return [w for x in lines for w in x.split()], p.links
+
+
+def test_plain_text_against_another_parser(spark):
+    for row in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("html").collect():
+        text, _, links = warc.plain(row["html"] or "")
+        assert (text.split(), links) == slow_plain(row["html"] or "")
+
+
+def test_plain_text_is_linear():
+    import time
+
+    for piece in ("<!--", "<script>", '<a "', "<a ", "<title>", "<a '\"", "<![CDATA[", "</x ", "<a " + "b" * 40, "&#" + "9" * 60, "<a href='", "<style", "<a '>\"", '<p "<i \'', "</script   ", "<"):
+        page = piece * (1_000_000 // len(piece))
+        began = time.process_time()
+        warc.plain(page)
+        warc.plain(page + ">")
+        assert time.process_time() - began < 10, piece
+    assert warc.plain("<a title='x > y' href=\"/1\">one</a> 1 < 2 <b class='<'>b</b> <a 'open") == ("one 1 < 2 b <a 'open", "", ["/1"])
 
 
 # pipeline -----------------------------------------------------------------------------------------
