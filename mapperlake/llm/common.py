@@ -6,12 +6,15 @@ import atexit
 import gc
 import tempfile
 import uuid
+import warnings
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of up to three longs that a broadcast may hold; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Bytes that a broadcast may hold; beyond it the join shuffles.
+BROADCAST_BYTES = 32 << 20
 
 _fallback: list[str] = []
 _written: list[tuple[object, str]] = []
@@ -23,6 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     if held:
         return held.rstrip("/")
     if not _fallback:
+        warnings.warn("spark.checkpoint.dir isn't set: intermediate tables go to a folder of this machine", stacklevel=2)
         _fallback.append("file://" + tempfile.mkdtemp(prefix="mapperlake-"))
     return _fallback[0]
 
@@ -102,9 +106,21 @@ def largest(df: DataFrame, count: str, key: str, limit: int) -> DataFrame:
     return df
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `limit` rows (counted, so stage it first), else as it is."""
-    return F.broadcast(df) if df.count() <= limit else df
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its rows have at most `limit` bytes (measured, so stage it first), else as it is."""
+    fixed, sizes = 16, []
+    for f in df.schema:
+        kind = f.dataType
+        fixed += 8
+        if isinstance(kind, T.ArrayType):
+            width = 8 + 16 * isinstance(kind.elementType, T.StructType) + 8 * (len(kind.elementType.fields) if isinstance(kind.elementType, T.StructType) else 0)
+            sizes.append(16 + F.greatest(F.size(f.name), F.lit(0)) * width)
+        elif isinstance(kind, T.StructType):
+            fixed += 16 + 8 * len(kind.fields)
+        elif isinstance(kind, (T.StringType, T.BinaryType)):
+            sizes.append(F.coalesce(F.octet_length(f.name), F.lit(0)))
+    n = df.select(F.sum(reduce(Column.__add__, sizes, F.lit(fixed)).cast("long"))).first()[0] or 0
+    return F.broadcast(df) if n <= limit else df
 
 
 def lean(spark: SparkSession) -> None:

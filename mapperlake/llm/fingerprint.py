@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import tasks
 
 #: Hex digits kept of a section's or paragraph's digest, and of a piece's.
 SHORT, PIECE = 8, 5
@@ -132,12 +132,12 @@ def _order() -> WindowSpec:
 def in_ranges(docs: DataFrame, column: str = "text") -> DataFrame:
     """doc_id, text (null: empty), range, halo: each range's documents, and (halo) the first one of the next range, the last range's being that of the first.
 
-    doc_id ranges of about equal counts (from approximate quantiles; a bound for each task, never more) are
+    doc_id ranges of about equal counts (from approximate quantiles; a few bounds for each task) are
     windows of their own; each range also gets the first document of the following one. Rows that share a
     doc_id follow each other in the order of their texts. A single document is its own next.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(column), F.lit("")).alias("text"))
-    n = 4 * partitions(docs.sparkSession)
+    n = 4 * tasks(docs)
     bounds = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [k / n for k in range(1, n)], 100 * n)).first()[0] if n > 1 else []
     bounds = sorted(set(bounds or []))
     steps = max(1, len(bounds).bit_length())

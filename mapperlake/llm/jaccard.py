@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, drop_stage, largest, partitions, release, small, stage, texts_of, trim
+from .common import drop_stage, largest, release, small, stage, tasks, texts_of, trim
 from .components import components
 from .shingles import shingle_sets
 from .tokens import slices
@@ -179,11 +179,10 @@ def tiles(signed: DataFrame) -> DataFrame:
     first meets, and near copies share hundreds. Tiles of more than BLOCK documents (those that tasks found frequent
     before, and any other by its true count) are dealt out by size band and pairs of blocks.
     """
-    spark = signed.sparkSession
     # flipped, signed order is the unsigned one
     flip = F.lit(-(1 << 63)).cast("long")
     postings = signed.select("doc_id", F.explode("postings").alias("posting"))
-    ordered = postings.repartition(partitions(spark), F.shiftrightunsigned("posting", 12)).sortWithinPartitions(F.col("posting").bitwiseXOR(flip)).select("posting", "doc_id")
+    ordered = postings.repartition(tasks(signed), F.shiftrightunsigned("posting", 12)).sortWithinPartitions(F.col("posting").bitwiseXOR(flip)).select("posting", "doc_id")
     found = stage(ordered.mapInArrow(tile_collector(BLOCK, ROWS), "shingle long, chunk int, members binary, docs array<long>, pos array<int>"), "found")
     rep = found.where("members IS NOT NULL").groupBy("members").agg(F.min(F.struct("pos", "docs", "shingle")).alias("x"))
     pairs_of = lambda c: F.explode(F.arrays_zip(F.col(f"{c}docs").alias("docs"), F.col(f"{c}pos").alias("pos"))).alias("y")
@@ -344,7 +343,7 @@ def candidates(tiled: DataFrame, labels: DataFrame | None = None, near: int = 2)
         trim()
 
     rows = tiled.join(labels, tiled["doc_id"] == labels["doc"], "left").withColumn("label", F.coalesce("label", "doc_id")).drop("doc") if labelled else tiled
-    dealt = rows.repartition(partitions(tiled.sparkSession), "shingle", "part").sortWithinPartitions("shingle", "part", "n", "doc_id")
+    dealt = rows.repartition(tasks(tiled), "shingle", "part").sortWithinPartitions("shingle", "part", "n", "doc_id")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -370,7 +369,7 @@ def _may_link(n: int, a: bytes, m: int, b: bytes) -> bool:
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The staged pairs whose exact Jaccard is 0.8 or more, staged: what wide signatures leave, by intersection of sorted arrays. Both are made from the whole texts again."""
     involved = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "involved")
-    ids = F.broadcast(involved) if involved.count() <= BROADCAST_ROWS else involved
+    ids = small(involved)
 
     def arrays(batches):
         import pyarrow as pa
@@ -434,7 +433,7 @@ def join(docs: DataFrame, every_link: bool = False) -> tuple[DataFrame, DataFram
 
     member = stage(seen.join(classes, "set").select("doc_id", "class").distinct(), "members")
     copies = stage(member.groupBy("doc_id").agg(F.min(F.when(F.col("class") == F.col("doc_id"), 0).otherwise(1)).alias("copy")).where("copy = 1").select(F.col("doc_id").alias("doc")), "copies")
-    skip = F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies
+    skip = small(copies)
     rows = _rows(docs).where("doc_id IS NOT NULL AND text IS NOT NULL")
     signed = stage(signatures(rows.join(skip, rows["doc_id"] == skip["doc"], "left_anti"), hot_s, hot_n).where("n > 0"), "signed")
     tiled = stage(tiles(signed), "tiles")

@@ -1,14 +1,14 @@
 """Line deduplication by a segment-partition edit join.
 
 Lines are normalised (words joined by one blank, A-Z lowered, digits as 0). Of equal lines the first stays, in
-the order of doc_id and place. A line of LEAST or more characters also goes if an earlier distinct line is
-within EDITS edits of it. Lines of fewer than SHORT characters are left alone.
+the order of doc_id and place. A line of `least` or more characters also goes if an earlier distinct line (of any
+length) is within EDITS edits of it. Lines without words, and those of fewer than `shortest` characters, are left alone.
 
 1. Distinct lines, with their first places, are pre-aggregated in each task and shuffled by hash.
 2. Within EDITS edits, one of EDITS + 1 segments of the shorter line stands unchanged in the longer one, in one of few
    places. Each line gives the keys (length, segment number, substring hash) of its own segments and of
    the substrings that can match segments of lines up to EDITS characters shorter. Keys of only one line are dropped
-   where they meet; keys that tasks find frequent are dealt out by pairs of blocks.
+   where they meet; keys that tasks find frequent, and those whose lines turn out to be many, are dealt out by pairs of blocks.
 3. Where lines meet, 64 parity bits of their characters bound the distance from below (an edit flips two at most).
    First each line is checked against a few earlier ones; only lines that none of these removes meet all others.
 4. Pairs within the bound are verified by a banded bit-parallel edit distance on the whole lines.
@@ -20,12 +20,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, largest, partitions, stage, texts_of, trim
+from .common import largest, small, stage, tasks, texts_of, trim
 from .tokens import slices
 
 #: Characters of texts that are hashed at once: a step holds some forty bytes for each.
 STEP = 500_000
-EDITS, LEAST, SHORT = 2, 24, 10
+EDITS, LEAST, SHORTEST = 2, 24, 1
 HOT, LOCAL, BLOCK, ROWS, PAIRS = 1 << 16, 3, 4096, 50_000, 200_000
 #: A-Z lowered and digits as 0, byte by byte.
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", b"abcdefghijklmnopqrstuvwxyz000000000")
@@ -72,7 +72,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def keys(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def keys(lines: list[bytes], least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """(a row of EDITS + 1 segment keys and len(PROBES) probe keys for each line, 0 where there is none; parity bits)."""
     code = np.frombuffer(b"\n".join(lines).decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     breaks = np.flatnonzero(code == 10)
@@ -88,7 +88,7 @@ def keys(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     def key(length: np.ndarray, segment: int, shift: int) -> np.ndarray:
         size = (length + segment) // (EDITS + 1)
         at = sum((length + k) // (EDITS + 1) for k in range(segment)) + shift
-        ok = (length >= LEAST) & (at >= 0) & (at + size <= n)
+        ok = (length >= max(EDITS + 1, least - EDITS)) & (at >= 0) & (at + size <= n)
         s = np.where(ok, start + at, 0)
         e = np.where(ok, s + size, 0)
         found = _mix(_mix((sums[e] - sums[s]) * down[s]) + length.astype(np.uint64) * np.uint64(_BASE) + np.uint64(segment))
@@ -138,13 +138,14 @@ def _docs(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
-def _lines(text: str) -> list[tuple[int, bytes]]:
+def _lines(text: str, shortest: int = SHORTEST) -> list[tuple[int, bytes]]:
     """Place and normalised text of the lines that can be duplicates."""
     raw = text.encode("utf-8", "surrogatepass").translate(_PLAIN).split(b"\n")
-    return [(k, x) for k, line in enumerate(raw) if len(line) >= SHORT and len(x := b" ".join(line.split())) >= SHORT]
+    found = [(k, x) for k, line in enumerate(raw) if line and (x := b" ".join(line.split()))]
+    return found if shortest <= 1 else [(k, x) for k, x in found if len(x) >= 4 * shortest or len(x.decode("utf-8", "surrogatepass")) >= shortest]
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
+def lines_of(docs: DataFrame, shortest: int = SHORTEST, least: int = LEAST) -> DataFrame:
     """kind 'doc': doc_id, places and hashes of its lines. kind 'line': a step's distinct lines with first place, keys and parity, and keys that are frequent in the step."""
 
     def run(batches):
@@ -162,7 +163,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
                 number: dict[bytes, int] = {}
                 n_lines, places, which = [], [], []
                 for doc, t in zip(ids[a:b], texts[a:b], strict=True):
-                    found = _lines(t)
+                    found = _lines(t, shortest)
                     n_lines.append(len(found))
                     for k, x in found:
                         i = number.get(x)
@@ -181,7 +182,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names)
                 if not lines:
                     continue
-                signed, parity = keys(lines)
+                signed, parity = keys(lines, least)
                 held, n = np.unique(signed[signed != 0], return_counts=True)
                 many, m = n >= LOCAL, len(lines)
                 counts = np.r_[int(many.sum()), np.zeros(m - 1, np.int64)]
@@ -195,33 +196,52 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return _docs(docs).mapInArrow(run, "kind string, doc_id long, places array<int>, lines array<long>, line long, keys array<long>, parity long, hot array<long>, hot_n array<long>")
 
 
-def _met(batches):
-    """Rows of keys that several lines of the partition have, one of them as its own segment (each key is in one partition)."""
-    import pyarrow as pa
+def meeting_collector(block: int, rows_held: int):
+    """For mapInArrow: key, own, line, chunk of rows in the order of keys, but for keys that only one line has or none as its own segment; a key's rows are numbered in chunks of `block`."""
+
+    def step(k: np.ndarray, own: np.ndarray, line: np.ndarray, before: int, more: bool):
+        """The rows of keys k; the first one has `before` chunks already, the last one goes on if there is `more`."""
+        import pyarrow as pa
 
-    held = [tuple(b.column(c).to_numpy() for c in ("key", "own", "line")) for b in batches]
-    if held:
-        k, own, line = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.argsort(k, kind="stable")
-        k, own, line = k[order], own[order], line[order]
         edge = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
         n = np.diff(np.r_[edge, len(k)])
-        many = np.repeat((n > 1) & (np.add.reduceat(own.astype(np.int64), edge) > 0), n)
-        yield pa.RecordBatch.from_arrays([pa.array(k[many]), pa.array(own[many]), pa.array(line[many])], ["key", "own", "line"])
+        many = (n > 1) & (np.add.reduceat(own.astype(np.int64), edge) > 0)
+        many[0] |= before > 0
+        many[-1] |= more
+        chunk = (np.arange(len(k)) - np.repeat(edge, n)) // block
+        chunk[: n[0]] += before
+        rows = np.repeat(many, n)
+        return pa.RecordBatch.from_arrays([pa.array(k[rows]), pa.array(own[rows]), pa.array(line[rows]), pa.array(chunk[rows].astype(np.int32))], ["key", "own", "line", "chunk"])
+
+    def run(batches):
+        held, before = [np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64)], 0
+        for batch in batches:
+            held = [np.r_[x, batch.column(c).to_numpy()] for x, c in zip(held, ("key", "own", "line"), strict=True)]
+            while len(held[0]) >= rows_held:
+                last = int(np.searchsorted(held[0], held[0][-1]))  # the last key may go on
+                cut = last or len(held[0]) // block * block
+                yield step(*(x[:cut] for x in held), before, not last)
+                before = 0 if last else before + cut // block
+                held = [x[cut:] for x in held]
+        if len(held[0]):
+            yield step(*held, before, False)
+
+    return run
 
 
 def meetings(distinct: DataFrame, hot: DataFrame) -> DataFrame:
-    """key, part, own, line, doc, place, parity: the lines that meet. hot: key, n of frequent keys (at most HOT rows)."""
-    spark = distinct.sparkSession
+    """key, part, own, line, doc, place, parity: the lines that meet. hot: key, n of frequent keys (about HOT rows at most); keys that more than BLOCK lines have are dealt out by their true number too."""
     rows = distinct.select("line", F.posexplode("keys").alias("i", "key")).where("key <> 0").select("key", F.when(F.col("i") <= EDITS, 1).otherwise(0).alias("own"), "line")
     known = F.broadcast(hot.select(F.col("key").alias("hot_key"), F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks")))
     rows = rows.join(known, rows["key"] == known["hot_key"], "left")
-    lone = rows.where("hot_key IS NULL").select("key", "own", "line").repartition(partitions(spark), "key").mapInArrow(_met, "key long, own int, line long").withColumn("part", F.lit(0).cast("long"))
-    own = F.pmod(F.xxhash64("line"), F.col("blocks"))
-    split = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.least(x, own) * F.col("blocks") + F.greatest(x, own))
-    dealt = rows.where("hot_key IS NOT NULL").select("key", "own", "line", F.explode(split).alias("part"))
+    lone = rows.where("hot_key IS NULL").select("key", "own", "line").repartition(tasks(distinct), "key").sortWithinPartitions("key")
+    lone = stage(lone.mapInArrow(meeting_collector(BLOCK, ROWS), "key long, own int, line long, chunk int"), "keys")
+    large = stage(lone.where("chunk > 0").groupBy("key").agg((F.max("chunk") + 1).cast("long").alias("blocks")), "large")
+    pair = lambda own: F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.least(x, own) * F.col("blocks") + F.greatest(x, own))
+    split = lone.join(small(large), "key", "left").withColumn("part", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pair(F.col("chunk").cast("long"))))) if large.limit(1).count() else lone.withColumn("part", F.lit(0).cast("long"))
+    dealt = rows.where("hot_key IS NOT NULL").select("key", "own", "line", F.explode(pair(F.pmod(F.xxhash64("line"), F.col("blocks")))).alias("part"))
     about = distinct.select("line", "first.doc", "first.place", "parity")
-    return lone.unionByName(dealt).join(about, "line")
+    return split.select("key", "own", "line", "part").unionByName(dealt).join(about, "line")
 
 
 def meeting_pairs(met: np.ndarray, own: np.ndarray, line: np.ndarray, rank: np.ndarray, parity: np.ndarray, done: np.ndarray | None) -> np.ndarray:
@@ -284,16 +304,15 @@ def candidates(met: DataFrame, done: DataFrame | None = None) -> DataFrame:
         trim()
 
     rows = met.join(done.withColumn("done", F.lit(True)), "line", "left").withColumn("done", F.coalesce("done", F.lit(False))) if second else met
-    dealt = rows.repartition(partitions(met.sparkSession), "key", "part").sortWithinPartitions("key", "part")
+    dealt = rows.repartition(tasks(met), "key", "part").sortWithinPartitions("key", "part")
     return dealt.mapInArrow(run, "earlier long, later long").distinct()
 
 
-def verified(docs: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The staged pairs within EDITS edits, on whole lines read again from the documents that have them first."""
+def verified(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, least: int = LEAST) -> DataFrame:
+    """The staged pairs within EDITS edits whose later line has `least` characters, on whole lines read again from the documents that have them first."""
     wanted = stage(pairs.select(F.explode(F.array("earlier", "later")).alias("line")).distinct().join(distinct.select("line", F.col("first.doc").alias("doc")), "line"), "wanted")
-    small = wanted.count() <= BROADCAST_ROWS
-    homes = wanted.select("doc").distinct()
-    lines = wanted.select(F.col("line").alias("wanted"))
+    homes = small(stage(wanted.select("doc").distinct(), "homes"))
+    lines = small(wanted.select(F.col("line").alias("wanted")))
 
     def read(batches):
         import pyarrow as pa
@@ -308,21 +327,22 @@ def verified(docs: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFram
         import pyarrow as pa
 
         for batch in batches:
-            near = [within(x.decode("utf-8", "surrogatepass"), y.decode("utf-8", "surrogatepass")) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+            both = ([v.decode("utf-8", "surrogatepass") for v in batch.column(c).to_pylist()] for c in "xy")
+            near = [len(y) >= least and within(x, y) for x, y in zip(*both, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("earlier"), batch.column("later")], ["earlier", "later"]).filter(pa.array(near, pa.bool_()))
 
     rows = _docs(docs)
-    there = rows.join(F.broadcast(homes) if small else homes, rows["doc_id"].eqNullSafe(homes["doc"]), "left_semi")
+    there = rows.join(homes, rows["doc_id"].eqNullSafe(homes["doc"]), "left_semi")
     bodies = there.mapInArrow(read, "line long, body binary")
-    bodies = stage(bodies.join(F.broadcast(lines) if small else lines, F.col("line") == F.col("wanted"), "left_semi").dropDuplicates(["line"]), "bodies")
+    bodies = stage(bodies.join(lines, F.col("line") == F.col("wanted"), "left_semi").dropDuplicates(["line"]), "bodies")
     x = bodies.select(F.col("line").alias("earlier"), F.col("body").alias("x"))
     y = bodies.select(F.col("line").alias("later"), F.col("body").alias("y"))
     return pairs.join(x, "earlier").join(y, "later").select("earlier", "later", "x", "y").mapInArrow(compare, "earlier long, later long")
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """doc_id, removed: array of (place, line hash) that go, for documents that lose lines; and, as `n_lines`, lines that could be duplicates."""
-    found = stage(lines_of(docs), "lines")
+def removals(docs: DataFrame, shortest: int = SHORTEST, least: int = LEAST) -> DataFrame:
+    """doc_id, removed: array of (place, line hash) that go, for documents that lose lines."""
+    found = stage(lines_of(docs, shortest, least), "lines")
     lines = found.where("kind = 'line'")
     often = stage(lines.select(F.explode(F.arrays_zip("hot", "hot_n")).alias("x")).groupBy(F.col("x.hot").alias("key")).agg(F.sum("x.hot_n").alias("n")), "often")
     hot = largest(often, "n", "key", HOT)
@@ -330,28 +350,29 @@ def removals(docs: DataFrame) -> DataFrame:
     distinct = stage(lines.groupBy("line").agg(first, F.first("keys").alias("keys"), F.first("parity").alias("parity")), "distinct")
     met = stage(meetings(distinct, stage(hot, "hot")), "met")
     pairs = stage(candidates(met), "pairs")
-    near = stage(verified(docs, distinct, pairs).select(F.col("later").alias("line")).distinct(), "near")
+    near = stage(verified(docs, distinct, pairs, least).select(F.col("later").alias("line")).distinct(), "near")
     rest = stage(candidates(met, near).join(pairs, ["earlier", "later"], "left_anti"), "pairs")
-    near = near.unionByName(verified(docs, distinct, rest).select(F.col("later").alias("line"))).distinct()
+    near = near.unionByName(verified(docs, distinct, rest, least).select(F.col("later").alias("line"))).distinct()
 
     held = found.where("kind = 'doc'").select("doc_id", F.explode(F.arrays_zip("places", "lines")).alias("x")).select("doc_id", F.col("x.places").alias("place"), F.col("x.lines").alias("line"))
     often = found.where("kind = 'doc'").select(F.explode("lines").alias("line")).groupBy("line").agg(F.count("*").alias("n")).where("n > 1").select("line")
     affected = stage(often.withColumn("near", F.lit(False)).unionByName(near.withColumn("near", F.lit(True))).groupBy("line").agg(F.max("near").alias("near")).join(distinct.select("line", "first"), "line"), "affected")
-    affected = F.broadcast(affected) if affected.count() <= BROADCAST_ROWS else affected
+    affected = small(affected)
     is_first = F.col("first.doc").eqNullSafe(F.col("doc_id")) & (F.col("first.place") == F.col("place"))
     gone = held.join(affected, "line").where(F.col("near") | ~is_first)
     return gone.groupBy("doc_id").agg(F.collect_set(F.struct("place", "line")).alias("removed"))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """docs with text without its duplicate lines, and n_lines, n_removed (all columns of docs stay).
+def dedup(docs: DataFrame, shortest: int = SHORTEST, least: int = LEAST) -> DataFrame:
+    """docs with text without its duplicate lines, and n_lines, n_removed (all columns of docs stay, but for two of these names, which are replaced).
 
+    Equal lines of `shortest` or more characters go but for the first; lines of `least` or more also if an earlier line is
+    within EDITS edits, however long they are: a long line with another word in it is another line.
     A null text stays null. Rows that share a doc_id are one document: equal lines at the same place of them aren't
     duplicates of each other. An empty table gives no rows.
     """
-    docs = docs.drop("n_lines", "n_removed")  # columns of these names are replaced
-    gone = stage(removals(docs), "removals")
-    few = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS // 4 else gone
+    docs = docs.drop("n_lines", "n_removed")
+    few = small(stage(removals(docs, shortest, least), "removals"))
     key = F.col("doc_id").cast("long")
     joined = docs.join(few.select(F.col("doc_id").alias("__doc"), F.transform("removed", lambda x: x["place"]).alias("__places"), F.transform("removed", lambda x: x["line"]).alias("__hashes")), key.eqNullSafe(F.col("__doc")), "left").drop("__doc")
     names = [c for c in joined.columns if c not in ("__places", "__hashes")]

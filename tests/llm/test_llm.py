@@ -558,10 +558,9 @@ def brute_lines(texts):
             if x not in first:
                 first[x] = (d, k)
                 s = x.decode()
-                if len(s) >= line_dedup.LEAST:
-                    if any(abs(len(o) - len(s)) <= 2 and distance(o, s) <= 2 for o in order):
-                        near.add(x)
-                    order.append(s)
+                if len(s) >= line_dedup.LEAST and any(abs(len(o) - len(s)) <= 2 and distance(o, s) <= 2 for o in order):
+                    near.add(x)
+                order.append(s)
     out = []
     for d, t in enumerate(texts):
         if t is None:
@@ -576,7 +575,7 @@ def test_line_dedup(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "LOCAL", 2)
     monkeypatch.setattr(line_dedup, "BLOCK", 3)
     r = random.Random(6)
-    pool = ["".join(r.choice("abcdeé ") for _ in range(r.randint(5, 70))) for _ in range(60)]
+    pool = ["".join(r.choice("abcdeé ") for _ in range(r.choice([r.randint(1, 70), r.randint(22, 27)]))) for _ in range(60)]
     every = [None, "", "\n\n"]
     for _ in range(50):
         every.append("\n".join(mutate(r, r.choice(pool), r.choice([0, 0, 1, 2, 3]), "abcdeé ") for _ in range(r.randint(1, 8))))
@@ -585,6 +584,33 @@ def test_line_dedup(spark, monkeypatch):
     again = line_dedup.dedup(line_dedup.dedup(make(spark, ["Same long line of words here\nB", "same  LONG LINE of words here", "Same long line of wordz here", "Same long line of words here 77"])))
     assert [x["text"] for x in again.orderBy("doc_id").collect()] == ["Same long line of words here\nB", "", "", "Same long line of words here 77"]
     assert line_dedup.dedup(empty(spark)).count() == 0
+    # borders: characters are counted, not bytes; an earlier line may be shorter than `least`
+    base = "éà" * 11
+    got = line_dedup.dedup(make(spark, ["中文字\nok\n" + base, "中文字\nok\nnot", base + "xy", base + "x"]), shortest=3, least=24)
+    assert [x["text"] for x in got.orderBy("doc_id").collect()] == ["中文字\nok\n" + base, "ok\nnot", "", base + "x"]
+
+
+def test_meetings_in_chunks():
+    import pyarrow as pa
+
+    r = np.random.default_rng(4)
+    sizes = [1, 2, 9, 4, 5, 1, 30, 3]
+    key, line = np.repeat(np.arange(8) - 4, sizes), np.arange(sum(sizes))
+    own = np.concatenate([[1, *([0] * (n - 1))] if n != 3 else [0] * 3 for n in sizes]).astype(np.int32)
+    order = np.lexsort((r.random(len(key)), key))
+    columns = [key[order], own[order], line[order]]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[k : k + 7]) for c in columns], ["key", "own", "line"]) for k in range(0, len(key), 7)]
+    got = pa.Table.from_batches(list(line_dedup.meeting_collector(4, 11)(iter(batches)))).to_pylist()
+    assert sorted((x["key"], x["line"], x["own"]) for x in got) == [(k, n, o) for k, n, o in zip(key.tolist(), line.tolist(), own.tolist(), strict=True) if sizes[k + 4] not in (1, 3)]
+    for k, n in enumerate(sizes):
+        found = Counter(x["chunk"] for x in got if x["key"] == k - 4)
+        assert n in (1, 3) or sorted(found) == list(range(-(-n // 4))) and max(found.values()) <= 4
+
+
+def test_small_by_bytes(spark):
+    df = spark.createDataFrame([(k, [k] * 10, "x" * 20) for k in range(100)], "a long, b array<long>, c string")
+    hinted = lambda x: "broadcast" in x._jdf.queryExecution().toString()
+    assert hinted(common.small(df, 20_000)) and not hinted(common.small(df, 10_000)) and hinted(common.small(df.limit(0), 0))
 
 
 # 9 ------------------------------------------------------------------------------------------------
