@@ -44,22 +44,37 @@ def nearest(candidates: DataFrame, ref: list[str], score: str) -> DataFrame:
     return one.select(*ref, *[F.col("__best")[c].alias(c) for c in candidates.columns if c not in ref])
 
 
-def closure(edges: DataFrame, sources: DataFrame, max_depth: int = 64) -> DataFrame:
+def nearest_by_prefix(df: DataFrame, node: str, parts: str) -> DataFrame:
+    """ref, cand, shared: for each node (distinct) the other one that shares most leading parts with it, where only one does.
+
+    Nodes meet at prefixes, not in pairs: a node's longest prefix that others have too tells how much it shares, and with
+    how many. Two aggregations and an equi-join, so a first part that most nodes have costs a row for each.
+    """
+    held = df.select(node, F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.slice(parts, 1, k))).alias("prefix"))
+    met = held.groupBy("prefix").agg(F.count("*").alias("n"), F.min(node).alias("low"), F.max(node).alias("high")).where("n > 1")
+    top = held.join(met, "prefix").groupBy(node).agg(F.max(F.struct(F.size("prefix").alias("shared"), "n", "low", "high")).alias("x"))
+    other = F.when(F.col("x.low") == F.col(node), F.col("x.high")).otherwise(F.col("x.low"))
+    return top.where("x.n = 2").select(F.col(node).alias("ref"), other.alias("cand"), F.col("x.shared").alias("shared"))
+
+
+def closure(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """source, target, depth (the least) of what each source reaches over edges (src, dst), cycles included once.
 
     A frontier join a round: only what the last round found is joined on, and what is known is dropped
-    before it travels. Rounds end with the longest path. Each round cuts its lineage by checkpoint().
+    before it travels. Rounds end with the longest path, however long it is. Each round cuts its lineage by checkpoint().
     """
-    step = edges.select("src", "dst").distinct()
+    step = cut(edges.select("src", "dst").distinct())
     frontier = sources.select(F.col("node").alias("source")).distinct().join(step, F.col("source") == F.col("src")).select("source", F.col("dst").alias("target"), F.lit(1).alias("depth")).distinct()
     known = frontier = cut(frontier)
-    for depth in range(2, max_depth + 1):
-        if frontier.isEmpty():
-            break
+    depth = 1
+    while not frontier.isEmpty():
+        depth += 1
         more = frontier.join(step, frontier["target"] == step["src"]).select("source", F.col("dst").alias("target")).distinct()
         frontier = more.join(known, ["source", "target"], "left_anti").withColumn("depth", F.lit(depth))
         frontier = cut(frontier)
         known = known.unionByName(frontier)
+        if depth % 16 == 0:  # or the plan of all rounds' union grows without end
+            known = cut(known)
     return known
 
 

@@ -67,28 +67,49 @@ def include_targets(asked: DataFrame, all_symbols: DataFrame, registered: DataFr
     return both.select("refid", "namespace", "source_file", "root_ns", F.when(own, w).otherwise(F.coalesce(r, w)).alias("target"), rule.alias("rule"), "written", "runtime", "candidates")
 
 
-def expand(roots: DataFrame, sites: DataFrame, all_symbols: DataFrame, registered: DataFrame, max_depth: int = 64) -> DataFrame:
-    """The include tree of every root: root, root_ns, path (ids from the root), src, dst, refid, rule, status RESOLVED, MISSING or CIRCULAR.
+def expand(roots: DataFrame, sites: DataFrame, all_symbols: DataFrame, registered: DataFrame) -> DataFrame:
+    """The includes that every root reaches, each site once: root, root_ns, depth (the least number of owners down to src), src, dst, refid, rule, status RESOLVED, MISSING or CIRCULAR.
 
     roots: root, root_ns. A round joins the frontier to the sites below it and resolves what is asked there for the
-    first time, each (refid, place, root namespace) once; a branch ends where its target is missing or on its
-    own path. Nothing is resolved for namespaces that don't reach it.
+    first time, each (refid, place, root namespace) once; it goes on with owners that the root hasn't reached before, so
+    rounds end with the longest chain, and a fragment that is reached on many paths is read once. Nothing is resolved
+    for namespaces that don't reach it.
     """
     below = sites.select("owner_id", "refid", "namespace", "source_file", "node_id", "source_line")
-    frontier = roots.select("root", "root_ns", F.array("root").alias("path"), F.col("root").alias("at"))
+    frontier = roots.select("root", "root_ns", F.col("root").alias("at"))
+    known = frontier
     out = None
-    for _ in range(max_depth):
+    depth = 0
+    while True:
+        depth += 1
         hits = frontier.join(below, F.col("at") == F.col("owner_id")).drop("owner_id")
         asked = hits.select("refid", "namespace", "source_file", "root_ns").distinct()
         more = hits.join(include_targets(asked, all_symbols, registered), ["refid", "namespace", "source_file", "root_ns"])
-        status = F.when(F.col("target").isNull(), "MISSING").when(F.array_contains("path", F.col("target")), "CIRCULAR").otherwise("RESOLVED")
-        more = more.select("root", "root_ns", "path", F.col("at").alias("src"), F.coalesce("target", "refid").alias("dst"), "node_id", "refid", "rule", "source_line", F.col("source_file").alias("from_file"), F.col("namespace").alias("written_ns"), status.alias("status"))
+        more = more.select("root", "root_ns", F.lit(depth).alias("depth"), F.col("at").alias("src"), F.coalesce("target", "refid").alias("dst"), "node_id", "refid", "rule", "source_line", F.col("source_file").alias("from_file"), F.col("namespace").alias("written_ns"), F.when(F.col("target").isNull(), "MISSING").otherwise("RESOLVED").alias("status"))
         more = kernels.cut(more)
         out = more if out is None else out.unionByName(more)
-        frontier = more.where("status = 'RESOLVED'").select("root", "root_ns", F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("at"))
+        frontier = kernels.cut(more.where("status = 'RESOLVED'").select("root", "root_ns", F.col("dst").alias("at")).distinct().join(known, ["root", "root_ns", "at"], "left_anti"))
         if frontier.isEmpty():
-            break
-    return out
+            return with_circles(out)
+        known = known.unionByName(frontier)
+        if depth % 16 == 0:  # or the plan of all rounds' unions grows without end
+            known, out = kernels.cut(known), kernels.cut(out)
+
+
+def with_circles(tree: DataFrame) -> DataFrame:
+    """tree with the status CIRCULAR where an include leads back: to an owner that is no further from the root than its own, and from which the include is reached again."""
+    depths = tree.groupBy("root", "root_ns", F.col("src").alias("dst")).agg(F.min("depth").alias("dst_depth"))
+    marked = tree.join(depths, ["root", "root_ns", "dst"], "left")
+    back = kernels.cut(marked.where("status = 'RESOLVED' AND dst_depth <= depth").select("root_ns", "src", "dst").distinct())
+    if back.isEmpty():
+        return tree
+    key = lambda c: F.concat_ws("\x1f", "root_ns", c)
+    edges = tree.where("status = 'RESOLVED'").select(key("src").alias("src"), key("dst").alias("dst")).distinct()
+    reach = kernels.closure(edges, back.select(key("dst").alias("node"))).select(F.col("source").alias("__d"), F.col("target").alias("__s"))
+    circles = back.where("src = dst").unionByName(back.where("src <> dst").withColumns({"__d": key("dst"), "__s": key("src")}).join(reach, ["__d", "__s"], "left_semi").drop("__d", "__s")).withColumn("__circle", F.lit(True))
+    told = marked.join(circles, ["root_ns", "src", "dst"], "left")
+    status = F.when(F.col("__circle") & (F.col("dst_depth") <= F.col("depth")), "CIRCULAR").otherwise(F.col("status"))
+    return told.withColumn("status", status).select(tree.columns)
 
 
 def include_edges(tree: DataFrame, sites: DataFrame, all_symbols: DataFrame, registered: DataFrame) -> DataFrame:

@@ -143,16 +143,19 @@ def k_copy_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 def k_shared_prefix_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each page the page of its site with most leading path parts in common, where one is nearer than all others."""
     pages = _table(spark, sf_dir, "pages").select("page_id", F.split(F.regexp_replace("url", r"^[a-z]+://", ""), "/").alias("p"))
-    pages = pages.withColumn("host", F.col("p")[0])
-    a, b = pages.select(F.col("page_id").alias("ref"), F.col("p").alias("a"), "host"), pages.select(F.col("page_id").alias("cand"), F.col("p").alias("b"), "host")
-    scored = a.join(b, "host").where("ref <> cand").select("ref", "cand", kernels.shared_prefix(F.col("a"), F.col("b")).alias("shared"))
-    return kernels.nearest(scored, ["ref"], "shared").select("ref", "cand", "shared")
+    return kernels.nearest_by_prefix(pages, "page_id", "p")
 
 
 def k_classify_root(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = F.lower(F.regexp_extract("html", r"(?is)^(?:\s|<\?.*?\?>|<!--.*?-->|<!doctype[^>]*>)*<([a-z][-\w:.]*)", 1))
-    kind = F.when(root == "", "UNREADABLE").when(root == "html", "PAGE").otherwise("OTHER")
-    return _table(spark, sf_dir, "pages").select("page_id", root.alias("root"), kind.alias("kind"))
+    """Each page's first element, behind what may stand before it, and its kind, by the project scan's own reader."""
+    from mapperlake.sources import markup
+
+    def run(batches):
+        for pdf in batches:
+            names = [(markup.root_name(h or "") or "").lower() for h in pdf["html"]]
+            yield pdf[["page_id"]].assign(root=names, kind=[projects.classify(h or "") for h in pdf["html"]])
+
+    return _table(spark, sf_dir, "pages").select("page_id", "html").mapInPandas(run, "page_id long, root string, kind string")
 
 
 def k_search_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,7 +198,7 @@ KERNELS: dict[str, tuple[Callable, str]] = {
         s AS (SELECT a.page_id AS ref, b.page_id AS cand, len(list_filter(range(1, least(len(a.p), len(b.p)) + 1), lambda k: a.p[1:k] = b.p[1:k]))::INTEGER AS shared FROM p a JOIN p b ON a.p[1] = b.p[1] AND a.page_id <> b.page_id)
         SELECT ref, cand, shared FROM (SELECT *, rank() OVER (PARTITION BY ref ORDER BY shared DESC) AS r, count(*) OVER (PARTITION BY ref, shared) AS c FROM s) WHERE r = 1 AND c = 1""",
     ),
-    "k_classify_root": (k_classify_root, r"""SELECT page_id, root, CASE root WHEN '' THEN 'UNREADABLE' WHEN 'html' THEN 'PAGE' ELSE 'OTHER' END AS kind FROM (SELECT page_id, lower(regexp_extract(html, '(?is)^(?:\s|<\?.*?\?>|<!--.*?-->|<!doctype[^>]*>)*<([a-z][-\w:.]*)', 1)) AS root FROM pages)"""),
+    "k_classify_root": (k_classify_root, r"""SELECT page_id, root, CASE WHEN root = '' THEN 'UNREADABLE' ELSE 'OTHER' END AS kind FROM (SELECT page_id, lower(regexp_extract(html, '(?is)^(?:\s|<\?.*?\?>|<!--.*?-->|<!doctype[^>]*>)*<([a-z][-\w:.]*)', 1)) AS root FROM pages)"""),
     "k_search_owner": (
         k_search_owner,
         """WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), l AS (SELECT doc_id, unnest(ls) AS t, unnest(range(0, len(ls)))::INTEGER AS line FROM d)
@@ -204,7 +207,7 @@ KERNELS: dict[str, tuple[Callable, str]] = {
     "k_closure": (
         k_closure,
         """WITH RECURSIVE n AS (SELECT DISTINCT s_nationkey AS n FROM supplier), e AS (SELECT a.n AS src, b.n AS dst FROM n a JOIN n b ON b.n IN (a.n + 1, a.n * 2) AND a.n <> b.n),
-        c(source, target, depth) AS (SELECT src, dst, 1 FROM e UNION SELECT source, dst, depth + 1 FROM c JOIN e ON target = src WHERE depth < 64)
+        c(source, target, depth) AS (SELECT src, dst, 1 FROM e UNION SELECT source, dst, depth + 1 FROM c JOIN e ON target = src WHERE depth <= (SELECT count(*) FROM n))
         SELECT source, target, min(depth)::INTEGER AS depth FROM c GROUP BY source, target""",
     ),
     "k_near_miss": (k_near_miss, "SELECT lower(p_brand) AS ref, string_agg(DISTINCT p_brand, ',') AS hints FROM part WHERE p_brand <> lower(p_brand) GROUP BY 1"),

@@ -81,7 +81,7 @@ def statement_counts(p: Project) -> DataFrame:
 
 def dependency_tree(p: Project, statement: str) -> DataFrame:
     """kind, target, depth, status: what a statement depends on: includes, its result map and what that extends, its parameter map."""
-    tree = p.include_tree.where(F.col("root") == statement).select(F.lit("INCLUDE").alias("kind"), F.col("dst").alias("target"), F.size("path").alias("depth"), "status")
+    tree = p.include_tree.where(F.col("root") == statement).select(F.lit("INCLUDE").alias("kind"), F.col("dst").alias("target"), "depth", "status")
     refs = p.map_references.where(F.col("src") == statement)
     direct = refs.select("kind", F.col("dst").alias("target"), F.lit(1).alias("depth"), F.when(F.col("found"), "RESOLVED").otherwise("MISSING").alias("status"))
     chain = resolve.extends_chains(p.map_references).join(refs.where("kind = 'RESULT_MAP'").select(F.col("dst").alias("source")), "source").select(F.lit("EXTENDS").alias("kind"), "target", (F.col("depth") + 1).alias("depth"), F.lit("RESOLVED").alias("status"))

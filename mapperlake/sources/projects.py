@@ -6,7 +6,7 @@ import codecs
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mapperlake.sources import markup
@@ -118,10 +118,11 @@ def with_references(project: DataFrame, references: DataFrame) -> DataFrame:
 
 def drop_copies(files: DataFrame, signature: str = "signature") -> DataFrame:
     """files with `copy_of`: of files with one signature the one of the least copy score, then the shortest path, then the first stays (null); the others name it and get the reason BUILD_COPY."""
-    w = Window.partitionBy(signature).orderBy(copy_score(F.col("source_file")), F.length("source_file"), "source_file")
-    ranked = files.withColumn("__n", F.row_number().over(w)).withColumn("__first", F.first("source_file").over(w))
-    lone = F.col(signature).isNull() | (F.col("__n") == 1)
-    return ranked.withColumn("copy_of", F.when(~lone, F.col("__first"))).withColumn("reason", F.when(~lone, F.lit("BUILD_COPY")).otherwise(F.col("reason"))).drop("__n", "__first")
+    rank = F.struct(copy_score(F.col("source_file")).alias("score"), F.length("source_file").alias("length"), "source_file")
+    first = files.where(F.col(signature).isNotNull()).groupBy(signature).agg(F.min(rank)["source_file"].alias("__first"))
+    marked = files.join(first, signature, "left").select(*files.columns, "__first")
+    lone = F.col("__first").isNull() | (F.col("__first") == F.col("source_file"))
+    return marked.withColumn("copy_of", F.when(~lone, F.col("__first"))).withColumn("reason", F.when(~lone, F.lit("BUILD_COPY")).otherwise(F.col("reason"))).drop("__first")
 
 
 _ID = re.compile(r"<(sqlMap|mapper|select|insert|update|delete|procedure|statement|sql|resultMap)\b[^>]*?\b(namespace|id)\s*=\s*[\"']\s*([^\"']*?)\s*[\"']", re.S)
