@@ -191,9 +191,16 @@ def include_sites(edges: DataFrame) -> DataFrame:
 
 
 def qualification(tree: DataFrame, owned: DataFrame) -> DataFrame:
-    """refid sites that a converter must write qualified: fragment, refid, source_file, target, must_qualify (statements of other namespaces reach it), conflict (they resolve it apart)."""
-    g = tree.where("rule IS NOT NULL AND status <> 'MISSING'").groupBy("src", "refid", "from_file", "written_ns").agg(F.min("dst").alias("target"), F.countDistinct("dst").alias("n"), F.collect_set("root_ns").alias("roots"))
-    return g.select(F.col("src").alias("owner"), "refid", F.col("from_file").alias("source_file"), "target", (F.size(F.array_except("roots", F.array("written_ns"))) > 0).alias("must_qualify"), (F.col("n") > 1).alias("conflict"))
+    """refid sites and whether a converter must write them qualified: owner, refid, source_file, target, must_qualify, conflict (statements resolve it apart).
+
+    A bare refid must be qualified if it leads to another namespace than its own, or if statements of other namespaces
+    reach it; where one of these has a fragment of that name itself, it stays as it is, for the runtime takes that one.
+    """
+    g = tree.where("rule IS NOT NULL AND status <> 'MISSING'").groupBy("src", "refid", "from_file", "written_ns").agg(F.min("dst").alias("target"), F.countDistinct("dst").alias("n"), F.collect_set("root_ns").alias("roots"), F.max(F.col("rule") == "RUNTIME_SHADOWED").alias("shadowed"))
+    own = F.when(F.col("written_ns") == "", F.col("refid")).otherwise(F.concat_ws(".", "written_ns", "refid"))
+    reached = F.size(F.array_except("roots", F.array("written_ns"))) > 0
+    must = ~F.col("shadowed") & ~F.col("refid").contains(".") & (reached | (F.col("target") != own))
+    return g.select(F.col("src").alias("owner"), "refid", F.col("from_file").alias("source_file"), "target", must.alias("must_qualify"), (F.col("n") > 1).alias("conflict"))
 
 
 def table_graph(joins: DataFrame) -> DataFrame:

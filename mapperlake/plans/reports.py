@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mapperlake.operators import facts, kernels, resolve
@@ -109,13 +109,26 @@ def search(p: Project, needle: str, most: int = 2000) -> DataFrame:
     return hits.unionByName(ids).unionByName(paths).unionByName(reach).orderBy("source_file", "line", "owner", "reason").limit(most)
 
 
+#: Words of conditions that are no columns.
+_CONDITION_WORDS = "AND OR NOT NULL IS IN LIKE BETWEEN EXISTS AS TRUE FALSE".split()
+
+
+def _names(text: Column) -> Column:
+    """Upper-case names in a piece of SQL, without qualifiers, functions, strings, comments and parameters."""
+    plain = F.regexp_replace(F.upper(text), r"'[^']*'|/\*.*?\*/|--[^\n]*|[#$]\{[^}]*\}|#[^#\s]+#|\$[^$\s]+\$", " ")
+    found = F.regexp_extract_all(plain, F.lit(r"([A-Z_][\w$]*)(?!\w|\s*[.(])"), F.lit(1))
+    return F.filter(found, lambda x: ~x.isin(_CONDITION_WORDS))
+
+
 def column_guide(p: Project, table: str, column: str) -> DataFrame:
     """Steps to take when a column goes: action, statement, level, owner, source_file, line, detail.
 
     REMOVE_SELECT_ITEM where an output comes from it (level result in the main select, inner below);
-    REMOVE_FRAGMENT or SHARED_FRAGMENT where a fragment writes it; REMOVE_RESULT_MAPPING or SHARED_RESULT_MAP for the
-    mappings of such outputs; REMOVE_DYNAMIC_TAG for conditional tags that name it; CHECK_REFERENCE for its other
-    uses; CHECK_JAVA for the mapped property.
+    SHARED_FRAGMENT where a fragment of several statements writes it; in a fragment of one statement REMOVE_FRAGMENT, and
+    REMOVE_INCLUDE for each of its include sites, if it names no other column, else REMOVE_SELECT_ITEM; REMOVE_RESULT_MAPPING
+    or SHARED_RESULT_MAP for the mappings of such outputs; REMOVE_DYNAMIC_TAG for conditional tags that name it alone;
+    CHECK_REFERENCE for its other uses; CHECK_JAVA for the mapped property. Names are looked for in the texts without their
+    strings, comments and parameters.
     """
     t, c = table.upper(), column.upper()
     lineage = p.facts("lineage").where((F.upper("table") == t) & (F.upper("column") == c))
@@ -125,12 +138,15 @@ def column_guide(p: Project, table: str, column: str) -> DataFrame:
     steps = steps.unionByName(uses.select(F.lit("CHECK_REFERENCE").alias("action"), "statement", F.lit("inner").alias("level"), F.col("statement").alias("owner"), "source_file", "line", F.col("used_in").alias("detail")))
     touched = p.facts("columns").where((F.upper("table") == t) & (F.upper("column") == c)).select("statement").distinct()
     text = F.concat_ws(" ", F.transform(F.filter("nodes", lambda n: n["type"] == "Text"), lambda n: n["text"]))
-    word = rf"(?i)(^|[^\w]){column}([^\w]|$)"
-    fragments = p.owners.where((F.col("kind") == "SQL_FRAGMENT") & text.rlike(word)).select(F.col("qid").alias("fragment"), "source_file", "line")
+    named = p.owners.where(F.col("kind") == "SQL_FRAGMENT").select(F.col("qid").alias("fragment"), "source_file", "line", _names(text).alias("names"), F.exists("nodes", lambda n: n["type"] == "Include").alias("more"))
+    named = named.where(F.array_contains("names", c)).withColumn("alone", ~F.col("more") & F.forall("names", lambda x: x == c))
     usage = resolve.include_usage(p.include_tree)
     reach = resolve.include_closure(p.include_tree).select("fragment", F.col("root").alias("statement"))
-    hit = fragments.join(reach, "fragment").join(touched, "statement").join(usage, "fragment")
-    steps = steps.unionByName(hit.select(F.when(F.col("n_statements") > 1, "SHARED_FRAGMENT").otherwise("REMOVE_FRAGMENT").alias("action"), "statement", F.lit("inner").alias("level"), F.col("fragment").alias("owner"), "source_file", "line", F.concat(F.col("n_statements").cast("string"), F.lit(" statements")).alias("detail")))
+    hit = named.join(reach, "fragment").join(touched, "statement").join(usage, "fragment")
+    action = F.when(F.col("n_statements") > 1, "SHARED_FRAGMENT").when(F.col("alone"), "REMOVE_FRAGMENT").otherwise("REMOVE_SELECT_ITEM")
+    steps = steps.unionByName(hit.select(action.alias("action"), "statement", F.lit("inner").alias("level"), F.col("fragment").alias("owner"), "source_file", "line", F.concat(F.col("n_statements").cast("string"), F.lit(" statements")).alias("detail")))
+    sites = resolve.include_sites(p.edges).join(hit.where("alone AND n_statements = 1").select("fragment", "statement").distinct(), "fragment")
+    steps = steps.unionByName(sites.select(F.lit("REMOVE_INCLUDE").alias("action"), "statement", F.lit("inner").alias("level"), "owner", "source_file", "line", F.col("refid").alias("detail")))
     outputs = lineage.select("statement", F.upper("output").alias("label")).distinct()
     users = result_map_users(p)
     shared = users.groupBy("result_map").agg(F.count("*").alias("n"))
@@ -140,5 +156,7 @@ def column_guide(p: Project, table: str, column: str) -> DataFrame:
     steps = steps.unionByName(mapped.select(F.lit("CHECK_JAVA").alias("action"), "statement", F.lit("result").alias("level"), F.col("result_map").alias("owner"), "source_file", "line", F.col("property").alias("detail")))
     tags = p.owners.select("qid", "source_file", F.explode("nodes").alias("n")).where(F.col("n.type") == "Conditional").join(touched, F.col("qid") == F.col("statement"))
     kids = p.owners.select("qid", F.explode("nodes").alias("k")).where(F.col("k.type") == "Text").select("qid", F.col("k.parent_id").alias("parent"), F.col("k.text").alias("t"))
-    steps = steps.unionByName(tags.join(kids, "qid").where((F.col("n.node_id") == F.col("parent")) & F.col("t").rlike(word)).select(F.lit("REMOVE_DYNAMIC_TAG").alias("action"), "statement", F.lit("inner").alias("level"), F.col("qid").alias("owner"), "source_file", F.col("n.source_line").alias("line"), F.trim("t").alias("detail")))
+    inside = tags.join(kids, "qid").where(F.col("n.node_id") == F.col("parent")).groupBy("qid", "source_file", "statement", F.col("n.source_line").alias("line"), "parent").agg(F.concat_ws(" ", F.sort_array(F.collect_list("t"))).alias("t"))
+    alone = inside.withColumn("names", _names(F.col("t"))).where(F.array_contains("names", c) & F.forall("names", lambda x: x == c))
+    steps = steps.unionByName(alone.select(F.lit("REMOVE_DYNAMIC_TAG").alias("action"), "statement", F.lit("inner").alias("level"), F.col("qid").alias("owner"), "source_file", "line", F.trim("t").alias("detail")))
     return steps.distinct().orderBy("action", "source_file", "line")

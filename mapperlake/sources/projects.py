@@ -71,7 +71,7 @@ def copy_score(path: Column) -> Column:
 _READ = "source_file string, size long, encoding string, kind string, external boolean, text string, reason string"
 
 
-def _decoded(rows: DataFrame) -> DataFrame:
+def decoded(rows: DataFrame) -> DataFrame:
     """Decode and classify rows of source_file, size, content, external."""
 
     def run(batches):
@@ -98,7 +98,7 @@ def scan(spark: SparkSession, root: str, external: bool = False, max_bytes: int
     base = re.sub(r"/+$", "", re.sub(r"^[a-z]+:/+", "/", root))
     path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/+", "/"), f"^{re.escape(base)}/", "")
     rows = found.select(path.alias("source_file"), F.col("length").alias("size"), F.when(F.col("length") <= max_bytes, F.col("content")).alias("content"), F.lit(external).alias("external"))
-    return _decoded(rows.where(~in_ignored_folder(F.col("source_file"))))
+    return decoded(rows.where(~in_ignored_folder(F.col("source_file"))))
 
 
 def upload(spark: SparkSession, files: dict[str, str] | list[tuple[str, str]], external: bool = False) -> DataFrame:
@@ -108,7 +108,7 @@ def upload(spark: SparkSession, files: dict[str, str] | list[tuple[str, str]], e
     if len(set(names)) < len(names):
         raise ValueError(f"given twice: {sorted({n for n in names if names.count(n) > 1})}")
     data = [(n, len(b := t.encode()), bytearray(b), external) for n, t in rows]
-    return _decoded(spark.createDataFrame(data, "source_file string, size long, content binary, external boolean"))
+    return decoded(spark.createDataFrame(data, "source_file string, size long, content binary, external boolean"))
 
 
 def with_references(project: DataFrame, references: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ def parsed_stream(spark: SparkSession, root: str, max_files: int = 1000) -> Data
     """Parsed mappers of files as they arrive, at most max_files a batch."""
     found = spark.readStream.format("binaryFile").schema(_BINARY).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[xX][mM][lL]").option("maxFilesPerTrigger", max_files).load(root)
     rows = found.select(F.col("path").alias("source_file"), F.col("length").alias("size"), F.when(F.col("length") <= projects.MAX_BYTES, F.col("content")).alias("content"), F.lit(False).alias("external"))
-    return catalog.parse(projects._decoded(rows))
+    return catalog.parse(projects.decoded(rows))
 
 
 def run_once(spark: SparkSession, root: str, checkpoint: str, sink: Callable[[DataFrame, int], None]) -> None:

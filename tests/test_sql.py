@@ -52,11 +52,16 @@ def test_lineage_and_hierarchy():
     assert [o["aggregate"] for o in r["outputs"]] == [True, False, False]
 
 
+def test_errors_of_single_variants_stay():
+    r = facts.analyse([{"sql": "SELECT a FROM t"}, {"sql": "SELECT b FROM u WHERE )"}])
+    assert r["error"].startswith("variant 1") and [x["table"] for x in r["tables"]] == ["t"]
+
+
 def test_predicates_and_failures():
     r = of("SELECT 1 FROM t WHERE a = ? AND (b IN (1, 2) OR c NOT LIKE 'x') AND d BETWEEN 1 AND 2 AND e IS NOT NULL")
     assert [p["kind"] for p in r["predicates"]] == ["AND", "COMPARISON", "OR", "COMPARISON", "COMPARISON", "COMPARISON", "COMPARISON"]
     assert [p["op"] for p in r["predicates"] if p["op"]] == ["=", "BETWEEN", "IS NOT", "IN", "NOT LIKE"]
-    for bad in ("SELECT a FROM t CONNECT BY PRIOR a = b", "{ call p(?) }", "SELECT a FROM t ORDER BY ? ?", "SELECT FROM", "", "SELECT a FROM x o y o"):
+    for bad in ("SELECT a FROM t PIVOT (MAX(b) FOR c IN (1))", "{ call p(?) }", "SELECT a FROM t ORDER BY ? ?", "SELECT FROM", "", "SELECT a FROM x o y o"):
         assert of(bad)["error"] and not of(bad)["tables"], bad
     assert len(of("SELECT a FROM t WHERE " + " AND ".join(["x = 1"] * 20_000))["predicates"]) == 20_001
     assert sqltree.text(sqltree.parse("SELECT CASE WHEN a = 1 THEN 'x' ELSE CAST(b AS NUMBER(3)) END FROM t")["branches"][0]["items"][0]["expr"]) == "CASE WHEN a = 1 THEN 'x' ELSE CAST(b AS NUMBER(3)) END"
