@@ -6,7 +6,12 @@ column of the given order, so results don't depend on how rows are dealt out.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import atexit
+import tempfile
+import uuid
+import warnings
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -61,7 +66,7 @@ def closure(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """source, target, depth (the least) of what each source reaches over edges (src, dst), cycles included once.
 
     A frontier join a round: only what the last round found is joined on, and what is known is dropped
-    before it travels. Rounds end with the longest path, however long it is. Each round cuts its lineage by checkpoint().
+    before it travels. Rounds end with the longest path, however long it is. Each round is written to the shared folder.
     """
     step = cut(edges.select("src", "dst").distinct())
     frontier = sources.select(F.col("node").alias("source")).distinct().join(step, F.col("source") == F.col("src")).select("source", F.col("dst").alias("target"), F.lit(1).alias("depth")).distinct()
@@ -79,24 +84,37 @@ def closure(edges: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed in the shared folder; it is kept while that is written, so that it is computed once."""
-    _checkpoint_dir(df.sparkSession)
-    held = df.persist()
-    out = held.checkpoint()
-    held.unpersist()
-    return out
-
-
-def _checkpoint_dir(spark) -> None:
-    """The cluster's shared folder holds checkpoints; a folder of this machine only where none is set."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None:
-            import tempfile
-
-            named = tempfile.mkdtemp(prefix="mapperlake-checkpoint-")
-        sc.setCheckpointDir(named)
+    """df written to the shared folder and read again: it is computed once, its lineage ends there, and a lost executor loses nothing."""
+    spark = df.sparkSession
+    path = f"{_shared_dir(spark)}/mapperlake/cut-{uuid.uuid4().hex}"
+    _written.append((spark.sparkContext, path))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_written: list[tuple] = []
+_own: list[str] = []
+
+
+def _shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; only where it is unset (tests) a folder of this machine."""
+    held = spark.conf.get("spark.checkpoint.dir", None)
+    if held:
+        return held.rstrip("/")
+    if not _own:
+        warnings.warn("spark.checkpoint.dir isn't set: intermediate tables go to a folder of this machine", stacklevel=2)
+        _own.append("file://" + tempfile.mkdtemp(prefix="mapperlake-"))
+    return _own[0]
+
+
+@atexit.register
+def _sweep() -> None:
+    for context, path in _written:
+        try:
+            p = context._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(context._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session has ended: the folder's owner clears it
+            pass
 
 
 def near_misses(refs: DataFrame, names: DataFrame, ref: str = "ref", name: str = "name", most: int = 3) -> DataFrame:

@@ -22,7 +22,7 @@ def lookup(refs: DataFrame, all_symbols: DataFrame, registered: DataFrame, kind:
     scoped = F.when(F.col("namespace") != "", F.concat_ws(".", "namespace", "refid"))
     spaced = whole.join(known, scoped == F.col("__qid"), "left").withColumn("t2", F.col("__qid")).drop("__qid")
     how = F.when(F.col("t1").isNotNull(), "QUALIFIED").when(F.col("t2").isNotNull(), "NAMESPACE")
-    spaced = spaced.persist()
+    spaced = kernels.cut(spaced)
     if spaced.where("t1 IS NULL AND t2 IS NULL").isEmpty():
         return spaced.select(*refs.columns, F.coalesce("t1", "t2").alias("target"), how.alias("how"), F.lit(0).cast("long").alias("candidates"))
     wanted = kernels.first_wins(all_symbols.where(F.col("kind") == kind), ["qid"], ["source_file", "ord"]).select(F.col("qid").alias("cand"), F.col("local_id").alias("__id"), F.col("source_file").alias("cand_file"), "signature")
@@ -70,30 +70,38 @@ def include_targets(asked: DataFrame, all_symbols: DataFrame, registered: DataFr
 def expand(roots: DataFrame, sites: DataFrame, all_symbols: DataFrame, registered: DataFrame) -> DataFrame:
     """The includes that every root reaches, each site once: root, root_ns, depth (the least number of owners down to src), src, dst, refid, rule, status RESOLVED, MISSING or CIRCULAR.
 
-    roots: root, root_ns. A round joins the frontier to the sites below it and resolves what is asked there for the
-    first time, each (refid, place, root namespace) once; it goes on with owners that the root hasn't reached before, so
-    rounds end with the longest chain, and a fragment that is reached on many paths is read once. Nothing is resolved
-    for namespaces that don't reach it.
+    roots: root, root_ns. What a site means in its own namespace is looked up for all sites at once. A round joins the
+    frontier to the sites below it; only bare refids that are met from another namespace are looked up there. It goes
+    on with owners that the root hasn't reached before, so rounds end with the longest chain, and a fragment that is
+    reached on many paths is read once.
     """
-    below = sites.select("owner_id", "refid", "namespace", "source_file", "node_id", "source_line")
-    frontier = roots.select("root", "root_ns", F.col("root").alias("at"))
-    known = frontier
+    place = ["refid", "namespace", "source_file"]
+    pairs = sites.select(*place).distinct().withColumn("key", F.sha2(F.concat_ws("\x1f", *place), 256)).withColumnRenamed("source_file", "from_file")
+    own = lookup(pairs, all_symbols, registered, FRAGMENT).select("refid", "namespace", F.col("from_file").alias("source_file"), "target", F.coalesce("how", F.lit("MISSING")).alias("rule"))
+    below = kernels.cut(sites.select("owner_id", "owner_kind", *place, "node_id", "source_line").join(own, place))
+    bare = ~F.col("refid").contains(".")
+    may_differ = not below.where(bare & (F.col("owner_kind") == FRAGMENT)).isEmpty()
+    start = frontier = roots.select("root", "root_ns", F.col("root").alias("at"))
     out = None
     depth = 0
     while True:
         depth += 1
-        hits = frontier.join(below, F.col("at") == F.col("owner_id")).drop("owner_id")
-        asked = hits.select("refid", "namespace", "source_file", "root_ns").distinct()
-        more = hits.join(include_targets(asked, all_symbols, registered), ["refid", "namespace", "source_file", "root_ns"])
-        more = more.select("root", "root_ns", F.lit(depth).alias("depth"), F.col("at").alias("src"), F.coalesce("target", "refid").alias("dst"), "node_id", "refid", "rule", "source_line", F.col("source_file").alias("from_file"), F.col("namespace").alias("written_ns"), F.when(F.col("target").isNull(), "MISSING").otherwise("RESOLVED").alias("status"))
+        hits = frontier.join(below, F.col("at") == F.col("owner_id")).drop("owner_id", "owner_kind")
+        foreign = hits.where(bare & (F.col("namespace") != F.col("root_ns")))
+        if may_differ and not foreign.isEmpty():
+            asked = foreign.select(*place, "root_ns").distinct()
+            told = foreign.drop("target", "rule").join(include_targets(asked, all_symbols, registered).select(*place, "root_ns", "target", "rule"), [*place, "root_ns"])
+            hits = hits.where(~(bare & (F.col("namespace") != F.col("root_ns")))).unionByName(told)
+        more = hits.select("root", "root_ns", F.lit(depth).alias("depth"), F.col("at").alias("src"), F.coalesce("target", "refid").alias("dst"), "node_id", "refid", "rule", "source_line", F.col("source_file").alias("from_file"), F.col("namespace").alias("written_ns"), F.when(F.col("target").isNull(), "MISSING").otherwise("RESOLVED").alias("status"))
         more = kernels.cut(more)
+        reached = more.where("status = 'RESOLVED'").select("root", "root_ns", F.col("dst").alias("at")).distinct()
+        known = start if out is None else start.unionByName(out.where("status = 'RESOLVED'").select("root", "root_ns", F.col("dst").alias("at")))
         out = more if out is None else out.unionByName(more)
-        frontier = kernels.cut(more.where("status = 'RESOLVED'").select("root", "root_ns", F.col("dst").alias("at")).distinct().join(known, ["root", "root_ns", "at"], "left_anti"))
+        frontier = reached.join(known, ["root", "root_ns", "at"], "left_anti")
         if frontier.isEmpty():
             return with_circles(out)
-        known = known.unionByName(frontier)
-        if depth % 16 == 0:  # or the plan of all rounds' unions grows without end
-            known, out = kernels.cut(known), kernels.cut(out)
+        if depth % 16 == 0:  # or the plan of all rounds' union grows without end
+            out = kernels.cut(out)
 
 
 def with_circles(tree: DataFrame) -> DataFrame:

@@ -59,15 +59,15 @@ class Project:
 
     @cached_property
     def symbols(self) -> DataFrame:
-        return catalog.symbols(self.owners)
+        return catalog.symbols(self.owners).persist()
 
     @cached_property
     def registered(self) -> DataFrame:
-        return catalog.registered(self.symbols)
+        return catalog.registered(self.symbols).persist()
 
     @cached_property
     def _sites(self) -> DataFrame:
-        return catalog.includes(self.owners)
+        return catalog.includes(self.owners).persist()
 
     @cached_property
     def include_tree(self) -> DataFrame:
