@@ -16,42 +16,52 @@ SHARDS = [f"shard-{k:02d}" for k in range(32)]
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document by a permutation-filled table of 32 shards. Null ids have a place too; columns slot and shard of the input are replaced; an empty table gives no rows."""
     return sharding.place(documents(spark, sf_dir), SHARDS, "doc_id").select("doc_id", "slot", "shard")
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 4096 tokens; see packing.pieces and packing.pack for nulls, ties and empty tables."""
     return packing.pack_documents(documents(spark, sf_dir), WORDS).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text and what they decode to, as digests; see bpe.round_trip."""
     return bpe.round_trip(documents(spark, sf_dir), BYTES, public_tokenizers.PATTERN)
 
 
 def op4_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every whole text and of its edited text, and their likeness; see fingerprint.compare_edits."""
     return fingerprint.compare_edits(documents(spark, sf_dir))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document; hosts are the source column; see quality.judge."""
     return quality.judge(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "base_failed", "kept")
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document over links of 80 percent or more common 5-word shingles; see jaccard.join."""
     return jaccard.join(documents(spark, sf_dir))[0]
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written to Parquet in the shared folder and read back; see token_files."""
     return token_files.write_and_read(documents(spark, sf_dir), WORDS)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines every document has and loses, and the digest of what is left; see line_dedup.dedup."""
     return line_dedup.dedup(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model scores of every whole text, learnt from the documents that aren't held out; see lm.score."""
     return lm.score(documents(spark, sf_dir))
 
 
 def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of every page, written to WARC files in the shared folder and read back; see warc.read_files."""
     lean(spark)
     return warc.write_and_read(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 

@@ -55,7 +55,7 @@ def key_number(*columns: str | Column) -> Column:
 
 
 def place(df: DataFrame, shards: list[str], *key: str, weights: list[int] | None = None) -> DataFrame:
-    """df with slot int and shard string of each row's key. Equal keys share a shard, repeated rows stay, an empty table stays empty.
+    """df with slot int and shard string of each row's key; columns of these names are replaced. Equal keys share a shard, null keys too; repeated rows stay, an empty table stays empty, other columns of any length aren't looked at.
 
     A key column with a third of all rows should be joined by a finer one (a source with a document id):
     rows of one key can't be told apart.
