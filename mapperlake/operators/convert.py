@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from mapperlake.functions.inline import parameters
 from mapperlake.sources.mappers import from_rows, node, to_rows
 
+#: The codes of events and their grades.
 GRADES = {
     "HASH_PARAMETER": "SAFE", "RAW_SQL_SUBSTITUTION": "WARNING", "UNSUPPORTED_NULL_VALUE": "MANUAL", "CONDITIONAL_TO_IF": "SAFE", "PROPERTY_AVAILABLE_APPROXIMATED": "WARNING", "UNKNOWN_CONDITION": "MANUAL",
     "DYNAMIC_TO_WHERE": "SAFE", "DYNAMIC_TO_SET": "SAFE", "DYNAMIC_TRIM_INFERENCE": "WARNING", "DYNAMIC_OPEN_CLOSE_TO_TRIM": "SAFE", "ITERATE_TO_FOREACH": "SAFE", "REMOVE_FIRST_PREPEND": "WARNING",

@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 from mapperlake.functions.sqltokens import Token, bare, tokenize
 from mapperlake.sources.mapping import Mapping
 
-#: Words that are never columns, tables or aliases.
+#: Words that are never columns, tables or aliases. Key words of SQL.
 _WORDS = frozenset(
     "SELECT FROM WHERE GROUP BY HAVING ORDER LIMIT OFFSET FETCH FIRST NEXT ONLY UNION INTERSECT EXCEPT MINUS ALL DISTINCT ON USING JOIN INNER LEFT RIGHT FULL OUTER CROSS NATURAL APPLY LATERAL STRAIGHT_JOIN AND OR NOT IN IS NULL LIKE BETWEEN EXISTS CASE WHEN THEN ELSE END AS SET VALUES INTO WITH RECURSIVE INSERT UPDATE DELETE MERGE MATCHED ASC DESC NULLS LAST OVER PARTITION ROWS RANGE UNBOUNDED PRECEDING FOLLOWING CURRENT ROW WINDOW WITHIN KEEP INTERVAL CAST EXTRACT YEAR MONTH DAY TRUE FALSE SIBLINGS CONNECT START PRIOR FOR ESCAPE QUALIFY PIVOT UNPIVOT MODEL TOP SYSDATE ROWNUM DUAL LEADING TRAILING BOTH ANY SOME".split()
 )
 _SETS = ("UNION", "INTERSECT", "EXCEPT", "MINUS")
+#: The codes of events and their grades.
 GRADE = {
     "TABLE_RENAMED": "SAFE", "COLUMN_RENAMED": "SAFE", "COLUMN_ASSUMED": "WARNING", "COLUMN_AMBIGUOUS": "MANUAL", "RESULT_COLUMN_RENAMED": "WARNING", "RESULT_COLUMN_ALIASED": "SAFE",
     "UNRESOLVED_QUALIFIER": "WARNING", "NO_TABLE_CONTEXT": "MANUAL", "RUNTIME_SUBSTITUTION": "WARNING", "DYNAMIC_IDENTIFIER": "WARNING", "CONDITIONAL_TABLE_SUFFIX": "SAFE", "HINT_NOT_MIGRATED": "WARNING",

@@ -1,6 +1,6 @@
 """Queries about a small project of cases (cases/): one for each kind of reference, fact, rename and conversion.
 
-Each has rows counted by hand from the mapper files as its SQL (cases.json, by query).
+Each has its rows, checked by hand against the mapper files, as its SQL (cases.json, by query).
 """
 
 from __future__ import annotations

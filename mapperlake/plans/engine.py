@@ -49,6 +49,22 @@ class Project:
         """Files that aren't analysed, and why."""
         return self.files.where("reason IS NOT NULL").select("source_file", "size", "reason").unionByName(self.copies.select("source_file", F.lit(None).cast("long").alias("size"), F.lit("BUILD_COPY").alias("reason")))
 
+    @property
+    def salvaged(self) -> DataFrame:
+        """source_file, namespace, kind, id, line of what mapper files that can't be parsed define, by their text."""
+        torn = self._parsed[0].where("dialect IS NULL").select("source_file")
+        return projects.definitions(self.files.join(torn, "source_file", "left_semi"))
+
+    def close(self) -> None:
+        """Give back the memory of all tables that are kept; they are built anew when asked for."""
+        for name, held in list(self.__dict__.items()):
+            if name in ("spark", "files", "_drop"):
+                continue
+            for df in held if isinstance(held, tuple) else (held,):
+                if isinstance(df, DataFrame):
+                    df.unpersist()
+            del self.__dict__[name]
+
     @cached_property
     def owners(self) -> DataFrame:
         return catalog.owners(self.mappers).persist()

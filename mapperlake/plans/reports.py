@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mapperlake.operators import facts, kernels, resolve
@@ -96,7 +96,7 @@ def result_map_users(p: Project) -> DataFrame:
 
 
 def search(p: Project, needle: str, most: int = 2000) -> DataFrame:
-    """source_file, line, owner, kind, text, reason of lines, paths, namespaces and ids that hold a text, in any case; a fragment's hit also names the statements that include it. At most `most` rows (a report's limit)."""
+    """source_file, line, owner, kind, text, reason of lines, paths, namespaces and ids that hold a text, in any case; a fragment's hit also names the statements that include it. At most `most` rows (a report's limit); truncated says whether there are more."""
     low = needle.lower()
     lines = p.files.where("text IS NOT NULL").select("source_file", F.posexplode(F.split("text", "\n")).alias("n", "text")).withColumn("line", F.col("n") + 1)
     starts = p.owners.select("source_file", "line", F.struct("qid", "kind").alias("own"))
@@ -106,7 +106,9 @@ def search(p: Project, needle: str, most: int = 2000) -> DataFrame:
     paths = p.mappers.where(F.lower("source_file").contains(low) | F.lower("namespace").contains(low)).select("source_file", F.lit(1).alias("line"), F.lit(None).cast("string").alias("owner"), F.lit("MAPPER").alias("kind"), F.col("namespace").alias("text"), F.lit("path").alias("reason"))
     inside = hits.unionByName(ids).where("kind = 'SQL_FRAGMENT'").select(F.col("owner").alias("fragment")).distinct()
     reach = resolve.includers(p.include_tree, p.statements).join(inside, "fragment").select("source_file", F.lit(None).cast("int").alias("line"), F.col("statement").alias("owner"), F.lit("STATEMENT").alias("kind"), F.lit("").alias("text"), F.concat(F.lit("refid:"), "fragment").alias("reason"))
-    return hits.unionByName(ids).unionByName(paths).unionByName(reach).orderBy("source_file", "line", "owner", "reason").limit(most)
+    found = hits.unionByName(ids).unionByName(paths).unionByName(reach).orderBy("source_file", "line", "owner", "reason").limit(most + 1)
+    ranked = found.withColumn("n", F.row_number().over(Window.orderBy("source_file", "line", "owner", "reason"))).withColumn("truncated", F.count("*").over(Window.partitionBy()) > most)  # of most + 1 rows
+    return ranked.where(F.col("n") <= most).drop("n")
 
 
 #: Words of conditions that are no columns.

@@ -13,6 +13,7 @@ from mapperlake.sources.mappers import CONDITIONS, from_rows
 
 STEP = "  "
 _TAG_OF = {v: k for k, v in CONDITIONS.items()}
+#: The document types of both formats.
 _DOCTYPES = {
     "mybatis": '<!DOCTYPE mapper PUBLIC "-//mybatis.org//DTD Mapper 3.0//EN" "http://mybatis.org/dtd/mybatis-3-mapper.dtd">',
     "ibatis": '<!DOCTYPE sqlMap PUBLIC "-//ibatis.apache.org//DTD SQL Map 2.0//EN" "http://ibatis.apache.org/dtd/sql-map-2.dtd">',

@@ -167,3 +167,32 @@ def test_stream(spark, tmp_path):
     (tmp_path / "in" / "B.xml").write_text(ibatis("b", "<select id='s'>SELECT 1</select>"))
     run()
     assert seen == ["a", "b"]
+
+
+def test_torn_files_are_salvaged_and_projects_closed(spark):
+    p = Project.upload(spark, {"torn.xml": "<sqlMap namespace='torn'>" + "<" * 3, "none.xml": "<sqlMap namespace='fine'><select id='a'>SELECT b FROM c</select></sqlMap>"})
+    held = p.owners
+    assert held.count() == 1 and held.is_cached
+    assert {r["source_file"] for r in p.salvaged.collect()} <= {"torn.xml"}
+    p.close()
+    assert not held.is_cached and p.owners.count() == 1
+
+
+def test_search_tells_that_it_was_cut(spark):
+    p = Project.upload(spark, {"a.xml": "<sqlMap namespace='m'>" + "".join(f"<sql id='word{k}'>word</sql>\n" for k in range(9)) + "</sqlMap>"})
+    rows = reports.search(p, "word", 5).collect()
+    assert len(rows) == 5 and all(r["truncated"] for r in rows)
+    assert not any(r["truncated"] for r in reports.search(p, "word3").collect())
+
+
+def test_long_chains_and_many_paths(spark):
+    """A closure and includes deeper than any fixed limit; fragments that include the next one twice are read once each."""
+    from mapperlake.operators import kernels
+
+    chain = spark.createDataFrame([(k, k + 1) for k in range(70)], "src int, dst int")
+    got = kernels.closure(chain, spark.createDataFrame([(0,)], "node int"))
+    assert got.count() == 70 and got.agg({"depth": "max"}).first()[0] == 70
+    parts = [f"<sql id='f{k}'>x{k} <include refid='f{k + 1}'/> <include refid='f{k + 1}'/></sql>" for k in range(12)]
+    p = Project.upload(spark, {"a.xml": "<sqlMap namespace='m'>" + "".join(parts) + "<sql id='f12'>end</sql><select id='s'>SELECT <include refid='f0'/></select></sqlMap>"})
+    tree = p.include_tree.collect()
+    assert len(tree) == 25 and {r["status"] for r in tree} == {"RESOLVED"} and max(r["depth"] for r in tree) == 13
