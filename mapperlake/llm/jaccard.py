@@ -75,6 +75,7 @@ def set_table(docs: DataFrame) -> DataFrame:
                     [batch.column("doc_id").slice(a, b - a), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([s[0] for s in shared], pa.list_(pa.int64())), pa.array([s[1] for s in shared], pa.list_(pa.int64()))],
                     ["doc_id", "n", "set", "shared", "shared_n"],
                 )
+        trim()
 
     return _rows(docs).mapInArrow(run, "doc_id long, n long, set binary, shared array<long>, shared_n array<long>")
 
@@ -112,6 +113,7 @@ def signatures(docs: DataFrame, hot: np.ndarray, hot_n: np.ndarray) -> DataFrame
                     out.append((n, signature(x), _signed(posting[blocks == 1]), _signed(posting[blocks > 1]), blocks[blocks > 1]))
                 types = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *(pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True))], ["doc_id", "n", "bits", "postings", "hot", "blocks"])
+        trim()
 
     return _rows(docs).mapInArrow(run, "doc_id long, n long, bits binary, postings array<long>, hot array<long>, blocks array<long>")
 
@@ -382,6 +384,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                     [batch.column("doc_id").slice(a, b - a), pa.array([len(x) for x in found], pa.int64()), pa.array([_wide(x) for x in found], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary()), pa.array([_digest(x) for x in found], pa.binary())],
                     ["doc", "n", "wide", "shingles", "set"],
                 )
+        trim()
 
     def bound(batches):
         import pyarrow as pa

@@ -192,6 +192,7 @@ def lines_of(docs: DataFrame, shortest: int = SHORTEST, least: int = LEAST) -> D
                     lists(signed.view(np.int64).ravel(), np.full(m, signed.shape[1]), pa.int64()), pa.array(parity.view(np.int64)), lists(held[many].view(np.int64), counts, pa.int64()), lists(n[many], counts, pa.int64()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names)
+        trim()
 
     return _docs(docs).mapInArrow(run, "kind string, doc_id long, places array<int>, lines array<long>, line long, keys array<long>, parity long, hot array<long>, hot_n array<long>")
 
@@ -225,6 +226,7 @@ def meeting_collector(block: int, rows_held: int):
                 held = [x[cut:] for x in held]
         if len(held[0]):
             yield step(*held, before, False)
+        trim()
 
     return run
 
@@ -322,6 +324,7 @@ def verified(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, least: int
             for a, b in slices(texts, STEP):
                 own = list({x for t in texts[a:b] for _, x in _lines(t)})
                 yield pa.RecordBatch.from_arrays([pa.array([line_hash(x) for x in own], pa.int64()), pa.array(own, pa.binary())], ["line", "body"])
+        trim()
 
     def compare(batches):
         import pyarrow as pa
@@ -391,6 +394,7 @@ def dedup(docs: DataFrame, shortest: int = SHORTEST, least: int = LEAST) -> Data
                 n_removed.append(len(drop))
             columns = [pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())], [*names, "n_lines", "n_removed"])
+        trim()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_lines long, n_removed long"
     return joined.mapInArrow(cut, schema)

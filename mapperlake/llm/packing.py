@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, texts_of
+from .common import stage, texts_of, trim
 from .tokens import encoder, slices
 
 BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION, ELITES = 4096, 2, 2, 10, 6, 2
@@ -50,6 +50,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int =
                         part = ids[p : p + 4 * capacity]
                         out.append((row, doc, k, k * capacity, len(part) // 4, zlib.crc32(part)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["row_id", "doc_id", "piece", "start", "length", "ids_crc32"])
+        trim()
 
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(cut, "row_id long, doc_id long, piece int, start long, length long, ids_crc32 long")

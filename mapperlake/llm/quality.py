@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stage, texts_of
+from .common import small, stage, texts_of, trim
 from .tokens import slices
 
 LEAST, PERCENT, DEPLETED = 10, 2, 50
@@ -85,6 +85,7 @@ def count(docs: DataFrame, host: str = "source") -> DataFrame:
                 columns = zip(*out, strict=True)
                 types = [pa.int64()] * 6 + [pa.list_(pa.int64()), pa.list_(pa.int32())]
                 yield pa.RecordBatch.from_arrays([batch.column(k).slice(a, b - a) for k in ("row_id", "doc_id", "host")] + [pa.array(c, t) for c, t in zip(columns, types, strict=True)], [c.split()[0] for c in COUNTED.split(", ")])
+        trim()
 
     number = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
     rows = docs.select(number.alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), "text")
@@ -132,24 +133,27 @@ def keep(docs: DataFrame, host: str = "source") -> DataFrame:
 
 
 def clean(docs: DataFrame, host: str = "source", least: int = LEAST, percent: float = PERCENT, depleted: int = DEPLETED) -> DataFrame:
-    """keep(docs) with texts without their host's frequent lines; only a line's first row (the smallest doc_id, rejected or not) has it still."""
+    """keep(docs) with texts without their host's frequent lines (only texts that lose some pass through Python); only a line's first row (the smallest doc_id, rejected or not) has it still."""
     rows = stage(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
     counted, lines = lines_to_remove(rows, host, least, percent)
-    gone = stage(lines.groupBy("row_id").agg(F.collect_set("line").alias("__gone")), "gone")
+    gone = stage(lines.groupBy("row_id").agg(F.collect_set("line").alias("__gone")).withColumnRenamed("row_id", "__at"), "gone")
     bad = stage(judged_rows(counted, lines, depleted).groupBy("doc_id").agg(F.max("kept").alias("any")).where(~F.col("any")).select(F.col("doc_id").alias("__doc")), "rejected")
     kept = rows.join(small(bad), rows["doc_id"].cast("long").eqNullSafe(F.col("__doc")), "left_anti")
-    kept = kept.join(gone, kept[ROW] == gone["row_id"], "left").select(*docs.columns, "__gone")
+    gone = small(gone)
+    untouched = kept.join(gone, F.col(ROW) == F.col("__at"), "left_anti").select(docs.columns)
+    kept = kept.join(gone, F.col(ROW) == F.col("__at")).select(*docs.columns, "__gone")
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             texts, lines = batch.column("text").to_pylist(), batch.column("__gone").to_pylist()
-            texts = [without(t, x) if t and x else t for t, x in zip(texts, lines, strict=True)]
+            texts = [without(t, x) for t, x in zip(texts, lines, strict=True)]
             k = batch.schema.get_field_index("text")
             yield batch.set_column(k, batch.schema.field(k), pa.array(texts, batch.schema.field(k).type)).drop_columns(["__gone"])
+        trim()
 
-    return kept.mapInArrow(run, docs.schema)
+    return untouched.unionByName(kept.mapInArrow(run, docs.schema))
 
 
 ORACLE = rf"""

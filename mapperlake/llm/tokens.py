@@ -14,7 +14,7 @@ import struct
 from .common import trim
 
 #: Distinct chunks kept per worker; a full store is emptied and filled again, which costs time only.
-STORE = 900_000
+STORE = 600_000
 #: One letters-only piece of the vocabulary's own split, before at most one point or comma.
 _WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)").fullmatch
 _encoders: dict[str, "ChunkEncoder"] = {}
