@@ -1,4 +1,4 @@
-"""Queries op1 to op10 over the whole documents and pages tables, and their SQL where there is one."""
+"""Queries op1 to op13 over the whole documents, pages and embeddings tables, and their SQL where there is one."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, jaccard, line_dedup, lm, packing, quality, sharding, token_files, warc
+from . import bpe, fingerprint, jaccard, line_dedup, lm, mixing, packing, quality, sharding, token_files, warc
 from .common import documents, lean
 
 WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -66,6 +66,15 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.write_and_read(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+#: Weights of sources in their order, repeating.
+MIX = [5, 2, 1]
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document a mix of one and a half times all words takes, sources weighing 5, 2, 1; see mixing.mix."""
+    return mixing.mix(documents(spark, sf_dir), MIX).drop("expected")
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -93,4 +102,4 @@ FROM documents d JOIN fill f ON f.step > 0 AND f.slot = {number.format("'=' || d
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": sharding_sql(), "op5_quality_rules": quality.ORACLE}
+    return {"op1_sharding": sharding_sql(), "op5_quality_rules": quality.ORACLE, "op13_mixing": mixing.oracle(MIX)}
