@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, jaccard, line_dedup, lm, mixing, packing, quality, sharding, token_files, warc
+from . import bpe, fingerprint, jaccard, line_dedup, lm, mixing, packing, quality, search, sharding, token_files, vector_codes, warc
 from .common import documents, lean
 
 WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -66,6 +66,17 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.write_and_read(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest-scoring documents of every benchmark item; see search.search."""
+    return search.rank(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors by codebooks learnt from all of them; see vector_codes.compress."""
+    lean(spark)
+    return vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 #: Weights of sources in their order, repeating.
 MIX = [5, 2, 1]
 
@@ -102,4 +113,4 @@ FROM documents d JOIN fill f ON f.step > 0 AND f.slot = {number.format("'=' || d
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": sharding_sql(), "op5_quality_rules": quality.ORACLE, "op13_mixing": mixing.oracle(MIX)}
+    return {"op1_sharding": sharding_sql(), "op5_quality_rules": quality.ORACLE, "op11_lexical_search": search.ORACLE, "op12_vector_codes": vector_codes.oracle(), "op13_mixing": mixing.oracle(MIX)}
