@@ -85,11 +85,16 @@ def closure(edges: DataFrame, sources: DataFrame) -> DataFrame:
 
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: it is computed once, its lineage ends there, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{_shared_dir(spark)}/mapperlake/cut-{uuid.uuid4().hex}"
-    _written.append((spark.sparkContext, path))
+    path = cut_path(df.sparkSession, "cut")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, deleted when the driver ends."""
+    path = f"{_shared_dir(spark)}/mapperlake/{name}-{uuid.uuid4().hex}"
+    _written.append((spark.sparkContext, path))
+    return path
 
 
 _written: list[tuple] = []
