@@ -18,14 +18,26 @@ RENDERED = (
     "parameters array<struct<name: string, expression: string, binding: string, used_in: string, jdbc_type: string, null_value: string, condition: string, condition_property: string, fragment: string, source_line: int, risk: string>>, "
     "conditions array<struct<kind: string, condition: string, property: string, compare_property: string, compare_value: string, test: string, prepend: string, text: string, depth: int, source_line: int>>"
 )
+#: Nodes of a statement's whole tree, and includes within each other; a statement beyond either is a problem of its own (see oversized).
+MOST_NODES, MOST_DEPTH = 200_000, 500
 _PART = "root string, part string, owner string, payload string"
 
 
+class TooLarge(Exception):
+    """A statement's includes unfold to more than can be analysed."""
+
+
 def splice(root: str, own: list[dict], fragments: dict[str, list[dict]], targets: dict[tuple[str, str], str | None]) -> list[dict]:
     """The tree of a statement with every include's target in place. targets: (owner, refid) to the fragment, None where there is none."""
 
+    placed = 0
+
     def place(nodes: list[dict], owner: str, path: tuple[str, ...]) -> list[dict]:
+        nonlocal placed
         out = []
+        placed += len(nodes)
+        if placed > MOST_NODES or len(path) > MOST_DEPTH:
+            raise TooLarge
         for n in nodes:
             n = {**n, "children": place(n["children"], owner, path)}
             if n["type"] == "Include":
@@ -76,8 +88,12 @@ def rendered(owned: DataFrame, tree: DataFrame) -> DataFrame:
                 p = json.loads(p)
                 targets[o, p["refid"]] = p.get("target")
         s = json.loads(mine[1])
-        whole = splice(root, from_rows(_rows(s.get("nodes") or [])), fragments, targets)
-        return {"statement": root, **{k: s.get(k) for k in ("source_file", "namespace", "dialect", "type", "line")}, "attrs": s.get("attrs") or {}, "tree": json.dumps(whole), "variants": flatten.variants(whole), "parameters": flatten.parameter_usages(whole), "conditions": flatten.conditions(whole)}
+        about = {"statement": root, **{k: s.get(k) for k in ("source_file", "namespace", "dialect", "type", "line")}, "attrs": s.get("attrs") or {}}
+        try:
+            whole = splice(root, from_rows(_rows(s.get("nodes") or [])), fragments, targets)
+            return {**about, "tree": json.dumps(whole), "variants": flatten.variants(whole), "parameters": flatten.parameter_usages(whole), "conditions": flatten.conditions(whole)}
+        except (TooLarge, RecursionError):  # this statement alone has no facts, and a problem
+            return {**about, "tree": "[]", "variants": [], "parameters": [], "conditions": []}
 
     def run(batches):
         """Rows come sorted by statement; one statement's rows are held at a time."""
@@ -118,3 +134,8 @@ def raw_substitutions(done: DataFrame) -> DataFrame:
     """RAW_SQL_SUBSTITUTION problems with the risk that each carries."""
     found = parameter_usages(done).where("binding = 'DOLLAR'")
     return found.select(F.lit("WARNING").alias("severity"), F.lit("RAW_SQL_SUBSTITUTION").alias("code"), F.format_string("$%s$ is put into the text", "name").alias("message"), "statement", "source_file", F.col("source_line").alias("line"), "risk")
+
+
+def oversized(done: DataFrame) -> DataFrame:
+    """STATEMENT_TOO_LARGE problems: statements whose includes or tags unfold beyond MOST_NODES or MOST_DEPTH, which have no text and no facts."""
+    return done.where(F.size("variants") == 0).select(F.lit("ERROR").alias("severity"), F.lit("STATEMENT_TOO_LARGE").alias("code"), F.lit("its includes or tags unfold to more than can be analysed").alias("message"), "statement", "source_file", "line")

@@ -133,24 +133,23 @@ class Reach:
         members = self.numbers.groupBy("component", F.bitmap_bucket_number(F.col("number") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("number") + 1)).alias("bitmap"))
         members = cut(members)
         steps = cut(across.where("src <> dst"))
-        cyclic = across.where("src = dst").select(F.col("src").alias("component"))
-        done = cut(members.join(cyclic, "component", "left_semi"))  # a component with an edge within reaches itself
-        waiting = cut(parts.select("component").distinct())
-        rows, settled = cut_path(edges.sparkSession, "reach"), cut_path(edges.sparkSession, "reach-below")  # appended to, level by level; settled: with the members
-        spark, level = edges.sparkSession, 0
-        while not waiting.isEmpty():
-            on = steps.join(waiting.withColumnRenamed("component", "dst"), "dst", "left_semi").select(F.col("src").alias("component")).distinct()
-            ready = cut(waiting.join(on, "component", "left_anti"))
-            new = done.join(ready, "component", "left_semi")
-            if level:
-                below = steps.join(ready.withColumnRenamed("component", "src"), "src", "left_semi").join(spark.read.parquet(settled).withColumnRenamed("component", "dst"), "dst")
-                new = below.select(F.col("src").alias("component"), "bucket", "bitmap").unionByName(new)
-            new = cut(new.groupBy("component", "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap")))
-            new.write.mode("append").parquet(rows)
-            whole = new.unionByName(members.join(ready, "component", "left_semi")).groupBy("component", "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
-            whole.write.mode("append").parquet(settled)
-            waiting, level = cut(waiting.join(ready, "component", "left_anti")), level + 1
-        self.bits = spark.read.parquet(rows) if level else done
+        settled, spark = cut_path(edges.sparkSession, "reach"), edges.sparkSession  # what a component reaches, and its members: level by level from the sinks
+        open_, waiting, below = steps, parts.select("component").distinct(), None
+        while True:
+            ready = waiting.join(open_.select(F.col("src").alias("component")).distinct(), "component", "left_anti")
+            own = members.join(ready, "component", "left_semi")
+            if below is not None:
+                own = own.unionByName(below.join(ready, "component", "left_semi").join(spark.read.parquet(settled).withColumnRenamed("component", "dst"), "dst").select("component", "bucket", "bitmap"))
+            own.groupBy("component", "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap")).write.mode("append").parquet(settled)
+            if open_.isEmpty():
+                break
+            below = steps.withColumnRenamed("src", "component")
+            waiting = open_.select(F.col("src").alias("component")).distinct()
+            open_ = cut(open_.join(waiting.withColumnRenamed("component", "dst"), "dst", "left_semi").select("src", "dst"))
+        whole = spark.read.parquet(settled)
+        cyclic = across.where("src = dst").select(F.col("src").alias("component"))  # a component with an edge within reaches itself
+        over = steps.join(whole.withColumnRenamed("component", "dst"), "dst").select(F.col("src").alias("component"), "bucket", "bitmap")
+        self.bits = cut(over.unionByName(members.join(cyclic, "component", "left_semi")).groupBy("component", "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap")))
 
     def counts(self) -> DataFrame:
         """node, n_reached of every node, 0 included."""

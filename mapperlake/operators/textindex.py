@@ -12,6 +12,7 @@ no piece: they scan all blocks.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +23,7 @@ from .kernels import cut_path
 LINES, RAREST = 16, 4
 #: Bits of a block's number within its range.
 RANGE_BITS = 16
-#: Blocks that are asked for by number (so that other row groups aren't read); more are joined.
+#: Candidates (needle and block) whose blocks are asked for by number, so that other row groups aren't read; more are joined.
 NEAR = 2000
 #: Fixed values of the Parquet writer: delta coding (format v2 without dictionaries), small row groups and pages.
 POSTINGS_FORMAT = {"parquet.writer.version": "v2", "parquet.enable.dictionary": "false", "parquet.block.size": str(256 << 10), "parquet.page.size": str(64 << 10), "parquet.page.row.count.limit": "100", "compression": "zstd"}
@@ -41,7 +42,7 @@ def any_of(tests: list[Column]) -> Column:
     return tests[0] if tests else F.lit(False)
 
 
-def ranges(numbers: list[int]) -> list[tuple[int, int]]:
+def ranges(numbers: set[int]) -> list[tuple[int, int]]:
     """Runs of consecutive numbers."""
     out: list[tuple[int, int]] = []
     for n in sorted(numbers):
@@ -52,6 +53,18 @@ def ranges(numbers: list[int]) -> list[tuple[int, int]]:
     return out
 
 
+@contextmanager
+def pushed(spark: SparkSession, values: int):
+    """Within it the Parquet reader skips row groups and pages by lists of so many values; the setting is put back."""
+    name = "spark.sql.parquet.pushdown.inFilterThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(max(values, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class TextIndex:
     """An index in a folder; build it once, then search as often as wanted."""
 
@@ -87,7 +100,8 @@ class TextIndex:
         asked = self.spark.createDataFrame([(n,) for n in needles], "needle string").select("needle", pieces(F.col("needle")).alias("pieces"))
         of = {r["needle"]: r["pieces"] for r in asked.collect()}
         every = sorted({p for ps in of.values() for p in ps})
-        held = self.postings.where(any_of([F.col("piece") == p for p in every])).groupBy("piece").agg(F.sum("n").alias("n")).collect() if every else []
+        with pushed(self.spark, len(every)):
+            held = self.postings.where(F.col("piece").isin(every)).groupBy("piece").agg(F.sum("n").alias("n")).collect() if every else []
         count = {r["piece"]: r["n"] for r in held}
         return {n: sorted(ps, key=lambda p: (count[p], p))[:RAREST] for n, ps in of.items() if all(p in count for p in ps)}
 
@@ -97,7 +111,7 @@ class TextIndex:
         if not rows:
             return self.spark.createDataFrame([], "needle string, block long")
         asked = self.spark.createDataFrame(rows, "needle string, piece string, wanted int")
-        lists = self.postings.where(any_of([F.col("piece") == p for p in sorted({p for _, p, _ in rows})])).join(F.broadcast(asked), "piece")
+        lists = self.postings.where(F.col("piece").isin(sorted({p for _, p, _ in rows}))).join(F.broadcast(asked), "piece")
         met = lists.groupBy("needle", "range", "wanted").agg(F.collect_list("blocks").alias("ls")).where(F.size("ls") == F.col("wanted"))
         common = F.aggregate(F.slice("ls", F.lit(2), F.greatest(F.size("ls") - 1, F.lit(0))), F.element_at("ls", 1), F.array_intersect)
         return met.select("needle", F.explode(common).alias("low"), "range").select("needle", F.shiftleft("range", RANGE_BITS).bitwiseOR(F.col("low").cast("long")).alias("block"))
@@ -111,17 +125,11 @@ class TextIndex:
         """needle, key, line, text of every line that holds a needle, in any case. Needles (a list of the caller's) may be of any length; an empty one is in every line."""
         needles = sorted(set(needles))
         chosen = self.chosen(needles)
-        found = self.candidates({n: ps for n, ps in chosen.items() if ps}).persist()
-        try:
-            near = found.select("block").distinct().limit(NEAR + 1).collect()
-            if len(near) <= NEAR:
-                pairs = found.collect() if found.count() <= NEAR * 4 else None
-            else:
-                pairs = None
-        finally:
-            found.unpersist()
-        if pairs is not None:  # few: other row groups are skipped, and the pairs go with the plan
-            blocks = self.blocks.where(any_of([(F.col("block") >= a) & (F.col("block") <= b) for a, b in ranges([r["block"] for r in near])]))
+        found = self.candidates({n: ps for n, ps in chosen.items() if ps})
+        with pushed(self.spark, RAREST * len(needles)):
+            pairs = found.limit(NEAR + 1).collect()
+        if len(pairs) <= NEAR:  # few: other row groups are skipped, and the pairs go with the plan
+            blocks = self.blocks.where(any_of([(F.col("block") >= a) & (F.col("block") <= b) for a, b in ranges({r["block"] for r in pairs})]))
             rows = blocks.join(F.broadcast(self.spark.createDataFrame([(r["needle"], r["block"]) for r in pairs], "needle string, block long")), "block")
         else:
             rows = self.blocks.join(found, "block")

@@ -13,12 +13,15 @@ from pyspark.sql import functions as F
 from mapperlake.functions.sqltokens import tokenize
 from mapperlake.operators import assemble, catalog, facts, resolve
 from mapperlake.operators.runtime import render
+from mapperlake.operators.textindex import TextIndex
 from mapperlake.sources import projects
 
 
 class Project:
     """The tables of a project. Each is built when first asked for; those that several others read are kept in memory and spill to disk."""
 
+    text_index: TextIndex | None = None
+
     def __init__(self, files: DataFrame, drop_copies: bool = True):
         self.spark, self.files, self._drop = files.sparkSession, files, drop_copies
 
@@ -31,6 +34,12 @@ class Project:
     def upload(cls, spark: SparkSession, files: dict[str, str]) -> "Project":
         return cls(projects.upload(spark, files))
 
+    def indexed(self) -> "Project":
+        """This project with an index of its texts, which every search then uses."""
+        if self.text_index is None:
+            self.text_index = TextIndex.build(self.files.select("source_file", "text"), "source_file", "text")
+        return self
+
     @cached_property
     def _parsed(self) -> tuple[DataFrame, DataFrame]:
         parsed = catalog.parse(self.files).persist()
@@ -128,6 +137,7 @@ class Project:
             resolve.include_problems(tree, names).select(shape),
             resolve.map_problems(self.map_references, resolve.extends_chains(self.map_references)).select(shape),
             assemble.raw_substitutions(self.rendered).select(shape),
+            assemble.oversized(self.rendered).select(shape),
             facts.parse_problems(self.analysed).join(self.rendered.select("statement", "source_file", "line"), "statement").select(shape),
         ]
         out = parts[0]

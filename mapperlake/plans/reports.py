@@ -96,11 +96,16 @@ def result_map_users(p: Project) -> DataFrame:
 
 
 def search(p: Project, needle: str, most: int = 2000) -> DataFrame:
-    """source_file, line, owner, kind, text, reason of lines, paths, namespaces and ids that hold a text, in any case; a fragment's hit also names the statements that include it. At most `most` rows (a report's limit); truncated says whether there are more."""
+    """source_file, line, owner, kind, text, reason of lines, paths, namespaces and ids that hold a text, in any case; a fragment's hit also names the statements that include it. At most `most` rows (a report's limit); truncated says whether there are more. A project that is indexed (see Project.indexed) isn't scanned."""
     low = needle.lower()
-    lines = p.files.where("text IS NOT NULL").select("source_file", F.posexplode(F.split("text", "\n")).alias("n", "text")).withColumn("line", F.col("n") + 1)
     starts = p.owners.select("source_file", "line", F.struct("qid", "kind").alias("own"))
-    owned = kernels.search_owner(lines.join(starts, ["source_file", "line"], "left"), "source_file", "line", F.col("own"))
+    if p.text_index is None:
+        lines = p.files.where("text IS NOT NULL").select("source_file", F.posexplode(F.split("text", "\n")).alias("n", "text")).withColumn("line", F.col("n") + 1)
+        lines = lines.join(starts, ["source_file", "line"], "left")
+    else:  # only the lines that hold the text, and the places where owners start
+        found = p.text_index.search([needle]).select(F.col("key").alias("source_file"), (F.col("line") + 1).alias("line"), "text")
+        lines = found.join(starts, ["source_file", "line"], "full")
+    owned = kernels.search_owner(lines, "source_file", "line", F.col("own"))
     hits = owned.where(F.lower("text").contains(low)).select("source_file", "line", F.col("owner.qid").alias("owner"), F.col("owner.kind").alias("kind"), F.trim("text").alias("text"), F.lit("text").alias("reason"))
     ids = p.owners.where(F.lower("qid").contains(low)).select("source_file", "line", F.col("qid").alias("owner"), "kind", F.lit("").alias("text"), F.lit("id").alias("reason"))
     paths = p.mappers.where(F.lower("source_file").contains(low) | F.lower("namespace").contains(low)).select("source_file", F.lit(1).alias("line"), F.lit(None).cast("string").alias("owner"), F.lit("MAPPER").alias("kind"), F.col("namespace").alias("text"), F.lit("path").alias("reason"))

@@ -128,7 +128,11 @@ def read_mapper(source: str, problems: Problems) -> dict | None:
         if not _needs(e, "id", "MISSING_ID_ATTR", problems):
             continue
         if kind in ("STATEMENT", "SQL_FRAGMENT"):
-            nodes = _children(e, dialect, problems)
+            try:
+                nodes = _children(e, dialect, problems)
+            except RecursionError:  # this owner alone has no content
+                nodes = []
+                problems.add("ERROR", "NESTED_TOO_DEEPLY", f"tags of {e['attrs']['id']} are nested too deeply to be read", e["line"])
         elif kind == "RESULT_MAP":
             nodes = _result_nodes(e, problems)
         else:
