@@ -2,16 +2,19 @@
 
 A tree of four levels, built by one rule for texts of any length: pieces, paragraphs, sections, root.
 
-* A piece ends with the line, or after 8 characters at the next one of STOPS (blanks, signs, some letters and parts
-  of scripts without blanks), or after 24: it is cut by its content, so pieces line up again behind an edit.
+* A piece ends with the line, or after 7 bytes (of UTF-8) where a hash over a window of two characters says so: a character
+  has one of four classes by the low six bits of its code point, whatever its script, and a piece ends where a class
+  follows the one before it in turn. Without such a place it ends after 64 bytes. It is cut by its content, so
+  pieces line up again behind an edit.
 * A paragraph ends with the line, or where a piece's digest starts with 0 (about every 16 pieces of a long line).
 * A section ends with a blank line, or where a paragraph's digest starts with 0.
 
-A piece's digest is the SHA-256 of its text, any other's that of its children's digests. The fingerprint has six
-fields, joined by colons: the root (64 hex digits), 8 digits of each section, the number of paragraphs up to each
-section's end (joined by commas), 8 digits of each paragraph, the number of pieces up to each paragraph's end, and 5 digits
-of each piece. Equal texts have equal fingerprints; roots test equality; from sections down to pieces, branches that
-differ tell where an edit is.
+A piece's digest is a 64-bit hash of it, a paragraph's or section's the SHA-256 of its children's digests, the root's that
+of the sections' and of the whole text's. The fingerprint has six fields, joined by colons: the root (64 hex digits), 8
+digits of each section, the number of paragraphs up to each section's end (joined by commas), 8 digits of each paragraph,
+the number of pieces up to each paragraph's end, and some digits of each piece: at least 5, more where there are many, so that few
+pieces of unrelated texts agree by chance. Equal texts have equal fingerprints; roots test equality; from sections down to
+pieces, branches that differ tell where an edit is.
 """
 
 from __future__ import annotations
@@ -23,11 +26,22 @@ from pyspark.sql import functions as F
 
 from .common import tasks
 
-#: Hex digits kept of a section's or paragraph's digest, and of a piece's.
+#: Hex digits kept of a section's or paragraph's digest, and of a piece's at least (see digits_of).
 SHORT, PIECE = 8, 5
-#: Characters that can end a piece: in scripts without blanks, 512 code points of each 4,096.
-STOPS = r" \t\r.,;:!?\u2026eE5\u043e\u041e\u0627" + "".join(rf"\u{k:04x}-\u{k + 0x1FF:04x}" for k in range(0x3000, 0xE000, 0x1000))
-PIECES = rf"[^\n]{{0,6}}\n+|[^\n]{{7,23}}?(?:[{STOPS}]|\n+)|[^\n]{{1,24}}"
+
+
+def _class(k: int, least: int = 0) -> str:
+    """The bytes, from `least` on, that end a character of class k, as a regular expression class: by their low six bits, multiplied, shifted and cut (numbers with which also texts of two or four letters have places to cut)."""
+    return "[" + "".join(rf"\x{b:02x}" for b in range(least, 0xC0) if b != 10 and ((b & 63) * 51 + 4) % 64 // 16 == k % 4) + "]"
+
+
+def _pieces() -> str:
+    """The regular expression of a piece, over a text's UTF-8 bytes as Latin-1. Between two characters' last bytes stand the second one's first ones, if it has more than one."""
+    ends = "|".join(rf"{_class(k)}(?:{_class(k + 1)}|[\xc0-\xff][\x80-\xbf]{{0,2}}?{_class(k + 1, 0x80)})" for k in range(4))
+    return rf"[^\n]{{0,6}}\n+|[^\n]{{5,61}}?(?:(?:{ends})(?![\x80-\xbf])|\n+)|[^\n]{{1,64}}"
+
+
+PIECES = _pieces()
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -48,6 +62,11 @@ def _digests(children: Column, ends: Column) -> Column:
     return F.transform(ends, lambda e, k: F.sha2(F.concat_ws("", F.slice(children, _start(ends, k) + 1, e - _start(ends, k))), 256))
 
 
+def digits_of(pieces: Column) -> Column:
+    """Digits kept of each of so many pieces: two more than their number has, so that of another text's pieces one in 256 at most is there by chance."""
+    return F.greatest(F.lit(PIECE), F.ceil(F.log2(F.greatest(pieces, F.lit(1))) / 4).cast("int") + 2)
+
+
 def fingerprint(text: Column) -> Column:
     """The fingerprint of a whole text of any length; null counts as empty (a root over no sections)."""
     zero = F.lit("0")
@@ -55,7 +74,7 @@ def fingerprint(text: Column) -> Column:
     said = lambda ends: F.concat_ws(",", F.transform(ends, lambda x: x.cast("string")))
 
     def of_pieces(piece: Column) -> Column:
-        return let(F.transform(piece, lambda x: F.sha2(x, 256)), lambda digest: F.when(F.size(digest) == 0, empty).otherwise(of_digests(piece, digest)))
+        return let(F.transform(piece, lambda x: F.lpad(F.hex(F.xxhash64(x)), 16, "0")), lambda digest: F.when(F.size(digest) == 0, empty).otherwise(of_digests(piece, digest)))
 
     def of_digests(piece: Column, digest: Column) -> Column:
         ends = _ends(F.size(digest), lambda i: F.startswith(F.element_at(digest, i), zero) | F.endswith(F.element_at(piece, i), F.lit("\n")))
@@ -63,28 +82,39 @@ def fingerprint(text: Column) -> Column:
 
     def of_paragraphs(piece: Column, digest: Column, ends: Column, paragraph: Column) -> Column:
         closed = _ends(F.size(paragraph), lambda i: F.startswith(F.element_at(paragraph, i), zero) | F.endswith(F.element_at(piece, F.element_at(ends, i)), F.lit("\n\n")))
-        return let(closed, lambda c: let(_digests(paragraph, c), lambda s: F.concat_ws(":", F.sha2(F.concat_ws("", s), 256), short(s, SHORT), said(c), short(paragraph, SHORT), said(ends), short(digest, PIECE))))
+        return let(closed, lambda c: let(_digests(paragraph, c), lambda s: F.concat_ws(":", F.sha2(F.concat_ws("", s, F.sha2(whole, 256)), 256), short(s, SHORT), said(c), short(paragraph, SHORT), said(ends), short(digest, digits_of(F.size(digest))))))
 
     empty = F.concat(F.sha2(F.lit(""), 256), F.lit(":::::"))
-    return let(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PIECES), F.lit(0)), of_pieces)
+    whole = F.coalesce(text, F.lit(""))
+    return let(F.regexp_extract_all(F.decode(F.encode(whole, "UTF-8"), "ISO-8859-1"), F.lit(PIECES), F.lit(0)), of_pieces)
 
 
 def _parts(field: Column, digits: int) -> Column:
     return F.regexp_extract_all(field, F.lit(f".{{{digits}}}"), F.lit(0))
 
 
+def _piece_digests(parts: Column) -> Column:
+    """The pieces' digests of a fingerprint's fields; how many digits each has follows from their number, which the last paragraph's end tells."""
+    n = F.coalesce(F.element_at(F.split(parts[4], ","), -1).cast("int"), F.lit(1))
+    digits = F.floor(F.length(parts[5]) / n).cast("string")
+    return F.when(parts[5] == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(parts[5], F.concat(F.lit(".{"), digits, F.lit("}")), F.lit(0)))
+
+
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1: twice the pieces that both have, by the pieces of both; equal fingerprints 1, and 0 if one is null or of an empty text. Repeated pieces count once."""
-    pieces = lambda x: F.array_distinct(_parts(F.element_at(F.split(x, ":"), 6), PIECE))
+    """0 to 1: twice the pieces that both have, by the pieces of both; equal fingerprints 1, and 0 if one is null or of an empty text. Repeated pieces count once; of digests of different lengths the shorter length counts."""
+    pieces = lambda x: let(F.split(x, ":"), _piece_digests)
+    width = lambda p: F.coalesce(F.length(F.get(p, F.lit(0))), F.lit(16))
+    cut = lambda p, n: F.array_distinct(F.when(width(p) == n, p).otherwise(F.transform(p, lambda x: F.substring(x, F.lit(1), n))))
     both = F.struct(pieces(a).alias("a"), pieces(b).alias("b"))
-    dice = let(both, lambda p: F.when(F.size(p["a"]) + F.size(p["b"]) == 0, F.lit(0.0)).otherwise(2.0 * F.size(F.array_intersect(p["a"], p["b"])) / (F.size(p["a"]) + F.size(p["b"]))))
+    same = lambda q: F.when(F.size(q["a"]) + F.size(q["b"]) == 0, F.lit(0.0)).otherwise(2.0 * F.size(F.array_intersect(q["a"], q["b"])) / (F.size(q["a"]) + F.size(q["b"])))
+    dice = let(both, lambda p: let(F.least(width(p["a"]), width(p["b"])), lambda n: let(F.struct(cut(p["a"], n).alias("a"), cut(p["b"], n).alias("b")), same)))
     return F.when(a.isNull() | b.isNull(), F.lit(0.0)).when(a == b, F.lit(1.0)).otherwise(dice)
 
 
 def tree(fingerprint: Column) -> Column:
     """A fingerprint's levels: struct of sections, section_ends, paragraphs, paragraph_ends, pieces."""
     numbers = lambda x: F.when(x == "", F.array().cast("array<int>")).otherwise(F.split(x, ",").cast("array<int>"))
-    return let(F.split(fingerprint, ":"), lambda x: F.struct(_parts(x[1], SHORT).alias("sections"), numbers(x[2]).alias("section_ends"), _parts(x[3], SHORT).alias("paragraphs"), numbers(x[4]).alias("paragraph_ends"), _parts(x[5], PIECE).alias("pieces")))
+    return let(F.split(fingerprint, ":"), lambda x: F.struct(_parts(x[1], SHORT).alias("sections"), numbers(x[2]).alias("section_ends"), _parts(x[3], SHORT).alias("paragraphs"), numbers(x[4]).alias("paragraph_ends"), _piece_digests(x).alias("pieces")))
 
 
 def differing(a: Column, b: Column) -> Column:

@@ -15,6 +15,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -246,23 +247,35 @@ def test_long_matches_take_several_queries(reference, monkeypatch):
 
 
 def pieces_of(text):
-    """By steps: the line's end; after eight characters the next one that can end a piece; 24 characters."""
-    can_end = lambda c: c in " \t\r.,;:!?\u2026eE5\u043e\u041e\u0627" or 0x3000 <= ord(c) < 0xE000 and (ord(c) - 0x3000) % 0x1000 < 0x200
-    out, own = [], ""
-    for k, c in enumerate(text):
-        own += c
-        following = text[k + 1 : k + 2]
-        if c == "\n":
-            if following != "\n":
+    """By steps, over bytes: the line's end; after seven bytes the next place where a character's class follows that of the one before; 64 bytes."""
+    kind = lambda b: ((b & 63) * 51 + 4) % 64 // 16
+    more = lambda b: 0x80 <= b < 0xC0
+
+    def follows(own):
+        """Whether the last byte's class follows that of the byte before, or of the one before the first bytes of its character."""
+        for skip in range(4):
+            j = len(own) - 2 - skip
+            first = own[j + 1 : -1]
+            if j >= 5 and own[j] < 0xC0 and (not first or first[0] >= 0xC0 and all(map(more, [*first[1:], own[-1]]))) and own[-1] < 0xC0 and kind(own[-1]) == (kind(own[j]) + 1) % 4:
+                return True
+        return False
+
+    out, own, raw = [], b"", text.encode()
+    for k, c in enumerate(raw):
+        own += bytes([c])
+        following = raw[k + 1 : k + 2]
+        if c == 10:
+            if following != b"\n":
                 out.append(own)
-                own = ""
-        elif len(own) >= 24 and following != "\n" or len(own) >= 8 and can_end(c):
+                own = b""
+        elif len(own) >= 64 or len(own) >= 7 and not (following and more(following[0])) and follows(own):
             out.append(own)
-            own = ""
-        elif len(own) >= 24:  # the line's end still belongs to it, if the piece began less than 24 characters before
-            out.append(own)
-            own = ""
-    return out + [own] * bool(own)
+            own = b""
+    return [x.decode("latin-1") for x in out + [own] * bool(own)]
+
+
+def in_bytes(text):
+    return text.encode().decode("latin-1")
 
 
 def merkle(text):
@@ -273,20 +286,26 @@ def merkle(text):
         ends = [k + 1 for k, d in enumerate(digests) if k == len(digests) - 1 or d[0] == "0" or last(k)]
         return ends, [sha("".join(digests[a:b])) for a, b in zip([0, *ends], ends, strict=False)]
 
-    pieces = re.findall(fingerprint.PIECES, text)
-    digests = [sha(x) for x in pieces]
+    pieces = re.findall(fingerprint.PIECES, in_bytes(text))
+    if not pieces:
+        return sha("") + ":::::"
+    digests = [f"{xxhash.xxh64_intdigest(x.encode(), 42):016X}" for x in pieces]
     ends, paragraphs = groups(digests, lambda k: pieces[k].endswith("\n"))
     closed, sections = groups(paragraphs, lambda k: pieces[ends[k] - 1].endswith("\n\n"))
-    return ":".join([sha("".join(sections)), short(sections, 8), ",".join(map(str, closed)), short(paragraphs, 8), ",".join(map(str, ends)), short(digests, 5)])
+    return ":".join([sha("".join(sections) + sha(text)), short(sections, 8), ",".join(map(str, closed)), short(paragraphs, 8), ",".join(map(str, ends)), short(digests, digits(len(pieces)))])
+
+
+def digits(n):
+    return max(5, math.ceil(math.log2(max(n, 1)) / 4) + 2)
 
 
 def test_pieces(texts):
     r = random.Random(1)
-    strange = ["".join(r.choice("abcdxyz \n.e中文字ㄱ") for _ in range(r.randint(0, 300))) for _ in range(300)]
+    strange = ["".join(r.choice("abcdxyz \n.e中文字ㄱéñ🎉กขค") for _ in range(r.randint(0, 300))) for _ in range(300)]
     for t in strange + [t or "" for t in texts]:
-        found = re.findall(fingerprint.PIECES, t)
-        assert "".join(found) == t and all(len(x.rstrip("\n")) <= 24 for x in found)
-    assert sum(re.findall(fingerprint.PIECES, t) == pieces_of(t) for t in strange) > 250  # but where a line ends right behind 24 characters
+        found = re.findall(fingerprint.PIECES, in_bytes(t))
+        assert "".join(found) == in_bytes(t) and all(len(x.rstrip("\n")) <= 64 for x in found)
+    assert sum(re.findall(fingerprint.PIECES, in_bytes(t)) == pieces_of(t) for t in strange) > 295  # but where a line ends right behind 64 bytes
 
 
 def test_fingerprints(spark, texts):
@@ -301,7 +320,9 @@ def test_fingerprints(spark, texts):
         assert r["n_chars"] == len(x) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         assert r["fingerprint"] == merkle(x) and r["edited_fingerprint"] == merkle(edited)
         for column, other in (("near_edited", edited), ("near_next", nx)):
-            a, b = set(re.findall("." * 5, merkle(x).split(":")[5])), set(re.findall("." * 5, merkle(other).split(":")[5]))
+            x_found, y_found = (re.findall(fingerprint.PIECES, in_bytes(t)) for t in (x, other))
+            n = min(digits(len(x_found)), digits(len(y_found)))
+            a, b = ({f"{xxhash.xxh64_intdigest(p.encode(), 42):016X}"[:n] for p in found} for found in (x_found, y_found))
             assert abs(r[column] - (1 if x == other else 2 * len(a & b) / (len(a) + len(b)) if a or b else 0)) < 1e-12
     assert fingerprint.compare_edits(empty(spark)).count() == 0
     one = fingerprint.compare_edits(make(spark, ["only one."])).first()
@@ -324,6 +345,26 @@ def test_likeness_of_near_texts(spark):
     assert kept[0]["near_edited"] > 0.7 and kept[2]["near_edited"] > 0.6
 
 
+def test_one_character_more_in_any_script(spark):
+    """Behind the first of 6,000 characters: likeness stays above 0.97, whatever the letters are."""
+    r = random.Random(21)
+    span = lambda a, b: [chr(c) for c in range(a, b)]
+    scripts = [span(0xE01, 0xE2F), span(0x3B1, 0x3CA), span(0x628, 0x64B), span(0x904, 0x93A), span(0x430, 0x450), span(0x4E00, 0x9FA0), span(0xAC00, 0xD7A0), span(0x1F600, 0x1F640), "ACGT", "acgt", "0123456789abcdf", "bcdfghjklmnpqrstvwxyz", "01", "ab"]
+    texts = ["".join(r.choice(s) for _ in range(6000)) for s in scripts]
+    df = spark.createDataFrame([(t, t[0] + s[1] + t[1:]) for t, s in zip(texts, scripts)], "a string, b string")
+    got = [x[0] for x in df.select(fingerprint.likeness(fingerprint.fingerprint(F.col("a")), fingerprint.fingerprint(F.col("b")))).collect()]
+    assert min(got) > 0.97, got
+
+
+def test_unrelated_long_texts_are_unlike(spark):
+    """Two texts of 3 million characters each, and one of them against a short one."""
+    df = spark.range(2).select("id", F.concat_ws("", F.transform(F.sequence(F.lit(0), F.lit(93_750)), lambda k: F.md5(F.concat_ws("/", "id", k)))).alias("t")).select("id", fingerprint.fingerprint(F.col("t")).alias("f"))
+    both = df.where("id = 0").select(F.col("f").alias("a")).crossJoin(df.where("id = 1").select(F.col("f").alias("b")))
+    short = fingerprint.fingerprint(F.lit("another text of no great length, of a few pieces only"))
+    got = both.select(fingerprint.likeness(F.col("a"), F.col("b")), fingerprint.likeness(F.col("a"), short), fingerprint.likeness(F.col("a"), F.col("a"))).first()
+    assert got[0] < 0.01 and got[1] < 0.001 and got[2] == 1.0
+
+
 def test_differing_branches(spark):
     r = random.Random(3)
     lines = [prose(r, r.randint(8, 30), 5000) + "." for _ in range(120)]
@@ -335,12 +376,12 @@ def test_differing_branches(spark):
     rows = [(text, gone), (gone, text), (text, swapped), (text, changed), (text, text), (text, ""), ("", text), (text, None)]
     df = spark.createDataFrame(rows, "a string, b string").select(fingerprint.fingerprint(F.col("a")).alias("a"), F.when(F.col("b").isNotNull(), fingerprint.fingerprint(F.col("b"))).alias("b"))
     got = [x[0] for x in df.select(fingerprint.differing(F.col("a"), F.col("b"))).collect()]
-    pieces = re.findall(fingerprint.PIECES, text)
+    pieces = re.findall(fingerprint.PIECES, in_bytes(text))
     said = "".join(pieces[k] for k in got[0]["pieces_gone"])
     assert len(said) > 0.9 * len(paragraphs[20]) and not got[0]["pieces_new"]  # a deleted paragraph is found on the side that has it
     assert got[1]["pieces_new"] == got[0]["pieces_gone"] and not got[1]["pieces_gone"]
     assert got[2]["sections_moved"] and len(got[2]["pieces_new"]) < 40
-    new = re.findall(fingerprint.PIECES, changed)
+    new = re.findall(fingerprint.PIECES, in_bytes(changed))
     assert 0 < len(got[3]["pieces_new"]) <= 4 and all(x in lines[50].replace(" ", " ... ", 1) + "\n" for x in (new[k].rstrip("\n") for k in got[3]["pieces_new"]))
     assert not any(got[4]) and len(got[5]["pieces_gone"]) == len(pieces) and len(got[6]["pieces_new"]) == len(pieces) and got[7] is None
     assert [x[0] for x in df.select(fingerprint.likeness(F.col("a"), F.col("b"))).collect()][4:] == [1.0, 0.0, 0.0, 0.0]
