@@ -178,8 +178,8 @@ def tiles(signed: DataFrame) -> DataFrame:
     """shingle, part, doc_id, pos (the shingle's place in the document's order), n, bits: the documents of each tile.
 
     Of tiles with the same documents only the first in the order of shingles stays: it is where each pair of them
-    first meets, and near copies share hundreds. Tiles of more than BLOCK documents (those that tasks found frequent
-    before, and any other by its true count) are dealt out by size band and pairs of blocks.
+    first meets, and near copies share hundreds. Tiles of more than BLOCK documents are dealt out by size band and pairs
+    of blocks, as many as their true count asks: those that tasks found frequent before without passing one task, any other in chunks.
     """
     # flipped, signed order is the unsigned one
     flip = F.lit(-(1 << 63)).cast("long")
@@ -194,8 +194,9 @@ def tiles(signed: DataFrame) -> DataFrame:
     large = found.where("members IS NULL")
     blocks = stage(large.groupBy("shingle").agg((F.max("chunk") + 1).cast("long").alias("blocks")), "large")
     large = large.join(small(blocks), "shingle").select("shingle", F.col("chunk").cast("long").alias("own"), "blocks", pairs_of("")).select("shingle", "own", "blocks", F.col("y.docs").alias("doc_id"), F.col("y.pos").alias("pos")).join(about, "doc_id")
-    hot = signed.where(F.size("hot") > 0).select("doc_id", "n", "bits", F.explode(F.arrays_zip("hot", "blocks")).alias("x"))
-    hot = hot.select(F.shiftrightunsigned("x.hot", 12).alias("shingle"), F.pmod(F.xxhash64("doc_id"), F.col("x.blocks")).alias("own"), F.col("x.blocks").alias("blocks"), "doc_id", F.col("x.hot").bitwiseAND(4095).cast("int").alias("pos"), "n", "bits")
+    hot = signed.where(F.size("hot") > 0).select("doc_id", "n", "bits", F.explode("hot").alias("x")).withColumn("shingle", F.shiftrightunsigned("x", 12))
+    true = stage(hot.groupBy("shingle").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks")), "hot-blocks")  # of all documents, whatever their tasks saw
+    hot = hot.join(small(true), "shingle").select("shingle", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("own"), "blocks", "doc_id", F.col("x").bitwiseAND(4095).cast("int").alias("pos"), "n", "bits")
     dealt = large.select(*hot.columns).unionByName(hot)
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("long")
     pair = lambda x: F.least(x, F.col("own")) * F.col("blocks") + F.greatest(x, F.col("own"))

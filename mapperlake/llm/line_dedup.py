@@ -232,10 +232,11 @@ def meeting_collector(block: int, rows_held: int):
 
 
 def meetings(distinct: DataFrame, hot: DataFrame) -> DataFrame:
-    """key, part, own, line, doc, place, parity: the lines that meet. hot: key, n of frequent keys (about HOT rows at most); keys that more than BLOCK lines have are dealt out by their true number too."""
+    """key, part, own, line, doc, place, parity: the lines that meet. hot: keys that tasks found frequent (about HOT rows at most). Keys that more than BLOCK lines have are dealt out in blocks by their true number: those in hot by a count of their own, before any task has their rows together; any other in chunks of its rows."""
     rows = distinct.select("line", F.posexplode("keys").alias("i", "key")).where("key <> 0").select("key", F.when(F.col("i") <= EDITS, 1).otherwise(0).alias("own"), "line")
-    known = F.broadcast(hot.select(F.col("key").alias("hot_key"), F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks")))
-    rows = rows.join(known, rows["key"] == known["hot_key"], "left")
+    known = F.broadcast(hot.select(F.col("key").alias("hot_key")))
+    true = stage(rows.join(known, rows["key"] == known["hot_key"], "left_semi").groupBy(F.col("key").alias("hot_key")).agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks")), "hot-blocks")
+    rows = rows.join(small(true), rows["key"] == true["hot_key"], "left")
     lone = rows.where("hot_key IS NULL").select("key", "own", "line").repartition(tasks(distinct), "key").sortWithinPartitions("key")
     lone = stage(lone.mapInArrow(meeting_collector(BLOCK, ROWS), "key long, own int, line long, chunk int"), "keys")
     large = stage(lone.where("chunk > 0").groupBy("key").agg((F.max("chunk") + 1).cast("long").alias("blocks")), "large")
