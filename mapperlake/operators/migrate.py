@@ -78,6 +78,7 @@ class Scanner:
     def __init__(self, pieces: list[Piece], context: list[str] | None = None):
         self.all = pieces
         self.p = [p for p in pieces if p.token.kind not in ("space", "comment", "hint")]
+        self._place = {id(x): k for k, x in enumerate(pieces)}
         self.scopes: list[Scope] = []
         self.skip: set[int] = set()
         root = self._scope(None)
@@ -102,6 +103,13 @@ class Scanner:
         a, b = self.p[k - 1].token, self.p[k].token
         return self.p[k - 1].owner == self.p[k].owner and self.p[k - 1].node == self.p[k].node and a.at + len(a.text) == b.at
 
+    def _tag_suffix(self, k: int) -> bool:
+        """Whether a word starts a tag and touches the token before it."""
+        if not (0 < k < len(self.p) and self.p[k].edge and self.p[k].token.kind == "word" and self.p[k].upper not in _WORDS):
+            return False
+        at = self._place[id(self.p[k])]
+        return at > 0 and self.all[at - 1] is self.p[k - 1]
+
     def _alias(self, k: int) -> tuple[str | None, int]:
         if self._is(k, "AS"):
             k += 1
@@ -231,7 +239,11 @@ class Scanner:
                         continue
                     name = ".".join(bare(self.p[i].token.text) for i in range(k, end + 1, 2))
                     if name.upper() != "DUAL":
-                        alias, nxt = self._alias(end + 1)
+                        after = end + 1
+                        while self._tag_suffix(after):  # words of the next tags that are glued to the name are no alias
+                            self.skip.add(after)
+                            after += 1
+                        alias, nxt = self._alias(after)
                         cte = name.upper() in scope.ctes
                         scope.refs.append(Ref(name, alias, end, derived=scope.ctes.get(name.upper()) if cte else None, is_cte=cte))
                         k = nxt

@@ -220,12 +220,12 @@ def rendered_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from mapperlake.plans import batch_catalogue, cases_catalogue, facts_catalogue, graph_catalogue
+    from mapperlake.plans import batch_catalogue, cases_catalogue, derived_catalogue, facts_catalogue, graph_catalogue
 
-    return {k: rendered_query(k) for k in RENDERED} | {k: f for k, (f, _) in (KERNELS | graph_catalogue.QUERIES | batch_catalogue.QUERIES).items()} | {k: f for k, (f, _) in facts_catalogue.FACTS.items()} | cases_catalogue.queries()
+    return {k: rendered_query(k) for k in RENDERED} | {k: f for k, (f, _) in (KERNELS | graph_catalogue.QUERIES | batch_catalogue.QUERIES | derived_catalogue.QUERIES).items()} | {k: f for k, (f, _) in facts_catalogue.FACTS.items()} | cases_catalogue.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    from mapperlake.plans import batch_catalogue, cases_catalogue, facts_catalogue, graph_catalogue
+    from mapperlake.plans import batch_catalogue, cases_catalogue, derived_catalogue, facts_catalogue, graph_catalogue
 
-    return {k: s for k, (_, _, s) in RENDERED.items()} | {k: s for k, (_, s) in (KERNELS | graph_catalogue.QUERIES | batch_catalogue.QUERIES).items()} | {k: s for k, (_, s) in facts_catalogue.FACTS.items() if s} | cases_catalogue.oracle_sql()
+    return {k: s for k, (_, _, s) in RENDERED.items()} | {k: s for k, (_, s) in (KERNELS | graph_catalogue.QUERIES | batch_catalogue.QUERIES | derived_catalogue.QUERIES).items()} | {k: s for k, (_, s) in facts_catalogue.FACTS.items() if s} | cases_catalogue.oracle_sql()
