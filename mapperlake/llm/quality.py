@@ -3,7 +3,8 @@
 Lines are normalised (words joined by one blank, A-Z lowered, digits as 0) and hashed. For every host the
 distinct documents (distinct texts, so that exact copies count once) that hold a line are counted. A line in
 LEAST or more of a host's documents and in PERCENT percent of them or more is boilerplate there and is removed from all
-of them but the first; a document that loses more than DEPLETED percent of its words is rejected.
+of them but the first; a document that loses more than DEPLETED percent of its words, or is left with fewer than
+the FEWEST that the base rule asks of any document, is depleted and rejected.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import small, stage, texts_of, trim
 from .tokens import slices
 
-LEAST, PERCENT, DEPLETED = 10, 2, 50
+LEAST, PERCENT, DEPLETED, FEWEST = 10, 2, 50, 50
 SYMBOLS = "#*$%&|<>"
 _DIGITS = bytes.maketrans(b"123456789", b"000000000")
 
@@ -122,8 +123,9 @@ def judge(docs: DataFrame, host: str = "source", least: int = LEAST, percent: fl
 def judged_rows(counted: DataFrame, lines: DataFrame, depleted: int) -> DataFrame:
     removed = lines.groupBy("row_id").agg(F.sum("n").alias("removed_words"))
     judged = counted.drop("lines", "line_words").join(removed, "row_id", "left").fillna(0, ["removed_words"])
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return judged.withColumn("base_failed", failed).withColumn("kept", ~failed & ~(100 * F.col("removed_words") > depleted * F.col("n_words")))
+    failed = (F.col("n_words") < FEWEST) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    drained = (100 * F.col("removed_words") > depleted * F.col("n_words")) | (F.col("n_words") - F.col("removed_words") < FEWEST)
+    return judged.withColumn("base_failed", failed).withColumn("kept", ~failed & ~drained)
 
 
 def keep(docs: DataFrame, host: str = "source") -> DataFrame:
@@ -183,6 +185,6 @@ norm AS (
   FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN cov USING (doc_id) LEFT JOIN rem USING (doc_id)
 )
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT 100 * removed_words > {DEPLETED} * n_words AS kept
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT 100 * removed_words > {DEPLETED} * n_words AND n_words - removed_words >= {FEWEST} AS kept
 FROM base
 """

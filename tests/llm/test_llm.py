@@ -417,6 +417,9 @@ def test_quality_lines(spark):
     assert len(rows) == len(every)
     assert all(by[2 * k]["kept"] for k in range(12)) and by[26]["kept"] and not by[24]["kept"] and not by[25]["kept"]
     assert by[0]["removed_words"] == 0 and by[2]["removed_words"] == 11  # the first document keeps the line
+    left = [prose(r, n) + "\n" + common for n in (49, 50, 80)]
+    few = {x["doc_id"]: x["kept"] for x in quality.judge(make(spark, [every[2 * k] for k in range(12)] + left, hosts=["a"] * 15)).collect()}
+    assert (few[12], few[13], few[14]) == (False, True, True)  # 49 words of its own are too few, whatever stood beside them
     clean = quality.keep(make(spark, every, hosts=hosts))
     assert clean.columns == SCHEMA.replace(" string", "").replace(" long", "").replace(" int", "").split(", ")
     assert quality.judge(empty(spark)).count() == 0
@@ -428,6 +431,12 @@ def test_quality_lines_of_the_real_table(spark):
     lost = docs.select("doc_id", "text").join(quality.clean(docs).select("doc_id", F.col("text").alias("cut")), "doc_id").where("text <> cut").count()
     removed = {x["doc_id"]: x["removed_words"] for x in quality.judge(docs).where("removed_words > 0").collect()}
     assert lost > 500 and len(removed) > 500
+    db = duckdb.connect()
+    db.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.1/documents.parquet'")
+    want = {r[0] for r in db.execute(f"SELECT doc_id FROM ({quality.ORACLE}) WHERE NOT kept AND NOT base_failed").fetchall()}
+    depleted = {x["doc_id"] for x in quality.judge(docs).where("NOT kept AND NOT base_failed").collect()}
+    assert depleted == want and len(depleted) >= 10, "some documents are rejected for what is left of them alone"
+    assert not depleted & {x["doc_id"] for x in quality.clean(docs).where(F.col("doc_id").isin(list(depleted))).select("doc_id").collect()}
     hosts = Counter({("big", k): 1 for k in range(1000)})
     every = [f"{prose(random.Random(k), 60, 9999)}\nfooter of the site" if k < 15 or k >= 1000 else prose(random.Random(k), 60, 9999) for k in range(1015)]
     got = quality.judge(make(spark, every, hosts=["big"] * len(hosts) + ["tiny"] * 15)).where("removed_words > 0").collect()
