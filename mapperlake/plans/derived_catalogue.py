@@ -12,9 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mapperlake.operators import assemble, catalog, resolve
+from mapperlake.operators import assemble, catalog, migrate, resolve
 from mapperlake.plans import migration, reports
 from mapperlake.plans.engine import Project
+from mapperlake.sinks import mapper_xml
 from mapperlake.sources import projects
 
 #: A supplier's file. {k}: its number, {next}: the number after it, {m}<p>: the number modulo p, {ext}: the map that its own extends.
@@ -34,6 +35,8 @@ TEMPLATE = """<sqlMap namespace="s{k}">
 <select id="pick">SELECT a.X, x.M FROM V<isEqual property="old" compareValue="Y">_OLD{m2}</isEqual> a LEFT JOIN (SELECT ID, MAX(Z) AS M FROM Z{m6} GROUP BY ID) x ON a.ID = x.ID WHERE a.K IN (SELECT K FROM Y) ORDER BY a.X</select>
 {bad}</sqlMap>
 """
+#: A mapping whose columns stand in fragments without a table: their including statements tell.
+CONTEXT = {"T0": {"targetTable": "N0", "columns": {"F": "FLAG", "U": "UNIT"}}}
 MAPPING = {"T0": {"targetTable": "N0", "columns": {"ID": "KEY_ID"}}, "W1": {"targetTable": "N1", "columns": {"A": "ALPHA"}}}
 
 _projects: dict[tuple[str, str], Project] = {}
@@ -100,6 +103,17 @@ def _tree(f: Callable) -> Callable:
     return lambda spark, sf_dir: f(project(spark, sf_dir))
 
 
+def in_context(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Owners and events of the project renamed by CONTEXT, once."""
+    return _once(spark, sf_dir, "context", lambda p: migration.renamed(p, CONTEXT))
+
+
+def xml_pieces(owners: DataFrame) -> DataFrame:
+    """source_file and what stands in the insert and in the start of the statement `uses` of each written mapper."""
+    one = lambda pattern: F.regexp_replace(F.regexp_extract("xml", pattern, 1), r"\s+", " ")
+    return mapper_xml.documents(owners).select("source_file", "dialect", F.trim(one(r"(?s)<insert id=\"add\"[^>]*>(.*?)</insert>")).alias("add_text"), F.trim(one(r"(?s)<select id=\"uses\"[^>]*>(.*?)</select>")).alias("uses_text"))
+
+
 def own_text(owners: DataFrame, *ids: str) -> DataFrame:
     """qid and the text of the owners' own text nodes."""
     text = F.concat_ws("", F.transform(F.filter("nodes", lambda n: n["type"] == "Text"), lambda n: n["text"]))
@@ -286,4 +300,37 @@ QUERIES: dict[str, tuple[Callable, str]] = {
             ("'add'", "'HASH_PARAMETER'", "'SAFE'", "1"), ("'add'", "'UNSUPPORTED_NULL_VALUE'", "'MANUAL'", "1"), ("'add'", "'RAW_SQL_SUBSTITUTION'", "'WARNING'", "1"), ("'pick'", "'CONDITIONAL_TO_IF'", "'SAFE'", "1"), columns="id code grade c",
         ),
     ),
+    "d_fragment_contexts": (
+        lambda spark, sf_dir: in_context(spark, sf_dir)[1].where("owner LIKE '%.flag' OR owner LIKE '%.only%'").select("owner", "code", "grade", "original", "replacement"),
+        _sql("""SELECT ns || '.' || x.id AS owner, x.code, x.grade, x.old AS original, x.new AS replacement FROM r x WHERE (k - 1) % 4 = 0 AND k - 1 IN (SELECT s_suppkey FROM supplier) AND x.new IS NOT NULL
+          OR k - 1 NOT IN (SELECT s_suppkey FROM supplier) AND x.new IS NULL""", *[(i, c, "'SAFE'", o, n) for i, o, n in (("'flag'", "'F'", "'FLAG'"), ("'only' || k", "'U'", "'UNIT'")) for c in ("'COLUMN_RENAMED'", "'FRAGMENT_CONTEXT_INFERRED'")], ("'flag'", "'UNRESOLVED_QUALIFIER'", "'WARNING'", "'a.F'", "NULL"), ("'only' || k", "'UNRESOLVED_QUALIFIER'", "'WARNING'", "'a.U'", "NULL"), columns="id code grade old new"),
+    ),
+    "d_migration_summary": (
+        lambda spark, sf_dir: reports.migration_summary(in_context(spark, sf_dir)[1], project(spark, sf_dir).include_tree, project(spark, sf_dir).statements).where("statement LIKE '%.list' OR statement LIKE '%.uses'"),
+        _sql("SELECT statement, 3::BIGINT AS \"SAFE\", 0::BIGINT AS \"WARNING\", 0::BIGINT AS \"MANUAL\", 0::BIGINT AS \"ERROR\" FROM r x WHERE k % 4 = 0 AND more UNION ALL SELECT statement, 1, 0, 0, 0 FROM r x WHERE k % 4 = 0 AND NOT more", ("'list'",), ("'uses'",), columns="id"),
+    ),
+    "d_usage": (
+        _tree(lambda p: migrate.usage(p.rendered, p.analysed, MAPPING)),
+        _sql(f'SELECT statement, r."table", operation, CASE WHEN r."table" IN (\'T0\', \'W1\') THEN \'MAPPED\' ELSE \'UNMAPPED\' END AS verdict FROM r {_OF} WHERE NOT derived', *_TABLES, columns="id table alias operation derived"),
+    ),
+    "d_search": (
+        _tree(lambda p: reports.search(p.indexed(), "w2 (a", 1_000_000).select("source_file", "line", "owner", "kind", "text", "reason")),
+        _sql("""SELECT f AS source_file, l + 5 AS line, ns || '.add' AS owner, 'STATEMENT' AS kind, '<insert id="add">INSERT INTO W2 (A, B) VALUES (#a:VARCHAR:NONE#, $raw$)</insert>' AS text, 'text' AS reason FROM s WHERE k % 3 = 2
+          UNION ALL SELECT 'target/classes/' || f, l + 5, NULL, NULL, '<insert id="add">INSERT INTO W2 (A, B) VALUES (#a:VARCHAR:NONE#, $raw$)</insert>', 'text' FROM s WHERE k % 3 = 2 AND k % 7 = 0"""),
+    ),
+    "d_column_guide": (
+        _tree(lambda p: reports.column_guide(p, "T3", "U").select("action", "statement", "owner", "source_file", "line", "detail")),
+        _sql("""SELECT x.action, ns || '.uses' AS statement, x.owner, CASE WHEN x.action = 'REMOVE_FRAGMENT' THEN (SELECT n.f FROM s n WHERE n.k = x.k + 1) ELSE f END AS source_file, x.line, x.detail FROM r x WHERE k % 4 = 3 AND more""",
+          ("'uses'", "'CHECK_REFERENCE'", "ns || '.uses'", "l + 1", "'WHERE'"), ("'uses'", "'REMOVE_FRAGMENT'", "'s' || (k + 1) || '.only' || (k + 1)", "5", "'1 statements'"), ("'uses'", "'REMOVE_INCLUDE'", "ns || '.uses'", "l + 1", "'only' || (k + 1)"), columns="id action owner line detail"),
+    ),
+    "d_older_xml": (
+        lambda spark, sf_dir: xml_pieces(renamed(spark, sf_dir)[0]),
+        _sql("""SELECT f AS source_file, 'ibatis' AS dialect, CASE WHEN k % 3 = 1 THEN 'INSERT INTO N1 (ALPHA, B)' ELSE 'INSERT INTO W' || k % 3 || ' (A, B)' END || ' VALUES (#a:VARCHAR:NONE#, $raw$)' AS add_text,
+          CASE WHEN k % 4 = 0 THEN 'SELECT a.KEY_ID FROM N0' ELSE 'SELECT a.ID FROM T' || k % 4 END || ' a WHERE <include refid="only' || (k + 1) || '"/>' AS uses_text FROM s"""),
+    ),
+    "d_newer_xml": (
+        lambda spark, sf_dir: xml_pieces(converted(spark, sf_dir)[0]),
+        _sql("""SELECT f AS source_file, 'mybatis' AS dialect, 'INSERT INTO W' || k % 3 || ' (A, B) VALUES (#{a,jdbcType=VARCHAR}, ${raw})' AS add_text,
+          'SELECT a.ID FROM T' || k % 4 || ' a WHERE <include refid="' || CASE WHEN more THEN 's' || (k + 1) || '.' ELSE '' END || 'only' || (k + 1) || '"/>' AS uses_text FROM s"""),
+    ),
 }
