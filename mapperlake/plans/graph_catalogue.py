@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mapperlake.operators import scan
+from mapperlake.operators import nesting, scan
 from mapperlake.operators.components import Reach, strong_components
 from mapperlake.operators.kernels import cut, cut_path
 from mapperlake.operators.textindex import TextIndex
@@ -36,6 +36,20 @@ def k_asof_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.last_in_group(lines, "doc_id", ["line"], F.when(F.col("starts"), F.col("line"))).select("doc_id", "line", "owner")
 
 
+#: Tags that are blocks in pages.
+BLOCKS = "html|head|body|nav|ul|li|div|article|footer"
+_EVENT = rf"</?(?:{BLOCKS})\b[^>]*>|<a href=\"[^\"]*\""
+
+
+def k_enclosing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every link of pages with the block it stands in and that block's place among the page's tags."""
+    events = _table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(_EVENT), F.lit(0))).alias("k", "tag"))
+    step = F.when(F.startswith("tag", F.lit("</")), -1).when(F.startswith("tag", F.lit("<a ")), 0).otherwise(1)
+    about = F.struct(F.regexp_extract("tag", "^<([a-z]+)", 1).alias("name"), F.col("k").alias("at"))
+    found = nesting.enclosing(events, "page_id", "k", step, about).where(F.startswith("tag", F.lit("<a ")))
+    return found.select("page_id", "k", F.regexp_extract("tag", '"(.*)"', 1).alias("href"), F.col("block.name").alias("block"), F.col("block.at").alias("block_at"))
+
+
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src, dst of the graph of pages."""
     links = F.regexp_extract_all("html", F.lit(r"""href=["']([^"']+)"""), F.lit(1))
@@ -97,6 +111,13 @@ QUERIES: dict[str, tuple[Callable, str]] = {
         """SELECT doc_id, line::INTEGER AS line, (max(CASE WHEN t LIKE 'T%' THEN line END) OVER (PARTITION BY doc_id ORDER BY line))::INTEGER AS owner
         FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(0, len(string_split(text, chr(10))))) AS line FROM documents)""",
     ),
+    "k_enclosing": (
+        k_enclosing,
+        rf"""WITH t AS (SELECT page_id, unnest(m) AS tag, unnest(range(len(m)))::INTEGER AS k FROM (SELECT page_id, regexp_extract_all(html, '</?(?:{BLOCKS})\b[^>]*>|<a href="[^"]*"') AS m FROM pages)),
+        d AS (SELECT *, CASE WHEN tag LIKE '</%' THEN -1 WHEN tag LIKE '<a %' THEN 0 ELSE 1 END AS step, sum(CASE WHEN tag LIKE '</%' THEN -1 WHEN tag LIKE '<a %' THEN 0 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY k) AS depth FROM t),
+        o AS (SELECT l.page_id, l.k, l.tag, max(b.k) AS at FROM d l LEFT JOIN d b ON b.page_id = l.page_id AND b.k < l.k AND b.step = 1 AND NOT EXISTS (SELECT 1 FROM d c WHERE c.page_id = l.page_id AND c.k > b.k AND c.k < l.k AND c.depth < b.depth) WHERE l.step = 0 GROUP BY ALL)
+        SELECT o.page_id, o.k, regexp_extract(o.tag, '"(.*)"', 1) AS href, regexp_extract(b.tag, '^<([a-z]+)', 1) AS block, o.at AS block_at FROM o LEFT JOIN d b ON b.page_id = o.page_id AND b.k = o.at""",
+    ),
     "k_components_directed": (k_components_directed, f"WITH RECURSIVE {_LINKS} SELECT node, least(node, (SELECT min(x.b) FROM r x JOIN r y ON y.a = x.b AND y.b = x.a WHERE x.a = node)) AS component FROM n"),
     "k_reach_counts": (k_reach_counts, f"WITH RECURSIVE {_LINKS} SELECT node, count(b) AS n_reached FROM n LEFT JOIN r ON a = node GROUP BY node"),
     "k_reach_members": (k_reach_members, f"WITH RECURSIVE {_LINKS} SELECT a AS source, b AS target, EXISTS (SELECT 1 FROM r y WHERE y.a = r.b AND y.b = r.a) AS returns FROM r WHERE a LIKE 'blog.%'"),

@@ -45,3 +45,23 @@ def test_a_long_group_is_spread(spark):
     assert got.where("owner IS DISTINCT FROM CASE WHEN n >= 7 THEN n - (n - 7) % 1000 END").count() == 0
     per = [x[0] for x in df.repartitionByRange(16, "g", "n").groupBy(F.spark_partition_id()).count().select("count").collect()]
     assert len(per) == 16 and max(per) < 3 * 400_000 / 16
+
+
+@pytest.mark.parametrize("parts", [1, 8])
+def test_enclosing_is_a_stack(spark, parts):
+    from mapperlake.operators import nesting
+
+    r, rows, want = random.Random(7), [], {}
+    for g in [*"abcdef", None]:
+        stack = []
+        for k in range(r.choice([0, 5, 300])):
+            step = r.choice([1, 1, -1, 0, 0]) if stack else r.choice([1, 0])
+            if step == 1:
+                stack.append(k)
+            elif step == -1:
+                stack.pop()
+            rows.append((g, k, step))
+            want[g, k] = stack[-1] if stack else None
+    df = spark.createDataFrame(rows, "g string, k int, step int").repartition(5)
+    got = nesting.enclosing(df, "g", "k", F.col("step"), F.col("k"), parts=parts)
+    assert got.columns == ["g", "k", "step", "block"] and {(x["g"], x["k"]): x["block"] for x in got.collect()} == want
