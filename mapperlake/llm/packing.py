@@ -22,14 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage, texts_of, trim
-from .tokens import encoder, slices
+from .tokens import STORE, encoder, slices
 
 BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION, ELITES = 4096, 2, 2, 10, 6, 2
 #: A bin that is this full is done.
 FULL = 0.99
 
 
-def pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1, store: int = STORE) -> DataFrame:
     """A row per piece of each document: row_id, doc_id, piece, start, length, ids_crc32.
 
     A document's ids are its text's (null: none) and end_id. Documents of more than `capacity` ids are cut
@@ -44,7 +44,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int =
             texts, rows, docs_ = texts_of(batch), batch.column("row_id").to_pylist(), batch.column("doc_id").to_pylist()
             for a, b in slices(texts):
                 out = []
-                for row, doc, ids in zip(rows[a:b], docs_[a:b], enc.encode(texts[a:b]), strict=True):
+                for row, doc, ids in zip(rows[a:b], docs_[a:b], enc.encode(texts[a:b], store), strict=True):
                     ids += end
                     for k, p in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[p : p + 4 * capacity]
@@ -206,6 +206,6 @@ def pack(items: DataFrame, capacity: int = 4096, seed: int = 7) -> DataFrame:
     return reduce(DataFrame.unionByName, done).drop("filled")
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
-    """Pieces of all documents with the sequence and offset of each."""
-    return pack(stage(pieces(docs, vocabulary, capacity, end_id), "pieces"), capacity)
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1, store: int = STORE) -> DataFrame:
+    """Pieces of all documents with the sequence and offset of each. store: distinct chunks that a worker keeps; fewer take less memory and some more time."""
+    return pack(stage(pieces(docs, vocabulary, capacity, end_id, store), "pieces"), capacity)

@@ -54,9 +54,9 @@ class ChunkEncoder(dict):
         found = self[chunk] = struct.pack(f"<{len(ids)}I", *ids)
         return found
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        if len(self) > STORE:
+    def encode(self, texts: list[str], store: int = STORE) -> list[bytes]:
+        """The ids of each text. store: distinct chunks kept before the store is emptied."""
+        if len(self) > store:
             self.clear()
         get = self.__getitem__
         return [b"".join(map(get, t.replace("\n", " ").replace("\t", " ").split(" "))) for t in texts]
