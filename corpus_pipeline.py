@@ -15,6 +15,10 @@ from mapperlake.llm.common import documents, lean, stage
 from mapperlake.session import ship
 
 
+#: Distinct chunks that a worker keeps while packing: half of what the operator does by itself, for workers of all stages share an executor's memory.
+STORE = 300_000
+
+
 def _ready(spark: SparkSession) -> None:
     ship(spark)
     lean(spark)
@@ -44,7 +48,7 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of each document, with its sequence of at most 4096 tokens and its offset there."""
     _ready(spark)
-    packed = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    packed = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), store=STORE)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
