@@ -64,15 +64,27 @@ def k_components_directed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strong_components(page_links(spark, sf_dir))
 
 
+_reach: dict[tuple[str, str], tuple[DataFrame, Reach]] = {}
+
+
+def page_reach(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Reach]:
+    """The links of the graph of pages and what they reach, once for each application and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _reach:
+        _reach.clear()
+        links = cut(page_links(spark, sf_dir))
+        _reach[key] = links, Reach(links)
+    return _reach[key]
+
+
 def k_reach_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many hosts and links each host and link leads to."""
-    return Reach(page_links(spark, sf_dir)).counts()
+    return page_reach(spark, sf_dir)[1].counts()
 
 
 def k_reach_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each host of a blog leads to, from the bitmaps, and whether it leads back."""
-    links = cut(page_links(spark, sf_dir))
-    reach = Reach(links)
+    links, reach = page_reach(spark, sf_dir)
     found = reach.members(links.where(F.startswith("src", F.lit("blog."))).select(F.col("src").alias("node")))
     return reach.reaches(found.select("source", "target", F.col("target").alias("a"), F.col("source").alias("b"))).select("source", "target", F.col("reaches").alias("returns"))
 
