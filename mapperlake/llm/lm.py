@@ -28,8 +28,8 @@ from .common import largest, stage, texts_of
 from .tokens import slices
 
 DIM, NOISE, BATCH, RATE = 32, 64, 4096, 0.1
-#: Classes at least and at most, and bytes of an ending at most.
-FEWEST, MOST, ENDING = 256, 4096, 3
+#: Classes at least, and bytes of an ending at most.
+FEWEST, ENDING = 256, 3
 HEAD = 1 << 19
 #: Words whose class a task keeps at hand, and contexts whose normaliser it does (powers of two); both are computed again when they are missing.
 WORDS_HELD, NORMS_HELD = 1 << 18, 1 << 21
@@ -78,8 +78,8 @@ def token_counts(folded: DataFrame) -> DataFrame:
 
 
 def class_count(distinct: int) -> int:
-    """Classes for so many distinct training tokens: about a quarter of their square root, as a power of two within FEWEST and MOST."""
-    return min(MOST, max(FEWEST, 1 << (distinct // 16).bit_length() // 2))
+    """Classes for so many distinct training tokens: about a quarter of their square root, as a power of two, FEWEST at least. They grow with the corpus without a limit, as slowly as a square root: a million million distinct tokens have 262,144."""
+    return max(FEWEST, 1 << (distinct // 16).bit_length() // 2)
 
 
 def grouped(index: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -282,7 +282,7 @@ def choose_classes(counts: DataFrame, head_words: list[bytes], distinct: int) ->
     known = counts.sparkSession.createDataFrame([(w,) for w in names], "word binary")
     ends = counts.join(F.broadcast(known), "word", "left_anti").select(F.explode(F.array_distinct(own)).alias("ending"), "c").where(F.length("ending") > 0)
     ends = stage(ends.groupBy("ending").agg(F.sum("c").alias("c")), "endings")
-    found = sorted(((x["c"], bytes(x["ending"])) for x in largest(ends, "c", "ending", 2 * MOST).collect()), key=lambda x: (-x[0], x[1]))
+    found = sorted(((x["c"], bytes(x["ending"])) for x in largest(ends, "c", "ending", max(8192, 2 * n)).collect()), key=lambda x: (-x[0], x[1]))
     return names, [e for _, e in found[: n - 1 - len(names)]]
 
 
