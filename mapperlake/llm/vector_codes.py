@@ -34,7 +34,7 @@ LARGEST = 1 << 26
 
 
 def kept(vectors: DataFrame, column: str = "embedding") -> DataFrame:
-    """The rows whose vector is there, with all its components present, finite and below LARGEST / SCALE, as `q` array<int>. Rows whose vector has another length than most have go too; so do empty ones."""
+    """The rows whose vector is there, with all its components present, finite and below LARGEST / SCALE, as `q` array<int>. Empty vectors go too; those of another length than the smallest id's are left out by train and encode."""
     fine = F.col(column).isNotNull() & F.forall(column, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < LARGEST / SCALE), F.lit(False)))
     return vectors.where(fine & (F.size(column) > 0)).withColumn("q", F.transform(column, lambda x: F.floor(x.cast("double") * SCALE).cast("int")))
 
