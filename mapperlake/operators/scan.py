@@ -13,15 +13,15 @@ from pyspark.sql import functions as F
 
 from .kernels import cut
 
-#: Bytes of a range, as Spark estimates them.
-RANGE_BYTES = 64 << 20
+#: Bytes of a range, as they are written.
+RANGE_BYTES = 16 << 20
 
 
-def ranges(df: DataFrame) -> int:
-    """How many ranges df is dealt to: the session's shuffle partitions, or more where they would be large."""
-    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(1, least, -(-known // RANGE_BYTES) if known < 1 << 50 else 0)
+def ranges(written: DataFrame) -> int:
+    """How many ranges a written table is dealt to: the session's shuffle partitions, or more where they would be large. Spark's estimate is the size of its files; that of a plan with joins would be a product, far from what comes out."""
+    known = int(str(written._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(written.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(1, least, -(-known // RANGE_BYTES))
 
 
 def running(df: DataFrame, order: list[str], sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None, parts: int | None = None) -> DataFrame:
@@ -32,7 +32,8 @@ def running(df: DataFrame, order: list[str], sums: dict[str, Column] | None = No
     sums, lasts = sums or {}, lasts or {}
     names = {**{k: f"__sum_{k}" for k in sums}, **{k: f"__last_{k}" for k in lasts}}
     asked = df.withColumns({names[k]: c for k, c in (sums | lasts).items()})
-    dealt = asked.repartitionByRange(parts or ranges(df), *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    asked = cut(asked)  # its size is known, and sampling the ranges' bounds doesn't compute it again
+    dealt = asked.repartitionByRange(parts or ranges(asked), *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
     dealt = cut(dealt).withColumn("__range", F.shiftright("__at", 33))
     totals = [F.sum(names[k]).alias(k) for k in sums] + [F.max(F.when(F.col(names[k]).isNotNull(), F.struct("__at", F.col(names[k]).alias("v")))).alias(k) for k in lasts]
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
