@@ -1,8 +1,10 @@
 """Steps whose rows, ranges or tasks must follow their input."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from mapperlake.operators import nesting, scan
+from mapperlake.operators import nesting, resolve, scan
 
 
 def test_ranges_follow_what_is_written(spark, monkeypatch):
@@ -12,3 +14,55 @@ def test_ranges_follow_what_is_written(spark, monkeypatch):
     events = spark.range(200_000).select((F.col("id") % 5000).alias("g"), F.col("id").alias("k"), F.lit(0).alias("step"), F.repeat(F.lit("x"), 50).alias("tag"))
     assert nesting.enclosing(events, "g", "k", F.col("step"), F.col("tag")).count() == 200_000
     assert asked == [4, 4]  # the session's shuffle partitions
+
+
+def joined_rows(df):
+    """The most rows that a join of df's plan, which has run, put out."""
+    most, work = 0, [df._jdf.queryExecution().executedPlan()]
+    while work:
+        plan = work.pop()
+        name = plan.getClass().getSimpleName()
+        if "Join" in name or "CartesianProduct" in name:
+            most = max(most, plan.metrics().get("numOutputRows").get().value())
+        if name == "AdaptiveSparkPlanExec":
+            work.append(plan.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            work.append(plan.plan())
+        work += [plan.children().apply(k) for k in range(plan.children().size())]
+    return most
+
+
+def test_a_name_of_many_files_is_looked_up_without_pairs(spark):
+    """References and symbols of one name in nested folders: the ladder of `lookup` against a loop over all pairs, in rows that follow their numbers."""
+    r = random.Random(5)
+    path = lambda k: "".join(f"{r.choice('abc')}/" for _ in range(r.choice([0, 1, 2, 3, 4]))) + f"f{k}.xml"
+    held = [(f"n{k}.{i}", i, path(k), k, "same" if i == "twin" else f"c{k}") for k in range(400) for i in ("many", "twin")] + [("n9.one", "one", "a/x.xml", 0, "c"), ("n8.of", "of", "a/b/x.xml", 0, "c"), ("n7.of", "of", "a/c/x.xml", 0, "d")]
+    symbols = spark.createDataFrame(held, "qid string, local_id string, source_file string, ord int, signature string").withColumn("kind", F.lit("SQL_FRAGMENT"))
+    refs = [(f"k{k}", i, "z", path(k)) for k in range(400) for i in ("many", "twin", "one", "of", "none")]
+    got = resolve.lookup(spark.createDataFrame(refs, "key string, refid string, namespace string, from_file string").withColumn("key", F.concat("key", "refid")), symbols, symbols, "SQL_FRAGMENT")
+
+    def shared(a, b):
+        a, b = a.split("/")[:-1], b.split("/")[:-1]
+        return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+    want = {}
+    for key, refid, _, file in refs:
+        found = [h for h in held if h[1] == refid]
+        near = sorted((shared(file, h[2]), h[0]) for h in found)
+        if len(found) == 1 or len({h[4] for h in found}) == 1:
+            target, how = min(h[0] for h in found), "GLOBAL_UNIQUE" if len(found) == 1 else "DUPLICATE_SAME"
+        elif found and near[-1][0] > near[-2][0]:
+            target, how = near[-1][1], "NEAREST_DUPLICATE"
+        else:
+            target = how = None
+        want[key + refid] = target, how, len(found)
+    assert {x["key"]: (x["target"], x["how"], x["candidates"]) for x in got.collect()} == want
+    assert {how for _, how, _ in want.values()} == {"GLOBAL_UNIQUE", "DUPLICATE_SAME", "NEAREST_DUPLICATE", None}
+    assert joined_rows(got) < 8000  # pairs of equal names would be 320,000
+
+
+def test_files_made_of_a_small_table_are_many_tasks(spark):
+    """A table of one split, of whose rows files are made, is dealt to tasks by its rows."""
+    from mapperlake.plans import derived_catalogue
+
+    assert derived_catalogue.files(spark, "/root/testdata/sf0.1").rdd.getNumPartitions() == 4  # two of 500 suppliers each, for the files and for their copies
