@@ -39,6 +39,9 @@ TEMPLATE = """<sqlMap namespace="s{k}">
 CONTEXT = {"T0": {"targetTable": "N0", "columns": {"F": "FLAG", "U": "UNIT"}}}
 MAPPING = {"T0": {"targetTable": "N0", "columns": {"ID": "KEY_ID"}}, "W1": {"targetTable": "N1", "columns": {"A": "ALPHA"}}}
 
+#: The supplier table is small in bytes and often a single split; what is made of a row takes milliseconds.
+FILES_PER_TASK = 500
+
 _projects: dict[tuple[str, str], Project] = {}
 _events: dict[tuple[str, str, str], DataFrame] = {}
 
@@ -60,7 +63,8 @@ def source(k: Column) -> Column:
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each supplier's file below folders of its nation; every seventh is there a second time, in a build folder."""
     k, n = F.col("s_suppkey"), F.col("s_nationkey")
-    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(source(k).alias("text"), F.concat_ws("/", F.concat(F.lit("r"), n % 5), F.concat(F.lit("n"), n), F.concat(F.lit("S"), k, F.lit(".xml"))).alias("path"), k.alias("k"))
+    numbers = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(k, n)
+    supplier = numbers.repartition(-(-numbers.count() // FILES_PER_TASK) or 1, k).select(source(k).alias("text"), F.concat_ws("/", F.concat(F.lit("r"), n % 5), F.concat(F.lit("n"), n), F.concat(F.lit("S"), k, F.lit(".xml"))).alias("path"), k.alias("k"))
     built = supplier.where("k % 7 = 0").withColumn("path", F.concat(F.lit("target/classes/"), "path"))
     rows = supplier.unionByName(built)
     return projects.decoded(rows.select(F.col("path").alias("source_file"), F.octet_length("text").cast("long").alias("size"), F.encode("text", "UTF-8").alias("content"), F.lit(False).alias("external")))
