@@ -34,6 +34,9 @@ _ATTRIBUTE = re.compile(r"(?<![-\w:.])([a-zA-Z_:][-\w:.]*+)\s*+=\s*+(?:\"([^\"]*
 #: Numbers of characters that no page needs: without them html.unescape can't be made to read endless digits.
 _ENDLESS = re.compile(r"&#(?:[xX][0-9a-fA-F]{20,}+|[0-9]{20,}+);?")
 _HIDDEN = {x: re.compile(rf"</{x}\s*+>", re.I) for x in ("script", "style", "template", "noscript", "title")}
+_LINE_ENDS = re.compile(r"[\r\n]+")
+_CHARSET = re.compile(r"charset=([-\w]+)")
+_LENGTH = re.compile(rb"\r\nContent-Length: (\d+)")
 _BLOCKS = frozenset("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section table tbody td tfoot th thead title tr ul".split())
 
 
@@ -43,7 +46,7 @@ def digest(data: bytes) -> str:
 
 def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     """One record, uncompressed. Line ends in values become blanks."""
-    head = "".join(f"{k}: {re.sub(r'[\r\n]+', ' ', v)}\r\n" for k, v in headers)
+    head = "".join([f"{k}: {_LINE_ENDS.sub(' ', v) if '\n' in v or '\r' in v else v}\r\n" for k, v in headers])
     return f"WARC/1.1\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
 
 
@@ -65,8 +68,9 @@ def urn(*parts: str) -> str:
 def response(page_id: str, url: str, html: str, date: str) -> bytes:
     """A response record around a page."""
     body = html.encode("utf-8", "replace")
+    payload = digest(body)
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body
-    return record([("WARC-Type", "response"), ("WARC-Record-ID", urn("response", page_id, url, digest(body))), ("WARC-Date", date), ("WARC-Target-URI", url), ("WARC-Payload-Digest", digest(body)), ("WARC-Block-Digest", digest(block)), ("Content-Type", "application/http; msgtype=response")], block)
+    return record([("WARC-Type", "response"), ("WARC-Record-ID", urn("response", page_id, url, payload)), ("WARC-Date", date), ("WARC-Target-URI", url), ("WARC-Payload-Digest", payload), ("WARC-Block-Digest", digest(block)), ("Content-Type", "application/http; msgtype=response")], block)
 
 
 class Page:
@@ -134,14 +138,17 @@ def plain(html: str) -> tuple[str, str, list[str]]:
     """Text (a line per block, white space collapsed), title and link targets, in order. Scripts, styles and comments are left out; what only looks like mark-up stays text. Time is linear in the page's length, whatever is in it."""
     page, parts, links = Page(html), [], []
     title: str | None = None
+    search, told, hiding, blocks = _TAG.search, parts.append, _HIDDEN, _BLOCKS
     at = look = 0
-    while m := _TAG.search(html, look):
-        if m[2]:
-            end, slash, name, attributes = m.end(), m[1], m[2].lower(), m[3]
+    while m := search(html, look):
+        start, end = m.span()
+        name = m[2]
+        if name:
+            slash, attributes = m[1], ""
         else:
-            end, slash, name, attributes = page.other(m.start())
-            name = name.lower()
-        hidden = page.closing(name, m.start() + 1) if name in _HIDDEN and not slash else None
+            end, slash, name, attributes = page.other(start)
+        name = name.lower()
+        hidden = page.closing(name, start + 1) if name in hiding and not slash else None
         if name == "title":
             if hidden and title is None and end > 0:
                 title = html[end : hidden.start()]
@@ -149,19 +156,20 @@ def plain(html: str) -> tuple[str, str, list[str]]:
         if hidden:
             end = hidden.end()
         elif end < 0:
-            look = m.start() + 1
+            look = start + 1
             continue
-        parts.append(html[at : m.start()].replace("\n", " "))
+        if at < start:
+            told(html[at:start].replace("\n", " "))
         at = look = end
         if hidden:
-            parts.append(" ")
-        elif name in _BLOCKS:
-            parts.append("\n")
-        if name == "a" and not slash:
-            links += [unescape(x[2] or x[3] or x[4] or "") for x in _ATTRIBUTE.finditer(attributes) if x[1].lower() == "href"]
-    parts.append(html[at:].replace("\n", " "))
-    lines = (" ".join(unescape(x).split()) for x in "".join(parts).split("\n"))
-    return "\n".join(x for x in lines if x), " ".join(unescape(title or "").split()), links
+            told(" ")
+        elif name in blocks:
+            told("\n")
+        elif name == "a" and not slash:
+            links += [unescape(x[2] or x[3] or x[4] or "") for x in _ATTRIBUTE.finditer(m[3] if m[2] else attributes) if x[1].lower() == "href"]
+    told(html[at:].replace("\n", " "))
+    lines = [" ".join(unescape(x).split()) for x in "".join(parts).split("\n") if x]
+    return "\n".join([x for x in lines if x]), " ".join(unescape(title or "").split()), links
 
 
 def derive(data: bytes, page_id: int | None = None) -> dict:
@@ -171,7 +179,7 @@ def derive(data: bytes, page_id: int | None = None) -> dict:
     head, _, body = block.partition(b"\r\n\r\n")
     status, *http = head.decode("latin-1").split("\r\n")
     fields = [[k.strip(), v.strip()] for k, _, v in (x.partition(":") for x in http)]
-    charset = re.search(r"charset=([-\w]+)", " ".join(v for k, v in fields if k.lower() == "content-type"))
+    charset = _CHARSET.search(" ".join(v for k, v in fields if k.lower() == "content-type"))
     try:
         page = body.decode(charset[1] if charset else "utf-8", "replace")
     except LookupError:
@@ -215,7 +223,11 @@ def responses(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame
             rows = zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True)
             yield _table([{"page_id": p, "record": gzip.compress(response(str(p), u or "", h or "", date), 1, mtime=0)} for p, u, h in rows], "page_id long, record binary")
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(run, "page_id long, record binary")
+    return _asked(pages).mapInArrow(run, "page_id long, record binary")
+
+
+def _asked(pages: DataFrame) -> DataFrame:
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
 
 
 def derivatives(records: DataFrame) -> DataFrame:
@@ -229,36 +241,61 @@ def derivatives(records: DataFrame) -> DataFrame:
     return records.select("page_id", "record").mapInArrow(run, DERIVED)
 
 
+def page_texts(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
+    """value: the text of both records of `derivatives(responses(pages, date))`, the metadata first, without the line ends at their end. A page's response record goes from one to the other as it is, in one task, and isn't compressed on the way."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = []
+            for p, u, h in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
+                told = derive(response(str(p), u or "", h or "", date), p)
+                texts += [told[kind][: -len(END)].decode() for kind in ("metadata", "conversion")]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["value"])
+
+    return _asked(pages).mapInArrow(run, "value string")
+
+
 def write_files(derived: DataFrame, path: str) -> None:
     """Write both records of each row, the metadata first, to gzip WARC files below `path`, in any store that Spark reaches."""
     both = F.array(*[F.col(kind).cast("string") for kind in ("metadata", "conversion")])
     text = F.explode(both).alias("value")
-    derived.select(text).select(F.expr(f"substring(value, 1, char_length(value) - {len(END)})").alias("value")).write.option("lineSep", END).option("compression", "gzip").text(path)
+    write_texts(derived.select(text).select(F.expr(f"substring(value, 1, char_length(value) - {len(END)})").alias("value")), path)
+
+
+def write_texts(texts: DataFrame, path: str) -> None:
+    """Write records (value: their text without the line ends at their end) in order to gzip WARC files below `path`."""
+    texts.write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """READ of each pair of records below `path`, from what the files hold: lengths and digests are those of the contents read, and digest_matches says whether they and the response's are what the headers claim."""
 
     def run(batches):
+        import pyarrow as pa
+
+        ends = END.encode()
         held, need, pair, file = bytearray(), 0, None, None
         for batch in batches:
             out = []
-            for name, row in zip(batch.column("file").to_pylist(), batch.column("value").to_pylist(), strict=True):
+            for name, row in zip(batch.column("file").to_pylist(), batch.column("value").cast(pa.binary()).to_pylist(), strict=True):
                 if name != file:
                     if held or pair:
                         raise ValueError(f"{file} ends within a record")
                     file = name
-                held += row.encode() + END.encode()
+                held += row
+                held += ends
                 while held:
                     if not need:
-                        k = held.find(END.encode())
-                        need = k + len(END) + int(re.search(rb"\r\nContent-Length: (\d+)", held[:k])[1]) + len(END)
+                        k = held.find(ends)
+                        need = k + len(END) + int(_LENGTH.search(held, 0, k)[1]) + len(END)
                     if len(held) < need:
                         break
                     headers, content = parse(bytes(held[:need]))
                     del held[:need]
                     need = 0
-                    if held == END.encode():  # put behind a file's last row, which had none
+                    if held == ends:  # put behind a file's last row, which had none
                         held.clear()
                     of = dict(headers)
                     if of["WARC-Type"] == "metadata":
@@ -288,7 +325,7 @@ def linked(meta: dict, about: bytes, conversion: dict, text: bytes) -> dict:
 def write_and_read(pages: DataFrame) -> DataFrame:
     """READ of the files that the pages' derivatives are written to, in the shared folder: a row per page."""
     path = stage_path(pages.sparkSession, "warc")
-    write_files(derivatives(responses(pages)), path)
+    write_texts(page_texts(pages), path)
     return read_files(pages.sparkSession, path)
 
 

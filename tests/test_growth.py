@@ -91,3 +91,18 @@ def test_bytes_are_put_together_without_a_sort():
     got = b.decode(many)
     assert time.process_time() - at < sorted_s * 0.6
     assert got == [b"".join(told[i] for i in x) for x in ids.reshape(-1, 2000).tolist()]
+
+
+def test_records_of_a_page_are_made_in_one_pass(spark, tmp_path):
+    """What op10 writes is the text of the records that responses and derivatives make, by one Python step and without compressing the responses on the way."""
+    from mapperlake.llm import warc
+
+    rows = [(1, "http://a/\r\nx", "<title>T &amp; t</title><p>é\n<a href='/l'>l</a><script>var a = '</p>';</script>"), (2, None, None), (3, "u", "a\r\n\r\nb<!-- c --><br/>\r\n\r\n")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    told = warc.page_texts(pages)
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    want = [bytes(d[kind]).removesuffix(b"\r\n\r\n").decode() for d in warc.derivatives(warc.responses(pages)).orderBy("page_id").collect() for kind in ("metadata", "conversion")]
+    assert sorted(x["value"] for x in told.collect()) == sorted(want)
+    warc.write_texts(told, f"{tmp_path}/warc")
+    assert warc.read_files(spark, f"{tmp_path}/warc").where("digest_matches").count() == 3
