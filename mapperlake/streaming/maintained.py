@@ -4,7 +4,8 @@ State is a folder: a version of the edges and of the pairs (source, target: targ
 batch, and one small marker file for each finished version. A batch is the net change of its rows. Removed edges: every pair that a way
 over a removed edge could have made is taken out, then those that still hold are derived again from what is left (delete and
 rederive). Added edges: only pairs that contain a new one are derived, from both sides, so rounds grow with the logarithm of
-the new edges on a way. A version counts once its marker is there; a batch number that has been applied is
+the new edges on a way. Pairs, edges and changes meet by shuffles alone: a batch joins some dozens of times, and broadcasts, each small enough for
+Spark, would come to more than a driver takes. A version counts once its marker is there; a batch number that has been applied is
 skipped, so a stream that starts again, or a batch that failed half-way, leaves what one run would have left.
 """
 
@@ -18,6 +19,11 @@ from mapperlake.operators.kernels import cut
 PAIRS, EDGES = "source string, target string", "src string, dst string"
 
 
+def met(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join that sends neither side to the driver."""
+    return left.hint("merge").join(right.hint("merge"), on, how)
+
+
 class MaintainedClosure:
     """A closure over string nodes in a folder that all executors share. kind: another type of the nodes."""
 
@@ -59,10 +65,10 @@ class MaintainedClosure:
             return False
         edges, pairs = self.edges(), self.pairs()
         net = changes.where("src IS NOT NULL AND dst IS NOT NULL").groupBy("src", "dst").agg(F.max_by("added", "at").alias("added"))
-        net = cut(net.join(edges.withColumn("there", F.lit(True)), ["src", "dst"], "left").withColumn("there", F.coalesce("there", F.lit(False))))
+        net = cut(met(net, edges.withColumn("there", F.lit(True)), ["src", "dst"], "left").withColumn("there", F.coalesce("there", F.lit(False))))
         removed, added = net.where("there AND NOT added").select("src", "dst"), net.where("NOT there AND added").select("src", "dst")
         if not removed.isEmpty():
-            edges = cut(edges.join(removed, ["src", "dst"], "left_anti"))
+            edges = cut(met(edges, removed, ["src", "dst"], "left_anti"))
             pairs = self._without(pairs, edges, removed)
         if not added.isEmpty():
             edges = edges.unionByName(added)
@@ -81,28 +87,28 @@ class MaintainedClosure:
         heads, tails = removed.select(F.col("src").alias("u"), F.col("dst").alias("v")), pairs.withColumnsRenamed({"source": "v", "target": "y"})
         before = pairs.select(F.col("source").alias("x"), F.col("target").alias("u")).unionByName(removed.select(F.col("src").alias("x"), F.col("src").alias("u")).distinct()).distinct()
         after = tails.select("v", "y").unionByName(removed.select(F.col("dst").alias("v"), F.col("dst").alias("y")).distinct()).distinct()
-        doubtful = cut(heads.join(before, "u").select("x", "v").distinct().join(after, "v").select(F.col("x").alias("source"), F.col("y").alias("target")).distinct())
-        sure = cut(pairs.join(doubtful, ["source", "target"], "left_anti"))
+        doubtful = cut(met(met(heads, before, "u").select("x", "v").distinct(), after, "v").select(F.col("x").alias("source"), F.col("y").alias("target")).distinct())
+        sure = cut(met(pairs, doubtful, ["source", "target"], "left_anti"))
         step = edges.select(F.col("src").alias("source"), F.col("dst").alias("mid"))
         direct = edges.select(F.col("src").alias("source"), F.col("dst").alias("target"))
-        over_sure = step.join(sure.select(F.col("source").alias("mid"), "target"), "mid").select("source", "target")
-        new = cut(direct.unionByName(over_sure).distinct().join(doubtful, ["source", "target"], "left_semi"))
+        over_sure = met(step, sure.select(F.col("source").alias("mid"), "target"), "mid").select("source", "target")
+        new = cut(met(direct.unionByName(over_sure).distinct(), doubtful, ["source", "target"], "left_semi"))
         while not new.isEmpty():
-            sure, doubtful = cut(sure.unionByName(new)), cut(doubtful.join(new, ["source", "target"], "left_anti"))
-            more = step.join(new.select(F.col("source").alias("mid"), "target"), "mid").select("source", "target").distinct()
-            new = cut(more.join(doubtful, ["source", "target"], "left_semi"))
+            sure, doubtful = cut(sure.unionByName(new)), cut(met(doubtful, new, ["source", "target"], "left_anti"))
+            more = met(step, new.select(F.col("source").alias("mid"), "target"), "mid").select("source", "target").distinct()
+            new = cut(met(more, doubtful, ["source", "target"], "left_semi"))
         return sure
 
     @staticmethod
     def _with(pairs: DataFrame, added: DataFrame) -> DataFrame:
         """pairs and what the added edges make of them."""
         known = pairs
-        new = cut(added.select(F.col("src").alias("source"), F.col("dst").alias("target")).join(known, ["source", "target"], "left_anti"))
+        new = cut(met(added.select(F.col("src").alias("source"), F.col("dst").alias("target")), known, ["source", "target"], "left_anti"))
         while not new.isEmpty():
             known = cut(known.unionByName(new))
-            ahead = new.join(known.select(F.col("source").alias("target"), F.col("target").alias("far")), "target").select("source", F.col("far").alias("target"))
-            back = known.select(F.col("target").alias("source"), F.col("source").alias("far")).join(new, "source").select(F.col("far").alias("source"), "target")
-            new = cut(ahead.unionByName(back).distinct().join(known, ["source", "target"], "left_anti"))
+            ahead = met(new, known.select(F.col("source").alias("target"), F.col("target").alias("far")), "target").select("source", F.col("far").alias("target"))
+            back = met(known.select(F.col("target").alias("source"), F.col("source").alias("far")), new, "source").select(F.col("far").alias("source"), "target")
+            new = cut(met(ahead.unionByName(back).distinct(), known, ["source", "target"], "left_anti"))
         return known
 
     def follow(self, changes: DataFrame, checkpoint: str):

@@ -106,3 +106,19 @@ def test_records_of_a_page_are_made_in_one_pass(spark, tmp_path):
     assert sorted(x["value"] for x in told.collect()) == sorted(want)
     warc.write_texts(told, f"{tmp_path}/warc")
     assert warc.read_files(spark, f"{tmp_path}/warc").where("digest_matches").count() == 3
+
+
+def test_a_maintained_closure_broadcasts_nothing(spark, monkeypatch, tmp_path):
+    """A batch joins many times; what Spark would broadcast each time goes through the driver, and comes to more the more pairs there are."""
+    from mapperlake.streaming import maintained
+
+    plans, cut = [], maintained.cut
+    told = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(maintained, "cut", lambda df: plans.append(told(df)) or cut(df))
+    rows = [("a", "b", True, 1), ("b", "c", True, 1), ("c", "d", True, 1)]
+    changes = lambda rows: spark.createDataFrame(rows, "src string, dst string, added boolean, at int")
+    kept = maintained.MaintainedClosure(spark, f"{tmp_path}/closure")
+    assert kept.apply(changes(rows), 0) and kept.apply(changes([("b", "c", False, 2), ("d", "e", True, 2)]), 1)
+    assert {(x["source"], x["target"]) for x in kept.pairs().collect()} == {("a", "b"), ("c", "d"), ("c", "e"), ("d", "e")}
+    assert "Broadcast" in told(kept.edges().join(kept.pairs(), F.col("dst") == F.col("source")))  # Spark would
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
