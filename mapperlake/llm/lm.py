@@ -30,6 +30,7 @@ from .tokens import slices
 DIM, NOISE, BATCH, RATE = 32, 64, 4096, 0.1
 #: Classes at least, and bytes of an ending at most.
 FEWEST, ENDING = 256, 3
+CUTS = [slice(-n, None) for n in range(ENDING, 0, -1)]
 HEAD = 1 << 19
 #: Words whose class a task keeps at hand, and contexts whose normaliser it does (powers of two); both are computed again when they are missing.
 WORDS_HELD, NORMS_HELD = 1 << 18, 1 << 21
@@ -82,13 +83,26 @@ def class_count(distinct: int) -> int:
     return max(FEWEST, 1 << (distinct // 16).bit_length() // 2)
 
 
-def grouped(index: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct numbers of index and the sum of g's rows for each."""
-    index = index.astype(np.int32)
+def groups(index: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct numbers of index, the order that brings equal ones together, and where each begins in it."""
+    index = index.astype(np.uint16 if index.max(initial=0) < 1 << 16 else np.int32)  # 16 bits are sorted by radix
     order = np.argsort(index, kind="stable")
     index = index[order]
-    first = np.flatnonzero(np.r_[True, index[1:] != index[:-1]])
-    return index[first], np.add.reduceat(g[order], first, axis=0)
+    first = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
+    return index[first], order, first
+
+
+def grouped(index: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers of index and the sum of g's rows for each."""
+    own, order, first = groups(index)
+    return own, np.add.reduceat(g[order], first, axis=0)
+
+
+def placed(rows: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each place of the index that groups() took, the row of its number."""
+    turn = np.empty(len(order), np.intp)
+    turn[order] = np.repeat(np.arange(len(first)), np.diff(first, append=len(order)))
+    return rows[turn]
 
 
 class ClassOf(dict):
@@ -100,9 +114,9 @@ class ClassOf(dict):
         self.endings = {e: k for k, e in enumerate(endings, 1 + len(names))}
 
     def __missing__(self, word: bytes) -> int:
-        found = 0
-        for n in range(min(ENDING, len(word)), 0, -1):
-            if found := self.endings.get(word[-n:], 0):
+        of, found = self.endings.get, 0
+        for cut in CUTS:
+            if found := of(word[cut], 0):
                 break
         if len(self) < self.fixed + WORDS_HELD:
             self[word] = found
@@ -120,6 +134,7 @@ class Model:
             "q": rng.normal(0, 0.1, (n, DIM)).astype("f4"), "b": np.log(np.maximum(share, 1e-12)).astype("f4"),
         }
         self.held: tuple[np.ndarray, np.ndarray] | None = None
+        self.sides: tuple[np.ndarray, np.ndarray] | None = None
 
     def pack(self) -> bytes:
         return b"".join(self.w[k].tobytes() for k in sorted(self.w))
@@ -151,27 +166,30 @@ class Model:
         for a in range(0, len(target), BATCH):
             x1, x2, t = w1[a : a + BATCH], w2[a : a + BATCH], target[a : a + BATCH]
             noise = np.minimum(np.searchsorted(cdf, rng.random(NOISE) * cdf[-1]), len(cdf) - 1)
-            r1, r2 = w["r"][x1], w["r"][x2]
-            v = r1 @ w["C1"] + r2 @ w["C2"]
+            # a batch has few distinct classes: what depends on a token before alone is computed once for each, and gradients are summed before they go back
+            own1, order1, first1 = groups(x1)
+            own2, order2, first2 = groups(x2)
+            r1, r2 = w["r"][own1], w["r"][own2]
+            v = placed(r1 @ w["C1"], order1, first1) + placed(r2 @ w["C2"], order2, first2)
             qt, qn = w["q"][t], w["q"][noise]
             s = np.einsum("ij,ij->i", v, qt) + (w["b"] - log_noise)[t]
-            sn = v @ qn.T
-            sn += w["b"][noise] - log_noise[noise]
+            sn = v @ -qn.T  # with the sign that exp needs
+            sn -= w["b"][noise] - log_noise[noise]
             up = (1 / (1 + np.exp(np.clip(s, -30, 30)))).astype("f4") / len(t)
             np.clip(sn, -30, 30, out=sn)
-            np.negative(sn, out=sn)
             np.exp(sn, out=sn)
             sn += 1
             down = np.divide(np.float32(-1 / len(t)), sn, out=sn)
             dv = up[:, None] * qt + down @ qn
             db = np.bincount(t, up, len(w["b"])).astype("f4")
             np.add.at(db, noise, down.sum(0))
-            back1, back2 = dv @ w["C1"].T, dv @ w["C2"].T
-            step("C1", r1.T @ dv)
-            step("C2", r2.T @ dv)
-            step_rows("q", np.r_[t, noise], np.r_[up[:, None] * v, down.T @ v])
+            dv1, dv2 = np.add.reduceat(dv[order1], first1, axis=0), np.add.reduceat(dv[order2], first2, axis=0)
+            back1, back2 = dv1 @ w["C1"].T, dv2 @ w["C2"].T
+            step("C1", r1.T @ dv1)
+            step("C2", r2.T @ dv2)
+            step_rows("q", np.concatenate([t, noise]), np.concatenate([up[:, None] * v, down.T @ v]))
             step("b", db)
-            step_rows("r", np.r_[x1, x2], np.r_[back1, back2])
+            step_rows("r", np.concatenate([own1, own2]), np.concatenate([back1, back2]))
 
     def normaliser(self, v: np.ndarray) -> np.ndarray:
         out = np.empty(len(v), "f4")
@@ -188,23 +206,24 @@ class Model:
         n = len(self.w["r"])
         if self.held is None:
             self.held = np.full(NORMS_HELD, -1, np.int64), np.zeros(NORMS_HELD, "f4")
-        keys, norms = self.held
+            self.sides = self.w["r"] @ self.w["C1"], self.w["r"] @ self.w["C2"]
+        (keys, norms), (one, two) = self.held, self.sides
         out = np.empty(len(target), "f4")
         for a in range(0, len(target), 1 << 16):
             cut = slice(a, a + (1 << 16))
-            own, turn = np.unique(w1[cut].astype(np.int64) * n + w2[cut], return_inverse=True)
-            at = (own * 0x9E3779B1 >> 7) & NORMS_HELD - 1
+            x1, x2, t = w1[cut], w2[cut], target[cut]
+            v = one[x1] + two[x2]
+            key = x1.astype(np.int64) * n + x2
+            at = (key * 0x9E3779B1 >> 7) & NORMS_HELD - 1
             norm = norms[at]
-            new = np.flatnonzero(keys[at] != own)
-            norm[new] = self.normaliser(self.context(own[new] // n, own[new] % n))
-            keys[at[new]] = -1  # of contexts that share a place, one is kept, with its own value
-            norms[at[new]] = norm[new]
-            keys[at[new]] = own[new]
-            last = norms[at[new]] != norm[new]
-            keys[at[new[last]]] = -1
-            t = target[cut]
-            v = self.context(w1[cut], w2[cut])
-            out[cut] = np.einsum("ij,ij->i", v, self.w["q"][t]) + self.w["b"][t] - norm[turn]
+            missed = np.flatnonzero(keys[at] != key)
+            if len(missed):
+                own, first, turn = np.unique(key[missed], return_index=True, return_inverse=True)
+                new = self.normaliser(v[missed[first]])
+                norm[missed] = new[turn]
+                place, last = np.unique(at[missed[first]][::-1], return_index=True)  # of contexts that share a place, one is kept, with its own value
+                keys[place], norms[place] = own[::-1][last], new[::-1][last]
+            out[cut] = np.einsum("ij,ij->i", v, self.w["q"][t]) + self.w["b"][t] - norm
         return out
 
 

@@ -704,6 +704,35 @@ def test_lm_probabilities_sum_to_one_and_learn():
     assert all((packed.w[k] == model.w[k]).all() for k in model.w)
 
 
+def test_lm_step_is_that_of_every_example_alone():
+    """One batch: weights after a step whose gradients are summed by distinct class are those of sums over all examples."""
+    n, rng = 7, np.random.default_rng(4)
+    share = np.arange(1, n + 1) / 28
+    w1, w2, t = rng.integers(0, n + 1, 500), rng.integers(0, n + 1, 500), rng.integers(0, n, 500)
+    own, order, first = lm.groups(w1)
+    assert own.dtype == np.uint16 and lm.groups(w1 + 70_000)[0].tolist() == [x + 70_000 for x in own.tolist()]
+    assert (lm.placed(own, order, first) == w1).all()
+    model = lm.Model(share)
+    old = {k: x.astype("f8") for k, x in model.w.items()}
+    model.train(w1, w2, t, np.random.default_rng(9), {k: np.zeros_like(x) for k, x in model.w.items()})
+    noise = np.minimum(np.searchsorted(np.cumsum(share), np.random.default_rng(9).random(lm.NOISE) * share.sum()), n - 1)
+    g = {k: np.zeros_like(x) for k, x in old.items()}
+    for a, b, c in zip(w1, w2, t, strict=True):
+        v = old["r"][a] @ old["C1"] + old["r"][b] @ old["C2"]
+        dv = np.zeros(lm.DIM)
+        for k, real in [(c, True), *((k, False) for k in noise)]:
+            x = v @ old["q"][k] + old["b"][k] - np.log(lm.NOISE * share[k])
+            up = (1 / (1 + np.exp(x)) if real else -1 / (1 + np.exp(-x))) / len(t)
+            dv += up * old["q"][k]
+            g["q"][k] += up * v
+            g["b"][k] += up
+        for name, at in (("C1", a), ("C2", b)):
+            g["r"][at] += old[name] @ dv
+            g[name] += np.outer(old["r"][at], dv)
+    for k in old:
+        assert np.allclose(model.w[k], old[k] + lm.RATE * g[k] / np.sqrt(g[k] ** 2 + 1e-6), atol=2e-4), k
+
+
 def test_lm_classes():
     assert [lm.class_count(n) for n in (0, 10**4, 10**6, 5 * 10**6, 10**8, 10**12)] == [256, 256, 256, 512, 2048, 1 << 18]  # no limit
     index = lm.ClassOf([b"the", b""], [b"ing", b"g", b"le"])
