@@ -216,3 +216,24 @@ def test_search_time_is_in_the_published_range(spark):
     took = (time.perf_counter() - began) / 20
     print(took)
     assert took < 0.25
+
+
+def test_a_task_lists_its_blocks_by_piece(monkeypatch):
+    """Pairs of piece and block leave a task as one row for each piece and range, with NULs, astral signs and texts too short for a piece."""
+    import pyarrow as pa
+
+    texts = {0: "abcabc", 1: "", 2: "ab", 3: "a\0\0\0", 70_000: "abc", 70_001: "x\U0001f600\U0001f601y", 7: "abc\nü"}
+    want: dict = {}
+    for k, t in texts.items():
+        for a in range(len(t) - 2):
+            want.setdefault((t[a : a + 3], k >> textindex.RANGE_BITS), set()).add(k & (1 << textindex.RANGE_BITS) - 1)
+    batches = [pa.RecordBatch.from_pydict({"block": list(texts)[a : a + 4], "text": list(texts.values())[a : a + 4]}) for a in (0, 4)]
+    rows = [r for b in textindex.listed(batches) for r in b.to_pylist()]
+    assert {(r["piece"], r["range"]): r["blocks"] for r in rows} == {k: sorted(v) for k, v in want.items()} and len(rows) == len(want)
+    monkeypatch.setattr(textindex, "PAIRS", 3)
+    parts: dict = {}
+    for b in textindex.listed(batches):
+        for r in b.to_pylist():
+            parts.setdefault((r["piece"], r["range"]), []).extend(r["blocks"])
+    assert {k: sorted(v) for k, v in parts.items()} == {k: sorted(v) for k, v in want.items()}
+    assert list(textindex.listed([])) == []
