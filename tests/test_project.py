@@ -196,3 +196,23 @@ def test_long_chains_and_many_paths(spark):
     p = Project.upload(spark, {"a.xml": "<sqlMap namespace='m'>" + "".join(parts) + "<sql id='f12'>end</sql><select id='s'>SELECT <include refid='f0'/></select></sqlMap>"})
     tree = p.include_tree.collect()
     assert len(tree) == 25 and {r["status"] for r in tree} == {"RESOLVED"} and max(r["depth"] for r in tree) == 13
+
+
+def test_documents_are_written_in_one_pass_of_a_partition(spark):
+    """Not a group of pandas for each file; a file whose owners come in several batches is one document."""
+    files = {f"f{k}.xml": f'<sqlMap namespace="n{k}">' + "".join(f'<select id="s{i}">SELECT {i} FROM t{k}</select>' for i in range(k)) + "</sqlMap>" for k in range(1, 12)}
+    p = Project.upload(spark, files)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "4")
+    try:
+        docs = mapper_xml.documents(p.owners.coalesce(1))
+        plan = docs._jdf.queryExecution().toString()
+        got = {r["source_file"]: r["xml"] for r in docs.collect()}
+    finally:
+        spark.conf.set(name, before)
+    assert "MapInPandas" in plan and "FlatMapGroupsInPandas" not in plan
+    assert sorted(got) == sorted(files) and docs.count() == len(files)
+    for k in range(1, 12):
+        at = [got[f"f{k}.xml"].index(f"SELECT {i} FROM t{k}") for i in range(k)]
+        assert at == sorted(at) and got[f"f{k}.xml"].count("<select ") == k and f'namespace="n{k}"' in got[f"f{k}.xml"]
