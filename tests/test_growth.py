@@ -122,3 +122,21 @@ def test_a_maintained_closure_broadcasts_nothing(spark, monkeypatch, tmp_path):
     assert {(x["source"], x["target"]) for x in kept.pairs().collect()} == {("a", "b"), ("c", "d"), ("c", "e"), ("d", "e")}
     assert "Broadcast" in told(kept.edges().join(kept.pairs(), F.col("dst") == F.col("source")))  # Spark would
     assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+def test_symbols_of_files_made_of_a_small_table_are_no_broadcast(spark):
+    """What Spark derives from a small table is planned by its true size: a join with it isn't one that goes through the driver because the table is small."""
+    from mapperlake.plans import derived_catalogue
+
+    p = derived_catalogue.project(spark, "/root/testdata/sf0.01")
+    p.close()
+    held, before = p.registered.select("qid"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    size = lambda df: int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 2000)
+    try:
+        assert all(size(x) > 10 * 1355 for x in (held, p.mappers, p.owners, p.symbols, p._sites))
+        joined = p._sites.join(held, F.col("refid") == F.col("qid"), "left")
+        assert "SortMergeJoin" in joined._jdf.queryExecution().executedPlan().toString().split("InMemoryTableScan")[0]
+        assert held.count() == 1355
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
